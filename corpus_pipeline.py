@@ -1,13 +1,53 @@
-"""A training corpus from raw documents, stage by stage."""
+"""A training corpus from raw documents: bad texts go, one of each group of near copies stays, documents that hold
+benchmark items go, secrets are masked, and what is left is packed into sequences.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns the columns of
+``documents`` (the last: the pieces). ``run`` writes each stage's rows in the shared folder before the next reads
+them, so that a lost executor costs one stage at most.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from sedimenta.llm import decontamination, jaccard_join, mil_quality, packing, secrets
+from sedimenta.llm.common import stored, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mil_quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.one_of_each(docs, k=5, num=80, den=100)
+
+
+def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.without_items(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.mask_secrets(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_with_public_tokenizer(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("jaccard_join", near_copies),
+    ("decontamination", benchmark_items),
+    ("secret_scans", mask),
+    ("best_fit_packing", sequences),
+]
+
+#: The first stage is a trained model, which SQL cannot express; the tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
     return docs

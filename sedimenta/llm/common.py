@@ -41,6 +41,12 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, "[ \\t-\\r]+"), lambda w: w != "")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once a row, even where lambdas in ``body`` use it for each element
+    (the optimizer would otherwise write its expression into them)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def documents_of(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` (null: empty) alone, whatever else the table holds."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))

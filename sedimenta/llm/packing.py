@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, stored
+from .common import documents_of, stored, table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, place long, fill long, open boolean, part long"
 
@@ -146,9 +146,11 @@ def pack_documents(
     )
 
 
-def op10_best_fit_packing(spark, sf_dir):
+def pack_with_public_tokenizer(docs: DataFrame) -> DataFrame:
     import public_tokenizers as public
 
-    from .common import table
+    return pack_documents(docs, public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+
 
-    return pack_documents(table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+def op10_best_fit_packing(spark, sf_dir):
+    return pack_with_public_tokenizer(table(spark, sf_dir, "documents"))

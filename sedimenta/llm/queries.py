@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import doubling, packing, run_index, style_tree, url_filter
+from . import decontamination, doubling, jaccard_join, mil_quality, packing, robust_outliers, run_index, secrets, style_tree, url_filter
 
 QUERIES = {
     "op1_run_length_index": run_index.op1_run_length_index,
+    "op2_attention_quality": mil_quality.op2_attention_quality,
+    "op3_robust_outliers": robust_outliers.op3_robust_outliers,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_site_style_tree": style_tree.op5_site_style_tree,
     "op6_substring_dedup": doubling.op6_substring_dedup,
+    "op7_minhash_containment": decontamination.op7_minhash_containment,
+    "op8_secret_scans": secrets.op8_secret_scans,
     "op9_url_filters": url_filter.op9_url_filters,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
-ORACLE_SQL = {"op9_url_filters": url_filter.OP9_SQL}
+ORACLE_SQL = {"op7_minhash_containment": decontamination.OP7_SQL, "op9_url_filters": url_filter.OP9_SQL}

@@ -34,7 +34,7 @@ class WordHash(dict):
     """Hash of each word, kept for the words seen lately."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 2_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

@@ -1,6 +1,787 @@
-"""All queries over the reference tables, and their SQL."""
+"""All queries over the reference tables, and their SQL. The number in a name is that of the operator in the inventory."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.keys import checksum, identity
+from .operators import derivation as d
+from .operators import dialogue, graph, ledger, quality, requests, retrieval
+from .operators import evidence as ev
+from .operators import text as tx
+from .plans.oracle import sql
+from .sources import stages
+from .streaming import incremental
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+class Tables:
+    """The derived tables of one run; each stage is written once and read by all that follows."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        return tx.register_lines(self.read("lineitem"))
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        return tx.tokenised(self.lines, *ev.LINE)
+
+    @cached_property
+    def evidence(self) -> DataFrame:
+        return ev.extract(self.tokens)
+
+    @cached_property
+    def mentions(self) -> DataFrame:
+        return stages.staged(d.mentions(self.evidence), "mentions")
+
+    @cached_property
+    def strict(self) -> DataFrame:
+        return stages.staged(d.strict(self.mentions, d.entities(self.mentions)), "strict")
+
+    @cached_property
+    def entities(self) -> DataFrame:
+        return d.entities(self.strict)
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return stages.staged(d.facts(self.strict), "facts")
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        return d.statement_candidates(self.facts, self.entities)
+
+    @cached_property
+    def statements(self) -> DataFrame:
+        return stages.staged(d.statements(self.candidates), "statements")
+
+    @cached_property
+    def reviews(self) -> DataFrame:
+        e = self.read("events").withColumn("document_id", F.col("event_id") * 7 % 15001 + 1)
+        kind = F.col("event_type")
+        e = e.withColumns({
+            "decision": F.when(kind.isin("purchase", "signup"), "approved").when(kind == "error", "rejected").otherwise("needs_investigation"),
+            "reason": F.when(F.col("event_id") % 3 == 0, "insufficient_evidence").when(F.col("event_id") % 3 == 1, "confirmed_by_source").otherwise("other"),
+            "comment": F.when(F.col("event_id") % 4 > 0, "seen"),
+        })
+        from pyspark.sql import Window
+
+        rows = e.join(self.statements.select("document_id", "statement_key"), "document_id")
+        k = F.row_number().over(Window.partitionBy("event_id").orderBy("statement_key"))
+        return rows.select((F.col("event_id") * 1000 + k).alias("review_id"), "document_id", "statement_key", "decision", "reason", "comment", F.col("user_id").alias("reviewer"), F.col("ts").alias("recorded_at"))
+
+    @cached_property
+    def latest(self) -> DataFrame:
+        return graph.latest_reviews(self.reviews)
+
+    @cached_property
+    def decisions(self) -> DataFrame:
+        return stages.staged(graph.promotion_decisions(self.statements, self.entities, self.latest), "decisions")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return stages.staged(graph.edge_rows(self.decisions), "edges")
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return stages.staged(graph.node_rows(self.edges, self.entities), "nodes")
+
+    @cached_property
+    def asked(self) -> DataFrame:
+        rows = self.entities.where("kind = 'designation'").select("project_id", "designation")
+        rows = rows.unionByName(rows.select("project_id", F.lower("designation").alias("designation"))).distinct()
+        return rows.select(F.concat_ws(":", "project_id", "designation").alias("query_id"), "project_id", "designation")
+
+    @cached_property
+    def found(self) -> DataFrame:
+        return stages.staged(retrieval.asset_matches(self.asked, self.nodes), "found")
+
+    @cached_property
+    def jobs(self) -> DataFrame:
+        state = F.when(F.col("event_type") == "view", "uploaded").when(F.col("event_type") == "click", "queued").when(F.col("event_type") == "signup", "processing").when(F.col("event_type") == "purchase", "processed").otherwise("failed")
+        return self.read("events").select(F.col("event_id").alias("job_id"), F.col("user_id").alias("document_id"), state.alias("state"), "ts")
+
+    @cached_property
+    def texts(self) -> DataFrame:
+        """Requests: user turns, with a template by turn so that all rules are met."""
+        t = F.col("turn") % 6
+        lead = F.when(t == 0, "Compare T1 versus T2 ").when(t == 1, "Where is the document of cable 7? ").when(t == 2, "Verify and draw TR2 ").when(t == 3, "What is the value at CB-12 ").when(t == 4, "Explain the voltage of relay 3 ").otherwise("")
+        return self.read("conversations").where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("request_id"), F.concat(lead, F.regexp_replace(F.substring("text", 1, 40), "[^ -~]", "")).alias("text"))
+
+    @cached_property
+    def items(self) -> DataFrame:
+        rows = self.entities.where("kind in ('designation', 'location') or entity_type = 'engineering_quantity'")
+        kind = F.when(F.col("entity_type") == "equipment_designation", "engineering_asset").otherwise(F.col("entity_type"))
+        return rows.select(F.col("project_id").alias("request_id"), F.col("entity_key").alias("item_id"), kind.alias("kind"), F.col("label").alias("order_key"))
+
+
+_TABLES: dict[tuple[str, str], Tables] = {}
+
+
+def tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """Stage tables are written once for each application and input, and shared by its queries."""
+    return _TABLES.setdefault((spark.sparkContext.applicationId, sf_dir), Tables(spark, sf_dir))
+
+
+def query(name: str, oracle: str | None = None):
+    def add(fn: Callable[[Tables], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: fn(tables(spark, sf_dir))
+        if oracle:
+            ORACLE_SQL[name] = oracle
+        return fn
+
+    return add
+
+
+def dbl(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("double") for c in columns})
+
+
+# A: registers and ledgers
+PROJECTS = "projects as (select c_custkey as project_id, c_name as name, c_mktsegment as segment from customer), docs as (select o_orderkey as document_id, o_custkey as project_id, o_orderpriority as priority, o_orderdate as created_at from orders)"
+
+
+def projects(t: Tables) -> DataFrame:
+    return t.read("customer").select(F.col("c_custkey").alias("project_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+
+
+def registry(t: Tables) -> DataFrame:
+    return t.read("orders").select(F.col("o_orderkey").alias("document_id"), F.col("o_custkey").alias("project_id"), F.col("o_orderpriority").alias("priority"), F.col("o_orderdate").alias("created_at"))
+
+
+JOBS = "jobs as (select event_id as job_id, user_id as document_id, case event_type when 'view' then 'uploaded' when 'click' then 'queued' when 'signup' then 'processing' when 'purchase' then 'processed' else 'failed' end as state, ts from events)"
+
+
+def formats(t: Tables) -> DataFrame:
+    p = F.col("p_partkey")
+    head = F.when(p % 5 == 0, "255044462D312E37").when(p % 5 == 1, "89504E470D0A1A0A00").when(p % 5 == 2, "504B0304")
+    mime = F.when(p % 3 == 0, "application/pdf").when(p % 3 == 1, "image/png")
+    return t.read("part").select(p.alias("document_id"), head.alias("content_head"), mime.alias("mime"), F.concat(F.lit("f"), F.when(p % 4 == 0, ".PDF").when(p % 4 == 1, ".png").when(p % 4 == 2, ".docx").otherwise("")).alias("filename"), F.lit("other").alias("stored_format"))
+
+
+FORMATS = """fm as (select p_partkey as document_id, case p_partkey % 5 when 0 then 'pdf' when 1 then 'image' end as s, p_partkey % 5 <= 2 as has, case p_partkey % 3 when 0 then 'pdf' when 1 then 'image' end as m, case p_partkey % 4 when 0 then 'pdf' when 1 then 'image' when 2 then 'docx' end as x from part),
+fd as (select *, coalesce(s, case when m is not null and x is not null and m <> x then 'conflicting' end, m, x, 'unknown') as format, case when s is not null then 'signature' when m is not null and x is not null and m <> x then 'none' when m is not null then 'mime' when x is not null then 'extension' else 'none' end as decider from fm)"""
+
+
+@query("a02_format_classification", f"with {FORMATS} select document_id, format, decider, concat_ws(',', case when s <> format then 'signature' end, case when m <> format then 'mime' end, case when x <> format then 'extension' end) as disagreeing from fd")
+def _(t):
+    return stages.classified_formats(formats(t)).select("document_id", "format", "decider", "disagreeing")
+
+
+@query("a04_format_backfill_plan", f"with {FORMATS}, c as (select case when not coalesce(has, false) then 'content_unavailable' when format = 'conflicting' then 'conflicting_evidence' when format = 'unknown' then 'left_unclassified' else 'reclassified' end as action from fd) select a.action, count(c.action) as n from (values ('reclassified'), ('left_unclassified'), ('content_unavailable'), ('conflicting_evidence')) a(action) left join c using (action) group by a.action")
+def _(t):
+    return stages.backfill_plan(stages.classified_formats(formats(t)))
+
+
+@query("a05_format_backfill_apply", f"with {FORMATS} select document_id, case when coalesce(has, false) and format not in ('conflicting', 'unknown') then format else 'other' end as stored_format from fd")
+def _(t):
+    rows = stages.classified_formats(formats(t))
+    return rows.select("document_id", F.when(F.col("content_head").isNotNull() & ~F.col("format").isin("conflicting", "unknown"), F.col("format")).otherwise(F.col("stored_format")).alias("stored_format"))
+
+
+@query("a06_ingestion_outcome", f"with {FORMATS} select document_id, case when not coalesce(has, false) then 'content_failure' when format = 'unknown' then 'unknown_format' when format = 'conflicting' then 'conflicting_format' else 'ready_for_extraction' end as outcome from fd")
+def _(t):
+    rows = stages.classified_formats(formats(t))
+    return rows.select("document_id", F.when(F.col("content_head").isNull(), "content_failure").when(F.col("format") == "unknown", "unknown_format").when(F.col("format") == "conflicting", "conflicting_format").otherwise("ready_for_extraction").alias("outcome"))
+
+
+_moves = ", ".join(f"('{a}', '{b}')" for a, b in ledger.JOB_MOVES)
+
+
+@query("a07_illegal_job_moves", f"with {JOBS} select document_id, job_id, before, state from (select *, lag(state) over (partition by document_id order by ts, job_id) as before from jobs) where before is not null and before <> state and (before, state) not in ({_moves})")
+def _(t):
+    return ledger.illegal_moves(t.jobs, ledger.JOB_MOVES, "document_id", "ts", "job_id").select("document_id", "job_id", "before", "state")
+
+
+@query("a08_active_and_latest_job", f"with {JOBS} select document_id, min(case when state in ('uploaded', 'queued', 'processing') then job_id end) as active_job, max(job_id) as latest_job from jobs group by document_id")
+def _(t):
+    active = ledger.oldest_active(t.jobs).select("document_id", F.col("job_id").alias("active_job"))
+    return t.jobs.groupBy("document_id").agg(F.max("job_id").alias("latest_job")).join(active, "document_id", "left")
+
+
+@query("a09_refused_requests", f"with {JOBS} select o_orderkey as request_id, o_custkey as document_id from orders where o_custkey in (select document_id from jobs where state in ('uploaded', 'queued', 'processing'))")
+def _(t):
+    return ledger.refused_requests(t.read("orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("document_id")), t.jobs)
+
+
+@query("a10_retryable_jobs", f"with {JOBS} select job_id, document_id from jobs where state = 'failed'")
+def _(t):
+    return t.jobs.where("state = 'failed'").select("job_id", "document_id").orderBy("job_id")
+
+
+@query("a11_idempotent_append", sql("select evidence_key, document_id from ev where status <> 'rejected' and document_id % 2 = 0", "ev"))
+def _(t):
+    held = t.evidence.where("document_id % 2 = 1").select("evidence_key")
+    return stages.append_new(t.evidence, held, "evidence_key").select("evidence_key", "document_id")
+
+
+@query("a12_latest_set", "select o_custkey as document_id, max(o_orderkey) as set_id from orders group by o_custkey")
+def _(t):
+    return stages.latest_set(t.read("orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("set_id")), "document_id", "set_id")
+
+
+@query("a13_replace_by_document", f"with {PROJECTS} select document_id, project_id, case when project_id % 3 = 0 then 'new' else priority end as priority from docs")
+def _(t):
+    held = registry(t).select("document_id", "project_id", "priority")
+    return stages.replaced(held, held.where("project_id % 3 = 0").withColumn("priority", F.lit("new")), "project_id")
+
+
+@query("a16_registry_page", f"with {PROJECTS} select document_id, priority, count(*) over () as total from docs where contains(lower(priority), 'high') order by document_id desc limit 25 offset 50")
+def _(t):
+    return ledger.page_of(registry(t).select("document_id", "priority"), ledger.contains_text("priority", "HIGH"), [F.desc("document_id")], 50, 25)
+
+
+@query("a20_project_intelligence", f"""with {PROJECTS}, n as (select p.project_id, count(d.document_id) as document_count from projects p left join docs d using (project_id) group by p.project_id),
+c as (select *, case when document_count = 0 then 0 when document_count < 5 then least(document_count * 20, 80) else 100 end as completion from n),
+h as (select *, least(40 + cast(completion * 60 / 100 as int), 100) as health from c) select *, case when health >= 80 then 'low' when health >= 55 then 'medium' else 'high' end as risk from h""")
+def _(t):
+    return ledger.project_intelligence(projects(t), registry(t))
+
+
+@query("a21_audit_query", "select event_id, event_type, user_id from events where event_type = 'error' order by ts desc, event_id desc limit 50")
+def _(t):
+    return t.read("events").where("event_type = 'error'").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "event_type", "user_id")
+
+
+CATALOGUE = (("transformer", "Power transformer", ("promo", "trafo")), ("cable", "Power cable", ("steel",)), ("relay", "Protection relay", ("Brand#1", "brand#2")), ("panel", "Panel", ("BRAND#2", "brand#3")))
+_aliases = ", ".join(f"('{i}', {k}, '{a.lower()}')" for k, (i, n, al) in enumerate(CATALOGUE) for a in (i, n, *al))
+
+
+@query("a22_alias_resolution", f"with a(entry_id, rank, alias) as (values {_aliases}) select name, min_by(entry_id, rank) as entry_id from (select distinct p_brand as name from part) p join a on lower(trim(name)) = alias group by name")
+def _(t):
+    entries = t.spark.createDataFrame([(i, n, list(al), k) for k, (i, n, al) in enumerate(CATALOGUE)], "entry_id string, entry_name string, aliases array<string>, rank int")
+    return ledger.first_by_alias(t.read("part").select(F.col("p_brand").alias("name")).distinct(), entries)
+
+
+@query("a24_referential_integrity", "select s_suppkey as row_id, s_nationkey as nation from supplier where s_nationkey not in (select n_nationkey from nation where n_regionkey <> 2)")
+def _(t):
+    return ledger.missing_targets(t.read("supplier").select(F.col("s_suppkey").alias("row_id"), F.col("s_nationkey").alias("nation")), "nation", t.read("nation").where("n_regionkey <> 2"), "n_nationkey")
+
+
+@query("a26_document_detail", f"with {PROJECTS}, {JOBS} select document_id, project_id, max_by(state, job_id) as job_state from docs left join jobs using (document_id) group by document_id, project_id")
+def _(t):
+    newest = t.jobs.groupBy("document_id").agg(F.max_by("state", "job_id").alias("job_state"))
+    return registry(t).select("document_id", "project_id").join(newest, "document_id", "left")
+
+
+@query("a27_repeated_codes", "select n_name as code, count(*) as n from customer join nation on c_nationkey = n_nationkey group by n_name having count(*) > 1")
+def _(t):
+    rows = t.read("customer").join(t.read("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("code"))
+    return ledger.repeated(rows, "code")
+
+
+@query("a28_scope_violations", "select o_orderkey as document_id from orders where (o_orderstatus = 'F') <> (o_custkey % 2 = 0)")
+def _(t):
+    return t.read("orders").where((F.col("o_orderstatus") == "F") != (F.col("o_custkey") % 2 == 0)).select(F.col("o_orderkey").alias("document_id"))
+
+
+# B: text
+@query("b01_text_lines", r"select doc_id as document_id, b - 1 as block, l - 1 as line_index, line_text from (select doc_id, b, generate_subscripts(string_split(block_text, chr(10)), 1) as l, unnest(string_split(block_text, chr(10))) as line_text from (select doc_id, generate_subscripts(string_split_regex(coalesce(text, ''), '\n[ \t]*\n'), 1) as b, unnest(string_split_regex(coalesce(text, ''), '\n[ \t]*\n')) as block_text from documents)) where line_text <> ''")
+def _(t):
+    return tx.text_lines(t.read("documents"))
+
+
+@query("b04_tokens", sql("select document_id, line_index, position, text, char_start, char_start + length(text) as char_end from tok", "tok"))
+def _(t):
+    return t.tokens.select("document_id", "line_index", "position", "text", "char_start", "char_end")
+
+
+@query("b05_normalised_tokens")
+def _(t):
+    return tx.normalised(tx.tokenised(tx.text_lines(t.read("documents")), "document_id", "block", "line_index"))
+
+
+@query("b07_token_counts", sql("select document_id, line_index, count(*) as token_count, grouping(document_id, line_index) as level from tok group by rollup(document_id, line_index)", "tok"))
+def _(t):
+    return tx.token_counts(t.tokens)
+
+
+@query("b08_assembled_text", sql("select document_id, string_agg(line_text, chr(10) order by line_index) as assembled_text from lines group by document_id", "lines"))
+def _(t):
+    return tx.assembled(t.tokens)
+
+
+@query("b10_text_presence", "select doc_id as document_id, coalesce(length(text), 0) > 0 as has_text from documents")
+def _(t):
+    return t.read("documents").select(F.col("doc_id").alias("document_id"), (F.coalesce(F.length("text"), F.lit(0)) > 0).alias("has_text"))
+
+
+# C: evidence
+@query("entry_quantities_by_unit", sql("select unit, count(*) as n, count(value) as n_exact, cast(sum(coalesce(base_value, value)) as double) as total, count(distinct document_id) as documents from ev where ends_with(kind, '_value') group by unit", "ev"))
+def _(t):
+    return ev.quantities_by_unit(t.evidence)
+
+
+@query("c01_boundary_trim", sql("select document_id, line_index, position, tr as trimmed, tl as trim_left, rt as trim_right from bare where tl + rt > 0", "bare"))
+def _(t):
+    return ev.trimmed(t.tokens).where("trim_left + trim_right > 0").select("document_id", "line_index", "position", "trimmed", "trim_left", "trim_right")
+
+
+@query("c02_designations", sql("select document_id, line_index, token_start, designation, char_start, char_end from ev where kind = 'designation'", "ev"))
+def _(t):
+    return t.evidence.where("kind = 'designation'").select("document_id", "line_index", "token_start", "designation", "char_start", "char_end")
+
+
+@query("c03_locations", sql("select document_id, line_index, token_start, designation, char_start, char_end from ev where kind = 'location'", "ev"))
+def _(t):
+    return t.evidence.where("kind = 'location'").select("document_id", "line_index", "token_start", "designation", "char_start", "char_end")
+
+
+@query("c05_quantities", sql("select document_id, line_index, token_start, token_end, observed_text, status, cast(value as double) as value, unit, cast(base_value as double) as base_value, base_unit, char_start, char_end from ev where ends_with(kind, '_value')", "ev"))
+def _(t):
+    return dbl(t.evidence.where(F.col("kind").endswith("_value")), "value", "base_value").select("document_id", "line_index", "token_start", "token_end", "observed_text", "status", "value", "unit", "base_value", "base_unit", "char_start", "char_end")
+
+
+@query("c11_evidence", sql("select evidence_key, document_id, line_index, kind, rule_id, rule_version, observed_text, status from ev", "ev"))
+def _(t):
+    return t.evidence.select("evidence_key", "document_id", "line_index", "kind", "rule_id", "rule_version", "observed_text", "status")
+
+
+@query("c12_evidence_by_type", sql("select kind, status, count(*) as n from ev group by kind, status", "ev"))
+def _(t):
+    return t.evidence.groupBy("kind", "status").agg(F.count("*").alias("n"))
+
+
+@query("c13_evidence_checks", sql("select document_id, evidence_key, 'token_range' as code from ev where token_end < 0", "ev"))
+def _(t):
+    return ev.evidence_violations(stages.staged(t.evidence, "evidence"), t.tokens)
+
+
+@query("c14_designation_lookup", sql("select evidence_key, document_id, line_index from ev where designation = 'T1'", "ev"))
+def _(t):
+    return t.evidence.where("designation = 'T1'").select("evidence_key", "document_id", "line_index")
+
+
+# D: entities, facts, statements
+ENTITY = "select document_id, entity_key, entity_type, n_evidence, label, status, cast(value as double) as value from ent"
+
+
+@query("d01_designation_entities", sql(ENTITY + " where kind = 'designation'", "ent"))
+def _(t):
+    return dbl(t.entities.where("kind = 'designation'"), "value").select("document_id", "entity_key", "entity_type", "n_evidence", "label", "status", "value")
+
+
+@query("d02_location_entities", sql(ENTITY + " where kind = 'location'", "ent"))
+def _(t):
+    return dbl(t.entities.where("kind = 'location'"), "value").select("document_id", "entity_key", "entity_type", "n_evidence", "label", "status", "value")
+
+
+@query("d03_quantity_entities", sql(ENTITY + " where entity_type = 'engineering_quantity'", "ent"))
+def _(t):
+    return dbl(t.entities.where("entity_type = 'engineering_quantity'"), "value").select("document_id", "entity_key", "entity_type", "n_evidence", "label", "status", "value")
+
+
+@query("d06_entity_evidence", sql("select entity_key, evidence_key, kind, observed_text, line_index from m", "m"))
+def _(t):
+    return d.mentions(t.evidence).select("entity_key", "evidence_key", "kind", "observed_text", "line_index")
+
+
+@query("d07_failing_documents", sql("select document_id from bad", "bad"))
+def _(t):
+    return d.failing_documents(d.entities(t.mentions))
+
+
+FACT = "select document_id, fact_key, subject_key, predicate, object_key, n_lines, status from facts where rule = "
+
+
+def _fact(rule: str):
+    return lambda t: t.facts.where(F.col("rule") == rule).select("document_id", "fact_key", "subject_key", "predicate", "object_key", "n_lines", "status")
+
+
+query("d08_same_line_quantity_facts", sql(FACT + "'same_line_association'", "facts"))(_fact("same_line_association"))
+query("d09_same_token_location_facts", sql(FACT + "'compound_reference_designation'", "facts"))(_fact("compound_reference_designation"))
+query("d10_same_line_location_facts", sql(FACT + "'same_line_location_association'", "facts"))(_fact("same_line_location_association"))
+
+
+@query("d12_fact_diagnostics", sql("select document_id, line_index, rule, case when subjects > 1 then 'multiple_subjects' else 'multiple_objects' end as reason, count(distinct subject_key) as n_subjects, count(distinct object_key) as n_objects from lp where subjects > 1 or (rule = 'same_line_location_association' and objects > 1) group by all", "lp"))
+def _(t):
+    return d.fact_diagnostics(t.strict)
+
+
+@query("d13_fact_support", sql("""select distinct j.document_id, f.fact_key, r.role, e.evidence_key, j.line_index from jl j join facts f using (document_id, subject_key, object_key, rule, predicate), (values ('subject'), ('object')) r(role)
+  join ms e on e.document_id = j.document_id and e.line_index = j.line_index and e.entity_key = case r.role when 'subject' then j.subject_key else j.object_key end""", "facts"))
+def _(t):
+    return d.fact_support(t.strict, t.facts)
+
+
+@query("d16_fact_checks", sql("select fact_key from facts where subject_key = object_key", "facts"))
+def _(t):
+    ends = t.entities.select("document_id", "entity_key")
+    lost = [t.facts.join(ends.withColumnRenamed("entity_key", f"{s}_key"), ["document_id", f"{s}_key"], "left_anti").select("fact_key") for s in ("subject", "object")]
+    twice = ledger.repeated(t.facts, "fact_key").select("fact_key")
+    return lost[0].unionByName(lost[1]).unionByName(twice).unionByName(t.facts.where("subject_key = object_key").select("fact_key"))
+
+
+STATEMENT = "select document_id, statement_key, subject_key, object_key, fact_key, statement_status from st where statement_type = "
+
+
+def _statement(kind: str):
+    return lambda t: t.statements.where(F.col("statement_type") == kind).select("document_id", "statement_key", "subject_key", "object_key", "fact_key", "statement_status")
+
+
+query("d17_rated_power_statements", sql(STATEMENT + "'has_rated_power'", "st"))(_statement("has_rated_power"))
+query("d18_located_in_statements", sql(STATEMENT + "'is_located_in'", "st"))(_statement("is_located_in"))
+
+
+@query("d19_statement_diagnostics", sql("select document_id, subject_key, statement_type, count(*) as n_facts, min(fact_key) as first_fact, max(fact_key) as last_fact from cand where candidates > 1 group by all", "cand"))
+def _(t):
+    return d.statement_diagnostics(t.candidates)
+
+
+@query("d21_statement_checks", sql("select statement_key from st where fact_key not in (select fact_key from facts)", "st"))
+def _(t):
+    return t.statements.join(t.facts.select("fact_key"), "fact_key", "left_anti").select("statement_key")
+
+
+@query("d22_provenance", sql("""select s.statement_key, r.role, e.evidence_key, e.char_start, e.char_end, e.observed_text from st s join jl j using (document_id, subject_key, object_key) join facts f on f.fact_key = s.fact_key and f.rule = j.rule and f.predicate = j.predicate, (values ('subject'), ('object')) r(role)
+  join ms e on e.document_id = j.document_id and e.line_index = j.line_index and e.entity_key = case r.role when 'subject' then j.subject_key else j.object_key end group by all""", "st"))
+def _(t):
+    support = d.fact_support(t.strict, t.facts)
+    seen = t.strict.select("document_id", "evidence_key", "char_start", "char_end", "observed_text")
+    return t.statements.select("document_id", "statement_key", "fact_key").join(support, ["document_id", "fact_key"]).join(seen, ["document_id", "evidence_key"]).select("statement_key", "role", "evidence_key", "char_start", "char_end", "observed_text").distinct()
+
+
+# E: identities and reuse
+_ID1 = "sha256('contract:1' || '6:source' || length(sha256('register:' || document_id)) || ':' || sha256('register:' || document_id))"
+
+
+@query("e01_artifact_identity", sql(f"select document_id, sha256('contract:1' || '8:evidence' || length({_ID1}) || ':' || {_ID1} || '6:policy=3:2.0') as identity from (select distinct document_id from lines)", "lines"))
+def _(t):
+    source = identity("source", checksum())
+    return t.lines.select("document_id").distinct().select("document_id", identity("evidence", source, policy="2.0").alias("identity"))
+
+
+@query("e02_reuse_split", sql("select document_id, document_id % 4 <> 0 as reused from (select distinct document_id from lines)", "lines"))
+def _(t):
+    docs = t.lines.select("document_id").distinct().withColumn("identity", identity("source", checksum()))
+    held = docs.where("document_id % 4 <> 0")
+    return docs.join(held, ["document_id", "identity"], "left_semi").select("document_id", F.lit(True).alias("reused")).unionByName(docs.join(held, ["document_id", "identity"], "left_anti").select("document_id", F.lit(False).alias("reused")))
+
+
+# F: reviews
+_allowed = ", ".join(f"('{x}', '{r}')" for x, rs in graph.REASONS for r in rs)
+
+
+@query("f01_review_policy", sql(f"select review_id, decision, reason, concat_ws(',', case when (decision, reason) not in ({_allowed}) then 'reason_not_permitted' end, case when (decision <> 'approved' or reason = 'other') and comment is null then 'comment_required' end) as violations from rv where (decision, reason) not in ({_allowed}) or ((decision <> 'approved' or reason = 'other') and comment is null)", "rv"))
+def _(t):
+    return graph.policy_violations(t.reviews)
+
+
+@query("f03_latest_reviews", sql("select document_id, statement_key, review_id, decision from lr", "lr"))
+def _(t):
+    return t.latest.select("document_id", "statement_key", "review_id", "decision")
+
+
+@query("f04_review_history", sql("select review_id, statement_key, row_number() over (partition by document_id, statement_key order by recorded_at desc, review_id desc) as place, row_number() over (partition by document_id, statement_key order by recorded_at desc, review_id desc) > 1 as superseded from rv", "rv"))
+def _(t):
+    return graph.review_history(t.reviews).select("review_id", "statement_key", "place", "superseded")
+
+
+@query("f05_review_counts", sql("select document_id, statement_key, count(*) as n_reviews from rv group by all", "rv"))
+def _(t):
+    return graph.review_counts(t.reviews)
+
+
+@query("f06_applicability", sql("select document_id, statement_key, case when document_id % 5 = 0 then 'orphaned' when substr(statement_key, 1, 1) < '8' then 'applies' when document_id in (select document_id from st where substr(statement_key, 1, 1) < '8') then 'requires_revalidation' else 'orphaned' end as applicability from lr", "lr"))
+def _(t):
+    now = t.statements.where("document_id % 5 <> 0 and substr(statement_key, 1, 1) < '8'")
+    return graph.applicability(t.latest, now).select("document_id", "statement_key", "applicability")
+
+
+@query("f09_review_events", sql("select document_id, 'recorded' as event, review_id from rv union all select document_id, 'superseded', before from (select *, lag(review_id) over (partition by document_id, statement_key order by recorded_at, review_id) as before from rv) where before is not null", "rv"))
+def _(t):
+    return graph.review_events(t.reviews)
+
+
+@query("f10_unknown_targets", sql("select review_id from rv where substr(statement_key, 1, 1) >= '8'", "rv"))
+def _(t):
+    return graph.unknown_targets(t.reviews, t.statements.where("substr(statement_key, 1, 1) < '8'")).select("review_id")
+
+
+# G: graph
+@query("g02_promotion_decisions", sql("select statement_key, promoted, refusal from dec", "dec"))
+def _(t):
+    return t.decisions.select("statement_key", "promoted", "refusal")
+
+
+@query("g04_nodes", sql("select node_id, node_kind, document_id, label, cast(value as double) as value, unit, statement_key from nodes", "nodes"))
+def _(t):
+    return dbl(t.nodes, "value").select("node_id", "node_kind", "document_id", "label", "value", "unit", "statement_key")
+
+
+@query("g05_edges", sql("select edge_id, edge_kind, subject_id, object_id, document_id, statement_key, review_id from edges", "edges"))
+def _(t):
+    return t.edges.select("edge_id", "edge_kind", "subject_id", "object_id", "document_id", "statement_key", "review_id")
+
+
+@query("g08_rebuild_comparison", sql("select edge_id from edges where document_id % 3 = 0", "edges"))
+def _(t):
+    return graph.same_content(t.edges.where("document_id % 3 <> 0"), t.edges)
+
+
+_HELD = "held as (select sha256(concat_ws(chr(31), 'edge', statement_type, statement_key)) as edge_id, case when document_id % 2 = 0 then 'active' else 'historical' end as held_state from st where document_id % 3 <> 0)"
+
+
+@query("g09_incremental_promotion", sql(f"""select edge_id, case when promoted and held_state is null then 'promoted' when promoted and held_state = 'historical' then 'revalidated' when promoted then 'unchanged' when held_state = 'active' then 'retired' when held_state is not null then 'history' else 'refused' end as event,
+  case when not promoted and held_state = 'active' then 'review_reversed' end as retirement_reason from (select *, sha256(concat_ws(chr(31), 'edge', statement_type, statement_key)) as edge_id from dec) left join (select sha256(concat_ws(chr(31), 'edge', statement_type, statement_key)) as edge_id, case when document_id % 2 = 0 then 'active' else 'historical' end as held_state from st where document_id % 3 <> 0) using (edge_id)""", "dec"))
+def _(t):
+    from .functions.keys import UNIT_SEPARATOR, key
+
+    held = t.statements.where("document_id % 3 <> 0").select(key(F.lit("edge"), "statement_type", "statement_key", sep=UNIT_SEPARATOR).alias("edge_id"), F.when(F.col("document_id") % 2 == 0, "active").otherwise("historical").alias("state"))
+    return graph.incremental(t.decisions, held)
+
+
+@query("g12_orphan_nodes", sql("select node_id from nodes where node_id not in (select unnest([subject_id, object_id]) from edges where document_id % 2 = 0)", "nodes"))
+def _(t):
+    return graph.orphan_nodes(t.nodes, t.edges.where("document_id % 2 = 0")).select("node_id")
+
+
+@query("g13_promotion_counts", sql("select count(*) filter (promoted) as promoted, count(*) filter (not promoted) as refused from dec", "dec"))
+def _(t):
+    return t.decisions.agg(F.count_if("promoted").alias("promoted"), F.count_if(~F.col("promoted")).alias("refused"))
+
+
+@query("g14_node_listing", sql("select node_id, label from nodes where contains(lower(label), 't1') order by label, node_id limit 100", "nodes"))
+def _(t):
+    return t.nodes.where(ledger.contains_text("label", "T1")).orderBy("label", "node_id").limit(100).select("node_id", "label")
+
+
+@query("g16_neighbourhood", sql("select edge_id, subject_id as node_id, object_id as other_id from edges union all select edge_id, object_id, subject_id from edges", "edges"))
+def _(t):
+    return graph.neighbourhood(t.edges).select("edge_id", "node_id", "other_id")
+
+
+@query("g17_active_counts", sql("select 'node' as what, count(*) as n from nodes union all select 'edge', count(*) from edges", "nodes"))
+def _(t):
+    return t.nodes.where("state = 'active'").agg(F.count("*").alias("n")).select(F.lit("node").alias("what"), "n").unionByName(t.edges.where("state = 'active'").agg(F.count("*").alias("n")).select(F.lit("edge").alias("what"), "n"))
+
+
+# H: retrieval
+@query("h01_asset_matches", sql("select query_id, node_id, precedence from am", "am"))
+def _(t):
+    return t.found.select("query_id", "node_id", F.col("precedence").cast("long").alias("precedence"))
+
+
+@query("h03_related_objects", sql("select distinct query_id, n.node_kind || ':' || edge_id || ':' || object_id as result_id, edge_kind, am.label, n.label as object_label from am join edges on subject_id = am.node_id join nodes n on n.node_id = object_id", "am"))
+def _(t):
+    return retrieval.related_objects(t.found, t.edges, t.nodes).select("query_id", "result_id", "edge_kind", "label", "object_label")
+
+
+@query("h04_relationships", sql("select edge_id, edge_kind, s.label as subject_label, o.label as object_label from edges join nodes s on s.node_id = subject_id join nodes o on o.node_id = object_id", "nodes"))
+def _(t):
+    end = lambda side: t.nodes.select(F.col("node_id").alias(f"{side}_id"), F.col("label").alias(f"{side}_label"))
+    return t.edges.join(end("subject"), "subject_id").join(end("object"), "object_id").select("edge_id", "edge_kind", "subject_label", "object_label")
+
+
+@query("h09_ranked_results", sql("select query_id, node_id, place, total from (select *, row_number() over (partition by query_id order by precedence, lower(label), node_id) as place, count(*) over (partition by query_id) as total from am) where place <= 20", "am"))
+def _(t):
+    return retrieval.ranked(t.found).select("query_id", "node_id", "place", "total")
+
+
+@query("h10_outcomes", sql("select qs.query_id, count(node_id) as total, case count(node_id) when 0 then 'no_match' when 1 then 'unique_match' else 'multiple_matches' end as outcome from qs left join am on am.query_id = qs.query_id group by qs.query_id", "am"))
+def _(t):
+    return retrieval.outcomes(t.asked, t.found)
+
+
+# I: context
+_caps = "case kind when 'engineering_asset' then 50 when 'engineering_quantity' then 50 when 'structural_location' then 20 else 100 end"
+_SEL = f"""items as (select project_id as request_id, entity_key as item_id, case entity_type when 'equipment_designation' then 'engineering_asset' else entity_type end as kind, label as order_key from ent),
+el as (select *, row_number() over (partition by request_id, kind order by order_key, item_id) <= {_caps} as eligible from items),
+tb as (select *, coalesce(sum(eligible::int) over (partition by request_id order by order_key, item_id rows between unbounded preceding and 1 preceding), 0) as before from el),
+sel as (select *, eligible and before < 100 as selected, case when eligible and before < 100 then null when before >= 100 then 'items' else kind end as discard_reason from tb)"""
+
+
+def _after(select: str) -> str:
+    return sql("@", "ent").replace("\n@", ",\n" + _SEL + "\n" + select)
+
+
+@query("i02_budgeted_selection", _after("select request_id, item_id, selected, discard_reason from sel"))
+def _(t):
+    return retrieval.select_items(t.items).select("request_id", "item_id", "selected", "discard_reason")
+
+
+@query("i03_budget_consumption", _after("select request_id, kind, count(*) as requested, count(*) filter (selected) as accepted, count(*) filter (not selected) as discarded, count(*) filter (not selected) > 0 as exceeded from sel group by grouping sets ((request_id, kind), (request_id))"))
+def _(t):
+    return retrieval.consumption(retrieval.select_items(t.items))
+
+
+@query("i06_coverage", _after("""select *, (items + assets + quantities + locations) / 4 as completeness from (select request_id, count(*) filter (selected) / count(*) as items, coalesce(count(*) filter (selected and kind = 'engineering_asset') / nullif(count(*) filter (kind = 'engineering_asset'), 0), 1.0) as assets,
+  coalesce(count(*) filter (selected and kind = 'engineering_quantity') / nullif(count(*) filter (kind = 'engineering_quantity'), 0), 1.0) as quantities, coalesce(count(*) filter (selected and kind = 'structural_location') / nullif(count(*) filter (kind = 'structural_location'), 0), 1.0) as locations from sel group by request_id)"""))
+def _(t):
+    return retrieval.coverage(retrieval.select_items(t.items))
+
+
+# J: reasoning
+@query("j01_quantity_consistency", sql("""select a.project_id, a.label as asset, count(q.node_id) as n, count(q.value) as parsed, count(distinct q.value) as n_values, count(distinct q.unit) as n_units,
+  case when count(q.node_id) = 0 then 'no_required_quantity' when count(q.value) = 0 then 'unparsable_value' when count(distinct q.unit) > 1 then 'unsupported_comparison' when count(distinct q.value) > 1 then 'inconsistent' when count(q.node_id) = 1 then 'single_value' else 'values_equal' end as verdict
+  from nodes a left join edges e on e.subject_id = a.node_id and e.edge_kind = 'has_rated_power' left join nodes q on q.node_id = e.object_id where a.node_kind = 'engineering_asset' group by a.project_id, a.label""", "nodes"))
+def _(t):
+    return retrieval.quantity_consistency(t.edges, t.nodes)
+
+
+@query("j02_shared_locations", sql("select a.project_id, p.label as location, count(distinct a.label) as n_assets, min(a.label) as first_asset, max(a.label) as last_asset from edges e join nodes a on a.node_id = e.subject_id join nodes p on p.node_id = e.object_id where e.edge_kind = 'is_located_in' group by a.project_id, p.label", "nodes"))
+def _(t):
+    return retrieval.shared_locations(t.edges, t.nodes)
+
+
+# K: mention index
+_ENTRIES = "entries as (select p_partkey as entry_id, p_partkey % 7 as project_id, p_partkey % 100 as document_id, upper(p_brand) as identifier from part), terms as (select c_custkey as request_id, c_custkey % 7 as project_id, upper('Brand#' || (c_custkey % 30)) as term from customer where c_custkey % 20 = 0)"
+
+
+@query("k06_ranked_documents", f"""with {_ENTRIES}, hits as (select request_id, document_id, term, entry_id, case when term = identifier then 100.0 else 40.0 end as points from terms join entries using (project_id) where contains(identifier, term)),
+s as (select request_id, document_id, sum(points) as points, count(*) as n_terms from (select request_id, document_id, term, max(points) as points from hits group by all) group by all), n as (select request_id, document_id, count(distinct entry_id) as mentions from hits group by all)
+select request_id, document_id, mentions, n_terms, score, place from (select *, row_number() over (partition by request_id order by score desc, mentions desc, document_id) as place from (select request_id, document_id, mentions, n_terms, cast(points + 2 * (mentions - 1) + 10 * (n_terms - 1) as double) as score from s join n using (request_id, document_id))) where place <= 20""")
+def _(t):
+    p, c = F.col("p_partkey"), F.col("c_custkey")
+    entries = t.read("part").select(p.alias("entry_id"), (p % 7).alias("project_id"), (p % 100).alias("document_id"), F.col("p_brand").alias("identifier"))
+    terms = t.read("customer").where("c_custkey % 20 = 0").select(c.alias("request_id"), (c % 7).alias("project_id"), F.concat(F.lit("Brand#"), (c % 30).cast("string")).alias("term"))
+    return retrieval.ranked_documents(terms, entries)
+
+
+@query("k03_repeated_mentions", "select p_brand as identifier, p_partkey % 100 as document_id, count(*) as n from part group by all having count(*) > 1")
+def _(t):
+    return ledger.repeated(t.read("part").select(F.col("p_brand").alias("identifier"), (F.col("p_partkey") % 100).alias("document_id")), "identifier", "document_id")
+
+
+@query("k07_mention_lists", sql("select document_id, count(distinct designation) as n_identifiers, string_agg(distinct designation, ',' order by designation) as identifiers from ev where kind = 'designation' group by document_id", "ev"))
+def _(t):
+    rows = t.evidence.where("kind = 'designation'").groupBy("document_id").agg(F.array_sort(F.collect_set("designation")).alias("a"))
+    return rows.select("document_id", F.size("a").cast("long").alias("n_identifiers"), F.array_join("a", ",").alias("identifiers"))
+
+
+# L: claims
+@query("l02_duplicate_claims", "select l_returnflag as kind, l_suppkey as subject, nullif(l_linestatus, 'F') as predicate, count(*) as n from lineitem group by all having count(*) > 1")
+def _(t):
+    rows = t.read("lineitem").select(F.col("l_returnflag").alias("kind"), F.col("l_suppkey").alias("subject"), F.nullif(F.col("l_linestatus"), F.lit("F")).alias("predicate"))
+    return ledger.repeated(rows, "kind", "subject", "predicate")
+
+
+_refs = ", ".join(f"('{s}', '{a}', '{c}')" for a, c, ss in requests.REFERENCE_TYPES for s in ss)
+_words = "case l_partkey % 6 when 0 then 'Cable ' || l_suppkey when 1 then 'TR-' || (l_suppkey % 100) when 2 then 'breaker' || l_suppkey when 3 then 'Frame 0' || (l_suppkey % 10) when 4 then 'pump 3' else 'bus' end"
+
+
+@query("l08_reference_normalisation", f"with r as (select distinct {_words} as reference from lineitem), s(synonym, reference_type, code) as (values {_refs}), x as (select reference, lower(regexp_extract(reference, '^([A-Za-z]+)[\\s-]*([0-9]+)$', 1)) as synonym, regexp_extract(reference, '^([A-Za-z]+)[\\s-]*([0-9]+)$', 2) as digits from r) select reference, reference_type, case when code is not null then code || '-' || case when length(digits) < 2 then lpad(digits, 2, '0') else digits end end as reference_id from x left join s using (synonym)")
+def _(t):
+    k, s = F.col("l_partkey") % 6, F.col("l_suppkey")
+    name = F.when(k == 0, F.concat(F.lit("Cable "), s)).when(k == 1, F.concat(F.lit("TR-"), s % 100)).when(k == 2, F.concat(F.lit("breaker"), s)).when(k == 3, F.concat(F.lit("Frame 0"), s % 10)).when(k == 4, "pump 3").otherwise("bus")
+    return requests.normalised_reference(t.read("lineitem").select(name.alias("reference")).distinct(), "reference").select("reference", "reference_type", "reference_id")
+
+
+@query("l09_predicate_normalisation", "select distinct upper(regexp_replace(trim(p_type), '[ -]+', '_', 'g')) as predicate, lower(regexp_replace(trim(p_type), '[ -]+', '_', 'g')) as attribute from part")
+def _(t):
+    clean = F.regexp_replace(F.trim("p_type"), "[ -]+", "_")
+    return t.read("part").select(F.upper(clean).alias("predicate"), F.lower(clean).alias("attribute")).distinct()
+
+
+@query("l05_candidate_moves")
+def _(t):
+    state = F.when(F.col("event_type") == "view", "pending").when(F.col("event_type") == "click", "needs_changes").when(F.col("event_type") == "purchase", "approved").otherwise("rejected")
+    log = t.read("events").select("event_id", "user_id", state.alias("state"), "ts")
+    return ledger.illegal_moves(log, ledger.CANDIDATE_MOVES, "user_id", "ts", "event_id").select("user_id", "event_id", "before", "state")
+
+
+# M: requests (text rules have no short SQL form; tested on hand-written rows)
+@query("m02_rule_matches")
+def _(t):
+    return requests.rule_matches(t.texts)
+
+
+@query("m03_intents")
+def _(t):
+    return requests.classified(t.texts, stages.staged(requests.rule_matches(t.texts), "matches"))
+
+
+@query("m06_request_designations")
+def _(t):
+    return requests.request_designations(t.texts)
+
+
+@query("m07_retrieval_plans")
+def _(t):
+    intents = requests.classified(t.texts, stages.staged(requests.rule_matches(t.texts), "matches"))
+    return requests.retrieval_plans(intents, requests.request_designations(t.texts))
+
+
+@query("m08_comparison_plans")
+def _(t):
+    return requests.comparison_plans(requests.request_designations(t.texts))
+
+
+# N: quality, against expectations with planned defects
+def expected(t: Tables) -> DataFrame:
+    return t.evidence.where("kind <> 'current_value'").withColumn("observed_text", F.when((F.col("kind") == "designation") & (F.col("document_id") % 10 == 0), F.concat(F.col("observed_text"), F.lit("x"))).otherwise(F.col("observed_text")))
+
+
+_TP = "count(*) filter (kind <> 'current_value' and not (kind = 'designation' and document_id % 10 = 0))"
+_FP = "count(*) filter (kind = 'current_value' or (kind = 'designation' and document_id % 10 = 0))"
+_FN = "count(*) filter (kind = 'designation' and document_id % 10 = 0)"
+
+
+@query("n04_metrics", sql(f"""select kind, tp, fp, fn, case when tp + fp > 0 then round_even(tp / (tp + fp), 6) end as precision, case when tp + fn > 0 then round_even(tp / (tp + fn), 6) end as recall, case when tp > 0 then round_even(2 * tp / (2 * tp + fp + fn), 6) end as f1, fp = 0 and fn = 0 as perfect from (
+  select kind, {_TP} as tp, {_FP} as fp, {_FN} as fn from ev group by grouping sets ((kind), ()))""", "ev"))
+def _(t):
+    return quality.metrics(quality.classified(quality.pairings(expected(t), t.evidence)))
+
+
+@query("n07_regressions", sql(f"select 'resolved' as change, o as outcome, kind, n from (select kind, {_FP} as fp, {_FN} as fn from ev group by kind), lateral (select unnest(['false_positive', 'false_negative']) as o, unnest([fp, fn]) as n) where n > 0", "ev"))
+def _(t):
+    before = quality.classified(quality.pairings(expected(t), t.evidence))
+    after = quality.classified(quality.pairings(t.evidence, t.evidence))
+    return quality.regressions(before, after)
+
+
+# O: dialogue
+@query("o01_conversation_statistics", "select conv_id, count(distinct turn) as turns, count(*) as messages, count(*) filter (role = 'assistant') as responses, max(turn) as last_turn from conversations group by conv_id")
+def _(t):
+    return dialogue.conversation_statistics(t.read("conversations"))
+
+
+@query("o02_turn_statistics", "select conv_id, turn, count(*) as messages, count(*) filter (role = 'assistant') as responses from conversations group by conv_id, turn")
+def _(t):
+    return dialogue.turn_statistics(t.read("conversations"))
+
+
+@query("o03_turn_gaps", "select conv_id, turn, expected from (select *, row_number() over (partition by conv_id order by turn) - 1 + min(turn) over (partition by conv_id) as expected from (select distinct conv_id, turn from conversations)) where turn <> expected")
+def _(t):
+    return dialogue.gaps(t.read("conversations"))
+
+
+@query("o05_message_numbers", "select conv_id, turn, role, turn || ':' || (row_number() over (partition by conv_id, turn order by role, text) - 1) as message_id, row_number() over (partition by conv_id order by turn, role, text) - 1 as event_sequence from conversations")
+def _(t):
+    return dialogue.numbered(t.read("conversations"))
+
+
+@query("o07_recent_responses", "select conv_id, text, turn, place from (select *, row_number() over (partition by conv_id order by turn desc, text) as place from (select conv_id, text, max(turn) as turn from conversations where role = 'assistant' group by conv_id, text)) where place <= 5")
+def _(t):
+    return dialogue.recent_responses(t.read("conversations"))
+
+
+@query("o10_activity_sessions", "select user_id, min(ts) as started, max(ts) + interval 2 hour as ended, count(*) as n_events from (select *, sum(new) over (partition by user_id order by ts, event_id) as s from (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 2 hour then 0 else 1 end as new from events)) group by user_id, s")
+def _(t):
+    return incremental.sessions(t.read("events"))
+
+
+@query("o12_prompt_records", "select conv_id, role, sum(length(text)) as chars, count(*) as lines, case when sum(length(text)) = 0 then 0 else greatest(1, floor(sum(length(text)) / 4)) end as tokens, count(*) > 0 as enabled from conversations group by conv_id, role")
+def _(t):
+    return dialogue.prompt_records(t.read("conversations"))
+
+
+@query("o13_response_status", "select conv_id, case when r = 0 then 'empty' when r / n < 1 then 'partial' else 'complete' end as status, case when r = 0 then 'high' when r / n < 0.5 then 'medium' when r / n < 1 then 'low' else 'none' end as uncertainty from (select conv_id, count(*) filter (role = 'assistant') as r, count(distinct turn) as n from conversations group by conv_id)")
+def _(t):
+    return dialogue.response_status(dialogue.conversation_statistics(t.read("conversations")))
+
+
+@query("o21_action_counts", "select time_bucket(interval 1 hour, ts) as window_start, event_type, count(*) as n from events group by all")
+def _(t):
+    return incremental.action_counts(t.read("events"))

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What counts as white space: the listed characters, and no others.
 SPACE = "\\u0009-\\u000D\\u001C-\\u0020\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
@@ -51,7 +52,7 @@ def tokenised(lines: DataFrame, *by: str) -> DataFrame:
     return rows.select(*by, F.col("position").cast("long").alias("position"), F.col("t.token").alias("text"), (end - F.length("t.token")).cast("long").alias("char_start"), end.cast("long").alias("char_end"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t).strip())
 

@@ -125,7 +125,7 @@ def count_branches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def importance(counted: DataFrame, decay: float) -> DataFrame:
-    """host, branch, shown, importance of each branch of the site style trees.
+    """host, branch, shown, most, importance of each branch of the site style trees; ``most`` is that of its best leaf.
 
     Leaves pass their contents on to every branch above; a branch's importance is decay times that of the
     contents below and (1 - decay) times that of its own styles (its contents' alone if it has no children).
@@ -135,10 +135,10 @@ def importance(counted: DataFrame, decay: float) -> DataFrame:
     sums = (F.sum("times").alias("n"), F.sum(F.col("times") * F.log("times")).alias("s"))
     leaf = leaves.groupBy("host", "branch").agg(*sums)
     variety = F.when(F.col("n") < 2, 1.0).otherwise((F.log("n") - F.col("s") / F.col("n")) / F.log("n"))
-    below = leaf.select("host", F.explode(up).alias("branch"), "n", (variety * F.col("n")).alias("v")).groupBy("host", "branch").agg(F.sum("n").alias("shown"), (F.sum("v") / F.sum("n")).alias("content"))
+    below = leaf.select("host", F.explode(up).alias("branch"), "n", variety.alias("v")).groupBy("host", "branch").agg(F.sum("n").alias("shown"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("content"), F.max("v").alias("most"))
     styles = counted.where("kind = 'style'").groupBy("host", "branch", "what").agg(F.sum("times").alias("times")).groupBy("host", "branch").agg(*sums).select("host", "branch", variety.alias("style"))
     both = below.join(styles, ["host", "branch"], "left")
-    return both.select("host", "branch", "shown", F.when(F.col("style").isNull(), F.col("content")).otherwise(decay * F.col("content") + (1 - decay) * F.col("style")).alias("importance"))
+    return both.select("host", "branch", "shown", "most", F.when(F.col("style").isNull(), F.col("content")).otherwise(decay * F.col("content") + (1 - decay) * F.col("style")).alias("importance"))
 
 
 def main_text(source: str, low: frozenset[str]) -> str:
@@ -154,14 +154,14 @@ def page_branches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def extract_main_text(pages: DataFrame, threshold: float = 0.5, decay: float = 0.9, least: int = 8, share_limit: int = 100_000) -> DataFrame:
     """page_id, url, text, n_chars.
 
-    A branch shown at least ``least`` times is cut if its importance is under ``threshold``. The cut branches
+    A branch shown at least ``least`` times is cut if its importance, and that of every leaf in it, is under ``threshold``. The cut branches
     go to the tasks as one list if they are no more than ``share_limit`` (they are counted first); else each
     page's own are joined to it, with the same result.
     """
     spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", url_host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     counted = pages.select("host", "html").mapInPandas(count_branches, COUNTED)
-    low = stored(importance(counted, decay).where((F.col("shown") >= least) & (F.col("importance") < threshold)).select("host", "branch"), "branches")
+    low = stored(importance(counted, decay).where((F.col("shown") >= least) & (F.col("importance") < threshold) & (F.col("most") < threshold)).select("host", "branch"), "branches")
     schema = "page_id long, url string, text string, n_chars long"
     if low.count() <= share_limit:
         by_host: dict[str, set[str]] = {}

@@ -3,7 +3,9 @@
 Each text is the set of its distinct k-word shingles. Two texts link when the shared part of their union
 reaches the threshold. Equal sets are one node. Nodes meet in the index lists of their prefix shingles: those
 of a set's rarest-first order that two similar sets cannot both miss. Shingles in more than ``hot`` sets'
-windows come last in that order (then by hash), so that lists of common phrases are hardly ever read.
+windows come last in that order (then by hash), so that lists of common phrases are hardly ever read. Sets whose
+windows hold too many such shingles (large groups of near copies) meet each other in lists of their own, by an order
+that counts all their shingles; in the lists of windows they meet only the other sets.
 
 Index-level skipping: in a list, the set with the fewest shingles of its own before this place (the lowest
 position) is the hub; sets whose size or position rules the threshold out are skipped without being compared.
@@ -37,6 +39,8 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 SETS = "sid long, doc_id long, n long, sig1 long, sig2 long, packed binary"
 #: Members of an index list up to which its remaining pairs come from a join.
 SHORT = 16
+#: Sets up to which a shingle of the unsettled sets counts as rare; above, they are ordered by that number.
+RARE = 8
 _CACHE = WordHash()
 
 
@@ -167,12 +171,25 @@ def all_tokens(k: int):
     return run
 
 
-def whole_prefix(tokens: DataFrame, num: int, den: int) -> DataFrame:
-    """As ``final_prefix``, from all tokens of a set."""
-    rows = tokens.withColumn("place", F.row_number().over(Window.partitionBy("sid").orderBy("is_hot", "pos")) - 1)
+def whole_prefix(tokens: DataFrame, num: int, den: int, *order: str) -> DataFrame:
+    """As ``final_prefix``, from all tokens of a set in the given order."""
+    rows = tokens.withColumn("place", F.row_number().over(Window.partitionBy("sid").orderBy(*order, "pos")) - 1)
     return rows.where(F.col("place") < prefix_size(num, den)).select("token", "sid", "n", F.col("place").cast("long").alias("place"))
 
 
+def index_lists(kept: DataFrame, more: DataFrame, hot_tokens: DataFrame, num: int, den: int) -> DataFrame:
+    """list, token, sid, n, place, guest: the index lists. List 0 has all sets in the order of windows; there the unsettled
+    ones (``more``: all their tokens) are guests, whose pairs with each other come from list 1, which has them alone."""
+    more = stored(more, "tokens")
+    common = more.groupBy("token").agg(F.count("*").alias("sets")).where(F.col("sets") > RARE)
+    counted = more.join(common, "token", "left").withColumn("sets", F.coalesce("sets", F.lit(0)))
+    apart = whole_prefix(counted, num, den, "sets").select(F.lit(1).alias("list"), "*", F.lit(False).alias("guest"))
+    settled = kept.where("settled").drop("settled")
+    asked = settled.select("token").distinct()
+    guests = whole_prefix(more.join(hot_tokens, "token", "left").withColumn("is_hot", F.coalesce("is_hot", F.lit(False))), num, den, "is_hot").join(asked, "token", "left_semi")
+    return settled.select(F.lit(0).alias("list"), "*", F.lit(False).alias("guest")).unionByName(guests.select(F.lit(0).alias("list"), "*", F.lit(True).alias("guest"))).unionByName(apart)
+
+
 def compare(k: int):
     """Shared sizes of pairs of packed texts; the last left-hand set is kept, as rows come sorted by it."""
 
@@ -226,7 +243,7 @@ def remaining_pairs(num: int, den: int, block: int = 1000):
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n", "sid"])
-        n, p, c, s = (rows[x].to_numpy() for x in ("n", "place", "component", "sid"))
+        n, p, c, s, guest = (rows[x].to_numpy() for x in ("n", "place", "component", "sid", "guest"))
         end = np.searchsorted(n, n * den // num, side="right")  # sizes that can still reach the threshold
         out = []
         for a in range(0, len(n), block):
@@ -238,6 +255,7 @@ def remaining_pairs(num: int, den: int, block: int = 1000):
                 need = overlap_needed(n[rows_a, None], n[None, rows_b], num, den)
                 can = np.minimum((n - p)[rows_a, None], (n - p)[None, rows_b]) >= need
                 can &= (c[rows_a, None] != c[None, rows_b]) & (np.arange(rows_a.start, rows_a.stop)[:, None] < np.arange(rows_b.start, rows_b.stop)[None, :])
+                can &= ~(guest[rows_a, None] & guest[None, rows_b])
                 i, j = np.nonzero(can)
                 out.append(np.stack([np.minimum(s[a + i], s[b + j]), np.maximum(s[a + i], s[b + j])]))
         pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
@@ -248,10 +266,10 @@ def remaining_pairs(num: int, den: int, block: int = 1000):
 
 def short_pairs(left: DataFrame, num: int, den: int) -> DataFrame:
     """``remaining_pairs`` of short lists, as a join."""
-    a = left.select("token", F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("p_a"), F.col("component").alias("c_a"))
-    b = left.select("token", F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("p_b"), F.col("component").alias("c_b"))
+    a = left.select("list", "token", F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("p_a"), F.col("component").alias("c_a"), F.col("guest").alias("g_a"))
+    b = left.select("list", "token", F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("p_b"), F.col("component").alias("c_b"), F.col("guest").alias("g_b"))
     able = (F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) * (num + den) >= num * (F.col("n_a") + F.col("n_b"))) & (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
-    return a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & able).select("a", "b")
+    return a.join(b, ["list", "token"]).where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & ~(F.col("g_a") & F.col("g_b")) & able).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, hot: int = 200) -> DataFrame:
@@ -270,19 +288,18 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     unsettled = kept.where("not settled").select("sid").distinct()
     hot_tokens = shared.where("is_hot").select("token").distinct().withColumn("is_hot", F.lit(True))
     more = texts.join(unsettled, "sid", "left_semi").select("sid", "packed").mapInPandas(all_tokens(k), "token long, sid long, n long, pos int")
-    more = more.join(hot_tokens, "token", "left").withColumn("is_hot", F.coalesce("is_hot", F.lit(False)))
-    prefixes = stored(kept.where("settled").drop("settled").unionByName(whole_prefix(more, num, den)), "lists")
+    prefixes = stored(index_lists(kept, more, hot_tokens, num, den), "lists")
     # every set against the hub of each of its lists
-    hubs = prefixes.groupBy("token").agg(F.min(F.struct("place", "sid", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
+    hubs = prefixes.groupBy("list", "token").agg(F.min(F.struct("place", "sid", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
     able = (den * F.least("n", "hub.n") >= num * F.greatest("n", "hub.n")) & (F.least(F.col("n") - F.col("place"), F.col("hub.n") - F.col("hub.place")) * (num + den) >= num * (F.col("n") + F.col("hub.n")))
-    pairs = prefixes.join(hubs, "token").where((F.col("sid") != F.col("hub.sid")) & able).select(F.col("hub.sid").alias("a"), F.col("sid").alias("b")).distinct()
+    pairs = prefixes.join(hubs, ["list", "token"]).where((F.col("sid") != F.col("hub.sid")) & able).select(F.col("hub.sid").alias("a"), F.col("sid").alias("b")).distinct()
     found = links(stored(pairs, "hubs"), texts, k, num, den, "links")
     first = stored(connected(found), "components")
     # what is left between components
     named = prefixes.join(first.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("token", "members")
-    left = stored(named.join(mixed, "token"), "mixed")
-    long = left.where(F.col("members") > SHORT).groupBy("token").applyInPandas(lambda r: remaining_pairs(num, den)(r), "a long, b long")
+    mixed = named.groupBy("list", "token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("list", "token", "members")
+    left = stored(named.join(mixed, ["list", "token"]), "mixed")
+    long = left.where(F.col("members") > SHORT).groupBy("list", "token").applyInPandas(lambda r: remaining_pairs(num, den)(r), "a long, b long")
     rest = stored(short_pairs(left.where(F.col("members") <= SHORT), num, den).unionByName(long).distinct(), "rest")
     again = links(rest, texts, k, num, den, "links")
     everything = stored(connected(found.unionByName(again)), "components") if not again.isEmpty() else first

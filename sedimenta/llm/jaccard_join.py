@@ -9,8 +9,8 @@ that counts all their shingles; in the lists of windows they meet only the other
 
 Index-level skipping: in a list, the set with the fewest shingles of its own before this place (the lowest
 position) is the hub; sets whose size or position rules the threshold out are skipped without being compared.
-Answer-level skipping: every set of a list is compared with the hub, and takes over the hub's answers if they
-link - the links inside one component need no further comparison. Only pairs of sets that share a list, are not
+Answer-level skipping: every set is compared with the hub it shares most lists with, then with those hubs of its
+lists that are in other components, and takes over a hub's answers if they link - the links inside one component need no further comparison. Only pairs of sets that share a list, are not
 ruled out by size and position, and are in different components after that are compared one by one.
 
 Comparison is exact on whole texts. No list, group or candidate is capped.
@@ -238,6 +238,13 @@ def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
 
 
+def unlike(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """Pairs (a, b) that are not in one component."""
+    for side in ("a", "b"):
+        pairs = pairs.join(components.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")), side, "left")
+    return pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+
+
 def remaining_pairs(num: int, den: int, block: int = 1000):
     """Pairs of one index list in different components that size and position do not rule out."""
 
@@ -289,11 +296,17 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     hot_tokens = shared.where("is_hot").select("token").distinct().withColumn("is_hot", F.lit(True))
     more = texts.join(unsettled, "sid", "left_semi").select("sid", "packed").mapInPandas(all_tokens(k), "token long, sid long, n long, pos int")
     prefixes = stored(index_lists(kept, more, hot_tokens, num, den), "lists")
-    # every set against the hub of each of its lists
-    hubs = prefixes.groupBy("list", "token").agg(F.min(F.struct("place", "sid", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
+    # every set against the hub of each of its lists; where a settled set is in a list, it is the hub
+    hubs = prefixes.groupBy("list", "token").agg(F.min(F.struct("guest", "place", "sid", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
     able = (den * F.least("n", "hub.n") >= num * F.greatest("n", "hub.n")) & (F.least(F.col("n") - F.col("place"), F.col("hub.n") - F.col("hub.place")) * (num + den) >= num * (F.col("n") + F.col("hub.n")))
-    pairs = prefixes.join(hubs, ["list", "token"]).where((F.col("sid") != F.col("hub.sid")) & able).select(F.col("hub.sid").alias("a"), F.col("sid").alias("b")).distinct()
-    found = links(stored(pairs, "hubs"), texts, k, num, den, "links")
+    pairs = prefixes.join(hubs, ["list", "token"]).where((F.col("sid") != F.col("hub.sid")) & able).groupBy(F.col("hub.sid").alias("a"), F.col("sid").alias("b")).agg(F.count("*").alias("times"))
+    pairs = stored(pairs, "hubs")
+    # first with the hub met in most lists; then only with hubs whose answers that has not brought
+    best = pairs.groupBy("b").agg(F.max(F.struct("times", (-F.col("a")).alias("less"))).alias("best")).select((-F.col("best.less")).alias("a"), "b")
+    found = links(best, texts, k, num, den, "links")
+    first = stored(connected(found), "components")
+    other = unlike(pairs.join(best, ["a", "b"], "left_anti"), first)
+    found = stored(found.unionByName(links(stored(other, "hubs"), texts, k, num, den, "links")), "links")
     first = stored(connected(found), "components")
     # what is left between components
     named = prefixes.join(first.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))

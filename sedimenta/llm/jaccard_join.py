@@ -246,13 +246,10 @@ def unlike(pairs: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def remaining_pairs(num: int, den: int, block: int = 1000):
-    """Pairs of one index list in different components that size and position do not rule out."""
+    """Pairs of each index list in different components that size and position do not rule out; takes a bucket of lists."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n", "sid"])
-        n, p, c, s, guest = (rows[x].to_numpy() for x in ("n", "place", "component", "sid", "guest"))
+    def of_list(n, p, c, s, guest, out: list) -> None:
         end = np.searchsorted(n, n * den // num, side="right")  # sizes that can still reach the threshold
-        out = []
         for a in range(0, len(n), block):
             rows_a = slice(a, min(a + block, len(n)))
             for b in range(a, int(end[rows_a].max()), block):
@@ -265,7 +262,19 @@ def remaining_pairs(num: int, den: int, block: int = 1000):
                 can &= ~(guest[rows_a, None] & guest[None, rows_b])
                 i, j = np.nonzero(can)
                 out.append(np.stack([np.minimum(s[a + i], s[b + j]), np.maximum(s[a + i], s[b + j])]))
-        pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["list", "token", "n", "sid"])
+        which, token = rows["list"].to_numpy(), rows["token"].to_numpy()
+        columns = [rows[x].to_numpy() for x in ("n", "place", "component", "sid", "guest")]
+        begin = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (which[1:] != which[:-1])])
+        pairs = np.zeros((2, 0), np.int64)
+        out: list[np.ndarray] = []
+        for x, y in zip(begin, np.r_[begin[1:], len(token)], strict=True):
+            of_list(*(v[x:y] for v in columns), out)
+            if len(out) >= 500:  # a pair of sets often shares many lists
+                pairs, out = np.unique(np.concatenate([pairs, *out], axis=1), axis=1), []
+        pairs = np.unique(np.concatenate([pairs, *out], axis=1), axis=1)
         return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
 
     return run
@@ -279,7 +288,7 @@ def short_pairs(left: DataFrame, num: int, den: int) -> DataFrame:
     return a.join(b, ["list", "token"]).where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & ~(F.col("g_a") & F.col("g_b")) & able).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, hot: int = 200) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, hot: int = 32) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: components of the links between texts whose k-word shingle
     sets share at least num / den of their union."""
     size = text_bytes(docs)
@@ -312,7 +321,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     named = prefixes.join(first.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     mixed = named.groupBy("list", "token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("list", "token", "members")
     left = stored(named.join(mixed, ["list", "token"]), "mixed")
-    long = left.where(F.col("members") > SHORT).groupBy("list", "token").applyInPandas(lambda r: remaining_pairs(num, den)(r), "a long, b long")
+    long = left.where(F.col("members") > SHORT).groupBy(F.pmod(F.xxhash64("list", "token"), F.lit(max(32, size // 2_000_000)))).applyInPandas(lambda r: remaining_pairs(num, den)(r), "a long, b long")
     rest = stored(short_pairs(left.where(F.col("members") <= SHORT), num, den).unionByName(long).distinct(), "rest")
     again = links(rest, texts, k, num, den, "links")
     everything = stored(connected(found.unionByName(again)), "components") if not again.isEmpty() else first

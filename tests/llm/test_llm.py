@@ -124,6 +124,28 @@ def test_components(docs, k, num, hot):
     assert rows_of(jaccard_join.jaccard_components(docs, k, num, 100, hot), "doc_id", "n_shingles", "component_id") == sorted(want, key=repr)
 
 
+def test_large_groups_of_near_copies(spark):
+    """Sets whose windows hold mostly frequent shingles meet in lists of their own; no link is lost."""
+    draw, texts = random.Random(3), []
+    for _ in range(3):
+        base = [f"w{draw.randrange(5000)}" for _ in range(draw.randrange(60, 140))]
+        for _ in range(50):
+            own = list(base)
+            for _ in range(draw.randrange(6)):
+                own[draw.randrange(len(own))] = f"w{draw.randrange(5000)}" if draw.random() < 0.6 else f"v{draw.randrange(6)}"
+            texts.append(own)
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in texts]
+    name = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if name[a] != name[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+                low, high = sorted((name[a], name[b]))
+                name = [low if x == high else x for x in name]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    want = [(k, len(x), name[k]) for k, x in enumerate(sets)]
+    assert rows_of(jaccard_join.jaccard_components(docs, 3, 90, 100, 10), "doc_id", "n_shingles", "component_id") == sorted(want, key=repr)
+
+
 def test_one_of_each(docs):
     kept = [r.doc_id for r in jaccard_join.one_of_each(docs, 3, 90, 100).collect()]
     assert len(kept) == len(set(kept)) and {0, 1, 2, 7} <= set(kept) and 8 not in kept

@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+import sedimenta.audits  # noqa: F401
 from sedimenta.catalogue import ORACLE_SQL, QUERIES
 from sedimenta.operators import evidence, graph, quality, requests, retrieval, text
 from sedimenta.streaming import incremental
@@ -96,6 +97,18 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == batch.count()
 
 
+def test_every_query_outside_the_streams_has_its_sql():
+    named = {n for n in QUERIES if n in ORACLE_SQL}
+    assert set(ORACLE_SQL) == named
+    assert {n for n in sedimenta.audits.NAMES} <= named
+
+
+def test_codes_list_all_broken_rules_in_order(spark):
+    rows = spark.createDataFrame([(0, None), (5, "x"), (None, None)], "a int, b string")
+    got = rows.select(sedimenta.audits.codes(small=F.col("a") < 1, missing=F.col("b").isNull()).alias("c")).collect()
+    assert [r.c for r in got] == ["small,missing", "", "missing"]
+
+
 def plain(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return "-"
@@ -104,7 +117,7 @@ def plain(v):
     return f"{float(v):.6g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
 
-@pytest.mark.parametrize("name", ["a20_project_intelligence", "c05_quantities", "d08_same_line_quantity_facts", "d12_fact_diagnostics", "d18_located_in_statements", "g04_nodes", "h09_ranked_results", "i02_budgeted_selection", "n04_metrics", "o10_activity_sessions"])
+@pytest.mark.parametrize("name", ["a20_project_intelligence", "c05_quantities", "d08_same_line_quantity_facts", "d12_fact_diagnostics", "d18_located_in_statements", "f08_review_summary", "g04_nodes", "g07_rebuild", "h09_ranked_results", "i02_budgeted_selection", "i07_warnings", "l01_claim_checks", "n04_metrics", "o04_session_moves", "o10_activity_sessions"])
 def test_query_equals_sql(spark, name):
     import duckdb
 

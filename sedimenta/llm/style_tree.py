@@ -3,13 +3,14 @@
 The pages of one host are merged into one tree of block elements (tag, class and id from the root down).
 A branch is important by the variety in it: the entropy of its presentation styles (which children an
 element shows) and of the contents of its leaves, each relative to the largest possible. Blocks that say
-the same on page after page score low. Every branch of low importance is cut from each page of the host; so
+the same on page after page score low; pages of a host with the same blocks (copies) count as one. Every branch of low importance is cut from each page of the host; so
 are elements whose tag, class or id names them as navigation, notices, adverts, forms, comments and the like.
 
-Only counts by host, branch and content are shuffled, merged before the shuffle; texts stay in their task.
+Only packed counts of distinct pages, then counts by host, branch and content are shuffled, merged before the shuffle;
+texts stay in their task.
 
 Defined results: null or empty html gives an empty text; pages on hosts with fewer than ``least`` showings of
-a branch keep it unless it is named; equal pages are treated alike; a null URL or one without ``://`` counts
+a branch in distinct pages keep it unless it is named; equal pages are treated alike; a null URL or one without ``://`` counts
 as the host ''; white space is what Unicode calls so; character references are decoded once.
 """
 
@@ -17,7 +18,9 @@ from __future__ import annotations
 
 import hashlib
 import html as references
+import json
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import stored, table
 from .url_filter import url_host
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|math|select|title|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<(script|style|noscript|template|textarea|iframe|svg|math|select|title|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,6 +43,7 @@ DROPPED_NAMES = frozenset(
     "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu nav navbar navigation newsletter notice notices pagination popup promo promotion related search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
 COUNTED = "host string, branch string, kind string, what long, times long"
+COUNTS = "host string, page binary, counts binary"
 
 
 def hashed(text: str) -> int:
@@ -108,19 +112,31 @@ def branches(branch: str) -> Iterator[str]:
         branch = branch[: branch.rindex("/")]
 
 
-def count_branches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """How often each content and each style shows, by host and branch; merged within a batch."""
+def page_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """host, a hash of the page's blocks, and how often each content and each style shows in it; each page content once within a batch."""
     for batch in batches:
-        seen: Counter = Counter()
+        seen: dict[tuple[str, bytes], bytes] = {}
         for host, source in zip(batch["host"], batch["html"], strict=True):
             page = Page(source)
-            for branch, text, dropped in page.blocks:
-                if not dropped:
-                    seen[host, branch, "content", hashed(text)] += 1
+            blocks = [(branch, hashed(text)) for branch, text, dropped in page.blocks if not dropped]
+            counts = Counter((branch, "content", what) for branch, what in blocks)
             for branch, steps in page.styles.items():
                 runs = [s for k, s in enumerate(steps) if not k or s != steps[k - 1]]
                 if branch:
-                    seen[host, branch, "style", hashed(" ".join(runs))] += 1
+                    counts[branch, "style", hashed(" ".join(runs))] += 1
+            packed = zlib.compress(json.dumps([(*k, n) for k, n in sorted(counts.items())]).encode(), 1)
+            key = host, hashlib.blake2b(json.dumps(blocks).encode(), digest_size=16).digest()
+            seen[key] = min(packed, seen.get(key, packed))
+        yield pd.DataFrame([(*k, x) for k, x in seen.items()], columns=["host", "page", "counts"])
+
+
+def count_branches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How often each content and each style shows in the pages of ``page_counts``, by host and branch; merged within a batch."""
+    for batch in batches:
+        seen: Counter = Counter()
+        for host, counts in zip(batch["host"], batch["counts"], strict=True):
+            for branch, kind, what, n in json.loads(zlib.decompress(counts)):
+                seen[host, branch, kind, what] += n
         yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["host", "branch", "kind", "what", "times"])
 
 
@@ -160,7 +176,9 @@ def extract_main_text(pages: DataFrame, threshold: float = 0.5, decay: float = 0
     """
     spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", url_host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    counted = pages.select("host", "html").mapInPandas(count_branches, COUNTED)
+    # copies of a page count once: else the branch of a much copied article looks like one that says the same everywhere
+    distinct = pages.select("host", "html").mapInPandas(page_counts, COUNTS).groupBy("host", "page").agg(F.min("counts").alias("counts"))
+    counted = stored(distinct.select("host", "counts").mapInPandas(count_branches, COUNTED), "counted")
     low = stored(importance(counted, decay).where((F.col("shown") >= least) & (F.col("importance") < threshold) & (F.col("most") < threshold)).select("host", "branch"), "branches")
     schema = "page_id long, url string, text string, n_chars long"
     if low.count() <= share_limit:

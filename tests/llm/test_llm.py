@@ -267,6 +267,22 @@ def test_main_text(spark):
         assert got[50] == "" and got[51] == ""
 
 
+@pytest.mark.parametrize(("copies", "unique", "paragraphs"), [(300, 20, 10), (8, 0, 5)])
+def test_copies_of_a_page_do_not_empty_it(spark, copies, unique, paragraphs):
+    page = lambda k: "<body><div>Same on each page</div><article>" + "".join(f"<p>words {k} and {j}</p>" for j in range(paragraphs)) + "</article></body>"
+    sources = [page(-1)] * copies + [page(k) for k in range(unique)]
+    rows = [(k, f"http://a.example/{k}", s) for k, s in enumerate(sources)]
+    got = {r.page_id: r.text for r in style_tree.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    said = lambda k: " ".join(f"words {k} and {j}" for j in range(paragraphs))
+    shell = "" if unique else "Same on each page "
+    assert all(got[k] == shell + said(k - copies if k >= copies else -1) for k in range(copies + unique))
+
+
+@pytest.mark.parametrize("element", ["<svg/>", "<math />", "<svg class='a>b' viewBox=\"0 0 1 1\" />", "<svg><path d='M0'/><title>no</title></svg>"])
+def test_self_closed_drawings_end_there(element):
+    assert [t for _, t, _ in style_tree.Page(f"<p>one {element} two</p><p>three</p>").blocks] == ["one two", "three"]
+
+
 def test_urls(spark):
     urls = [None, "no scheme", "http://A.Example.COM/en/7x?q", "https://b.example.net/de/81#t", "http://spam-farm.example.org/fr/", "http://x.org/es/1", "http://notnet/de/", "ftp://h?x://y/en/"]
     got = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}

@@ -46,7 +46,7 @@ HOST_RULES = (
 
 PATTERN_RULES = (
     PatternRule("link-farm", "block", r"://([^/?#]*\.)?spam-farm\.", ("spam", "farm")),
-    PatternRule("pill-shop", "block", r"://([^/?#]*\.)?[a-z]*-?pills\.", ("pills",)),
+    PatternRule("pill-shop", "block", r"://([^/?#]*\.)?[a-z]*-?pills\.", ()),  # also in glued hosts (cheappills), where it is no token
     PatternRule("casino", "block", r"[./-]casino[./-]", ("casino",)),
     PatternRule("adult", "block", r"://([^/?#]*\.)?(xxx|porn)[a-z0-9-]*\.", ()),
     PatternRule("session", "block", r"[?&;](phpsessid|jsessionid)=", ()),

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sedimenta.llm import decontamination, doubling, jaccard_join, mil_quality, packing, robust_outliers, run_index, secrets, style_tree, url_filter
 
@@ -289,6 +290,18 @@ def test_urls(spark):
     assert [(got[k].host, got[k].rule, got[k].verdict) for k in range(8)] == [("", None, "allow"), ("", None, "allow"), ("a.example.com", "example.com/en/7", "allow"), ("b.example.net", "example.net/de/8", "block"), ("spam-farm.example.org", None, "block"), ("x.org", "org/es/", "block"), ("notnet", None, "allow"), ("h", None, "allow")]
 
 
+def test_index_finds_what_the_patterns_match(spark):
+    """Each rule on hosts and paths where its words stand alone, and where they are glued to others."""
+    forms = [f"http://{a}{w}{b}/{c}" for w in ("pills", "spam-farm", "casino", "xxx", "porn") for a in ("", "cheap", "cheap-", "www.", "a1", "1-") for b in (".com", "s.com", "-x.com", "") for c in ("", "en/x")]
+    forms += [f"http://h.org{a}{w}{b}" for w in ("casino", "phpsessid", "jsessionid", "account/login", "user/register", "pills.") for a in ("/", "?", "/x-", "/x", "?a&", ";") for b in ("", "=1", "/", ".x", "x")]
+    forms += [f"http://{a}web.archive.example.org{b}" for a in ("", "x", "x.") for b in ("/", "/casino/", "x/", "")] + ["http://cheappills.com/"]
+    urls = list(dict.fromkeys(forms))
+    table = spark.createDataFrame([(u,) for u in urls], "url string").withColumn("tokens", url_filter.url_tokens(F.col("url")))
+    for rule in url_filter.PATTERN_RULES:
+        want = {u for u in urls if re.search(rule.regex, u.lower())}
+        assert want and {r.url for r in url_filter.pattern_verdicts(table, (rule,)).collect()} == want, rule.name
+
+
 def test_empty_tables(spark, empty):
     labels, items = spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([], "item_id long, text string")
     assert run_index.remove_repeated_strings(empty).count() == 0

@@ -18,6 +18,7 @@ import math
 import random
 import re
 import string
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,12 +31,13 @@ from .common import table, whole_text
 
 SHAPE = re.compile(
     r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)"
-    r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-][A-Za-z0-9+/_.-]{11,}={0,2}",
+    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-][A-Za-z0-9+/_.-]{11,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?",
     re.S,
 )
-ASSIGNED = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b[\"']?\s*[:=]\s*[\"']?([^\s\"']{6,})")
+ASSIGNED = re.compile(r"(?i)(?<![^\W_])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b[\"']?\s*[:=]\s*[\"']?((?:(?!&[\w.-]+=)[^\s\"']){6,})")
 DIGIT = re.compile("[0-9]")
-SECRET_WORDS = frozenset("password passwd pwd secret token apikey api_key key access credential credentials auth bearer private aws login".split())
+RUN = re.compile(r"(.)\1*", re.S)
+SECRET_WORDS = frozenset("password passwd pwd secret token apikey api_key key access credential credentials auth bearer private aws login signature".split())
 PLAIN_WORDS = frozenset("commit sha sha1 sha256 md5 checksum digest hash uuid guid revision version build id ref etag integrity example sample placeholder dummy test image data page order isbn doi phone date".split())
 #: A small dictionary; a caller can pass another.
 DICTIONARY = frozenset(
@@ -71,27 +73,21 @@ class Describer:
     words: frozenset[str] = DICTIONARY
 
     def __call__(self, value: str, before: str, after: str, path: str) -> list[float]:
-        short = value[:200]  # features of shape; the finding itself stays whole
-        n = len(short)
-        counts: dict[str, int] = {}
-        for c in short:
-            counts[c] = counts.get(c, 0) + 1
-        kinds = [kind_of(c) for c in short]
+        n = len(value)
+        counts = Counter(value)
+        kinds = [kind_of(c) for c in value]
         share = [kinds.count(k) / n for k in range(4)]
         changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1)
-        low = short.lower()
+        low = value.lower()
         steps = [self.transitions.get(low[k : k + 2], -9.0) for k in range(n - 1)]
-        run = best = 1
-        for a, b in zip(short, short[1:], strict=False):
-            run = run + 1 if a == b else 1
-            best = max(best, run)
-        near = re.findall(r"[a-z0-9_]+", before.lower())[-4:]
-        following = re.findall(r"[a-z0-9_]+", after.lower())[:2]
+        best = max(m.end() - m.start() for m in RUN.finditer(value))
+        near = re.findall(r"[a-z0-9]+", before.lower())[-4:]  # the parts of NAME_OF_KEY one by one
+        following = re.findall(r"[a-z0-9]+", after.lower())[:2]
         names = set(re.split(r"[^a-z0-9]+", low))
         lead = before.rstrip("\"' ")
         return [
             min(len(value), 500), -sum(v / n * math.log2(v / n) for v in counts.values()), share[2], share[1], share[0], share[3], changes, sum(steps) / max(1, len(steps)),
-            sum(c in "0123456789abcdef" for c in short) / n, covered(short, self.words), short.count("/"), short.count("."), best, float(lead.endswith(("=", ":"))), float(before.endswith(("\"", "'"))),
+            sum(counts[c] for c in "0123456789abcdef") / n, covered(value, self.words), value.count("/"), value.count("."), best, float(lead.endswith(("=", ":"))), float(before.endswith(("\"", "'"))),
             float(bool(near) and near[-1] in SECRET_WORDS), float(bool(near) and near[-1] in PLAIN_WORDS), float(any(w in SECRET_WORDS for w in (*near, *following)) or bool(names & SECRET_WORDS)), float(any(w in PLAIN_WORDS for w in (*near, *following))),
             float(bool(PREFIX.match(value))), float(bool(re.search(r"test|example|sample|mock|fixture", path.lower()))), 1 - len(counts) / n,
         ]
@@ -119,7 +115,7 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str
         path = r.choice(["src/app/config.py", "notes/readme.txt", "src7", "docs/guide.md", "web/page.html", "tests/fixture_sample.json"])
         before, after, secret = filler(4) + " ", " " + filler(3), r.random() < 0.5
         if secret:
-            form = r.randrange(8)
+            form = r.randrange(10)
             if form < 2:
                 value = "AKIA" + some(string.ascii_uppercase + string.digits, 16)
             elif form == 2:
@@ -132,10 +128,19 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str
                 value, before = some(b64, 40), before + r.choice(["aws secret ", "secret key = ", "private key: "])
             elif form == 6:
                 value = r.choice(["xoxb-", "xoxp-", "sk_live_", "AIza"]) + some(alnum, 24, 40)
+            elif form == 7:
+                value, before = r.choice([
+                    ("ghp_" + some(alnum, 36), "GITHUB_TOKEN="), ("AKIA" + some(string.ascii_uppercase + string.digits, 16), r.choice(["AWS_ACCESS_KEY_ID=", "key="])), (some(b64, 40), "AWS_SECRET_ACCESS_KEY="),
+                    (some(alnum, 8, 24), r.choice(["DB_PASSWORD=", "password="])), (some(r.choice([hexa, alnum]), 24, 64), r.choice(["client_secret=", "API_KEY=", "auth-token="])), (some(hexa, 64), "?X-Amz-Signature="),
+                ])
+                before = filler(4) + r.choice([" ", " export ", "\n", " https://host/a?b=c&"]) + before
+            elif form == 8:
+                kind = r.choice(["", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "]) + "PRIVATE KEY-----"
+                value = f"-----BEGIN {kind}\n" + "".join(some(b64, 64) + "\n" for _ in range(r.randint(1, 50))) + some(b64, 4, 63) + f"\n-----END {kind}"
             else:
                 value = "eyJ" + some(alnum, 20, 40) + "." + some(alnum, 30, 60) + "." + some(alnum, 30, 43)
         else:
-            form = r.randrange(9)
+            form = r.randrange(11)
             if form == 0:
                 value, before = some(hexa, 40), before + r.choice(["commit ", "revision ", "sha1 "])
             elif form == 1:
@@ -152,6 +157,15 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str
                 value = some(string.digits, 12, 20)
             elif form == 7:
                 value = "".join(w.capitalize() for w in r.choices(words, k=r.randint(2, 5))) + str(r.randint(1, 99))
+            elif form == 8:
+                value, before = r.choice([
+                    (some(hexa, 40), r.choice(["COMMIT_SHA=", "GIT_COMMIT=", "revision="])), (some(hexa, 32), r.choice(["md5=", "ETAG=", "checksum="])), ("-".join(some(hexa, k) for k in (8, 4, 4, 4, 12)), r.choice(["id=", "request_id=", "?uuid="])),
+                    (f"20{some(string.digits, 6)}T{some(string.digits, 6)}Z", r.choice(["date=", "&X-Amz-Date="])), ("/" + "/".join(r.choices(words, k=r.randint(2, 5))) + f"/{r.randint(1, 999)}", r.choice(["PATH=", "HOME=", "file="])),
+                    ("-".join(r.choices(words, k=r.randint(2, 4))) + f"-v{r.randint(1, 9)}.{r.randint(0, 30)}", r.choice(["VERSION=", "image=", "?page="])), ("AWS4-HMAC-SHA256", "?X-Amz-Algorithm="), (some(string.digits, 12, 20), r.choice(["phone=", "order=", "utm_id="])),
+                ])
+                before = filler(4) + r.choice([" ", " export ", "\n", " https://host/a?b=c&"]) + before
+            elif form == 9:
+                value, before = r.choice([("/".join(r.choices(words, k=r.randint(20, 120))) + f"/{r.randint(1, 999)}", before), ("iVBORw0KGgo" + some(b64, 200, 3000), before + "data:image/png;base64,")])
             else:
                 value = some("etaoinshrdlu", 6, 14) + r.choice(["_", "-"]) + some("etaoinshrdlu", 5, 10) + str(r.randint(1, 2024))
         if before.endswith(("\"", "'")):

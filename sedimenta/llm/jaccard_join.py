@@ -86,7 +86,7 @@ def describe(k: int):
                 sid += 1
             out = pd.DataFrame(rows, columns=["sid", "doc_id", "n", "sig1", "sig2", "packed"])
             out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield out.assign(content=batch["content"].to_numpy()) if "content" in batch else out
 
     return run
 
@@ -288,13 +288,18 @@ def short_pairs(left: DataFrame, num: int, den: int) -> DataFrame:
     return a.join(b, ["list", "token"]).where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & ~(F.col("g_a") & F.col("g_b")) & able).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, hot: int = 32) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: components of the links between texts whose k-word shingle
-    sets share at least num / den of their union."""
+def content_key() -> Column:
+    """128 bits of a hash of the text."""
+    return F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16)
+
+
+def members(docs: DataFrame, k: int, num: int, den: int, hot: int = 32, content: bool = False) -> DataFrame:
+    """doc_id, n, component (a number) of every row, with its ``content_key`` if wanted."""
     size = text_bytes(docs)
     buckets = max(8, size // 8_000_000)
-    rows = documents_of(docs).withColumn("text", F.col("text").cast("binary"))
-    sets = stored(rows.mapInPandas(describe(k), SETS), "sets")
+    own = {"content": content_key()} if content else {}
+    rows = documents_of(docs).withColumns({**own, "text": F.col("text").cast("binary")})
+    sets = stored(rows.mapInPandas(describe(k), SETS + ", content binary" * content), "sets")
     full = sets.where("n > 0")
     heads = stored(full.groupBy("n", "sig1", "sig2").agg(F.min("sid").alias("node"), F.count("*").alias("copies")), "heads")
     texts = sets.select("sid", "n", "packed").join(heads.select(F.col("node").alias("sid")), "sid", "left_semi")
@@ -327,16 +332,32 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     everything = stored(connected(found.unionByName(again)), "components") if not again.isEmpty() else first
     nodes = full.join(heads, ["n", "sig1", "sig2"]).select("sid", "node")
     of = nodes.join(everything, "node", "left").select("sid", F.coalesce("component", "node").alias("component"))
-    member = sets.select("sid", "doc_id", "n").join(of, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    return sets.select("sid", "doc_id", "n", *own).join(of, "sid", "left").withColumn("component", F.coalesce("component", "sid")).drop("sid")
+
+
+def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, hot: int = 32) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row: components of the links between texts whose k-word shingle
+    sets share at least num / den of their union."""
+    member = members(docs, k, num, den, hot)
     names = member.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return member.join(names, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The row of ``docs``, unchanged, with the smallest doc_id of each component; rows with one doc_id count once."""
-    found = jaccard_components(docs, k, num, den)
-    first = stored(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct(), "firsts")
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").dropDuplicates(["doc_id"])
+    """One row of ``docs``, unchanged, of each component: that with the smallest doc_id (null ids last), then content key.
+
+    Rows are told apart by doc_id and text, not by doc_id alone; of rows equal in both, the first by the other
+    columns stays. Rows without a word are components of their own and all stay.
+    """
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "content")).alias("least")
+    first = members(docs, k, num, den, content=True).where("n > 0").groupBy("component").agg(least)
+    first = stored(first.select(F.col("least.doc_id").alias("first_id"), F.col("least.content").alias("first_content")), "firsts")
+    worded = F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False))
+    met = docs.where(worded).select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), content_key().alias("content"))
+    met = met.join(first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("content") == F.col("first_content")), "left_semi")
+    others = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    one = met.groupBy("id", "content").agg(F.min_by("row", F.to_json(F.struct(*others)) if others else F.lit("")).alias("row"))
+    return one.select("row.*").unionByName(docs.where(~worded))
 
 
 def op4_jaccard_join(spark, sf_dir):

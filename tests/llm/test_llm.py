@@ -152,6 +152,19 @@ def test_one_of_each(docs):
     assert len(kept) == len(set(kept)) and {0, 1, 2, 7} <= set(kept) and 8 not in kept
 
 
+def test_one_of_each_tells_rows_apart_by_text(spark):
+    r = random.Random(6)
+    text = lambda: " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(60))
+    own, near = [text() for _ in range(6)], text()
+    rows = [(None, own[0], "a"), (None, own[1], "a"), (None, own[2], "a"), (4, own[3], "a"), (4, own[4], "a"), (5, own[5], "b"), (5, own[5], "a")]  # one id with two texts, one text twice
+    rows += [(None, None, "a"), (None, None, "a"), (None, " \n", "a"), (7, "", "a"), (7, "", "a")]
+    rows += [(None, near, "a"), (9, near + " end", "a"), (8, near.upper(), "a"), (4, near + " more", "a")]
+    want = [x for x in rows if x != (5, own[5], "b")][:11] + [rows[-1]]
+    for parts in (1, 5):
+        got = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts))
+        assert rows_of(got, "doc_id", "text", "source") == sorted(want, key=repr)
+
+
 def test_base_rules(docs):
     got = {}
     for r in robust_outliers.reject_outliers(docs).collect():

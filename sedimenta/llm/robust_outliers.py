@@ -25,7 +25,8 @@ from .common import SPACES, let, stored, table, whole_text, words_of
 SYMBOLS = "#*$%&|<>"
 STATISTICS = ("x1", "x2", "x3", "x4")
 #: Of x1 to x4: log mean word length, symbols a word, repeated lines (root of the share), words in repeated windows (root of the share).
-FLOORS = (0.08, 0.05, 0.3, 0.25)
+#: The last two let each statistic reject by itself: from a centre of 0 and no spread, over 30 % repeated lines or 18 % words in repeated windows.
+FLOORS = (0.08, 0.05, 0.11, 0.085)
 #: Makes the spread of the core 75 % of normal rows in 4 dimensions that of all of them: 0.75 / P(chi2_6 <= q), q the 75 % point of chi2_4.
 CORE, CONSISTENCY = 0.75, 1.495
 #: 97.5 % point of chi2_4, for the reweighting step; and the cutoff of the verdict.

@@ -189,6 +189,18 @@ def test_outliers_go_and_the_rest_stays(spark):
     assert all(got[k] == (k % 10 != 0) for k in got)
 
 
+def test_repeats_alone_make_an_outlier(spark):
+    r = random.Random(5)
+    vocabulary = ["".join(r.choices("abcdefghij", k=r.randint(2, 8))) for _ in range(6000)]
+    words = lambda n: " ".join(r.choices(vocabulary, k=n))
+    rows = [(k, "\n".join(words(10) for _ in range(r.randint(8, 30)))) for k in range(200)]
+    rows += [(200 + k, words(150) + "\nab" * 40) for k in range(3)] + [(300 + k, " ".join([words(110), *[words(10)] * 5, *[words(10)] * 5])) for k in range(3)]
+    rows += [(400 + k, words(300) + "\nab cd" * 30) for k in range(3)]
+    got = {x.doc_id: x for x in robust_outliers.reject_outliers(spark.createDataFrame([(*x, "en", "s") for x in rows], "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(x.base_failed for x in got.values())
+    assert all(x.kept == (x.doc_id < 200) for x in got.values())
+
+
 def test_contained_items(spark, docs):
     texts = {d: t or "" for d, t in DOCS if d is not None}
     items = [(1, texts[62]), (2, " ".join(texts[10].split()[100:106])), (3, None), (4, "two words"), (5, "never seen in any of the documents at all"), (6, " ".join(texts[10].split()[500:560]))]

@@ -25,7 +25,7 @@ from .common import stored, text_bytes
 
 CHUNK_BYTES = 4_000_000
 NO_ID = np.iinfo(np.int64).max
-CHUNK = "chunk long, ids binary, ends binary, payload binary"
+CHUNK = "chunk long, ids binary, ends binary, payload binary, notes binary"
 SENT = "bucket long, chunk long, hashes binary, extra binary"
 ANSWER = "chunk long, bucket long, level int, codes binary"
 
@@ -48,12 +48,14 @@ def unpack(b: bytes, dtype: str) -> np.ndarray:
 
 
 class Chunk:
-    """Whole documents: ids (``NO_ID``: null), end offsets and the UTF-8 bytes of all texts."""
+    """Whole documents: ids (``NO_ID``: null), end offsets, the UTF-8 bytes of all texts (where they were read) and
+    the notes made of them when the chunk was written."""
 
-    def __init__(self, ids: bytes, ends: bytes, payload: bytes) -> None:
+    def __init__(self, ids: bytes, ends: bytes, payload: bytes | None, notes: bytes | None = None) -> None:
         self.ids = np.frombuffer(ids, "<i8")
         self.ends = np.frombuffer(ends, "<i8")
-        self.data = zstandard.ZstdDecompressor().decompress(payload)
+        self.data = zstandard.ZstdDecompressor().decompress(payload) if payload is not None else b""
+        self.notes = notes
 
     @property
     def starts(self) -> np.ndarray:
@@ -71,7 +73,7 @@ class Chunk:
         return out
 
 
-def _chunks(limit: int):
+def _chunks(limit: int, note: Callable[[np.ndarray, list[bytes]], bytes] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k = TaskContext.get().partitionId(), 0
         ids, texts, held = [], [], 0
@@ -79,10 +81,10 @@ def _chunks(limit: int):
 
         def row():
             nonlocal ids, texts, held, k
-            ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+            ends, own = np.cumsum([len(t) for t in texts], dtype=np.int64), np.array(ids, "<i8")
             out = pa.RecordBatch.from_arrays(
-                [pa.array([part << 32 | k], pa.int64()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([ends.tobytes()], pa.binary()), pa.array([press.compress(b"".join(texts))], pa.binary())],
-                names=["chunk", "ids", "ends", "payload"],
+                [pa.array([part << 32 | k], pa.int64()), *(pa.array([x], pa.binary()) for x in (own.tobytes(), ends.tobytes(), press.compress(b"".join(texts)), note(own, texts) if note else None))],
+                names=["chunk", "ids", "ends", "payload", "notes"],
             )
             ids, texts, held, k = [], [], 0, k + 1
             return out
@@ -101,22 +103,26 @@ def _chunks(limit: int):
 
 
 class ChunkTable:
-    """The bucketed table of chunks, and passes over it."""
+    """The bucketed table of chunks, and passes over it.
 
-    def __init__(self, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> None:
+    ``note(ids, texts)`` makes of a chunk, once, what later passes need again and again; passes that need no more leave
+    the texts unread.
+    """
+
+    def __init__(self, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, note: Callable[[np.ndarray, list[bytes]], bytes] | None = None) -> None:
         self.spark: SparkSession = docs.sparkSession
         size = text_bytes(docs)
         self.chunks = max(1, -(-size // chunk_bytes))
         self.buckets = max(8, self.chunks // 2)
         self.files = max(4, self.chunks // 4)
         self.name = f"chunks_{uuid.uuid4().hex}"
-        rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_chunks(chunk_bytes), CHUNK)
+        rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_chunks(chunk_bytes, note), CHUNK)
         rows.write.format("parquet").option("compression", "none").bucketBy(self.files, "chunk").saveAsTable(self.name)
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
-    def each(self, fn: Callable[[int, Chunk, dict], Iterator[pd.DataFrame]], schema: str, answers: DataFrame | None = None) -> DataFrame:
+    def each(self, fn: Callable[[int, Chunk, dict], Iterator[pd.DataFrame]], schema: str, answers: DataFrame | None = None, texts: bool = True) -> DataFrame:
         """Runs ``fn(chunk, Chunk, answers by level)`` over all chunks; answers are joined by chunk, which moves only them."""
         rows = self.spark.table(self.name)
         if answers is not None:
@@ -131,9 +137,10 @@ class ChunkTable:
                     by_level: dict[int, list] = {}
                     for x in r.told if r.told is not None else ():
                         by_level.setdefault(x["level"], []).append((x["bucket"], x["codes"]))
-                    yield from fn(r.chunk, Chunk(r.ids, r.ends, r.payload), by_level)
+                    yield from fn(r.chunk, Chunk(r.ids, r.ends, r.payload, r.notes), by_level)
 
-        return rows.select("chunk", "ids", "ends", "payload", "told").mapInPandas(run, schema)
+        payload = F.col("payload") if texts else F.lit(None).cast("binary").alias("payload")
+        return rows.select("chunk", "ids", "ends", payload, "notes", "told").mapInPandas(run, schema)
 
     def decide(self, sent: DataFrame, level: int, fn: Callable[[list[np.ndarray], list[bytes]], list[np.ndarray]]) -> DataFrame:
         """Lets ``fn(hashes of each chunk, extras of each chunk)`` answer a bucket with codes of each chunk's hashes; written, since small."""

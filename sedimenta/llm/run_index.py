@@ -1,19 +1,22 @@
 """Substring deduplication by bytes: run-length index.
 
 A string of ``length`` bytes is repeated if it starts at two places. Every such string holds an anchor, the
-place where a 16-byte hash is smallest in it, and equal strings hold equal anchors; so neighbouring strings
+place where the hash of ``gram`` bytes is smallest in it, and equal strings hold equal anchors; so neighbouring strings
 with one anchor travel together, as one context, to the bucket of that anchor's hash. Only contexts whose
-anchor occurs twice travel. A bucket merges equal contexts (their number alone settles them) and builds a
-run-compressed Burrows-Wheeler transform of the others with sampled run ends: the common prefix with the
-neighbouring suffix is read off the text only at the samples, and streamed from there over all positions,
-since inside a run it grows by one with each step to the left. Positions whose matching statistic reaches
-``length`` are marked.
+anchor occurs twice travel. A bucket merges contexts that are equal byte by byte and builds a run-compressed
+Burrows-Wheeler transform of what is left - of a context that several places hold, two copies - with samples at
+the ends of its runs. Matching statistics are streamed from the samples: inside a run the common prefix with the
+neighbouring suffix grows by one with each step to the left, so it is read off the text at the samples alone.
+Positions whose statistic reaches ``length`` are marked; nothing else decides.
 
-An anchor with more than ``group`` different contexts is not gathered in a bucket: its strings are compared
-one by one, by hash, with all copies merged before the shuffle. Matches never cross documents.
+An anchor with more than ``group`` different contexts (borders of a passage that very many documents hold) is too
+much for one index. There its strings travel one by one, as hashes of 128 bits in which all copies of a chunk are
+merged, and the number of copies decides. Matches never cross documents.
+
+The anchors of a chunk are found once, when it is written, and kept beside its texts.
 
 Defined results: null text is empty; shorter texts lose nothing; overlapping occurrences in one document
-count; equal rows are repeats of each other; everything is judged on the input.
+count; equal rows are repeats of each other; everything is judged on the input; NUL bytes are bytes like any others.
 """
 
 from __future__ import annotations
@@ -29,10 +32,11 @@ from pyspark.sql import DataFrame
 from .chunks import SENT, Chunk, ChunkTable, bucketed, look_up, mix, pack, received, send, unpack
 from .common import documents_of, stored, table
 
-GRAM = 16
 #: Starts in one context at most; only periodic text has more with one anchor.
 RUN = 512
-K1, K2, POWER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 0x5851F42D4C957F2D
+#: Bytes handled at a time where whole chunks would not stay in the cache.
+BLOCK = 1 << 17
+K1, K2, K3, POWER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), 0x5851F42D4C957F2D
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_text string, kept_sha256 string"
 INDEXED = "bucket long, chunk long, anchors binary, keys binary, lengths binary, times binary, blob binary"
 
@@ -57,75 +61,127 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _POWERS = [powers(1)]
 
 
+def gram_of(length: int) -> int:
+    """Bytes of an anchor: the more, the fewer chance repeats; the fewer, the longer the contexts."""
+    if length < 16:
+        raise ValueError("strings of fewer than 16 bytes have no anchor")
+    return max(g for g in (8, 16, 32, 64) if 2 * g <= length)
+
+
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of the ``gram`` bytes from each position on (shorter by gram - 1), never 0."""
+    out = np.empty(max(0, len(data) - gram + 1), np.uint64)
+    for a in range(0, len(out), BLOCK):
+        b = min(a + BLOCK, len(out))
+        h, size = eights(data[a : b + gram - 1])[: b - a + gram - 8], 8
+        while size < gram:
+            x = h[:-size] * K1
+            x += h[size:]
+            h, size = x, 2 * size
+        h = h ^ (h >> np.uint64(32))
+        h *= K2
+        h ^= h >> np.uint64(29)
+        h |= np.uint64(1)
+        out[a:b] = h
+    return out
+
+
 def sliding(a: np.ndarray, width: int, pick) -> np.ndarray:
     """pick over a[i : i + width] for each i (shorter by width - 1)."""
-    size = 1
-    while 2 * size <= width:
-        a = pick(a[:-size], a[size:]) if len(a) > size else a[:0]
-        size *= 2
-    rest = width - size
-    return a if not rest else pick(a[:-rest], a[rest:]) if len(a) > rest else a[:0]
+    n = max(0, len(a) - width + 1)
+    out = np.empty(n, a.dtype)
+    for at in range(0, n, BLOCK):
+        x, size = a[at : min(at + BLOCK, n) + width - 1], 1
+        while 2 * size <= width:
+            x, size = pick(x[:-size], x[size:]), 2 * size
+        rest = width - size
+        out[at : at + BLOCK] = pick(x[:-rest], x[rest:]) if rest else x
+    return out
 
 
-class Contexts:
-    """Runs of string starts with one anchor in a chunk."""
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... count times, for each."""
+    total = int(count.sum())
+    return np.repeat(first - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(total) if total else np.zeros(0, np.int64)
 
-    def __init__(self, chunk: Chunk, length: int) -> None:
-        self.data = np.frombuffer(chunk.data, np.uint8)
-        n, self.length, width = len(self.data), length, length - GRAM + 1
-        self.first = self.count = np.zeros(0, np.int64)
-        self.anchor = self.key = self.unique = np.zeros(0, np.uint64)
-        self.many = np.zeros(0, bool)
-        if n < length:
-            return
-        e = eights(self.data)
-        h = e[: n - GRAM + 1] * K1
-        h += e[8 : 8 + n - GRAM + 1]
-        h ^= h >> np.uint64(32)
-        h *= K2
-        h ^= h >> np.uint64(29)
+
+def note_contexts(length: int):
+    """What a chunk keeps of its contexts: first start, starts, anchor and content hash of each, and anchors that occur in several places."""
+
+    def run(_: np.ndarray, texts: list[bytes]) -> bytes:
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        ends, gram = np.cumsum([len(t) for t in texts]), gram_of(length)
+        width = length - gram + 1
+        if len(data) < length:
+            return pack(np.zeros(2, "<i8"))
+        h = gram_hashes(data, gram)
         least = sliding(h, width, np.minimum)  # one for each of the n - length + 1 starts
-        sizes = np.diff(np.r_[0, chunk.ends])
-        left = np.repeat(chunk.ends, sizes)[: len(least)] - np.arange(len(least))
-        inside = left >= length
-        least = np.where(inside, least, np.uint64(0))
-        held = sliding(np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)]), width, np.maximum)
-        self.unique, times = np.unique(h[(h == held[: len(h)]) & (h > 0)], return_counts=True)
-        self.many = times > 1
-        starts = np.flatnonzero(inside & (least > 0))
-        if not len(starts):
-            return
+        for end in ends.tolist():
+            least[max(0, end - length + 1) : end] = 0  # these would cross the end of a document
+        pad = np.zeros(width - 1, np.uint64)
+        held = sliding(np.concatenate([pad, least, pad]), width, np.maximum)
+        unique, times = np.unique(h[h == held[: len(h)]], return_counts=True)
+        starts = np.flatnonzero(least)
         value = least[starts]
-        new = np.r_[True, (value[1:] != value[:-1]) | (starts[1:] != starts[:-1] + 1)]
+        new = np.r_[True, (value[1:] != value[:-1]) | (starts[1:] != starts[:-1] + 1)][: len(starts)]
         at = np.flatnonzero(new)
         long = np.diff(np.r_[at, len(starts)])
-        if (long > RUN).any():
-            at = np.concatenate([np.arange(a, a + c, RUN) for a, c in zip(at, long, strict=True)])
+        over = np.flatnonzero(long > RUN)
+        if len(over):
+            at = np.sort(np.concatenate([at, *(np.arange(at[k] + RUN, at[k] + long[k], RUN) for k in over)]))
             long = np.diff(np.r_[at, len(starts)])
-        self.first, self.count, self.anchor = starts[at], long, value[at]
-        if len(_POWERS[0][0]) < n + 1:
-            _POWERS[0] = powers(n + n // 4 + 1)
-        up, self.down = _POWERS[0]
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)])])
-        self.key = mix((self.sums[self.first + self.count - 1 + width] - self.sums[self.first]) * self.down[self.first] + self.count.astype(np.uint64))
+        first = starts[at]
+        if len(_POWERS[0][0]) < len(data) + 1:
+            _POWERS[0] = powers(len(data) + len(data) // 4 + 1)
+        up, down = _POWERS[0]
+        sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * up[: len(h)], out=sums[1:])
+        key = mix((sums[first + long - 1 + width] - sums[first]) * down[first] + long.astype(np.uint64))
+        many = unique[times > 1]
+        parts = (np.array([len(first), len(many)], "<i8"), first.astype("<i4"), long.astype("<i4"), value[at].astype("<u8"), key.astype("<u8"), many.astype("<u8"))
+        return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in parts))
+
+    return run
+
+
+class Contexts:
+    """Runs of string starts with one anchor in a chunk, as noted."""
+
+    def __init__(self, chunk: Chunk, length: int) -> None:
+        raw = zstandard.ZstdDecompressor().decompress(chunk.notes)
+        n, m = np.frombuffer(raw[:16], "<i8").tolist()
+        self.length, at = length, 16
+        read = []
+        for kind, size in (("<i4", n), ("<i4", n), ("<u8", n), ("<u8", n), ("<u8", m)):
+            read.append(np.frombuffer(raw, kind, size, at))
+            at += read[-1].nbytes
+        self.first, self.count, self.anchor, self.key, many = read[0].astype(np.int64), read[1].astype(np.int64), *read[2:]
+        self.data = np.frombuffer(chunk.data, np.uint8)
+        self.unique = np.unique(self.anchor)
+        self.many = np.isin(self.unique, many)
 
     def strings(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts in these runs and the hash of the string at each."""
-        at = spread(self.first[runs], self.count[runs])
-        return at, mix((self.sums[at + self.length - GRAM + 1] - self.sums[at]) * self.down[at])
+        """Starts in these runs and 128 bits of hash (fields a, b) of the string at each."""
+        sizes, gram = self.count[runs] + self.length - 1, gram_of(self.length)
+        h = gram_hashes(self.data[spread(self.first[runs], sizes)], gram)
+        inner = spread(np.r_[0, np.cumsum(sizes)[:-1]], self.count[runs])
+        up, down = powers(len(h) + 1)
+        both = np.zeros(len(inner), [("a", "u8"), ("b", "u8")])
+        for name, x in (("a", h), ("b", mix(h * K3))):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * up[: len(x)])])
+            both[name] = mix((sums[inner + self.length - gram + 1] - sums[inner]) * down[inner])
+        return spread(self.first[runs], self.count[runs]), both
 
     def different(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of these runs: one of each content, ordered by anchor; how often each occurs; which of them each run is."""
-        both = np.zeros(len(runs), [("a", "u8"), ("k", "u8")])
-        both["a"], both["k"] = self.anchor[runs], self.key[runs]
-        _, at, same, times = np.unique(both, return_index=True, return_inverse=True, return_counts=True)
-        return runs[at], times, same
+        """Of these runs: one of each content, ordered by anchor; how often each occurs; which of them each run is.
 
-
-def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """first, first + 1, ... count times, for each."""
-    total = int(count.sum())
-    return np.repeat(first - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(total) if total else np.zeros(0, np.int64)
+        Contents are told apart by 128 bits, those of anchor and content."""
+        order = np.lexsort((self.key[runs], self.anchor[runs]))
+        a, k = self.anchor[runs][order], self.key[runs][order]
+        new = np.r_[True, (a[1:] != a[:-1]) | (k[1:] != k[:-1])][: len(runs)]
+        same = np.empty(len(runs), np.int64)
+        same[order] = np.cumsum(new) - 1
+        return runs[order[new]], np.diff(np.r_[np.flatnonzero(new), len(runs)]), same
 
 
 def ask_anchors(length: int, buckets: int):
@@ -188,53 +244,64 @@ def send_strings(length: int, buckets: int):
         if len(runs):
             _, h = c.strings(runs)
             unique, times = np.unique(h, return_counts=True)
-            yield send(chunk, unique, buckets, lambda p: pack((times[p] > 1).astype(np.uint8)))
+            yield send(chunk, unique["a"], buckets, lambda p: pack(np.r_[unique["b"][p], (times[p] > 1).astype(np.uint64)].astype("<u8")))
 
     return run
 
 
+def decide_strings(hashes: list[np.ndarray], extras: list[bytes]) -> list[np.ndarray]:
+    """1 for strings (by both their hashes) that several chunks hold, or one holds several times."""
+    told = [unpack(x, "<u8").reshape(2, -1) for x in extras]
+    both = np.zeros(sum(map(len, hashes)), [("a", "u8"), ("b", "u8")])
+    both["a"], both["b"] = np.concatenate(hashes), np.concatenate([t[0] for t in told])
+    _, same, times = np.unique(both, return_inverse=True, return_counts=True)
+    many = (times > 1) | (np.bincount(same, np.concatenate([t[1] for t in told])) > 0)
+    return np.split(many[same], np.cumsum([len(h) for h in hashes])[:-1])
+
+
 class RunLengthIndex:
     """Run-compressed Burrows-Wheeler transform of some strings, suffixes in the order of their first ``depth`` bytes.
 
-    Kept are the runs and, at their ends, samples: the text position before the suffix and the common prefix
-    of the suffix there with its neighbours. ``statistics`` streams them to all positions.
+    Kept are the runs (``heads``, where each begins; ``lengths``; ``symbols``, 0: nothing stands before) and the
+    samples at both ends of each: the text position before the suffix there, and the common prefix of the suffix at
+    that position with its neighbours (``reach``). Suffix array and ranks are gone once it is built; ``statistics`` streams the samples to all positions.
     """
 
     def __init__(self, data: np.ndarray, sizes: np.ndarray, depth: int) -> None:
         self.n, self.depth = len(data), depth
-        self.data = data
         ends = np.cumsum(sizes)
         self.end = np.repeat(ends, sizes)
         self.eights = eights(data)
-        order = self._suffixes()
-        rank = np.empty(self.n, np.int64)
-        rank[order] = np.arange(self.n)
+        order = self._suffixes(bool(data.all()))
         before = np.r_[np.int64(0), data[:-1].astype(np.int64) + 1]
         before[ends - sizes] = 0  # nothing stands before a string's first byte
         bwt = before[order]
-        change = np.r_[True, (bwt[1:] != bwt[:-1]) | (bwt[1:] == 0)]
-        heads = np.flatnonzero(change)
-        self.runs = len(heads)
-        tails = np.r_[heads[1:], self.n] - 1
+        self.heads = np.flatnonzero(np.r_[True, (bwt[1:] != bwt[:-1]) | (bwt[1:] == 0)])
+        self.lengths = np.diff(np.r_[self.heads, self.n])
+        self.symbols = bwt[self.heads]
         sampled = np.zeros(self.n, bool)
-        for x in (order[heads], order[tails]):
+        for x in (order[self.heads], order[self.heads + self.lengths - 1]):
             sampled[x[x > 0] - 1] = True
         sampled[ends - 1] = True
         self.samples = np.flatnonzero(sampled)
+        rank = np.empty(self.n, np.int64)
+        rank[order] = np.arange(self.n)
         row = rank[self.samples]
         self.reach = np.zeros(len(self.samples), np.int64)
         for step in (-1, 1):
             there = (row + step >= 0) & (row + step < self.n)
             near = order[np.clip(row + step, 0, self.n - 1)]
             self.reach = np.maximum(self.reach, np.where(there, self._common(self.samples, near), 0))
+        del self.eights, self.last
 
-    def _suffixes(self) -> np.ndarray:
+    def _suffixes(self, no_nul: bool) -> np.ndarray:
         """Sorts suffixes by their first ``depth`` bytes, tripling the length compared; three ranks fit one key."""
         assert self.n < 2**21 - 1
-        at, left = np.arange(self.n), None
+        at = np.arange(self.n)
         left = self.end - at
-        key = self.eights >> (np.uint64(8) * np.clip(8 - left, 0, 7).astype(np.uint64)) << (np.uint64(8) * np.clip(8 - left, 0, 7).astype(np.uint64))
-        rank, size = self._ranks(key), 8
+        beyond = np.uint64(8) * np.clip(8 - left, 0, 7).astype(np.uint64)  # bits of bytes after the string's end
+        key = self.eights >> beyond << beyond
+        rank, size = self._ranks(key, None if no_nul else np.minimum(left, 8)), 8  # an end is less than a NUL byte
         while size < self.depth:
             if 3 * size <= self.depth:
                 steps = (size, 2 * size)
@@ -247,11 +314,14 @@ class RunLengthIndex:
             rank = self._ranks(key)
         return self.last
 
-    def _ranks(self, key: np.ndarray) -> np.ndarray:
-        self.last = np.argsort(key, kind="stable")
+    def _ranks(self, key: np.ndarray, then: np.ndarray | None = None) -> np.ndarray:
+        self.last = np.argsort(key, kind="stable") if then is None else np.lexsort((then, key))
         ordered = key[self.last]
+        new = np.r_[True, ordered[1:] != ordered[:-1]]
+        if then is not None:
+            new[1:] |= then[self.last][1:] != then[self.last][:-1]
         rank = np.empty(self.n, np.int64)
-        rank[self.last] = np.cumsum(np.r_[True, ordered[1:] != ordered[:-1]])
+        rank[self.last] = np.cumsum(new)
         return rank
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -280,6 +350,27 @@ class RunLengthIndex:
         return np.repeat(ends, np.diff(np.r_[-1, self.samples])) - np.arange(self.n)
 
 
+def content_numbers(anchors: np.ndarray, keys: np.ndarray, first: np.ndarray, size: np.ndarray, blob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One context of each content, ordered by anchor, and which of them each context is. Equal hashes are compared byte by byte."""
+    keys = keys.copy()
+    while True:
+        order = np.lexsort((np.arange(len(keys)), keys, anchors))
+        a, k = anchors[order], keys[order]
+        new = np.r_[True, (a[1:] != a[:-1]) | (k[1:] != k[:-1])]
+        same = np.empty(len(order), np.int64)
+        same[order] = np.cumsum(new) - 1
+        at = order[new]
+        more = order[~new]
+        other = size[more] != size[at[same[more]]]
+        like = more[~other]
+        if len(like):
+            apart = blob[spread(first[like], size[like])] != blob[spread(first[at[same[like]]], size[like])]
+            other[~other] = np.add.reduceat(apart, np.r_[0, np.cumsum(size[like])[:-1]]) > 0
+        if not other.any():
+            return at, same
+        keys[more[other]] = mix(keys[more[other]] + np.uint64(1))  # unlike what its hash says: a content of its own
+
+
 def settle(length: int, most: int):
     """Marks, for each context sent to a bucket, the starts that repeat."""
 
@@ -292,20 +383,18 @@ def settle(length: int, most: int):
         blob = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(x) for x in rows["blob"]), np.uint8)
         size = np.concatenate(sizes)
         first = np.r_[0, np.cumsum(size)[:-1]]
-        both = np.zeros(len(anchors), [("a", "u8"), ("k", "u8")])
-        both["a"], both["k"] = anchors, keys
-        _, at, same = np.unique(both, return_index=True, return_inverse=True)
-        total = np.bincount(same, times, len(at))
-        lone = np.r_[True, anchors[at][1:] != anchors[at][:-1]] & np.r_[anchors[at][1:] != anchors[at][:-1], True]
+        at, same = content_numbers(anchors, keys, first, size, blob)
+        copies = np.minimum(np.bincount(same, times, len(at)), 2).astype(np.int64)
         starts = size[at] - length + 1
         begin = np.r_[0, np.cumsum(starts)]
-        marks = np.repeat(total > 1, starts)
-        todo = np.flatnonzero(~lone | (total < 2))
-        for part in pieces(anchors[at], size[at], todo, most):
-            index = RunLengthIndex(blob[spread(first[at[part]], size[at[part]])], size[at[part]], length)
+        marks = np.zeros(int(begin[-1]), bool)
+        for part in pieces(anchors[at], size[at] * copies, most):
+            twice = np.repeat(part, copies[part])
+            index = RunLengthIndex(blob[spread(first[at[twice]], size[at[twice]])], size[at[twice]], length)
             reach = index.statistics()
-            inner = spread(np.r_[0, np.cumsum(size[at[part]])[:-1]], starts[part])
-            marks[spread(begin[part], starts[part])] |= reach[inner] >= length
+            one = np.flatnonzero(np.r_[True, twice[1:] != twice[:-1]])
+            inner = spread(np.r_[0, np.cumsum(size[at[twice]])[:-1]][one], starts[part])
+            marks[spread(begin[part], starts[part])] = reach[inner] >= length
         out, k = [], 0
         for own in sizes:
             which = same[k : k + len(own)]
@@ -316,15 +405,12 @@ def settle(length: int, most: int):
     return run
 
 
-def pieces(anchors: np.ndarray, size: np.ndarray, todo: np.ndarray, most: int) -> Iterator[np.ndarray]:
-    """Cuts ``todo`` (ordered by anchor) between anchors into pieces of about ``most`` bytes."""
-    if not len(todo):
-        return
-    new = np.r_[True, anchors[todo][1:] != anchors[todo][:-1]]
-    group = np.cumsum(new) - 1
-    weight = np.cumsum(np.bincount(group, size[todo]))
+def pieces(anchors: np.ndarray, size: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Cuts contexts (ordered by anchor) between anchors into pieces of about ``most`` bytes."""
+    group = np.cumsum(np.r_[True, anchors[1:] != anchors[:-1]]) - 1
+    weight = np.cumsum(np.bincount(group, size))
     piece = ((weight - 1) // most).astype(np.int64)[group]
-    yield from np.split(todo, np.flatnonzero(np.diff(piece)) + 1)
+    yield from np.split(np.arange(len(anchors)), np.flatnonzero(np.diff(piece)) + 1)
 
 
 def finish(length: int, buckets: int, with_text: bool):
@@ -347,8 +433,8 @@ def finish(length: int, buckets: int, with_text: bool):
         runs = np.flatnonzero(code == 2)
         if len(runs):
             at, h = c.strings(runs)
-            unique = np.unique(h)
-            at = at[look_up(unique, received(unique, buckets, told.get(2, [])), h) > 0]
+            unique, same = np.unique(h, return_inverse=True)
+            at = at[received(unique["a"], buckets, told.get(2, []))[same] > 0]
             np.add.at(edge, at, 1)
             np.add.at(edge, at + length, -1)
         gone = np.cumsum(edge[:-1]) > 0
@@ -367,21 +453,21 @@ def finish(length: int, buckets: int, with_text: bool):
     return run
 
 
-def remove_repeated_strings(docs: DataFrame, length: int = 200, group: int = 1000, index_bytes: int = 1_200_000, with_text: bool = True) -> DataFrame:
+def remove_repeated_strings(docs: DataFrame, length: int = 200, group: int = 1000, index_bytes: int = 500_000, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_text, kept_sha256: texts less each byte covered by a string of
     ``length`` bytes that starts anywhere else too.
 
-    ``group``: an anchor with more different contexts is settled string by string; ``index_bytes``: one index
-    holds about so many bytes. Neither changes the result. Cut characters show as U+FFFD in ``kept_text``.
+    ``group``: an anchor with more different contexts is settled string by string, by 128-bit hashes; ``index_bytes``: one
+    index holds about so many bytes. Both bound memory. Cut characters show as U+FFFD in ``kept_text``.
     """
-    chunks = ChunkTable(documents_of(docs))
+    if index_bytes + 2 * group * (RUN + length) >= 2**21:
+        raise ValueError("group * (512 + length) and index_bytes are more than one index can hold")
+    chunks = ChunkTable(documents_of(docs), note=note_contexts(length))
     buckets = chunks.buckets
-    answers = chunks.decide(chunks.each(ask_anchors(length, buckets), SENT), 0, decide_anchors(group))
+    answers = chunks.decide(chunks.each(ask_anchors(length, buckets), SENT, texts=False), 0, decide_anchors(group))
     sent = chunks.each(send_contexts(length, buckets), INDEXED, answers)
     indexed = stored(sent.groupBy("bucket").applyInPandas(lambda r: settle(length, index_bytes)(r), "chunk long, bucket long, level int, codes binary"), "answers1")
-    from .doubling import decide_repeated
-
-    single = chunks.decide(chunks.each(send_strings(length, buckets), SENT, answers), 2, decide_repeated)
+    single = chunks.decide(chunks.each(send_strings(length, buckets), SENT, answers), 2, decide_strings)
     result = stored(chunks.each(finish(length, buckets, with_text), RESULT, answers.unionByName(indexed).unionByName(single)), "strings")
     chunks.drop()
     return result

@@ -363,3 +363,21 @@ def test_empty_tables(spark, empty):
     assert packing.pack_with_public_tokenizer(empty).count() == 0
     assert style_tree.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+@pytest.mark.parametrize("group", [1000, 1])
+def test_strings_of_nul_bytes(spark, group):
+    r = random.Random(1)
+    some = lambda n: "".join(r.choices("abcdef \x00", k=n))
+    shared = some(150) + "\x00" * 20 + some(150)
+    texts = ["\x00" * 400, "\x00" * 400, "\x00" * 201, "x" + "\x00" * 200, some(90) + shared + some(50), shared + some(300), some(500), "ab" * 900]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    times = Counter(t[k : k + 200] for t in texts for k in range(len(t) - 199))
+    want = {}
+    for d, t in enumerate(texts):
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 199):
+            if times[t[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        want[d] = int(gone.sum())
+    assert {x.doc_id: x.n_removed for x in run_index.remove_repeated_strings(docs, group=group).collect()} == want

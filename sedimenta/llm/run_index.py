@@ -29,7 +29,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 
-from .chunks import SENT, Chunk, ChunkTable, bucketed, look_up, mix, pack, received, send, unpack
+from .chunks import SENT, Chunk, ChunkTable, bucketed, look_up, mix, pack, received, send, spread, unpack
 from .common import documents_of, stored, table
 
 #: Starts in one context at most; only periodic text has more with one anchor.
@@ -99,12 +99,6 @@ def sliding(a: np.ndarray, width: int, pick) -> np.ndarray:
     return out
 
 
-def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """first, first + 1, ... count times, for each."""
-    total = int(count.sum())
-    return np.repeat(first - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(total) if total else np.zeros(0, np.int64)
-
-
 def note_contexts(length: int):
     """What a chunk keeps of its contexts: first start, starts, anchor and content hash of each, and anchors that occur in several places."""
 

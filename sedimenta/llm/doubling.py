@@ -34,16 +34,6 @@ BOTH = [("a", "u8"), ("b", "u8")]
 RESULT = "doc_id long, n_words long, n_removed long, n_spans long, longest long, kept_text string, kept_sha256 string"
 
 
-class WordHash(dict):
-    """Hash of each word, kept for the words seen lately."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 class WordNumbers(dict):
     """Numbers words by the order in which they come."""
 

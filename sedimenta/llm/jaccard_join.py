@@ -13,6 +13,8 @@ Answer-level skipping: every set is compared with the hub it shares most lists w
 lists that are in other components, and takes over a hub's answers if they link - the links inside one component need no further comparison. Only pairs of sets that share a list, are not
 ruled out by size and position, and are in different components after that are compared one by one.
 
+Before two sets are compared, the counts of their shingles by leading bits of the hash (``shape``) are: the sum of the smaller
+counts is the most they can share, so that pairs below the threshold never bring their texts together.
 Comparison is exact on whole texts. No list, group or candidate is capped.
 
 Defined results: null or empty text has an empty set, is linked with nothing and is its own component;
@@ -26,6 +28,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -33,30 +37,77 @@ from pyspark.sql import functions as F
 
 from .chunks import mix
 from .common import documents_of, stored, table, text_bytes
-from .doubling import STEP, WordHash
+from .doubling import STEP, WordNumbers
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-SETS = "sid long, doc_id long, n long, sig1 long, sig2 long, packed binary"
+SETS = "sid long, n long, sig1 long, sig2 long, tokens binary, shape binary, packed binary"
+#: Pairs (16 bytes each) that are sent to all tasks to fetch their texts; more are joined by shuffle.
+SHARED_PAIRS = 1_000_000
 #: Members of an index list up to which its remaining pairs come from a join.
 SHORT = 16
 #: Sets up to which a shingle of the unsettled sets counts as rare; above, they are ordered by that number.
 RARE = 8
-_CACHE = WordHash()
+#: Documents described at a time.
+SLICE = 500
+
+
+def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of the k-word shingles of each text, one text after another, and how many each has."""
+    numbers, ids, counts = WordNumbers(), [], []
+    for text in texts:
+        own = text.translate(LOWER).split()
+        counts.append(len(own))
+        ids.append(np.fromiter(map(numbers.__getitem__, own), np.int32, len(own)))
+    words = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))[np.concatenate(ids)] if ids else np.zeros(0, np.uint64)
+    count = np.array(counts, np.int64)
+    size = np.minimum(k, count)  # a text of fewer words is one shingle
+    out = words[: max(0, len(words) - k + 1)].copy()
+    for j in range(1, k):
+        out *= STEP
+        out += words[j : j + len(out)]
+    out = mix(out + np.uint64(k))
+    ends = np.cumsum(count)
+    parts = []
+    for a, b, n in zip((ends - count).tolist(), ends.tolist(), size.tolist(), strict=True):
+        if n == k:
+            own = np.sort(out[a : b - k + 1])
+            parts.append(own[np.r_[True, own[1:] != own[:-1]]])
+        else:
+            own = words[a:b]
+            h = np.zeros(1 if n else 0, np.uint64)
+            for x in own:
+                h = h * STEP + x
+            parts.append(mix(h + np.uint64(n)))
+    return np.concatenate(parts) if parts else out, np.array([len(x) for x in parts], np.int64)
 
 
 def shingles(text: bytes, k: int) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles of a text."""
-    words = text.translate(LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_CACHE.__getitem__, words), np.uint64, len(words))
-    size = min(k, len(words))
-    m = len(h) - size + 1
-    out = h[:m].copy()
-    for j in range(1, size):
-        out *= STEP
-        out += h[j : j + m]
-    return np.unique(mix(out + np.uint64(size)))
+    return shingle_sets([text], k)[0]
+
+
+def shapes(tokens: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Of each set: how many of its hashes have the same leading bits, one byte for each value of so many bits that it has
+    half as many values as the set has hashes (more where a byte would not hold a number)."""
+    bits = np.ceil(np.log2(np.maximum(counts, 32) / 2)).astype(np.int64)
+    while True:
+        begin = np.r_[0, np.cumsum(1 << bits)]
+        place = np.repeat(begin[:-1], counts) + (tokens >> np.repeat(64 - bits, counts).astype(np.uint64)).astype(np.int64)
+        held = np.bincount(place, minlength=int(begin[-1]))
+        full = np.maximum.reduceat(held, begin[:-1]) > 255 if len(counts) else np.zeros(0, bool)
+        if not full.any():
+            held = held.astype(np.uint8)
+            return [held[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+        bits[full] += 1
+
+
+def shared_at_most(x: bytes, y: bytes) -> int:
+    """The most that two sets of these shapes can share."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) != len(b):
+        n = min(len(a), len(b))
+        a, b = a.reshape(n, -1).sum(1), b.reshape(n, -1).sum(1)
+    return int(np.minimum(a, b).sum())
 
 
 def overlap_needed(a, b, num: int, den: int):
@@ -68,47 +119,48 @@ def prefix_length(n, num: int, den: int):
     return n - -(-(num * n) // den) + 1
 
 
-def window_length(n: int, num: int, den: int) -> int:
+def window_length(n, num: int, den: int):
     p = prefix_length(n, num, den)
-    return min(n, p + p // 2 + 16)
+    return np.minimum(n, p + p // 2 + 16)
 
 
-def describe(k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def describe(k: int, num: int, den: int):
+    """SETS of a batch, with the columns it came with but for the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sid, press = TaskContext.get().partitionId() << 33, zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                own = shingles(text, k)
-                with np.errstate(over="ignore"):
-                    s1, s2 = mix(own).sum(dtype=np.uint64), mix(own ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64)
-                rows.append((sid, None if pd.isna(doc_id) else int(doc_id), len(own), int(np.int64(s1)) if s1 < 2**63 else int(s1) - 2**64, int(s2) if s2 < 2**63 else int(s2) - 2**64, press.compress(bytes(text)) if len(own) else None))
-                sid += 1
-            out = pd.DataFrame(rows, columns=["sid", "doc_id", "n", "sig1", "sig2", "packed"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out.assign(content=batch["content"].to_numpy()) if "content" in batch else out
+            texts = batch.column("text")
+            for at in range(0, batch.num_rows, SLICE):
+                own = [x or b"" for x in texts.slice(at, SLICE).to_pylist()]
+                token, n = shingle_sets(own, k)
+                begin = np.cumsum(n) - n
+                sig = []
+                for salt in (0, 0xA5A5A5A55A5A5A5A):
+                    sums = np.r_[np.zeros(1, np.uint64), np.cumsum(mix(token ^ np.uint64(salt)))]
+                    sig.append((sums[begin + n] - sums[begin]).view(np.int64))
+                w = window_length(n, num, den)
+                windows = [token[a:b].tobytes() for a, b in zip(begin.tolist(), (begin + w).tolist(), strict=True)]
+                packed = [press.compress(t) if m else None for t, m in zip(own, n.tolist(), strict=True)]
+                rest = [(c, batch.column(c).slice(at, SLICE)) for c in batch.schema.names if c != "text"]
+                made = zip(("sid", "n", "sig1", "sig2", "tokens", "shape", "packed"), (pa.array(np.arange(sid, sid + len(own))), pa.array(n), *map(pa.array, sig), pa.array(windows, pa.binary()), pa.array(shapes(token, n), pa.binary()), pa.array(packed, pa.binary())), strict=True)
+                sid += len(own)
+                columns = [*made, *rest]
+                yield pa.RecordBatch.from_arrays([c for _, c in columns], names=[c for c, _ in columns])
 
     return run
 
 
-def send_windows(k: int, num: int, den: int, buckets: int):
+def send_windows(buckets: int):
     """Packs (token, set, size, position) of all windows of a batch by bucket."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        opened = zstandard.ZstdDecompressor()
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 part = batch.iloc[at : at + 2000]
-                tokens, sizes, counts = [], [], []
-                for packed in part["packed"]:
-                    own = shingles(opened.decompress(packed), k)
-                    w = window_length(len(own), num, den)
-                    tokens.append(own[:w])
-                    sizes.append(len(own))
-                    counts.append(w)
-                counts = np.array(counts)
-                token = np.concatenate(tokens)
-                sid, size = np.repeat(part["sid"].to_numpy(), counts), np.repeat(np.array(sizes), counts)
+                counts = np.array([len(t) // 8 for t in part["tokens"]])
+                token = np.frombuffer(b"".join(part["tokens"]), "<u8")
+                sid, size = np.repeat(part["sid"].to_numpy(), counts), np.repeat(part["n"].to_numpy(), counts)
                 pos = np.arange(len(token)) - np.repeat(np.cumsum(counts) - counts, counts)
                 to = (mix(token) % np.uint64(buckets)).astype(np.int64)
                 order = np.lexsort((token, to))
@@ -191,7 +243,7 @@ def index_lists(kept: DataFrame, more: DataFrame, hot_tokens: DataFrame, num: in
 
 
 def compare(k: int):
-    """Shared sizes of pairs of packed texts; the last left-hand set is kept, as rows come sorted by it."""
+    """Shared sizes of pairs of packed texts; the last left-hand set is kept."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         opened = zstandard.ZstdDecompressor()
@@ -204,26 +256,40 @@ def compare(k: int):
                 own = shingles(opened.decompress(r.packed_b), k)
                 at = np.searchsorted(held, own)
                 shared.append(int(np.count_nonzero(held[np.minimum(at, len(held) - 1)] == own)))
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "shared": shared})
+            yield batch[["a", "b", "n_a", "n_b"]].assign(shared=shared)
 
     return run
 
 
-def links(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int, label: str) -> DataFrame:
-    """Of pairs (a, b): those whose sets reach the threshold."""
-    one = texts.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("packed").alias("packed_a"))
-    two = texts.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("packed").alias("packed_b"))
-    both = pairs.join(two, "b").join(one, "a")
-    found = both.select("a", "b", "packed_a", "packed_b").mapInPandas(compare(k), "a long, b long, shared long")
-    sized = found.join(one.select("a", "n_a"), "a").join(two.select("b", "n_b"), "b")
-    return stored(sized.where(F.col("shared") * (num + den) >= num * (F.col("n_a") + F.col("n_b"))).select("a", "b"), label)
+def possible(pairs: DataFrame, sets: DataFrame, num: int, den: int, label: str) -> DataFrame:
+    """Of pairs (a, b, others): those whose shapes let them reach the threshold; written."""
+    one = sets.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("shape").alias("shape_a"))
+    two = sets.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("shape").alias("shape_b"))
+    names = pairs.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            most = np.fromiter(map(shared_at_most, batch["shape_a"], batch["shape_b"]), np.int64, len(batch))
+            yield batch.loc[most >= overlap_needed(batch["n_a"].to_numpy(), batch["n_b"].to_numpy(), num, den), names]
+
+    return stored(pairs.join(two, "b").join(one, "a").mapInPandas(run, pairs.schema), label)
+
+
+def links(pairs: DataFrame, sets: DataFrame, k: int, num: int, den: int, label: str) -> DataFrame:
+    """Of pairs (a, b): those whose sets reach the threshold. Texts meet by pair, so that a set with many partners is many keys."""
+    pairs = stored(pairs.select("a", "b"), "asked")
+    asked = F.broadcast(pairs) if pairs.count() <= SHARED_PAIRS else pairs
+    one = sets.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("packed").alias("packed_a")).join(asked, "a")
+    two = sets.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("packed").alias("packed_b")).join(asked, "b")
+    found = one.join(two, ["a", "b"]).select("a", "b", "n_a", "n_b", "packed_a", "packed_b").mapInPandas(compare(k), "a long, b long, n_a long, n_b long, shared long")
+    return stored(found.where(F.col("shared") * (num + den) >= num * (F.col("n_a") + F.col("n_b"))).select("a", "b"), label)
 
 
-def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, component (smallest node reachable), by alternating large and small stars; each round is written."""
+def connected(edges: DataFrame) -> DataFrame:
+    """node, component (smallest node reachable), by alternating large and small stars until nothing changes; each round is written."""
     edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -299,36 +365,36 @@ def members(docs: DataFrame, k: int, num: int, den: int, hot: int = 32, content:
     buckets = max(8, size // 8_000_000)
     own = {"content": content_key()} if content else {}
     rows = documents_of(docs).withColumns({**own, "text": F.col("text").cast("binary")})
-    sets = stored(rows.mapInPandas(describe(k), SETS + ", content binary" * content), "sets")
+    sets = stored(rows.mapInArrow(describe(k, num, den), SETS + ", doc_id long" + ", content binary" * content), "sets")
     full = sets.where("n > 0")
     heads = stored(full.groupBy("n", "sig1", "sig2").agg(F.min("sid").alias("node"), F.count("*").alias("copies")), "heads")
-    texts = sets.select("sid", "n", "packed").join(heads.select(F.col("node").alias("sid")), "sid", "left_semi")
-    sent = texts.select("sid", "packed").mapInPandas(send_windows(k, num, den, buckets), "bucket long, tokens binary, rest binary")
+    windows = sets.select("sid", "n", "tokens").join(heads.select(F.col("node").alias("sid")), "sid", "left_semi")
+    sent = windows.mapInPandas(send_windows(buckets), "bucket long, tokens binary, rest binary")
     shared = stored(sent.groupBy("bucket").applyInPandas(lambda r: shared_tokens(hot)(r), "token long, sid long, n long, pos int, is_hot boolean"), "shared")
     kept = stored(final_prefix(shared, num, den), "prefixes")
     unsettled = kept.where("not settled").select("sid").distinct()
     hot_tokens = shared.where("is_hot").select("token").distinct().withColumn("is_hot", F.lit(True))
-    more = texts.join(unsettled, "sid", "left_semi").select("sid", "packed").mapInPandas(all_tokens(k), "token long, sid long, n long, pos int")
+    more = sets.select("sid", "packed").join(unsettled, "sid", "left_semi").mapInPandas(all_tokens(k), "token long, sid long, n long, pos int")
     prefixes = stored(index_lists(kept, more, hot_tokens, num, den), "lists")
     # every set against the hub of each of its lists; where a settled set is in a list, it is the hub
     hubs = prefixes.groupBy("list", "token").agg(F.min(F.struct("guest", "place", "sid", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
     able = (den * F.least("n", "hub.n") >= num * F.greatest("n", "hub.n")) & (F.least(F.col("n") - F.col("place"), F.col("hub.n") - F.col("hub.place")) * (num + den) >= num * (F.col("n") + F.col("hub.n")))
     pairs = prefixes.join(hubs, ["list", "token"]).where((F.col("sid") != F.col("hub.sid")) & able).groupBy(F.col("hub.sid").alias("a"), F.col("sid").alias("b")).agg(F.count("*").alias("times"))
-    pairs = stored(pairs, "hubs")
+    pairs = possible(pairs, sets, num, den, "hubs")
     # first with the hub met in most lists; then only with hubs whose answers that has not brought
     best = pairs.groupBy("b").agg(F.max(F.struct("times", (-F.col("a")).alias("less"))).alias("best")).select((-F.col("best.less")).alias("a"), "b")
-    found = links(best, texts, k, num, den, "links")
+    found = links(best, sets, k, num, den, "links")
     first = stored(connected(found), "components")
     other = unlike(pairs.join(best, ["a", "b"], "left_anti"), first)
-    found = stored(found.unionByName(links(stored(other, "hubs"), texts, k, num, den, "links")), "links")
+    found = stored(found.unionByName(links(other, sets, k, num, den, "links")), "links")
     first = stored(connected(found), "components")
     # what is left between components
     named = prefixes.join(first.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     mixed = named.groupBy("list", "token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("list", "token", "members")
     left = stored(named.join(mixed, ["list", "token"]), "mixed")
     long = left.where(F.col("members") > SHORT).groupBy(F.pmod(F.xxhash64("list", "token"), F.lit(max(32, size // 2_000_000)))).applyInPandas(lambda r: remaining_pairs(num, den)(r), "a long, b long")
-    rest = stored(short_pairs(left.where(F.col("members") <= SHORT), num, den).unionByName(long).distinct(), "rest")
-    again = links(rest, texts, k, num, den, "links")
+    rest = possible(short_pairs(left.where(F.col("members") <= SHORT), num, den).unionByName(long).distinct(), sets, num, den, "rest")
+    again = links(rest, sets, k, num, den, "links")
     everything = stored(connected(found.unionByName(again)), "components") if not again.isEmpty() else first
     nodes = full.join(heads, ["n", "sig1", "sig2"]).select("sid", "node")
     of = nodes.join(everything, "node", "left").select("sid", F.coalesce("component", "node").alias("component"))

@@ -5,8 +5,8 @@ character kinds, word lengths, repetition, hashed words), passed through a learn
 gated attention - tanh(V h) times sigmoid(U h) - and the weighted passage representation gives the score. Only
 the label of the document is used: which passages speak for it, the attention learns.
 
-The model is fitted on at most ``train_limit`` labelled documents, those with the smallest hash of doc_id;
-everything else is scored where it lies. Labels, lang, source and doc_id are no inputs.
+The model is fitted on at most ``train_limit`` labelled documents of together at most ``train_bytes`` of text, those with
+the smallest hash of doc_id that fit; all other rows are scored where they lie. Labels, lang, source and doc_id are no inputs.
 
 Defined results: null or empty text is one passage of zeros and gets a score too; equal texts get equal
 scores; a document with several labels counts by their mean (1 from one half on); rows with a null doc_id
@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,55 +156,65 @@ def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "passages": [q.astype("<f4").tobytes() for q in parts]})
 
 
-def train(docs: DataFrame, labels: DataFrame, train_limit: int = 6000) -> GatedAttention | None:
-    """Fits the model on the labelled documents that are not held out, ``train_limit`` at most."""
+def train(docs: DataFrame, labels: DataFrame, train_limit: int = 6000, train_bytes: int = 64_000_000) -> GatedAttention | None:
+    """Fits the model on labelled documents that are not held out: ``train_limit`` and ``train_bytes`` of text at most."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
     sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_limit)
     rows = documents_of(docs).withColumn("text", F.col("text").cast("binary")).join(F.broadcast(sample), "doc_id")  # train_limit rows of two numbers
-    got = sorted(rows.select("doc_id", "text", "label").mapInPandas(encoded, "doc_id long, label double, passages binary").collect(), key=lambda r: (r.doc_id, r.passages))
-    if not got:
+    sizes = rows.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("size"), F.xxhash64("doc_id").alias("rank")).collect()  # train_limit rows at most
+    chosen, held = [], 0
+    for r in sorted(sizes, key=lambda r: (r["rank"], r["doc_id"])):
+        if held + r["size"] <= train_bytes:
+            chosen.append((r["doc_id"],))
+            held += r["size"]
+    if not chosen:
         return None
+    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long")), "doc_id", "left_semi")
+    got = sorted(rows.select("doc_id", "text", "label").mapInPandas(encoded, "doc_id long, label double, passages binary").collect(), key=lambda r: (r.doc_id, r.passages))
     return fit([np.frombuffer(r.passages, "<f4").reshape(-1, FEATURES).astype(float) for r in got], np.array([r.label for r in got]))
 
 
+SCORED = "doc_id long, held_out boolean, score double, predicted int, n_passages long, top_passage long, top_weight double"
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, train_limit: int = 6000) -> DataFrame:
     """doc_id, held_out, score, predicted, n_passages, top_passage (from 0) and top_weight of the passage that counted most."""
     model = train(docs, labels, train_limit)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                x, counts = encode(list(part["text"]))
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                x, counts = encode(part.column("text").to_pylist())
                 starts = np.r_[0, np.cumsum(counts)[:-1]]
                 if shared.value is None:
-                    score, att = np.full(len(part), 0.5), np.repeat(1 / counts, counts)
+                    score, att = np.full(len(counts), 0.5), np.repeat(1 / counts, counts)
                 else:
                     f = shared.value.forward(x, counts)
                     score, att = f["score"], f["att"]
-                most = np.maximum.reduceat(att, starts)
-                top = [int(np.argmax(att[a : a + c])) for a, c in zip(starts, counts, strict=True)]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "held_out": part["held_out"].to_numpy(), "score": score, "predicted": (score >= 0.5).astype(int), "n_passages": counts, "top_passage": top, "top_weight": most})
+                top = np.array([np.argmax(att[a : a + c]) for a, c in zip(starts, counts, strict=True)], np.int64)
+                made = (score, (score >= 0.5).astype(np.int32), counts.astype(np.int64), top, np.maximum.reduceat(att, starts))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *map(pa.array, made)], names=[c.split()[0] for c in SCORED.split(", ")])
 
     rows = documents_of(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int, n_passages long, top_passage long, top_weight double")
+    return rows.mapInArrow(run, SCORED)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, train_limit: int = 6000, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, unchanged, whose text scores ``threshold`` or more."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, train_limit))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 if shared.value is not None:
-                    x, counts = encode([(t or "").encode("utf-8", "replace") for t in part["text"]])
-                    part = part[shared.value.forward(x, counts)["score"] >= threshold]
+                    x, counts = encode([(t or "").encode() for t in part.column("text").to_pylist()])
+                    part = part.filter(pa.array(shared.value.forward(x, counts)["score"] >= threshold))
                 yield part
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_attention_quality(spark, sf_dir):

@@ -2,8 +2,8 @@
 
 Bounded-space online best-fit: each task keeps a fixed number of open bins in a bitset keyed by free
 space, puts every piece into the fullest bin that still holds it, and closes the fullest bin when it
-needs room for another. The bins still open at a task's end are packed once more, as items, in groups
-of ``merge_tasks`` tasks.
+needs room for another. Pieces leave the task as they are placed; nothing but the open bins is held. The bins still
+open at a task's end are packed once more, as items, in groups of ``merge_tasks`` tasks.
 
 Defined results: null or empty text is one piece that holds the end id alone; equal documents are packed
 one by one; documents longer than ``capacity`` are cut into pieces of ``capacity`` ids, the first of
@@ -18,13 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents_of, stored, table
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, place long, fill long, open boolean, part long"
+#: A row with piece -1 is a bin left open at a task's end; its ``length`` is what it holds.
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, place long, part long"
+KINDS = (("doc_id", pa.int64()), ("piece", pa.int32()), *((n, pa.int64()) for n in ("start", "length", "ids_crc32", "bin", "place", "part")))
 
 
 class OpenBins:
@@ -32,9 +35,8 @@ class OpenBins:
 
     def __init__(self, capacity: int, limit: int) -> None:
         self.capacity, self.limit = capacity, limit
-        self.bits, self.count = 0, 0
+        self.bits, self.count, self.bins = 0, 0, 0
         self.by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
-        self.fill: list[int] = []
 
     def put(self, length: int) -> tuple[int, int]:
         """Number of the bin taken and the offset in it."""
@@ -45,13 +47,11 @@ class OpenBins:
         else:
             if self.count == self.limit:
                 self._take((self.bits & -self.bits).bit_length() - 1)  # the fullest closes
-            number, free = len(self.fill), self.capacity
-            self.fill.append(0)
-        place = self.fill[number]
-        self.fill[number] += length
+            number, free = self.bins, self.capacity
+            self.bins += 1
         if free > length:
             self._keep(number, free - length)
-        return number, place
+        return number, self.capacity - free
 
     def _take(self, free: int) -> int:
         number = self.by_free[free].pop()
@@ -65,8 +65,9 @@ class OpenBins:
         self.bits |= 1 << free
         self.count += 1
 
-    def still_open(self) -> set[int]:
-        return {n for stack in self.by_free for n in stack}
+    def still_open(self) -> list[tuple[int, int]]:
+        """Number and fill of each open bin."""
+        return [(n, self.capacity - free) for free, stack in enumerate(self.by_free) for n in stack]
 
 
 def encoder(ranks_path: str, pattern: str):
@@ -79,11 +80,18 @@ def encoder(ranks_path: str, pattern: str):
 
 
 def packed_pieces(tokenizer: str, ranks: str, pattern: str, special: dict, capacity: int, open_bins: int, end_id: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         plain, full, bins, rows = encoder(ranks, pattern), None, OpenBins(capacity, open_bins), []
+
+        def sent() -> pa.RecordBatch:
+            columns = zip(*rows, strict=True)
+            out = pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, KINDS, strict=True)], names=[n for n, _ in KINDS])
+            rows.clear()
+            return out
+
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if any(s in text for s in special):  # special tokens written in a text: as the tokenizer file has them
                     if full is None:
                         from tokenizers import Tokenizer
@@ -98,17 +106,13 @@ def packed_pieces(tokenizer: str, ranks: str, pattern: str, special: dict, capac
                 for piece in range(-(-len(ids) // capacity)):
                     length = first if piece == 0 else capacity
                     number, place = bins.put(length)
-                    rows.append((doc_id, piece, at, length, zlib.crc32(ids[at : at + length].tobytes()), number, place))
+                    rows.append((doc_id, piece, at, length, zlib.crc32(ids[at : at + length].tobytes()), part << 40 | number, place, part))
                     at += length
+                if len(rows) >= 20_000:
+                    yield sent()
+        rows += [(None, -1, 0, fill, 0, part << 40 | number, 0, part) for number, fill in bins.still_open()]
         if rows:
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "place"])
-            left = bins.still_open()
-            out["fill"] = np.array(bins.fill, np.int64)[out["bin"].to_numpy()]
-            out["open"] = out["bin"].isin(left)
-            out["bin"] += part << 40
-            out["part"] = part
-            for k in range(0, len(out), 20_000):
-                yield out.iloc[k : k + 20_000]
+            yield sent()
 
     return run
 
@@ -138,8 +142,9 @@ def pack_documents(
     several times faster. Texts that spell a special token go through ``tokenizer`` itself.
     """
     run = packed_pieces(tokenizer, ranks, pattern, dict.fromkeys(special), capacity, open_bins, end_id)
-    pieces = stored(documents_of(docs).mapInPandas(run, PIECES), "packing")
-    left = pieces.where("open").select((F.col("part") / merge_tasks).cast("long").alias("grp"), "bin", "fill").distinct()
+    rows = stored(documents_of(docs).mapInArrow(run, PIECES), "packing")
+    pieces = rows.where("piece >= 0")
+    left = rows.where("piece < 0").select((F.col("part") / merge_tasks).cast("long").alias("grp"), "bin", F.col("length").alias("fill"))
     moved = left.groupBy("grp").applyInPandas(lambda b: repack(capacity, open_bins)(b), "bin long, merged long, shift long")
     return pieces.join(moved, "bin", "left").select(
         "doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("merged", "bin").alias("sequence_id"), (F.col("place") + F.coalesce("shift", F.lit(0))).alias("offset")

@@ -23,14 +23,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, whole_text
 
 SHAPE = re.compile(
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)"
+    # a block ends with its lines: a header that is only mentioned takes nothing with it
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s++[A-Za-z-]++:[^\n]*+)*+(?:(?:\s|\\n)*+[A-Za-z0-9+/=]{16,}+)++(?:(?:\s|\\n)++[A-Za-z0-9+/=]{1,15}+(?=\s*+-|\\n))?(?:(?:\s|\\n)*+-----END [A-Z ]*PRIVATE KEY-----)?"
     r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-][A-Za-z0-9+/_.-]{11,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?",
     re.S,
 )
@@ -86,7 +87,7 @@ class Describer:
         names = set(re.split(r"[^a-z0-9]+", low))
         lead = before.rstrip("\"' ")
         return [
-            min(len(value), 500), -sum(v / n * math.log2(v / n) for v in counts.values()), share[2], share[1], share[0], share[3], changes, sum(steps) / max(1, len(steps)),
+            n, -sum(v / n * math.log2(v / n) for v in counts.values()), share[2], share[1], share[0], share[3], changes, sum(steps) / max(1, len(steps)),
             sum(counts[c] for c in "0123456789abcdef") / n, covered(value, self.words), value.count("/"), value.count("."), best, float(lead.endswith(("=", ":"))), float(before.endswith(("\"", "'"))),
             float(bool(near) and near[-1] in SECRET_WORDS), float(bool(near) and near[-1] in PLAIN_WORDS), float(any(w in SECRET_WORDS for w in (*near, *following)) or bool(names & SECRET_WORDS)), float(any(w in PLAIN_WORDS for w in (*near, *following))),
             float(bool(PREFIX.match(value))), float(bool(re.search(r"test|example|sample|mock|fixture", path.lower()))), 1 - len(counts) / n,
@@ -269,37 +270,49 @@ def train_scanner(findings: list[tuple[str, str, str, str, int]], threshold: flo
     return Scanner(describe, grow_forest(x, np.array([f[4] for f in findings], float)), threshold)
 
 
+def train_from_table(findings: DataFrame, train_limit: int = 20_000, threshold: float = 0.5) -> Scanner:
+    """Fits on a table of labelled findings (before, value, after, path, label; nulls are empty, unlabelled rows are left out):
+    all, or the ``train_limit`` with the smallest hashes."""
+    columns = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("before", "value", "after", "path")]
+    rows = findings.where(F.col("label").isNotNull()).select(*columns, F.col("label").cast("int").alias("label")).where("value <> ''")
+    names = ("value", "before", "after", "path", "label")
+    chosen = rows.orderBy(F.xxhash64(*names), *names).limit(train_limit).collect()
+    return train_scanner([tuple(r) for r in chosen], threshold)
+
+
 def scan_documents(docs: DataFrame, scanner: Scanner | None = None, path: str = "source") -> DataFrame:
     """One row per candidate: doc_id, start, length (code points), score, secret. ``path``: the column that says where a text lies, if there."""
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(scanner or train_scanner(labelled_findings()))
     at = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = shared.value.scan(list(batch["text"]), list(batch["path"]))
-            rows = [(d, *x) for d, own in zip(batch["doc_id"], found, strict=True) for x in own]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "score", "secret"])
+            found = shared.value.scan(batch.column("text").to_pylist(), batch.column("path").to_pylist())
+            rows = [(d, *x) for d, own in zip(batch.column("doc_id").to_pylist(), found, strict=True) for x in own]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)], names=["doc_id", "start", "length", "score", "secret"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), at.alias("path")).mapInPandas(run, "doc_id long, start long, length long, score double, secret boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), at.alias("path")).mapInArrow(run, "doc_id long, start long, length long, score double, secret boolean")
 
 
 def mask_secrets(docs: DataFrame, scanner: Scanner | None = None, mask: str = "[secret]", path: str = "source") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced; other texts, null ones too, and columns stay (``n_chars`` follows the text)."""
     shared = docs.sparkSession.sparkContext.broadcast(scanner or train_scanner(labelled_findings()))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = list(batch["text"])
-            paths = [p if isinstance(p, str) else "" for p in batch[path]] if path in batch else [""] * len(texts)
+            at = batch.schema.get_field_index("text")
+            texts = batch.column(at).to_pylist()
+            paths = [str(p) if p is not None else "" for p in batch.column(path).to_pylist()] if path in batch.schema.names else [""] * len(texts)
             found = shared.value.scan([t or "" for t in texts], paths)
             for k, own in enumerate(found):
                 for a, n, _, secret in reversed(own):
                     if secret:
                         texts[k] = texts[k][:a] + mask + texts[k][a + n :]
-            yield batch.assign(text=texts)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    out = docs.mapInPandas(run, docs.schema)
+    out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 

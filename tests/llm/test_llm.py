@@ -330,7 +330,86 @@ def test_copies_of_a_page_do_not_empty_it(spark, copies, unique, paragraphs):
 
 @pytest.mark.parametrize("element", ["<svg/>", "<math />", "<svg class='a>b' viewBox=\"0 0 1 1\" />", "<svg><path d='M0'/><title>no</title></svg>"])
 def test_self_closed_drawings_end_there(element):
-    assert [t for _, t, _ in style_tree.Page(f"<p>one {element} two</p><p>three</p>").blocks] == ["one two", "three"]
+    assert [t for _, t in style_tree.Page(f"<p>one {element} two</p><p>three</p>").blocks] == ["one two", "three"]
+
+
+def shuffled_site(r, n, name):
+    """Pages of one host whose elements have meaningless names: menu, sidebar and notice repeat, the article does not."""
+    words = lambda k: " ".join("".join(r.choices("abcdefgh", k=r.randint(2, 7))) for _ in range(k))
+    menu, side, note = [words(2) for _ in range(9)], [words(12) for _ in range(4)], words(20)
+    rows = []
+    for k in range(n):
+        said = [words(r.randint(5, 40)) for _ in range(r.randint(2, 7))]
+        html = f"<body><div class='q1'><ul>{''.join(f'<li><a href=x>{x}</a></li>' for x in menu)}</ul></div><div class='q2'>{''.join(f'<p>{x}</p>' for x in r.sample(side, 3))}</div><div class='q3'>{note}</div>"
+        html += f"<div class='q4'>{''.join(f'<p>{x}</p>' for x in said)}</div></body>"
+        rows.append((f"http://{name}/{k}", html, " ".join(said)))
+    return rows
+
+
+@pytest.mark.parametrize("limit", [100_000, -1])
+def test_entropy_finds_menus_without_names(spark, limit):
+    r = random.Random(12)
+    rows = [(None if k % 7 == 0 else k % 5, *x) for k, x in enumerate(shuffled_site(r, 30, "a.example") + shuffled_site(r, 12, "b.example"))]
+    pages = spark.createDataFrame([x[:3] for x in rows], "page_id long, url string, html string").repartition(3)
+    got = style_tree.extract_main_text(pages, prior=1.0, weak=1.0, share_limit=limit).collect()
+    assert {x.url: x.text for x in got} == {url: text for _, url, _, text in rows}
+    whole = style_tree.extract_main_text(pages, threshold=0.0, share_limit=limit).collect()
+    assert all(len(x.text) > 100 + len(text) for x in whole for _, url, _, text in rows if url == x.url)
+
+
+def test_importance_by_brute_force(spark):
+    """The branches that are cut, from the definition: entropies over the distinct pages of a host."""
+    import math
+
+    r = random.Random(5)
+    sources = [x[1] for x in shuffled_site(r, 9, "h")] + ["<body><nav>a b</nav><div class='ad'>x</div><article class='related-work'>one two three four five</article></body>"] * 2
+    pages = [style_tree.Page(s) for s in dict.fromkeys(sources)]
+    shown, styles, paths, names = defaultdict(lambda: defaultdict(set)), defaultdict(Counter), {}, {}
+    for k, page in enumerate(pages):
+        for e, text in page.blocks:
+            shown[page.branch[e]][text].add(k)
+            paths[page.branch[e]] = page.path(e)
+        for e in range(1, len(page.parent)):
+            names[page.branch[e]] = page.called[e]
+        for b, st in {(page.branch[e], " ".join(s for j, s in enumerate(page.steps[e]) if not j or s != page.steps[e][j - 1])) for e in range(1, len(page.parent)) if page.steps[e]}:
+            styles[b][st] += 1
+    leaf = {}
+    for b, texts in shown.items():
+        m, n = len(set().union(*texts.values())), sum(map(len, texts.values()))
+        leaf[b] = (1.0 if m < 2 else 1 - sum(len(t) * math.log(len(t)) for t in texts.values()) / n / math.log(m), n, m)
+    want = set()
+    for b in {x for p in paths.values() for x in p}:
+        own = [leaf[x] for x in paths if b in paths[x]]
+        value, most, m = sum(v * n for v, n, _ in own) / sum(n for _, n, _ in own), max(v for v, _, _ in own), max(m for _, _, m in own)
+        if styles[b]:
+            total = sum(styles[b].values())
+            style = 1.0 if total < 2 else -sum(c / total * math.log(c / total) for c in styles[b].values()) / math.log(total)
+            value = 0.9 * value + 0.1 * style
+        value, most = (value, most) if m >= 6 else (1.0, 1.0)
+        factor = {0: 1.0, 1: 0.6, 2: 0.3, 3: 0.3}[names[b]]
+        if value * factor < 0.5 and most * factor < 0.5:
+            want.add(b)
+    docs = spark.createDataFrame([("h", s) for s in sources], "host string, html string").repartition(4)
+    counts = docs.mapInPandas(style_tree.page_counts, style_tree.COUNTS).groupBy("host", "page").agg(F.min("counts").alias("counts"))
+    counted = counts.select("host", "counts").mapInPandas(style_tree.count_branches, style_tree.COUNTED)
+    assert {x.branch for x in style_tree.low_branches(counted, 0.5, 0.9, 6, 0.3, 0.6).collect()} == want and want
+
+
+def test_names_are_a_prior_only(spark):
+    page = "<body><article class='post related-work'><p>Energy is <math><mi>E</mi></math> here</p><p class='notice-board'>posted</p></article><div class='comment-list'>reader says</div><div class='site-footer'>f</div></body>"
+    got = style_tree.extract_main_text(spark.createDataFrame([(1, "http://x.example/", page)], "page_id long, url string, html string")).collect()
+    assert got[0].text == "Energy is E here posted"
+
+
+def test_long_and_deep_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    deep = style_tree.Page("<div>" * 100_000 + "x" + "</div>" * 100_000)
+    assert deep.without(frozenset()) == "x" and len(deep.parent) <= style_tree.DEPTH + 1
+    for source in ("<a " * 100_000, "<script " * 50_000, "<!" * 100_000, "</p>" * 100_000, "<p>" * 100_000, "<a b=\"" * 50_000):
+        style_tree.Page(source)
+    assert time.time() - began < 20
 
 
 def test_urls(spark):

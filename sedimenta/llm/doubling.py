@@ -9,7 +9,7 @@ longest repeated passages.
 
 Every answer comes from all documents (see ``chunks``); nothing is capped or sampled. Words are cut, hashed and their
 anchors found once, when a chunk is written; later passes read those notes, and texts only where words go. Short
-sequences are compared by 64 bits, since they only choose candidates; whole windows by 128.
+sequences are compared by 64 bits, since they only choose candidates; whole windows by 128 (two polynomials of 64-bit word hashes).
 
 Defined results: null text has no words; a document with fewer words than a window loses nothing; rows with
 the same doc_id don't remove words from each other; a null doc_id counts as larger than any other.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from .chunks import SENT, Chunk, ChunkTable, look_up, mix, pack, received, send, spread, unpack
 from .common import documents_of, stored, table
 
-STEP = np.uint64(0x9FB21C651E98DF25)
+STEP, OTHER_STEP = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 BOTH = [("a", "u8"), ("b", "u8")]
 RESULT = "doc_id long, n_words long, n_removed long, n_spans long, longest long, kept_text string, kept_sha256 string"
 
@@ -42,12 +42,12 @@ class WordNumbers(dict):
         return n
 
 
-def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
+def gram_hashes(words: np.ndarray, k: int, step: np.uint64 = STEP) -> np.ndarray:
     """Hash of the k words from each position on (shorter by k - 1)."""
     m = max(0, len(words) - k + 1)
     out = words[:m].copy()
     for j in range(1, k):
-        out *= STEP
+        out *= step
         out += words[j : j + m]
     return mix(out + np.uint64(k))
 
@@ -58,7 +58,7 @@ def quarter_of(length: int) -> int:
 
 def note_words(length: int):
     """What a chunk keeps of its words: how many each document has, the hash of those kept if none goes, distinct words' hashes,
-    the number of each word, and runs of windows with one anchor (first window, windows, where the anchor is, its hash)."""
+    the number of each word, and runs of windows with one anchor (windows between runs, windows, where the anchor is in the first)."""
 
     def run(_: np.ndarray, texts: list[bytes]) -> bytes:
         numbers, counts, digests, ids = WordNumbers(), [], [], []
@@ -68,13 +68,12 @@ def note_words(length: int):
             digests.append(hashlib.sha256(b" ".join(own)).digest())
             ids.append(np.fromiter(map(numbers.__getitem__, own), np.int32, len(own)))
         ids = np.concatenate(ids)
-        hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, numbers)), "<u8").reshape(-1, 2)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
         quarter = quarter_of(length)
         span, m = length - quarter + 1, max(0, len(ids) - length + 1)
         first = size = place = np.zeros(0, np.int64)
-        least = np.zeros(0, np.uint64)
         if m:
-            g = gram_hashes(hashes[ids, 0], quarter)
+            g = gram_hashes(hashes[ids], quarter)
             low, at = g[:m].copy(), np.zeros(m, np.int32)
             for j in range(1, span):
                 less = g[j : j + m] < low
@@ -88,8 +87,9 @@ def note_words(length: int):
             if len(starts):
                 new = np.flatnonzero(np.r_[True, (at[starts[1:]] != at[starts[:-1]]) | (starts[1:] != starts[:-1] + 1)])
                 first, size = starts[new], np.diff(np.r_[new, len(starts)])
-                place, least = at[first], low[first]
-        parts = (np.array([len(texts), len(ids), len(hashes), len(first)], "<i8"), np.array(counts, "<i4"), np.frombuffer(b"".join(digests), "u1"), hashes.ravel(), ids.astype("<i4"), first.astype("<i4"), size.astype("<i4"), place.astype("<i4"), least.astype("<u8"))
+                place = at[first] - first
+        gap = first - np.r_[0, first[:-1] + size[:-1]][: len(first)]
+        parts = (np.array([len(texts), len(ids), len(hashes), len(first)], "<i8"), np.array(counts, "<i4"), np.frombuffer(b"".join(digests), "u1"), hashes, ids.astype("<i4"), gap.astype("<i4"), size.astype("<i2"), place.astype("<i2"))
         return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in parts))
 
     return run
@@ -101,25 +101,27 @@ class ChunkWords:
     def __init__(self, chunk: Chunk) -> None:
         raw, at, read = zstandard.ZstdDecompressor().decompress(chunk.notes), 32, []
         docs, self.n, vocabulary, runs = np.frombuffer(raw[:32], "<i8").tolist()
-        for kind, size in (("<i4", docs), ("u1", 32 * docs), ("<u8", 2 * vocabulary), ("<i4", self.n), ("<i4", runs), ("<i4", runs), ("<i4", runs), ("<u8", runs)):
+        for kind, size in (("<i4", docs), ("u1", 32 * docs), ("<u8", vocabulary), ("<i4", self.n), ("<i4", runs), ("<i2", runs), ("<i2", runs)):
             read.append(np.frombuffer(raw, kind, size, at))
             at += read[-1].nbytes
-        counts, self.digests, hashes, ids, first, size, place, self.anchor = read
-        self.counts, self.first, self.size, self.place = (x.astype(np.int64) for x in (counts, first, size, place))
-        self.hash = hashes.reshape(-1, 2)[ids].T.copy()
+        counts, self.digests, hashes, ids, gap, size, place = read
+        self.counts, self.size = counts.astype(np.int64), size.astype(np.int64)
+        self.first = np.cumsum(gap + np.r_[0, self.size[:-1]][:runs])
+        self.place = self.first + place
+        self.hash = hashes[ids]
         self.ends = np.cumsum(self.counts)
         self.doc = np.repeat(np.arange(docs), self.counts)
         self.id = chunk.ids[self.doc]
 
     def grams(self, k: int) -> np.ndarray:
         """64 bits of the k words from each position on."""
-        return gram_hashes(self.hash[0], k)
+        return gram_hashes(self.hash, k)
 
     def windows(self, k: int, at: np.ndarray) -> np.ndarray:
         """128 bits (fields a, b) of the k words from these positions on."""
         out = np.zeros(len(at), BOTH)
         if len(at):
-            out["a"], out["b"] = (gram_hashes(h, k)[at] for h in self.hash)
+            out["a"], out["b"] = (gram_hashes(self.hash, k, step)[at] for step in (STEP, OTHER_STEP))
         return out
 
     def starts(self, k: int) -> np.ndarray:
@@ -145,15 +147,16 @@ class Levels:
     def __init__(self, words: ChunkWords, length: int, buckets: int, told: dict) -> None:
         self.w, self.length, self.buckets, self.told = words, length, buckets, told
         self.quarter = quarter_of(length)
+        self.anchor = words.grams(self.quarter)[words.place] if len(words.place) else np.zeros(0, np.uint64)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchors, and whether documents with different ids hold them."""
-        return repeated_in(self.w.id[self.w.first], self.w.anchor)
+        return repeated_in(self.w.id[self.w.first], self.anchor)
 
     def halves(self) -> tuple[np.ndarray, np.ndarray]:
         """Windows whose anchor repeats, and the hash of twice its length around it, to its right where that stays in the window, else to its left."""
-        unique = np.unique(self.w.anchor)
-        keep = np.flatnonzero(look_up(unique, received(unique, self.buckets, self.told.get(0, [])), self.w.anchor) > 0)
+        unique = np.unique(self.anchor)
+        keep = np.flatnonzero(look_up(unique, received(unique, self.buckets, self.told.get(0, [])), self.anchor) > 0)
         at = spread(self.w.first[keep], self.w.size[keep])
         if not len(at):
             return at, np.zeros(0, np.uint64)

@@ -120,7 +120,8 @@ class ChunkTable:
         size = text_bytes(docs)
         self.chunks = max(1, -(-size // chunk_bytes))
         self.buckets = max(8, self.chunks // 2)
-        self.files = max(4, self.chunks // 4)
+        # with fewer files than shuffle partitions Spark would deal the chunks out anew for every join
+        self.files = max(self.chunks // 4, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         self.name = f"chunks_{uuid.uuid4().hex}"
         rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_chunks(chunk_bytes, note), CHUNK)
         rows.write.format("parquet").option("compression", "none").bucketBy(self.files, "chunk").saveAsTable(self.name)

@@ -143,7 +143,7 @@ KINDS = ["engineering_asset", "engineering_quantity", "structural_location", "re
 
 @query("i04_sections", _after("select r.request_id, k.place, k.kind, count(s.item_id) as n_items from (select distinct request_id from sel) r, (values " + ", ".join(f"({i}, '{k}')" for i, k in enumerate(KINDS)) + ") k(place, kind) left join sel s on s.request_id = r.request_id and s.kind = k.kind and s.selected group by all"))
 def _(t: Tables) -> DataFrame:
-    chosen = retrieval.select_items(t.items).where("selected").groupBy("request_id", "kind").agg(F.count("*").alias("n"))
+    chosen = t.chosen.where("selected").groupBy("request_id", "kind").agg(F.count("*").alias("n"))
     sections = t.items.select("request_id").distinct().select("request_id", F.posexplode(F.array(*map(F.lit, KINDS))).alias("place", "kind"))
     return sections.join(chosen, ["request_id", "kind"], "left").select("request_id", "place", "kind", F.coalesce("n", F.lit(0)).alias("n_items"))
 
@@ -176,7 +176,7 @@ def _(t: Tables) -> DataFrame:
   select request_id, 1, '', 'none_selected:' || kind from sel group by request_id, kind having not bool_or(selected) union all
   select request_id, 2, item_id, 'discarded:' || discard_reason from sel where not selected)) where k <= 50"""))
 def _(t: Tables) -> DataFrame:
-    chosen = retrieval.select_items(t.items)
+    chosen = t.chosen
     total = chosen.groupBy("request_id").agg(F.bool_or(~F.col("selected")).alias("over")).where("over").select("request_id", F.lit(0).alias("place"), F.lit("").alias("item_id"), F.lit("budget_exceeded").alias("code"))
     kinds = chosen.groupBy("request_id", "kind").agg(F.bool_or("selected").alias("any")).where("not any").select("request_id", F.lit(1).alias("place"), F.lit("").alias("item_id"), F.concat(F.lit("none_selected:"), "kind").alias("code"))
     each = chosen.where("not selected").select("request_id", F.lit(2).alias("place"), "item_id", F.concat(F.lit("discarded:"), "discard_reason").alias("code"))
@@ -277,7 +277,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("o14_response_warnings", _after("select request_id, case when share = 0 then 'insufficient' when share < 0.5 then 'high' when share < 1 then 'moderate' else 'none' end as uncertainty, share < 1 as truncated from (select request_id, count(*) filter (selected) / count(*) as share from sel group by request_id)"))
 def _(t: Tables) -> DataFrame:
-    rows = retrieval.select_items(t.items).groupBy("request_id").agg((F.count_if("selected") / F.count("*")).alias("share"))
+    rows = t.chosen.groupBy("request_id").agg((F.count_if("selected") / F.count("*")).alias("share"))
     level = F.when(F.col("share") == 0, "insufficient").when(F.col("share") < 0.5, "high").when(F.col("share") < 1, "moderate").otherwise("none")
     return rows.select("request_id", level.alias("uncertainty"), (F.col("share") < 1).alias("truncated"))
 

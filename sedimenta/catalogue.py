@@ -40,7 +40,7 @@ class Tables:
 
     @cached_property
     def evidence(self) -> DataFrame:
-        return ev.extract(self.tokens)
+        return stages.staged(ev.extract(self.tokens), "evidence")
 
     @cached_property
     def mentions(self) -> DataFrame:
@@ -68,7 +68,9 @@ class Tables:
 
     @cached_property
     def reviews(self) -> DataFrame:
-        e = self.read("events").withColumn("document_id", F.col("event_id") * 7 % 15001 + 1)
+        """Events as reviews of statements, spread over the documents of the whole register."""
+        n = self.read("lineitem").agg(F.max("l_orderkey") + 1).first()[0] or 1  # one number
+        e = self.read("events").withColumn("document_id", F.col("event_id") * 7 % n + 1)
         kind = F.col("event_type")
         e = e.withColumns({
             "decision": F.when(kind.isin("purchase", "signup"), "approved").when(kind == "error", "rejected").otherwise("needs_investigation"),
@@ -79,7 +81,7 @@ class Tables:
 
         rows = e.join(self.statements.select("document_id", "statement_key"), "document_id")
         k = F.row_number().over(Window.partitionBy("event_id").orderBy("statement_key"))
-        return rows.select((F.col("event_id") * 1000 + k).alias("review_id"), "document_id", "statement_key", "decision", "reason", "comment", F.col("user_id").alias("reviewer"), F.col("ts").alias("recorded_at"))
+        return stages.staged(rows.select((F.col("event_id") * 1000 + k).alias("review_id"), "document_id", "statement_key", "decision", "reason", "comment", F.col("user_id").alias("reviewer"), F.col("ts").alias("recorded_at")), "reviews")
 
     @cached_property
     def latest(self) -> DataFrame:
@@ -117,21 +119,46 @@ class Tables:
         """Requests: user turns, with a template by turn so that all rules are met."""
         t = F.col("turn") % 6
         lead = F.when(t == 0, "Compare T1 versus T2 ").when(t == 1, "Where is the document of cable 7? ").when(t == 2, "Verify and draw TR2 ").when(t == 3, "What is the value at CB-12 ").when(t == 4, "Explain the voltage of relay 3 ").otherwise("")
-        return self.read("conversations").where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("request_id"), F.concat(lead, F.regexp_replace(F.substring("text", 1, 40), "[^ -~]", "")).alias("text"))
+        return self.read("conversations").where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("request_id"), F.concat(lead, F.coalesce("text", F.lit(""))).alias("text"))
 
     @cached_property
     def items(self) -> DataFrame:
+        """What requests may bring into context: one request for every hundred documents, with all that is known of them."""
         rows = self.entities.where("kind in ('designation', 'location') or entity_type = 'engineering_quantity'")
         kind = F.when(F.col("entity_type") == "equipment_designation", "engineering_asset").otherwise(F.col("entity_type"))
-        return rows.select(F.col("project_id").alias("request_id"), F.col("entity_key").alias("item_id"), kind.alias("kind"), F.col("label").alias("order_key"))
+        request = F.expr("document_id div 100").alias("request_id")
+        found = rows.select(request, F.col("entity_key").alias("item_id"), kind.alias("kind"), F.col("label").alias("order_key"))
+        return stages.staged(found.unionByName(self.edges.select(request, F.col("edge_id").alias("item_id"), F.lit("relationship").alias("kind"), F.col("edge_kind").alias("order_key"))), "items")
+
+    @cached_property
+    def chosen(self) -> DataFrame:
+        return stages.staged(retrieval.select_items(self.items), "chosen")
+
+    @cached_property
+    def judged(self) -> DataFrame:
+        """Found against expected evidence, with planned defects in what is expected."""
+        return stages.staged(quality.classified(quality.pairings(expected(self), self.evidence)), "judged")
 
 
-_TABLES: dict[tuple[str, str], Tables] = {}
+_TABLES: dict[tuple[str, str], tuple[int, Tables]] = {}
+SOURCES = ("lineitem", "events", "conversations")
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """Stage tables are written once for each application and input, and shared by its queries."""
-    return _TABLES.setdefault((spark.sparkContext.applicationId, sf_dir), Tables(spark, sf_dir))
+    """Stage tables are written once for each application and input, and shared by its queries for as long as the files
+    that they come from are the same."""
+    files = hash(tuple(sorted(x for name in SOURCES for x in spark.read.parquet(f"{sf_dir}/{name}.parquet").inputFiles())) + tuple(modified(spark, f"{sf_dir}/{name}.parquet") for name in SOURCES))
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TABLES or _TABLES[key][0] != files:
+        _TABLES[key] = (files, Tables(spark, sf_dir))
+    return _TABLES[key][1]
+
+
+def modified(spark: SparkSession, path: str) -> tuple:
+    """When the files of a path last changed, as its file system tells."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in system.listStatus(where))
 
 
 def query(name: str, oracle: str | None = None):
@@ -355,7 +382,7 @@ def _(t):
 
 @query("c13_evidence_checks", sql("select document_id, evidence_key, 'token_range' as code from ev where token_end < 0", "ev"))
 def _(t):
-    return ev.evidence_violations(stages.staged(t.evidence, "evidence"), t.tokens)
+    return ev.evidence_violations(t.evidence, t.tokens)
 
 
 @query("c14_designation_lookup", sql("select evidence_key, document_id, line_index from ev where designation = 'T1'", "ev"))
@@ -595,31 +622,32 @@ def _(t):
 
 
 # I: context
-_caps = "case kind when 'engineering_asset' then 50 when 'engineering_quantity' then 50 when 'structural_location' then 20 else 100 end"
-_SEL = f"""items as (select project_id as request_id, entity_key as item_id, case entity_type when 'equipment_designation' then 'engineering_asset' else entity_type end as kind, label as order_key from ent),
+_caps = "case kind when 'engineering_asset' then 50 when 'engineering_quantity' then 50 when 'structural_location' then 20 when 'relationship' then 50 else 100 end"
+_SEL = f"""items as (select document_id // 100 as request_id, entity_key as item_id, case entity_type when 'equipment_designation' then 'engineering_asset' else entity_type end as kind, label as order_key from ent
+  union all select document_id // 100, edge_id, 'relationship', edge_kind from edges),
 el as (select *, row_number() over (partition by request_id, kind order by order_key, item_id) <= {_caps} as eligible from items),
 tb as (select *, coalesce(sum(eligible::int) over (partition by request_id order by order_key, item_id rows between unbounded preceding and 1 preceding), 0) as before from el),
 sel as (select *, eligible and before < 100 as selected, case when eligible and before < 100 then null when before >= 100 then 'items' else kind end as discard_reason from tb)"""
 
 
 def _after(select: str) -> str:
-    return sql("@", "ent").replace("\n@", ",\n" + _SEL + "\n" + select)
+    return sql("@", "edges").replace("\n@", ",\n" + _SEL + "\n" + select)
 
 
 @query("i02_budgeted_selection", _after("select request_id, item_id, selected, discard_reason from sel"))
 def _(t):
-    return retrieval.select_items(t.items).select("request_id", "item_id", "selected", "discard_reason")
+    return t.chosen.select("request_id", "item_id", "selected", "discard_reason")
 
 
 @query("i03_budget_consumption", _after("select request_id, kind, count(*) as requested, count(*) filter (selected) as accepted, count(*) filter (not selected) as discarded, count(*) filter (not selected) > 0 as exceeded from sel group by grouping sets ((request_id, kind), (request_id))"))
 def _(t):
-    return retrieval.consumption(retrieval.select_items(t.items))
+    return retrieval.consumption(t.chosen)
 
 
-@query("i06_coverage", _after("""select *, (items + assets + quantities + locations) / 4 as completeness from (select request_id, count(*) filter (selected) / count(*) as items, coalesce(count(*) filter (selected and kind = 'engineering_asset') / nullif(count(*) filter (kind = 'engineering_asset'), 0), 1.0) as assets,
-  coalesce(count(*) filter (selected and kind = 'engineering_quantity') / nullif(count(*) filter (kind = 'engineering_quantity'), 0), 1.0) as quantities, coalesce(count(*) filter (selected and kind = 'structural_location') / nullif(count(*) filter (kind = 'structural_location'), 0), 1.0) as locations from sel group by request_id)"""))
+@query("i06_coverage", _after("""select *, (items + assets + quantities + relationships) / 4 as completeness from (select request_id, count(*) filter (selected) / count(*) as items, coalesce(count(*) filter (selected and kind = 'engineering_asset') / nullif(count(*) filter (kind = 'engineering_asset'), 0), 1.0) as assets,
+  coalesce(count(*) filter (selected and kind = 'engineering_quantity') / nullif(count(*) filter (kind = 'engineering_quantity'), 0), 1.0) as quantities, coalesce(count(*) filter (selected and kind = 'relationship') / nullif(count(*) filter (kind = 'relationship'), 0), 1.0) as relationships from sel group by request_id)"""))
 def _(t):
-    return retrieval.coverage(retrieval.select_items(t.items))
+    return retrieval.coverage(t.chosen)
 
 
 # J: reasoning
@@ -636,7 +664,7 @@ def _(t):
 
 
 # K: mention index
-_ENTRIES = "entries as (select p_partkey as entry_id, p_partkey % 7 as project_id, p_partkey % 100 as document_id, upper(p_brand) as identifier from part), terms as (select c_custkey as request_id, c_custkey % 7 as project_id, upper('Brand#' || (c_custkey % 30)) as term from customer where c_custkey % 20 = 0)"
+_ENTRIES = "entries as (select p_partkey as entry_id, p_partkey % 7 as project_id, p_partkey % 100 as document_id, upper(p_brand) as identifier from part), terms as (select c_custkey as request_id, c_custkey % 7 as project_id, upper('Brand#' || (c_custkey % 30)) as term from customer)"
 
 
 @query("k06_ranked_documents", f"""with {_ENTRIES}, hits as (select request_id, document_id, term, entry_id, case when term = identifier then 100.0 else 40.0 end as points from terms join entries using (project_id) where contains(identifier, term)),
@@ -645,7 +673,7 @@ select request_id, document_id, mentions, n_terms, score, place from (select *,
 def _(t):
     p, c = F.col("p_partkey"), F.col("c_custkey")
     entries = t.read("part").select(p.alias("entry_id"), (p % 7).alias("project_id"), (p % 100).alias("document_id"), F.col("p_brand").alias("identifier"))
-    terms = t.read("customer").where("c_custkey % 20 = 0").select(c.alias("request_id"), (c % 7).alias("project_id"), F.concat(F.lit("Brand#"), (c % 30).cast("string")).alias("term"))
+    terms = t.read("customer").select(c.alias("request_id"), (c % 7).alias("project_id"), F.concat(F.lit("Brand#"), (c % 30).cast("string")).alias("term"))
     return retrieval.ranked_documents(terms, entries)
 
 
@@ -684,7 +712,10 @@ def _(t):
     return t.read("part").select(F.upper(clean).alias("predicate"), F.lower(clean).alias("attribute")).distinct()
 
 
-@query("l05_candidate_moves")
+_candidate = ", ".join(f"('{a}', '{b}')" for a, b in ledger.CANDIDATE_MOVES)
+
+
+@query("l05_candidate_moves", f"select user_id, event_id, before, state from (select *, lag(state) over (partition by user_id order by ts, event_id) as before from (select *, case event_type when 'view' then 'pending' when 'click' then 'needs_changes' when 'purchase' then 'approved' else 'rejected' end as state from events)) where before is not null and before <> state and (before, state) not in ({_candidate})")
 def _(t):
     state = F.when(F.col("event_type") == "view", "pending").when(F.col("event_type") == "click", "needs_changes").when(F.col("event_type") == "purchase", "approved").otherwise("rejected")
     log = t.read("events").select("event_id", "user_id", state.alias("state"), "ts")
@@ -731,12 +762,12 @@ _FN = "count(*) filter (kind = 'designation' and document_id % 10 = 0)"
 @query("n04_metrics", sql(f"""select kind, tp, fp, fn, case when tp + fp > 0 then round_even(tp / (tp + fp), 6) end as precision, case when tp + fn > 0 then round_even(tp / (tp + fn), 6) end as recall, case when tp > 0 then round_even(2 * tp / (2 * tp + fp + fn), 6) end as f1, fp = 0 and fn = 0 as perfect from (
   select kind, {_TP} as tp, {_FP} as fp, {_FN} as fn from ev group by grouping sets ((kind), ()))""", "ev"))
 def _(t):
-    return quality.metrics(quality.classified(quality.pairings(expected(t), t.evidence)))
+    return quality.metrics(t.judged)
 
 
 @query("n07_regressions", sql(f"select 'resolved' as change, o as outcome, kind, n from (select kind, {_FP} as fp, {_FN} as fn from ev group by kind), lateral (select unnest(['false_positive', 'false_negative']) as o, unnest([fp, fn]) as n) where n > 0", "ev"))
 def _(t):
-    before = quality.classified(quality.pairings(expected(t), t.evidence))
+    before = t.judged
     after = quality.classified(quality.pairings(t.evidence, t.evidence))
     return quality.regressions(before, after)
 

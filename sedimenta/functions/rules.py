@@ -46,6 +46,13 @@ def unit_variants(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "variant string, unit string, quantity_type string, base_unit string, scale long")
 
 
+def unit_of(variant: Column) -> Column:
+    """unit, quantity_type, base_unit and scale of a written unit, null if it is none: a literal map of under 30 entries."""
+    text = lambda x: F.lit(x).cast("string")
+    entries = [(F.lit(v), F.struct(text(symbol).alias("unit"), text(kind).alias("quantity_type"), text(base).alias("base_unit"), F.lit(scale).cast("long").alias("scale"))) for symbol, kind, variants, base, scale in UNITS for v in variants]
+    return F.create_map(*(x for pair in entries for x in pair))[variant]
+
+
 def matches_any(text: Column, shapes: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, (text.rlike(s) for s in shapes))
 

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import checksum, key
-from ..functions.rules import BOUNDARY, NUMBER, NUMBER_WITH_UNIT, RULE_VERSIONS, is_designation, location_of, unit_variants
+from ..functions.rules import BOUNDARY, NUMBER, NUMBER_WITH_UNIT, RULE_VERSIONS, is_designation, location_of, unit_of
 
 LINE = ("document_id", "project_id", "line_index")
 
 
+def bare(text: Column, side: str = "BOTH") -> Column:
+    chars = BOUNDARY.replace("'", "''")
+    return F.call_function({"BOTH": "btrim", "LEADING": "ltrim", "TRAILING": "rtrim"}[side], *((text, F.lit(chars.replace("''", "'"))) if side == "BOTH" else (F.lit(chars.replace("''", "'")), text)))
+
+
 def trimmed(tokens: DataFrame) -> DataFrame:
     """``trimmed`` text and how many characters went on either side; all punctuation leaves nothing, 0 and 0."""
-    chars = BOUNDARY.replace("'", "''")
-    bare = F.expr(f"trim(BOTH '{chars}' FROM text)")
-    left = F.length("text") - F.length(F.expr(f"trim(LEADING '{chars}' FROM text)"))
-    right = F.length("text") - F.length(F.expr(f"trim(TRAILING '{chars}' FROM text)"))
-    return tokens.withColumns({"trimmed": bare, "trim_left": F.when(bare == "", 0).otherwise(left).cast("long"), "trim_right": F.when(bare == "", 0).otherwise(right).cast("long")})
+    text = F.col("text")
+    gone = lambda side: F.when(bare(text) == "", 0).otherwise(F.length(text) - F.length(bare(text, side))).cast("long")
+    return tokens.withColumns({"trimmed": bare(text), "trim_left": gone("LEADING"), "trim_right": gone("TRAILING")})
 
 
 def number_status(number: Column) -> Column:
@@ -32,17 +35,13 @@ def extract(tokens: DataFrame) -> DataFrame:
     A number followed by a unit takes the unit token too: it is not offered to the other rules. Since numbers are
     never units, the token before tells, and no running state is needed.
     """
-    spark = tokens.sparkSession
-    line = Window.partitionBy(*LINE).orderBy("position")
-    units = F.broadcast(unit_variants(spark))  # under 30 rows
-    rows = trimmed(tokens)
-    nxt = lambda c: F.lead(c).over(line)
-    rows = rows.withColumns({"next_text": nxt("trimmed"), "next_position": nxt("position"), "next_start": nxt(F.col("char_start") + F.col("trim_left")), "next_end": nxt(F.col("char_end") - F.col("trim_right"))})
-    both = F.col("trimmed").rlike(NUMBER)
-    one = F.regexp_extract("trimmed", NUMBER_WITH_UNIT, 2)
-    rows = rows.withColumn("wanted", F.when(both, F.col("next_text")).otherwise(one)).join(units, F.col("wanted") == F.col("variant"), "left")
-    rows = rows.withColumn("two", both & F.col("unit").isNotNull())
-    rows = rows.withColumn("taken", F.coalesce(F.lag("two").over(line), F.lit(False)))
+    units = unit_of
+    after, before = bare(F.col("text_after")), bare(F.col("text_before"))
+    rows = trimmed(tokens).withColumns({"next_text": after, "next_end": F.col("end_after") - F.when(after == "", 0).otherwise(F.length("text_after") - F.length(bare(F.col("text_after"), "TRAILING")))})
+    number = F.col("trimmed").rlike(NUMBER)
+    rows = rows.withColumn("u", units(F.when(number, after).otherwise(F.regexp_extract("trimmed", NUMBER_WITH_UNIT, 2))))
+    rows = rows.select("*", "u.unit", "u.quantity_type", "u.base_unit", "u.scale").withColumns({"two": number & F.col("unit").isNotNull(), "next_position": F.col("position") + 1})
+    rows = rows.withColumn("taken", F.coalesce(before.rlike(NUMBER) & units(F.col("trimmed")).isNotNull(), F.lit(False)))
     start, end = F.col("char_start") + F.col("trim_left"), F.col("char_end") - F.col("trim_right")
     number = F.when(F.col("two"), F.col("trimmed")).otherwise(F.regexp_extract("trimmed", NUMBER_WITH_UNIT, 1))
     status = number_status(number)

@@ -9,21 +9,21 @@ PLACE = ["document_id", "line_index", "token_start", "token_end"]
 
 
 def pairings(expected: DataFrame, found: DataFrame) -> DataFrame:
-    """Expected and found observations of one place: equal kinds in order first, then a lone pair of leftovers."""
-    k = lambda d: d.withColumn("k", F.row_number().over(Window.partitionBy(*PLACE, "kind").orderBy("observed_text")))
-    cols = [*PLACE, "kind", "observed_text", "status"]
-    e, f = k(expected.select(*cols)).withColumn("e", F.lit(True)), k(found.select(*cols)).withColumn("f", F.lit(True))
-    both = e.join(f.withColumnsRenamed({"observed_text": "f_text", "status": "f_status"}), [*PLACE, "kind", "k"], "full")
-    done = both.where("e and f").select(*PLACE, F.col("kind").alias("e_kind"), F.col("kind").alias("f_kind"), F.col("observed_text").alias("e_text"), "f_text", F.col("status").alias("e_status"), "f_status")
-    only_e = both.where("f is null").select(*PLACE, F.col("kind").alias("e_kind"), F.col("observed_text").alias("e_text"), F.col("status").alias("e_status")).withColumn("ne", F.count("*").over(Window.partitionBy(*PLACE)))
-    only_f = both.where("e is null").select(*PLACE, F.col("kind").alias("f_kind"), "f_text", "f_status").withColumn("nf", F.count("*").over(Window.partitionBy(*PLACE)))
-    rest = only_e.join(only_f, PLACE, "full")
-    # more than one leftover on either side stays apart
-    alone = rest.where("(ne = 1 and nf = 1) or ne is null or nf is null").drop("ne", "nf")
-    many = rest.where("not (ne = 1 and nf = 1) and ne is not null and nf is not null")
-    apart_e = many.select(*PLACE, "e_kind", "e_text", "e_status").distinct()
-    apart_f = many.select(*PLACE, "f_kind", "f_text", "f_status").distinct()
-    return done.unionByName(alone.select(done.columns)).unionByName(apart_e, allowMissingColumns=True).unionByName(apart_f, allowMissingColumns=True)
+    """Expected and found observations of one place: equal kinds in order first, then a lone pair of leftovers; more
+    leftovers stay apart, each with its own row. Both sides are one table, dealt by place once."""
+    fields = ["kind", "observed_text", "status"]
+    tagged = lambda d, side: d.select(*PLACE, *fields, F.lit(side).alias("side"))
+    rows = tagged(expected, "e").unionByName(tagged(found, "f")).repartition(*PLACE)
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy(*PLACE, "kind", "side").orderBy("observed_text", "status")))
+    of = lambda side: F.max(F.when(F.col("side") == side, F.struct(*fields))).alias(side)
+    met = rows.groupBy(*PLACE, "kind", "k").agg(of("e"), of("f"))
+    place = Window.partitionBy(*PLACE)
+    only = {s: F.col(s).isNotNull() & F.col(o).isNull() for s, o in (("e", "f"), ("f", "e"))}
+    met = met.withColumns({f"n{s}": F.sum(x.cast("long")).over(place) for s, x in only.items()} | {"left_f": F.max(F.when(only["f"], F.col("f"))).over(place)})
+    lone = (F.col("ne") == 1) & (F.col("nf") == 1)
+    met = met.where(~(lone & only["f"])).withColumn("f", F.when(lone & only["e"], F.col("left_f")).otherwise(F.col("f")))
+    names = {"kind": "kind", "observed_text": "text", "status": "status"}
+    return met.select(*PLACE, *(F.col(f"{s}.{c}").alias(f"{s}_{n}") for c, n in names.items() for s in ("e", "f")))
 
 
 def classified(pairs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import UNIT_SEPARATOR
@@ -13,16 +13,20 @@ KIND_CAPS = {"engineering_asset": 50, "engineering_quantity": 50, "structural_lo
 EXACT, PARTIAL, REPEAT, SEVERAL = 100.0, 40.0, 2.0, 10.0
 
 
+# Designation strategies by precedence.
+STRATEGIES = ((1, "exact_designation"), (2, "normalized_designation"), (3, "normalized_value"), (4, "canonical_designation"))
+
+
 def asset_matches(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     """query_id, node_id, precedence: the first strategy by which a designation finds an asset of its project.
 
     Each strategy is an equality of a derived key, so that all are shuffle joins and none a comparison of all pairs.
     """
-    q = queries.select("query_id", "project_id", F.col("designation").alias("q0"), fold(F.col("designation")).alias("q1"), alphanumeric(F.col("designation")).alias("q2"))
-    n = nodes.where("node_kind = 'engineering_asset'").select("node_id", "project_id", "label", F.col("label").alias("n0"), fold(F.col("label")).alias("n1"), alphanumeric(F.col("label")).alias("n2"))
-    keyed_q = q.select("query_id", "project_id", F.explode(F.array(*(F.struct(F.lit(k).alias("precedence"), F.col(f"q{k}").alias("match_key")) for k in range(3)))).alias("k")).select("query_id", "project_id", "k.*")
-    keyed_n = n.select("node_id", "project_id", "label", F.explode(F.array(*(F.struct(F.lit(k).alias("precedence"), F.col(f"n{k}").alias("match_key")) for k in range(3)))).alias("k")).select("node_id", "project_id", "label", "k.*")
-    return keyed_q.join(keyed_n, ["project_id", "precedence", "match_key"]).groupBy("query_id", "project_id", "node_id", "label").agg(F.min("precedence").alias("precedence"))
+    keyed = lambda *keys: F.explode(F.array(*(F.struct(F.lit(k).alias("precedence"), c.alias("match_key")) for (k, _), c in zip(STRATEGIES, keys, strict=True)))).alias("k")
+    name, label, value = F.col("designation"), F.col("label"), F.col("value").cast("string")
+    q = queries.select("query_id", "project_id", keyed(name, fold(name), fold(name), alphanumeric(name))).select("query_id", "project_id", "k.*")
+    n = nodes.where("node_kind = 'engineering_asset'").select("node_id", "project_id", "label", keyed(label, fold(label), fold(value), alphanumeric(label))).select("node_id", "project_id", "label", "k.*").where("match_key <> ''")
+    return q.join(n, ["project_id", "precedence", "match_key"]).groupBy("query_id", "project_id", "node_id", "label").agg(F.min("precedence").alias("precedence"))
 
 
 def ranked(matches: DataFrame, limit: int = 20) -> DataFrame:
@@ -46,16 +50,22 @@ def related_objects(matches: DataFrame, edges: DataFrame, nodes: DataFrame) -> D
 
 
 def select_items(items: DataFrame, total: int = 100, caps: dict[str, int] | None = None) -> DataFrame:
-    """Which items of a request fit the budget: within their kind's cap and then the total, in order; and why not."""
+    """Which items of a request fit the budget: within their kind's cap and then the total, in order; and why not.
+
+    The window over a whole request sees only what the caps of its kinds let through, a bounded number of rows. Of the others,
+    the last place that the total still reaches tells the reason."""
     caps = KIND_CAPS if caps is None else caps
     cap = F.lit(total)
     for kind, n in caps.items():
         cap = F.when(F.col("kind") == kind, n).otherwise(cap)
     order = ("order_key", "item_id")
-    rows = items.withColumn("in_kind", F.row_number().over(Window.partitionBy("request_id", "kind").orderBy(*order))).withColumn("eligible", F.col("in_kind") <= cap)
-    before = F.coalesce(F.sum(F.col("eligible").cast("long")).over(Window.partitionBy("request_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("taken_before", before).withColumn("selected", F.col("eligible") & (F.col("taken_before") < total))
-    return rows.withColumn("discard_reason", F.when(F.col("selected"), None).when(F.col("taken_before") >= total, "items").otherwise(F.col("kind"))).drop("in_kind", "eligible", "taken_before")
+    rows = items.withColumn("eligible", F.row_number().over(Window.partitionBy("request_id", "kind").orderBy(*order)) <= cap)
+    # the total-th eligible item: what comes after it finds the budget used up
+    few = rows.where("eligible").select("request_id", F.struct(*order).alias("last"), F.row_number().over(Window.partitionBy("request_id").orderBy(*order)).alias("k"))
+    full = few.where(F.col("k") == total).select("request_id", "last")
+    rows = rows.join(full, "request_id", "left").withColumn("late", F.coalesce(F.struct(*order) > F.col("last"), F.lit(False)))
+    rows = rows.withColumn("selected", F.col("eligible") & ~F.col("late"))
+    return rows.withColumn("discard_reason", F.when(F.col("selected"), None).when(F.col("late"), "items").otherwise(F.col("kind"))).drop("eligible", "late", "last")
 
 
 def consumption(chosen: DataFrame) -> DataFrame:
@@ -66,11 +76,11 @@ def consumption(chosen: DataFrame) -> DataFrame:
 
 def coverage(chosen: DataFrame) -> DataFrame:
     """Share of each kind that was selected (1 where there is none), and their mean."""
-    kinds = (("assets", "engineering_asset"), ("quantities", "engineering_quantity"), ("locations", "structural_location"))
+    kinds = (("assets", "engineering_asset"), ("quantities", "engineering_quantity"), ("relationships", "relationship"))
     counts = chosen.groupBy("request_id").agg(F.count("*").alias("n"), F.count_if("selected").alias("s"), *(F.count_if(F.col("kind") == k).alias(f"n_{c}") for c, k in kinds), *(F.count_if((F.col("kind") == k) & F.col("selected")).alias(f"s_{c}") for c, k in kinds))
     share = lambda s, n: F.when(F.col(n) == 0, 1.0).otherwise(F.col(s) / F.col(n))
     rows = counts.select("request_id", share("s", "n").alias("items"), *(share(f"s_{c}", f"n_{c}").alias(c) for c, _ in kinds))
-    return rows.withColumn("completeness", (F.col("items") + F.col("assets") + F.col("quantities") + F.col("locations")) / 4)
+    return rows.withColumn("completeness", (F.col("items") + F.col("assets") + F.col("quantities") + F.col("relationships")) / 4)
 
 
 def quantity_consistency(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -106,17 +116,35 @@ def same_location(pairs: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataF
     return rows.select("project_id", "left_asset", "right_asset", verdict.alias("verdict"), F.when(verdict == "established", F.concat_ws(UNIT_SEPARATOR, F.least("left_asset", "right_asset"), "left_location", F.greatest("left_asset", "right_asset"))).alias("path"))
 
 
+def grams(text: Column) -> Column:
+    """Distinct runs of one to three characters."""
+    runs = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n)))
+    return F.array_distinct(F.flatten(F.array_compact(F.array(*map(runs, (1, 2, 3))))))
+
+
+def containing(terms: DataFrame, identifiers: DataFrame) -> DataFrame:
+    """project_id, term, identifier for each identifier that contains a term of its project, from distinct rows of both.
+
+    A term is filed under the rarest of its runs of three characters (of all its characters if it is shorter); an
+    identifier's own runs fetch the terms, and only those are compared."""
+    longest = F.least(F.length("term"), F.lit(3))
+    own = terms.where("term <> ''").select("project_id", "term", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("term") - longest + 1), lambda i: F.substring(F.col("term"), i, longest)))).alias("gram"))
+    held = identifiers.select("project_id", "identifier", F.explode(grams(F.col("identifier"))).alias("gram"))
+    counts = held.groupBy("project_id", "gram").agg(F.count("*").alias("n"))
+    filed = own.join(counts, ["project_id", "gram"]).groupBy("project_id", "term").agg(F.min(F.struct("n", "gram")).alias("rarest")).select("project_id", "term", F.col("rarest.gram").alias("gram"))
+    return filed.join(held, ["project_id", "gram"]).where(F.contains("identifier", "term")).select("project_id", "term", "identifier")
+
+
 def ranked_documents(terms: DataFrame, entries: DataFrame, limit: int = 20) -> DataFrame:
-    """Documents by relevance for each request. Exact matches are an equality join; containment a join with the terms,
-    which come from one table of requests and are broadcast by size if the optimizer finds them small."""
+    """Documents by relevance for each request: distinct terms meet distinct identifiers first, requests and entries come after."""
     t = terms.select("request_id", "project_id", F.upper("term").alias("term"))
     e = entries.select("entry_id", "project_id", "document_id", F.upper("identifier").alias("identifier"))
-    exact = t.join(e, (t.term == e.identifier) & (t.project_id == e.project_id)).select("request_id", "document_id", "term", "entry_id", F.lit(EXACT).alias("points"))
-    part = t.join(e, (t.project_id == e.project_id) & F.contains(e.identifier, t.term) & (e.identifier != t.term)).select("request_id", "document_id", "term", "entry_id", F.lit(PARTIAL).alias("points"))
-    hits = exact.unionByName(part)
-    by_term = hits.groupBy("request_id", "document_id", "term").agg(F.max("points").alias("points"))
-    mentions = hits.groupBy("request_id", "document_id").agg(F.countDistinct("entry_id").alias("mentions"))
-    score = by_term.groupBy("request_id", "document_id").agg(F.sum("points").alias("points"), F.count("*").alias("n_terms")).join(mentions, ["request_id", "document_id"])
+    met = containing(t.select("project_id", "term").distinct(), e.select("project_id", "identifier").distinct())
+    points = F.when(F.col("term") == F.col("identifier"), EXACT).otherwise(PARTIAL)
+    hits = met.withColumn("points", points).join(e, ["project_id", "identifier"])
+    # what a term brings a document does not depend on who asks
+    brought = hits.groupBy("project_id", "term", "document_id").agg(F.max("points").alias("points"), F.collect_set("entry_id").alias("entries"))  # entries of one document
+    score = t.distinct().join(brought, ["project_id", "term"]).groupBy("request_id", "document_id").agg(F.sum("points").alias("points"), F.count("*").alias("n_terms"), F.size(F.array_distinct(F.flatten(F.collect_list("entries")))).cast("long").alias("mentions"))
     score = score.withColumn("score", F.col("points") + REPEAT * (F.col("mentions") - 1) + SEVERAL * (F.col("n_terms") - 1))
     order = Window.partitionBy("request_id").orderBy(F.desc("score"), F.desc("mentions"), "document_id")
     return score.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= limit).select("request_id", "document_id", "mentions", "n_terms", "score", "place")

@@ -43,25 +43,31 @@ def text_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def tokenised(lines: DataFrame, *by: str) -> DataFrame:
-    """One row per token: position, text, char_start, char_end in code points of its line."""
-    gaps = F.regexp_extract_all("line_text", F.lit(f"([{SPACE}]*)([^{SPACE}]+)"), F.lit(1))
-    words = F.regexp_extract_all("line_text", F.lit(f"([{SPACE}]*)([^{SPACE}]+)"), F.lit(2))
-    rows = lines.select(*by, F.posexplode(F.arrays_zip(gaps.alias("gap"), words.alias("token"))).alias("position", "t"))
-    order = Window.partitionBy(*by).orderBy("position")
-    end = F.sum(F.length("t.gap") + F.length("t.token")).over(order)
-    return rows.select(*by, F.col("position").cast("long").alias("position"), F.col("t.token").alias("text"), (end - F.length("t.token")).cast("long").alias("char_start"), end.cast("long").alias("char_end"))
+    """One row per token: position, text, char_start, char_end in code points of its line, and the texts and offsets of the
+    tokens before and after it. All comes from the line's own array, so that no row moves."""
+    shape = F.lit(f"([{SPACE}]*)([^{SPACE}]+)")
+    gaps, words = F.regexp_extract_all("line_text", shape, F.lit(1)), F.regexp_extract_all("line_text", shape, F.lit(2))
+    rows = lines.select(*by, F.arrays_zip(gaps.alias("gap"), words.alias("token")).alias("w"))
+    # the end of each token: a running sum within the array
+    ends = F.aggregate("w", F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + F.length(x["gap"]) + F.length(x["token"]))))
+    rows = rows.select(*by, "w", ends.alias("e")).select(*by, "w", "e", F.posexplode("w").alias("k", "t"))
+    at = lambda step: F.get(F.col("w.token"), F.col("k") + step)
+    end = lambda step: F.get(F.col("e"), F.col("k") + step)
+    return rows.select(
+        *by, F.col("k").cast("long").alias("position"), F.col("t.token").alias("text"), (end(0) - F.length("t.token")).alias("char_start"), end(0).alias("char_end"), at(-1).alias("text_before"), at(1).alias("text_after"), end(1).alias("end_after")
+    )
 
 
 @F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFKC", t).strip())
+    return text.map(lambda t: unicodedata.normalize("NFKC", t).strip(), na_action="ignore")
 
 
 def normalised(tokens: DataFrame) -> DataFrame:
-    """NFKC and strip; ASCII rows stay in generated code, only the others visit Python. Empty tokens go, positions close up."""
-    ascii_only = tokens.where(~F.col("text").rlike("[^\\x00-\\x7F]")).withColumn("normalized_text", F.trim("text"))
-    others = tokens.where(F.col("text").rlike("[^\\x00-\\x7F]")).withColumn("normalized_text", _nfkc("text"))
-    return ascii_only.unionByName(others).where("normalized_text <> ''")
+    """NFKC and strip in one pass; ASCII tokens stay in generated code, the Python function gets a null for them. Empty tokens go."""
+    plain = ~F.col("text").rlike("[^\\x00-\\x7F]")
+    rows = tokens.drop("text_before", "text_after", "end_after").withColumn("normalized_text", F.coalesce(F.when(plain, F.trim("text")), _nfkc(F.when(~plain, F.col("text")))))
+    return rows.where("normalized_text <> ''")
 
 
 def token_counts(tokens: DataFrame) -> DataFrame:

@@ -100,7 +100,7 @@ PARTS = {
     sha256(concat_ws('|', document_id, checksum, '1.0', '1.1', subject_key, statement_type, object_key, 'rule:' || statement_type, '1.0', '1.0')) as statement_key from cand where candidates = 1""",
     "rv": """
   select event_id * 1000 + row_number() over (partition by event_id order by statement_key) as review_id, document_id, statement_key, decision, reason, comment, user_id as reviewer, ts as recorded_at from (
-    select e.*, (e.event_id * 7) % 15001 + 1 as doc, case event_type when 'purchase' then 'approved' when 'signup' then 'approved' when 'error' then 'rejected' else 'needs_investigation' end as decision,
+    select e.*, (e.event_id * 7) % (select max(l_orderkey) + 1 from lineitem) + 1 as doc, case event_type when 'purchase' then 'approved' when 'signup' then 'approved' when 'error' then 'rejected' else 'needs_investigation' end as decision,
       case event_id % 3 when 0 then 'insufficient_evidence' when 1 then 'confirmed_by_source' else 'other' end as reason, case when event_id % 4 > 0 then 'seen' end as comment from events e) r
   join st on st.document_id = r.doc""",
     "lr": "select * from (select *, row_number() over (partition by document_id, statement_key order by recorded_at desc, review_id desc) as k from rv) where k = 1",
@@ -119,8 +119,8 @@ PARTS = {
     "qs": "select project_id || ':' || designation as query_id, project_id, designation from (select distinct project_id, designation from ent where kind = 'designation' union select distinct project_id, lower(designation) from ent where kind = 'designation')",
     "am": """
   select query_id, project_id, node_id, label, min(precedence) as precedence from (
-    select q.query_id, q.project_id, n.node_id, n.label, k as precedence from qs q join nodes n on q.project_id = n.project_id and n.node_kind = 'engineering_asset', range(3) r(k)
-    where case k when 0 then q.designation = n.label when 1 then lower(q.designation) = lower(n.label) else lower(regexp_replace(q.designation, '[^\\p{L}\\p{N}]', '', 'g')) = lower(regexp_replace(n.label, '[^\\p{L}\\p{N}]', '', 'g')) end) group by all""",
+    select q.query_id, q.project_id, n.node_id, n.label, k as precedence from qs q join nodes n on q.project_id = n.project_id and n.node_kind = 'engineering_asset', range(1, 5) r(k)
+    where case k when 1 then q.designation = n.label when 2 then lower(q.designation) = lower(n.label) when 3 then lower(q.designation) = lower(cast(n.value as varchar)) else lower(regexp_replace(q.designation, '[^\\p{L}\\p{N}]', '', 'g')) = lower(regexp_replace(n.label, '[^\\p{L}\\p{N}]', '', 'g')) end) group by all""",
 }
 
 

@@ -271,7 +271,7 @@ def _(t):
 
 @query("a20_project_intelligence", f"""with {PROJECTS}, n as (select p.project_id, count(d.document_id) as document_count from projects p left join docs d using (project_id) group by p.project_id),
 c as (select *, case when document_count = 0 then 0 when document_count < 5 then least(document_count * 20, 80) else 100 end as completion from n),
-h as (select *, least(40 + cast(completion * 60 / 100 as int), 100) as health from c) select *, case when health >= 80 then 'low' when health >= 55 then 'medium' else 'high' end as risk from h""")
+h as (select *, least(40 + cast(completion * 60 / 100 as int), 100) as health from c) select *, case when health >= 80 then 'low' when health >= 55 then 'medium' else 'high' end as risk, case when completion >= 100 then 'ready' when completion > 0 then 'partially_ready' else 'not_ready' end as readiness, case when document_count = 0 then 'load_first_documents' when document_count < 5 then 'complete_document_set' else 'verify_revisions' end as next_action from h""")
 def _(t):
     return ledger.project_intelligence(projects(t), registry(t))
 
@@ -808,11 +808,6 @@ def _(t):
     return dialogue.prompt_records(t.read("conversations"))
 
 
-@query("o13_response_status", "select conv_id, case when r = 0 then 'empty' when r / n < 1 then 'partial' else 'complete' end as status, case when r = 0 then 'high' when r / n < 0.5 then 'medium' when r / n < 1 then 'low' else 'none' end as uncertainty from (select conv_id, count(*) filter (role = 'assistant') as r, count(distinct turn) as n from conversations group by conv_id)")
-def _(t):
-    return dialogue.response_status(dialogue.conversation_statistics(t.read("conversations")))
-
-
 @query("o21_action_counts", "select time_bucket(interval 1 hour, ts) as window_start, event_type, count(*) as n from events group by all")
 def _(t):
     return incremental.action_counts(t.read("events"))

@@ -48,15 +48,76 @@ def prompt_records(messages: DataFrame) -> DataFrame:
     return sections.withColumn("tokens", F.when(F.col("chars") == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(F.col("chars") / 4)))).withColumn("enabled", F.col("lines") > 0)
 
 
-def response_status(counts: DataFrame) -> DataFrame:
-    """empty, partial or complete by a conversation's answers, with its level of uncertainty."""
-    share = F.col("responses") / F.col("turns")
-    status = F.when(F.col("responses") == 0, "empty").when(share < 1, "partial").otherwise("complete")
-    level = F.when(share == 0, "high").when(share < 0.5, "medium").when(share < 1, "low").otherwise("none")
-    return counts.select("conv_id", status.alias("status"), level.alias("uncertainty"))
-
-
-def declared_verdict(messages: DataFrame) -> DataFrame:
-    """The first non-blank line of an answer as a token."""
-    line = F.regexp_extract("text", "^\\s*([^\\n]*)", 1)
-    return messages.where("role = 'assistant'").select("conv_id", "turn", F.upper(F.regexp_replace(F.regexp_extract(line, "^([A-Za-z]+)", 1), "[^A-Za-z]", "")).alias("verdict"))
+def session_states(activity: DataFrame, idle: str = "2 hours", life: str = "12 hours") -> DataFrame:
+    """State of a session at each of its events (session, event_id, ts, ends): revoked once an event ended it, else expired ``life`` after
+    its start, else idle ``idle`` after the event before, else active."""
+    order = Window.partitionBy("session").orderBy("ts", "event_id")
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = activity.withColumns({"created": F.min("ts").over(Window.partitionBy("session")), "seen": F.lag("ts").over(order), "ended": F.coalesce(F.max(F.col("ends").cast("int")).over(past), F.lit(0)) > 0})
+    last = F.coalesce("seen", "created")
+    state = F.when(F.col("ended"), "revoked").when(F.col("ts") >= F.col("created") + F.expr(f"interval {life}"), "expired").when(F.col("ts") >= last + F.expr(f"interval {idle}"), "idle").otherwise("active")
+    return rows.select("session", "event_id", state.alias("state"))
+
+
+def response_status(blocks: DataFrame) -> DataFrame:
+    """Status of each response from its blocks (response_id, kind, text, finish; no kind: no content): empty, unsupported without a text, partial
+    with a block of another kind or if it was cut short, else complete."""
+    text = (F.col("kind") == "text") & (F.coalesce(F.trim("text"), F.lit("")) != "")
+    sums = blocks.groupBy("response_id").agg(F.count("kind").alias("blocks"), F.count_if(text).alias("texts"), F.count_if(F.col("kind") != "text").alias("others"), F.max(F.col("finish").isin("maximum_output_reached", "stop_sequence")).alias("cut"))
+    status = F.when(F.col("blocks") == 0, "empty").when(F.col("texts") == 0, "unsupported").when((F.col("others") > 0) | F.col("cut"), "partial").otherwise("complete")
+    return sums.select("response_id", status.alias("status"))
+
+
+# Ranks of uncertainty, words of a verdict, priority and lifetime of memory entries.
+RANKS = (("low", 0), ("medium", 1), ("unknown", 2), ("high", 3))
+VERDICTS = ("SUPPORTED", "NOT_SUPPORTED", "INSUFFICIENT_EVIDENCE", "CONFLICTING_EVIDENCE")
+MEMORY = (("open_question", "high", "turn"), ("recent_engineering_response", "low", "conversation"), ("active_reference", "medium", "conversation"), ("assumption", "medium", "conversation"), ("constraint", "high", "conversation"))
+
+
+def uncertainty(rows: DataFrame) -> DataFrame:
+    """Worst level and the reasons of each response (status, ambiguous, retrieved, completeness)."""
+    part, c = F.col("status"), F.col("completeness")
+    said = F.array_compact(F.array(
+        F.when(part == "empty", F.struct(F.lit(2).alias("rank"), F.lit("no_content").alias("reason"))), F.when(F.col("ambiguous"), F.struct(F.lit(3), F.lit("ambiguous_query"))), F.when(F.col("retrieved") == 0, F.struct(F.lit(3), F.lit("nothing_retrieved"))).when(c < 0.5, F.struct(F.lit(3), F.lit("low_completeness"))).when(c < 1, F.struct(F.lit(1), F.lit("part_left_out"))),
+        F.when(part == "unsupported", F.struct(F.lit(3), F.lit("no_usable_text"))).when(part == "partial", F.struct(F.lit(1), F.lit("not_in_full"))),
+    ))
+    rows = rows.withColumn("said", said)
+    worst = F.coalesce(F.array_max(F.transform("said", lambda x: x["rank"])), F.lit(0))
+    level = F.create_map(*(F.lit(x) for name, rank in RANKS for x in (rank, name)))[worst]
+    return rows.select("request_id", level.alias("level"), F.array_join(F.transform("said", lambda x: x["reason"]), ",").alias("reasons"))
+
+
+def declared_verdict(answers: DataFrame) -> DataFrame:
+    """response_id, outcome, stated: the first line of an answer if it is one of the four words (a colon or full stop may follow); without
+    evidence the outcome is insufficient whatever it says."""
+    line = F.trim(F.regexp_extract("text", "^\\s*([^\\n]*)", 1))
+    word = F.upper(F.trim(F.rtrim(line, F.lit(":."))))
+    said = F.when(word.isin(*VERDICTS), F.lower(word))
+    return answers.select("response_id", F.when(F.col("evidence") == 0, "insufficient_evidence").otherwise(said).alias("outcome"), said.isNotNull().alias("stated"))
+
+
+def memory_entries(messages: DataFrame, most: int = 5) -> DataFrame:
+    """What a conversation remembers, in order: its open question, its newest answers, their distinct references (first words, in the order
+    first seen), and what the newest answer assumes (its length) and is bound by (its turn)."""
+    kinds = {k: n for n, (k, _, _) in enumerate(MEMORY)}
+    entry = lambda df, kind, rank, content: df.select("conv_id", F.lit(kinds[kind]).alias("place"), F.lit(kind).alias("entry_type"), rank.cast("long").alias("rank"), content.alias("content"))
+    recent = recent_responses(messages, most)
+    question = entry(open_questions(messages), "open_question", F.lit(0), F.col("question"))
+    answers = entry(recent, "recent_engineering_response", F.col("place"), F.col("text"))
+    first = recent.select("conv_id", F.regexp_extract("text", "^\\s*(\\S*)", 1).alias("reference"), "place").where("reference <> ''").groupBy("conv_id", "reference").agg(F.min("place").alias("place"))
+    references = entry(first, "active_reference", F.col("place"), F.col("reference"))
+    newest = recent.where("place = 1")
+    assumed = entry(newest, "assumption", F.lit(0), F.concat(F.lit("length:"), F.length("text").cast("string")))
+    bound = entry(newest, "constraint", F.lit(0), F.concat(F.lit("turn:"), F.col("turn").cast("string")))
+    rows = question.unionByName(answers).unionByName(references).unionByName(assumed).unionByName(bound)
+    policy = F.broadcast(messages.sparkSession.createDataFrame(list(MEMORY), "entry_type string, priority string, lifetime string"))  # five rows
+    k = F.row_number().over(Window.partitionBy("conv_id").orderBy("place", "rank", "content")) - 1
+    return rows.withColumn("sequence", k.cast("long")).join(policy, "entry_type").select("conv_id", "sequence", "entry_type", "content", "priority", "lifetime")
+
+
+def reasoning_report(results: DataFrame) -> DataFrame:
+    """Message and number of supports of each reasoning result: conflict, ambiguity, insufficiency or agreement."""
+    v = F.col("verdict")
+    kind = F.when(v.isin("inconsistent", "unsupported_comparison"), "conflict").when(v == "ambiguous", "ambiguity").when(v.isin("no_subject", "no_required_quantity", "unparsable_value"), "insufficient").otherwise("agreement")
+    supports = F.when(F.col("contributors") == "", 0).otherwise(F.size(F.split("contributors", ","))).cast("long")
+    return results.select("result_id", kind.alias("message_kind"), supports.alias("n_supports"), F.concat_ws(" ", "designation", F.regexp_replace(v, "_", " ")).alias("message"))

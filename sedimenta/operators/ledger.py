@@ -54,13 +54,42 @@ def contains_text(column: str, text: str) -> Column:
     return F.contains(F.lower(column), F.lower(F.lit(text)))
 
 
+def registry_page(rows: DataFrame, key: str, search: tuple[str, ...], text: str, sort: str, descending: bool, page: int, size: int = 25, **equal: str) -> DataFrame:
+    """A page (from 1) of a register: equality filters, a text that one of the ``search`` columns contains, one sort column either way
+    with the key as tie-break; ``total`` and ``pages`` before the cut."""
+    size, wanted = max(1, min(100, size)), F.lit(False)
+    for c in search:
+        wanted = wanted | F.coalesce(contains_text(c, text), F.lit(False))
+    for c, v in equal.items():
+        wanted = wanted & (F.col(c) == v)
+    order = F.desc(sort) if descending else F.asc(sort)
+    return page_of(rows, wanted, [order, F.asc(key)], (max(1, page) - 1) * size, size).withColumn("pages", F.ceil(F.col("total") / size))
+
+
 def project_intelligence(projects: DataFrame, documents: DataFrame) -> DataFrame:
-    """Documents, completion, health and risk of each project."""
+    """Documents, completion, health, risk, readiness and next action of each project."""
     n = documents.groupBy("project_id").agg(F.count("*").alias("n"))
     rows = projects.join(n, "project_id", "left").withColumn("document_count", F.coalesce("n", F.lit(0)))
     rows = rows.withColumn("completion", F.when(F.col("document_count") == 0, 0).when(F.col("document_count") < 5, F.least(F.col("document_count") * 20, F.lit(80))).otherwise(100))
     rows = rows.withColumn("health", F.least(F.lit(40) + F.bround(F.col("completion") * 60 / 100).cast("int"), F.lit(100)))
-    return rows.select("project_id", "document_count", "completion", "health", F.when(F.col("health") >= 80, "low").when(F.col("health") >= 55, "medium").otherwise("high").alias("risk"))
+    readiness = F.when(F.col("completion") >= 100, "ready").when(F.col("completion") > 0, "partially_ready").otherwise("not_ready")
+    action = F.when(F.col("document_count") == 0, "load_first_documents").when(F.col("document_count") < 5, "complete_document_set").otherwise("verify_revisions")
+    return rows.select("project_id", "document_count", "completion", "health", F.when(F.col("health") >= 80, "low").when(F.col("health") >= 55, "medium").otherwise("high").alias("risk"), readiness.alias("readiness"), action.alias("next_action"))
+
+
+def visible(projects: DataFrame, include_deleted: bool = False) -> DataFrame:
+    """Projects, deleted ones only if asked for, the newest first."""
+    rows = projects if include_deleted else projects.where("state <> 'deleted'")
+    return rows.orderBy(F.desc("created_at"), F.desc("project_id"))
+
+
+def definition_attributes(definitions: DataFrame, attributes: DataFrame) -> DataFrame:
+    """definition_id, attribute_id, refused, required, default_value: each reference of a definition (array of structs ``refs``:
+    attribute_id, required, default_value) against the attributes; unknown ids are refused, ``required`` is true unless said otherwise."""
+    refs = definitions.select("definition_id", F.explode("refs").alias("r")).select("definition_id", "r.*")
+    known = attributes.select("attribute_id", F.lit(True).alias("known"))
+    rows = refs.join(known, "attribute_id", "left")
+    return rows.select("definition_id", "attribute_id", F.col("known").isNull().alias("refused"), F.coalesce("required", F.lit(True)).alias("required"), "default_value")
 
 
 def duplicate_ids(rows: DataFrame, of: str) -> DataFrame:
@@ -77,9 +106,3 @@ def first_by_alias(names: DataFrame, catalogue: DataFrame) -> DataFrame:
     known = catalogue.select("entry_id", "rank", F.explode(F.array_union(F.array("entry_id", "entry_name"), "aliases")).alias("alias")).select("entry_id", "rank", F.lower(F.trim("alias")).alias("folded")).distinct()
     found = names.withColumn("folded", F.lower(F.trim("name"))).join(known, "folded")
     return found.groupBy("name").agg(F.min_by("entry_id", "rank").alias("entry_id"))
-
-
-def activity_state(seen: DataFrame, now: Column, idle: str = "2 hours", life: str = "12 hours") -> DataFrame:
-    """revoked, expired, idle or active, from created_at, last_seen and revoked."""
-    state = F.when(F.col("revoked"), "revoked").when(now >= F.col("created_at") + F.expr(f"interval {life}"), "expired").when(now >= F.col("last_seen") + F.expr(f"interval {idle}"), "idle").otherwise("active")
-    return seen.withColumn("state", state)

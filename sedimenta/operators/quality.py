@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PLACE = ["document_id", "line_index", "token_start", "token_end"]
+#: What is compared, in this order, with the short names of both sides' columns; then where it stands and whose rule saw it.
+FIELDS = {"kind": "kind", "observed_text": "text", "status": "status", "value": "value", "unit": "unit", "designation": "designation", "char_start": "start", "char_end": "end", "rule_id": "rule", "rule_version": "version"}
+POLICIES = ("exact", "location_only")
 
 
 def pairings(expected: DataFrame, found: DataFrame) -> DataFrame:
     """Expected and found observations of one place: equal kinds in order first, then a lone pair of leftovers; more
     leftovers stay apart, each with its own row. Both sides are one table, dealt by place once."""
-    fields = ["kind", "observed_text", "status"]
+    fields = list(FIELDS)
     tagged = lambda d, side: d.select(*PLACE, *fields, F.lit(side).alias("side"))
     rows = tagged(expected, "e").unionByName(tagged(found, "f")).repartition(*PLACE)
     rows = rows.withColumn("k", F.row_number().over(Window.partitionBy(*PLACE, "kind", "side").orderBy("observed_text", "status")))
@@ -22,17 +25,28 @@ def pairings(expected: DataFrame, found: DataFrame) -> DataFrame:
     met = met.withColumns({f"n{s}": F.sum(x.cast("long")).over(place) for s, x in only.items()} | {"left_f": F.max(F.when(only["f"], F.col("f"))).over(place)})
     lone = (F.col("ne") == 1) & (F.col("nf") == 1)
     met = met.where(~(lone & only["f"])).withColumn("f", F.when(lone & only["e"], F.col("left_f")).otherwise(F.col("f")))
-    names = {"kind": "kind", "observed_text": "text", "status": "status"}
-    return met.select(*PLACE, *(F.col(f"{s}.{c}").alias(f"{s}_{n}") for c, n in names.items() for s in ("e", "f")))
+    return met.select(*PLACE, *(F.col(f"{s}.{c}").alias(f"{s}_{n}") for c, n in FIELDS.items() for s in ("e", "f")))
 
 
-def classified(pairs: DataFrame) -> DataFrame:
+def differing(policy: str = "exact") -> Column:
+    """The first field that differs between both sides of a pair, null if none does. Places are equal; under ``exact`` provenance the
+    character ranges must be too, under ``location_only`` they need not."""
+    if policy not in POLICIES:
+        raise ValueError(f"unknown provenance policy {policy}")
+    unlike = lambda *names: ~F.lit(True).eqNullSafe(F.expr(" and ".join(f"e_{n} <=> f_{n}" for n in names)))
+    ladder = F.when(F.col("f_kind").isNull(), "missing").when(F.col("e_kind").isNull(), "unexpected")
+    for reason, names in (("kind", ("kind",)), ("text", ("text",)), ("status", ("status",)), ("quantity", ("value", "unit")), ("designation", ("designation",)), *((("provenance", ("start", "end")),) if policy == "exact" else ())):
+        ladder = ladder.when(unlike(*names), reason)
+    return ladder
+
+
+def classified(pairs: DataFrame, policy: str = "exact") -> DataFrame:
     """true_positive; or the first field that differs, which costs one false positive and one false negative."""
-    reason = F.when(F.col("f_kind").isNull(), "missing").when(F.col("e_kind").isNull(), "unexpected").when(F.col("e_kind") != F.col("f_kind"), "kind").when(F.col("e_text") != F.col("f_text"), "text").when(F.col("e_status") != F.col("f_status"), "status")
-    rows = pairs.withColumn("reason", reason)
+    rows = pairs.withColumn("reason", differing(policy))
     outcome = F.when(F.col("reason").isNull(), F.array(F.lit("true_positive"))).when(F.col("reason") == "missing", F.array(F.lit("false_negative"))).when(F.col("reason") == "unexpected", F.array(F.lit("false_positive"))).otherwise(F.array(F.lit("false_positive"), F.lit("false_negative")))
     rows = rows.withColumn("outcome", F.explode(outcome))
-    return rows.withColumn("kind", F.when(F.col("outcome") == "false_positive", F.col("f_kind")).otherwise(F.col("e_kind"))).withColumn("observed_text", F.when(F.col("outcome") == "false_positive", F.col("f_text")).otherwise(F.col("e_text")))
+    side = lambda n: F.when(F.col("outcome") == "false_positive", F.col(f"f_{n}")).otherwise(F.col(f"e_{n}"))
+    return rows.withColumns({"kind": side("kind"), "observed_text": side("text"), "rule": F.concat_ws("@", side("rule"), side("version"))})
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -40,13 +54,40 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, F.bround(a.cast("decimal(28,10)") / b.cast("decimal(28,10)"), 6).cast("double"))
 
 
+COUNTS = (("true_positive", "tp"), ("false_positive", "fp"), ("false_negative", "fn"))
+
+
+def counts() -> list[Column]:
+    return [F.count_if(F.col("outcome") == o).alias(n) for o, n in COUNTS]
+
+
 def metrics(rows: DataFrame) -> DataFrame:
     """Counts, precision, recall and F1 overall (kind null) and by kind."""
-    sums = rows.groupingSets([["kind"], []], "kind").agg(*(F.count_if(F.col("outcome") == o).alias(n) for o, n in (("true_positive", "tp"), ("false_positive", "fp"), ("false_negative", "fn"))))
+    sums = rows.groupingSets([["kind"], []], "kind").agg(*counts())
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return sums.select("kind", "tp", "fp", "fn", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), F.when(tp > 0, ratio(2 * tp, 2 * tp + fp + fn)).alias("f1"), ((fp == 0) & (fn == 0)).alias("perfect"))
 
 
+def breakdowns(rows: DataFrame) -> DataFrame:
+    """Counts and precision by rule@version and by document, in one pass."""
+    sums = rows.groupingSets([["rule"], ["document_id"]], "rule", "document_id").agg(*counts())
+    by_rule = F.col("document_id").isNull()
+    tp, fp = F.col("tp"), F.col("fp")
+    return sums.select(F.when(by_rule, "rule").otherwise("document").alias("dimension"), F.when(by_rule, F.col("rule")).otherwise(F.col("document_id").cast("string")).alias("name"), "tp", "fp", "fn", ratio(tp, tp + fp).alias("precision"))
+
+
+def corpus_faults(corpus: DataFrame, lines: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """document_id, code, n: what is wrong with the rows of a reference corpus (id, document_id, line_index, kind, observed_text, value_text)."""
+    cited = lines.select("document_id", "line_index", F.lit(True).alias("cited"))
+    twice = corpus.groupBy("id").agg(F.count("*").alias("times")).where("times > 1").select("id", F.lit(True).alias("twice"))
+    rows = corpus.join(cited, ["document_id", "line_index"], "left").join(twice, "id", "left")
+    codes = F.array_compact(F.array(
+        F.when(F.col("observed_text").isNull() | F.col("kind").isNull(), "required_field"), F.when(~F.col("kind").isin(*kinds), "undeclared_kind"), F.when(F.col("value_text").isNotNull() & ~F.col("value_text").rlike("^-?[0-9]+([.][0-9]+)?$"), "not_decimal"),
+        F.when(F.col("twice"), "repeated_id"), F.when(F.col("cited").isNull(), "line_absent"),
+    ))
+    return rows.select("document_id", F.explode(codes).alias("code")).groupBy("document_id", "code").agg(F.count("*").alias("n"))
+
+
 def regressions(before: DataFrame, after: DataFrame) -> DataFrame:
     """Errors that are new, and errors that are gone, by outcome, kind, text and place (the document included)."""
     cols = ["outcome", "kind", "observed_text", *PLACE]

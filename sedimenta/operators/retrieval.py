@@ -42,6 +42,38 @@ def outcomes(queries: DataFrame, matches: DataFrame) -> DataFrame:
     return rows.select("query_id", "total", F.when(F.col("total") == 0, "no_match").when(F.col("total") == 1, "unique_match").otherwise("multiple_matches").alias("outcome"))
 
 
+def in_scope(rows: DataFrame, scope: str) -> DataFrame:
+    """``current``: active rows; ``current_and_historical``: historical ones too."""
+    return rows.where(F.col("state").isin(*(("active",) if scope == "current" else ("active", "historical"))))
+
+
+def result_ids(matches: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All results of each query with their ids - ``kind:node``, ``relationship:edge``, ``kind:edge:node`` - the first occurrence of each kept."""
+    assets = matches.select("query_id", "precedence", F.concat_ws(":", F.lit("engineering_asset"), "node_id").alias("result_id"), F.lit(0).alias("source"))
+    at = matches.join(edges.select(F.col("subject_id").alias("node_id"), "edge_id", "object_id"), "node_id")
+    relations = at.select("query_id", F.lit(5).alias("precedence"), F.concat_ws(":", F.lit("relationship"), "edge_id").alias("result_id"), F.lit(1).alias("source"))
+    ends = at.join(nodes.select(F.col("node_id").alias("object_id"), "node_kind"), "object_id")
+    objects = ends.select("query_id", F.lit(5).alias("precedence"), F.concat_ws(":", "node_kind", "edge_id", "object_id").alias("result_id"), F.lit(2).alias("source"))
+    rows = assets.unionByName(relations).unionByName(objects)
+    return rows.groupBy("query_id", "result_id").agg(F.min(F.struct("precedence", "source")).alias("first")).select("query_id", "result_id", F.col("first.precedence").cast("long").alias("precedence"))
+
+
+def first_entries(entries: DataFrame, natural: list[str]) -> DataFrame:
+    """Index entries once each: by id, then by natural key; the oldest stays."""
+    k = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("recorded_at", "entry_id"))
+    once = entries.withColumn("k", k("entry_id")).where("k = 1").drop("k")
+    return once.withColumn("k", k(*natural)).where("k = 1").drop("k")
+
+
+def with_metadata(ranked: DataFrame, metadata: DataFrame, total: DataFrame) -> DataFrame:
+    """Of each request: how many of its documents lack metadata, and the warnings that its result carries."""
+    rows = ranked.join(metadata.select("document_id", F.lit(True).alias("held")), "document_id", "left")
+    sums = rows.groupBy("request_id").agg(F.count("*").alias("returned"), F.count_if(F.col("held").isNull()).alias("missing"))
+    rows = total.join(sums, "request_id", "left").fillna(0, ["matched", "returned", "missing"])
+    warnings = F.array_compact(F.array(F.when(F.col("matched") == 0, "no_match"), F.when(F.col("matched") > F.col("returned"), "truncated"), F.when(F.col("missing") > 0, "missing_metadata")))
+    return rows.select("request_id", "matched", "returned", "missing", F.array_join(warnings, ",").alias("warnings"))
+
+
 def related_objects(matches: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Objects that the found assets' edges lead to, each result once."""
     ends = nodes.select(F.col("node_id").alias("object_id"), F.col("label").alias("object_label"), "node_kind")
@@ -93,6 +125,24 @@ def quantity_consistency(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return sums.withColumn("verdict", verdict)
 
 
+def package_consistency(asked: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Verdict of each question (document_id, designation) over the package of its document: whose quantities agree, with the
+    contributors in order and an id that follows from all of it. A document's nodes meet, never more."""
+    assets = nodes.where("node_kind = 'engineering_asset'").select("document_id", alphanumeric(F.col("label")).alias("name"), F.col("node_id").alias("subject_id"))
+    values = nodes.where("node_kind = 'engineering_quantity'").select("document_id", F.col("node_id").alias("object_id"), F.col("label").alias("quantity"), "value", "unit", F.col("statement_key").alias("source"))
+    held = edges.where("edge_kind = 'has_rated_power'").select("document_id", "subject_id", "object_id").join(values, ["document_id", "object_id"])
+    rows = asked.withColumn("name", alphanumeric(F.col("designation"))).join(assets, ["document_id", "name"], "left").join(held, ["document_id", "subject_id"], "left")
+    one = F.struct(F.col("quantity").alias("order_key"), F.col("object_id").alias("id"), F.col("source"))
+    sums = rows.groupBy("document_id", "designation").agg(F.countDistinct("subject_id").alias("subjects"), F.count("object_id").alias("n"), F.count("value").alias("parsed"), F.countDistinct("value").alias("n_values"), F.countDistinct("unit").alias("n_units"), F.array_sort(F.collect_set(F.when(F.col("object_id").isNotNull(), one))).alias("c"))
+    verdict = (
+        F.when(F.col("subjects") > 1, "ambiguous").when(F.col("subjects") == 0, "no_subject").when(F.col("n") == 0, "no_required_quantity").when(F.col("parsed") == 0, "unparsable_value")
+        .when(F.col("n_units") > 1, "unsupported_comparison").when(F.col("n_values") > 1, "inconsistent").when(F.col("n") == 1, "single_value").otherwise("values_equal")
+    )
+    sums = sums.withColumn("contributors", F.array_join(F.transform("c", lambda x: x["id"]), ",")).withColumn("verdict", verdict)
+    parts = F.concat_ws(UNIT_SEPARATOR, F.lit("reasoning"), F.lit("quantity_consistency"), F.lit("1.0"), "designation", F.col("document_id").cast("string"), "verdict", "contributors")
+    return sums.select("document_id", "designation", "subjects", "n", "verdict", "contributors", F.sha2(parts, 256).alias("result_id"))
+
+
 def shared_locations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Of each location and project: its assets, in order, as one row; pairs are read off it and never multiplied out."""
     assets = nodes.where("node_kind = 'engineering_asset'").select(F.col("node_id").alias("subject_id"), F.col("label").alias("asset"), "project_id")

@@ -2,11 +2,13 @@
 
 Each text gets statistics of its words, symbols, repeated lines and repeated word windows. Transformed, they
 are a vector; per language and source the minimum-covariance-determinant estimate of its centre and spread is
-found by concentration steps (keep the ``core`` share of rows nearest to the estimate, estimate anew) and one
-reweighting step, and a text is rejected if its squared Mahalanobis distance is over ``cutoff``.
+found from three starts (medians and deviations from them; mean and covariance of all rows; those of the half nearest
+to the medians) by concentration steps: keep the ``CORE`` share of rows nearest to the estimate, estimate anew, until no
+determinant falls any more. The start with the least determinant counts; one reweighting step follows. A text is
+rejected if its squared Mahalanobis distance is beyond the ``quantile`` of the chi-square distribution.
 
-Estimates are sums over all rows of a group, merged before the shuffle; quantiles are mergeable sketches. No
-row is sampled, and a source that holds a third of all rows is only more partial sums. Groups of fewer than
+Estimates are sums over all rows of a group, merged before the shuffle; quantiles are mergeable sketches. Estimates go
+to the rows (broadcast up to ``SHARED_GROUPS`` of them, counted first), rows move nowhere. No row is sampled, and a source that holds a third of all rows is only more partial sums. Groups of fewer than
 ``least`` fitting rows take the estimate of their language, and languages with fewer that of all rows. ``floors``
 are added to the spread of each statistic (in the sense of a standard deviation), so that statistics that are
 zero for most texts don't make every other value an outlier.
@@ -17,6 +19,8 @@ own; equal rows get equal verdicts; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +33,21 @@ STATISTICS = ("x1", "x2", "x3", "x4")
 FLOORS = (0.08, 0.05, 0.11, 0.085)
 #: Makes the spread of the core 75 % of normal rows in 4 dimensions that of all of them: 0.75 / P(chi2_6 <= q), q the 75 % point of chi2_4.
 CORE, CONSISTENCY = 0.75, 1.495
-#: 97.5 % point of chi2_4, for the reweighting step; and the cutoff of the verdict.
-REWEIGHT, CUTOFF = 11.143, 25.0
+#: Points of chi2_4 for the reweighting step and the verdict.
+REWEIGHT, QUANTILE = 0.975, 0.99995
+#: A determinant that falls by less than this share has stopped.
+STILL = 1e-3
+#: Estimates (about 200 bytes each) that are sent to all tasks; more are joined by shuffle.
+SHARED_GROUPS = 50_000
+
+
+def chi_square_point(quantile: float) -> float:
+    """Where the chi-square distribution of 4 degrees, 1 - (1 + x / 2) exp(-x / 2), reaches ``quantile``."""
+    low, high = 0.0, 2000.0
+    for _ in range(100):
+        x = (low + high) / 2
+        low, high = (x, high) if (1 + x / 2) * math.exp(-x / 2) > 1 - quantile else (low, x)
+    return low
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
@@ -99,22 +116,34 @@ def every_level(rows: DataFrame) -> DataFrame:
 
 def start(rows: DataFrame) -> DataFrame:
     """Medians and absolute deviations from them, as centre and (diagonal) spread of each group."""
-    medians = rows.groupBy("grp").agg(*(F.percentile_approx(x, 0.5, 10_000).alias(f"m{k}") for k, x in enumerate(STATISTICS)))
-    off = rows.join(medians, "grp").groupBy("grp").agg(F.count("*").alias("size"), *(F.first(f"m{k}").alias(f"m{k}") for k in range(4)), *((F.percentile_approx(F.abs(F.col(x) - F.col(f"m{k}")), 0.5, 10_000) * 1.4826).alias(f"d{k}") for k, x in enumerate(STATISTICS)))
+    medians = stored(rows.groupBy("grp").agg(F.count("*").alias("size"), *(F.percentile_approx(x, 0.5, 10_000).alias(f"m{k}") for k, x in enumerate(STATISTICS))), "estimates")
+    off = rows.join(shared(medians), "grp").groupBy("grp").agg(*((F.percentile_approx(F.abs(F.col(x) - F.col(f"m{k}")), 0.5, 10_000) * 1.4826).alias(f"d{k}") for k, x in enumerate(STATISTICS)))
     spread = [F.when(F.lit(i == j), F.col(f"d{i}") ** 2).otherwise(0.0).alias(f"c{i}{j}") for i in range(4) for j in range(i + 1)]
-    return off.select("grp", "size", *(f"m{k}" for k in range(4)), *spread)
+    return medians.join(off, "grp").select("grp", F.lit(0).alias("start"), "size", *(f"m{k}" for k in range(4)), *spread)
 
 
-def moments(rows: DataFrame, scale: float) -> DataFrame:
-    """Centre and spread of each group's rows."""
+def moments(rows: DataFrame, scale: float, *more: str) -> DataFrame:
+    """Centre and spread of the rows of each group (and ``more`` columns)."""
     pairs = [(i, j) for i in range(4) for j in range(i + 1)]
     x = [F.col(s) for s in STATISTICS]
-    sums = rows.groupBy("grp").agg(F.count("*").alias("k"), *(F.sum(x[i]).alias(f"s{i}") for i in range(4)), *(F.sum(x[i] * x[j]).alias(f"q{i}{j}") for i, j in pairs))
-    return sums.select("grp", *((F.col(f"s{i}") / F.col("k")).alias(f"m{i}") for i in range(4)), *((scale * (F.col(f"q{i}{j}") / F.col("k") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("k") ** 2)).alias(f"c{i}{j}") for i, j in pairs))
+    sums = rows.groupBy("grp", *more).agg(F.count("*").alias("k"), *(F.sum(x[i]).alias(f"s{i}") for i in range(4)), *(F.sum(x[i] * x[j]).alias(f"q{i}{j}") for i, j in pairs))
+    return sums.select("grp", *more, *((F.col(f"s{i}") / F.col("k")).alias(f"m{i}") for i in range(4)), *((scale * (F.col(f"q{i}{j}") / F.col("k") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("k") ** 2)).alias(f"c{i}{j}") for i, j in pairs))
+
+
+def shared(estimates: DataFrame) -> DataFrame:
+    """Marks written estimates for broadcast if they are counted to be few."""
+    return F.broadcast(estimates) if estimates.count() <= SHARED_GROUPS else estimates
+
+
+def nearest(rows: DataFrame, estimates: DataFrame, share: float) -> DataFrame:
+    """grp, start and statistics of the rows nearest to each estimate."""
+    far = rows.join(shared(estimates), "grp").select("grp", "start", *STATISTICS, distance().alias("d"))
+    edge = stored(far.groupBy("grp", "start").agg(F.percentile_approx("d", share, 10_000).alias("edge")), "edges")
+    return far.join(shared(edge), ["grp", "start"]).where("d <= edge")
 
 
 def factored(estimates: DataFrame, floors: tuple[float, ...]) -> DataFrame:
-    """Adds the Cholesky factor l.. of the spread plus the squared floors."""
+    """Adds the Cholesky factor l.. of the spread plus the squared floors, and its determinant."""
     out = estimates
     for j in range(4):
         left = F.col(f"c{j}{j}") + floors[j] ** 2
@@ -126,7 +155,7 @@ def factored(estimates: DataFrame, floors: tuple[float, ...]) -> DataFrame:
             for k in range(j):
                 cross = cross - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", cross / F.col(f"l{j}{j}"))
-    return out
+    return out.withColumn("det", (F.col("l00") * F.col("l11") * F.col("l22") * F.col("l33")) ** 2)
 
 
 def distance() -> Column:
@@ -140,23 +169,35 @@ def distance() -> Column:
     return y[0] ** 2 + y[1] ** 2 + y[2] ** 2 + y[3] ** 2
 
 
-def covariance_estimates(rows: DataFrame, steps: int = 3, floors: tuple[float, ...] = FLOORS) -> DataFrame:
-    """grp, size, centre, factor of each group of every level, from the rows that pass the base rules."""
+def covariance_estimates(rows: DataFrame, floors: tuple[float, ...] = FLOORS) -> DataFrame:
+    """grp, size, start, steps, centre, factor and determinant of each group of every level, from the rows that pass the base rules."""
     rows = stored(every_level(rows.where(~F.col("base_failed"))).select("grp", *STATISTICS), "vectors")
-    first = stored(start(rows), "estimates")
-    sizes, now = first.select("grp", "size"), factored(first.drop("size"), floors)
-    for _ in range(steps):
-        far = rows.join(now, "grp").select("grp", *STATISTICS, distance().alias("d"))
-        edge = far.groupBy("grp").agg(F.percentile_approx("d", CORE, 10_000).alias("edge"))
-        now = factored(stored(moments(far.join(edge, "grp").where("d <= edge"), CONSISTENCY), "estimates"), floors)
-    far = rows.join(now, "grp").select("grp", *STATISTICS, distance().alias("d")).where(F.col("d") <= REWEIGHT)
-    return factored(stored(moments(far, 1.0).join(sizes, "grp"), "estimates"), floors)
-
-
-def reject_outliers(docs: DataFrame, cutoff: float = CUTOFF, least: int = 60, steps: int = 3, floors: tuple[float, ...] = FLOORS) -> DataFrame:
+    first = stored(factored(start(rows), floors), "estimates")
+    sizes = first.select("grp", "size")
+    plain = moments(rows, 1.0).withColumn("start", F.lit(1))
+    half = moments(nearest(rows, first, 0.5), 1.0).withColumn("start", F.lit(2))
+    now = stored(first.drop("size").unionByName(factored(plain.unionByName(half), floors)).withColumns({"steps": F.lit(0), "fell": F.lit(True)}), "estimates")
+    own = [c for c in now.columns if c not in ("grp", "start")]
+    while True:
+        falling = now.where("fell")
+        if falling.isEmpty():
+            break
+        new = factored(moments(nearest(rows, falling, CORE), CONSISTENCY, "start"), floors)
+        both = now.join(new.select("grp", "start", F.struct(*(c for c in new.columns if c not in ("grp", "start"))).alias("new")), ["grp", "start"], "left")
+        # starts are no core estimates yet: their first step always counts
+        fell = F.coalesce((F.col("steps") == 0) | (F.col("new.det") < F.col("det") * (1 - STILL)), F.lit(False)) & F.col("new").isNotNull()
+        taken = [F.when(fell, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in own if c not in ("steps", "fell")]
+        now = stored(both.select("grp", "start", *taken, (F.col("steps") + fell.cast("int")).alias("steps"), fell.alias("fell")), "estimates")
+    least = now.groupBy("grp").agg(F.min(F.struct("det", "start", *(c for c in own if c not in ("det", "fell")))).alias("e")).select("grp", "e.*")
+    least = stored(least, "estimates")
+    near = rows.join(shared(least), "grp").select("grp", *STATISTICS, distance().alias("d")).where(F.col("d") <= chi_square_point(REWEIGHT))
+    return stored(factored(moments(near, 1.0).join(sizes, "grp").join(least.select("grp", "start", "steps"), "grp"), floors), "estimates")
+
+
+def reject_outliers(docs: DataFrame, quantile: float = QUANTILE, least: int = 60, floors: tuple[float, ...] = FLOORS) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance."""
     rows = stored(transformed(text_statistics(docs)), "statistics")
-    found = covariance_estimates(rows, steps, floors)
+    found = covariance_estimates(rows, floors)
     names = [f"m{k}" for k in range(4)] + [f"l{i}{j}" for i in range(4) for j in range(i + 1)]
     # each group takes the finest estimate that enough rows stand behind
     groups = rows.select("lang", "source").distinct()
@@ -164,9 +205,10 @@ def reject_outliers(docs: DataFrame, cutoff: float = CUTOFF, least: int = 60, st
         own = found.select("grp", F.struct("size", *names).alias(f"e{k}"))
         groups = keyed(groups, k).join(own, "grp", "left").drop("grp")
     best = F.coalesce(F.when(F.col("e0.size") >= least, F.col("e0")), F.when(F.col("e1.size") >= least, F.col("e1")), F.col("e2"))
-    chosen = groups.select("lang", "source", best.alias("e")).select("lang", "source", *(F.col(f"e.{n}").alias(n) for n in names))
-    judged = rows.join(chosen, ["lang", "source"], "left").withColumn("distance", distance())
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"), "distance")
+    chosen = stored(groups.select("lang", "source", best.alias("e")).select("lang", "source", *(F.col(f"e.{n}").alias(n) for n in names)), "estimates")
+    judged = rows.join(shared(chosen), ["lang", "source"], "left").withColumn("distance", distance())
+    near = F.coalesce(F.col("distance") <= chi_square_point(quantile), F.lit(True))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & near).alias("kept"), "distance")
 
 
 def op3_robust_outliers(spark, sf_dir):

@@ -11,6 +11,7 @@ the longest wins; an allowing pattern beats a blocking one; no match means ``all
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -44,14 +45,41 @@ HOST_RULES = (
     HostRule("org", "/es/", "block"),
 )
 
+#: Words that mark a host label, a path segment or a query key, with the verdict of each form.
+WORDS = {
+    "gambling": "baccarat betting bingo blackjack bookmaker casino casinos jackpot lottery poker roulette slots sportsbook wager",
+    "adult": "adult camgirls erotic escort hookup nsfw nude porn sex strip webcam xxx",
+    "pharmacy": "cialis levitra pharmacy pills steroids tramadol valium viagra xanax",
+    "loans": "cashadvance forex loan loans mortgage payday",
+    "advert": "adclick adserver adsystem banner banners clickbank doubleclick popunder popup sponsored tracker tracking",
+    "junk": "cracked crackz keygen proxy replica serialz spam torrent warez",
+}
+SEGMENTS = "addtocart cart checkout feed login logout password print register search signin signup tag tags trackback unsubscribe wishlist"
+KEYS = "affid aspsessionid gclid jsessionid phpsessid print replytocom sessionid share sid"
+
+
+def word_rules() -> Iterator[PatternRule]:
+    """A rule for each word and place; wherever one matches, its words stand alone between other characters than a-z and 0-9."""
+    for kind, words in WORDS.items():
+        for w in words.split():
+            yield PatternRule(f"host:{kind}:{w}", "block", f"://([^/?#]*[^a-z0-9/?#])?{w}[^a-z0-9]", (w,))
+            yield PatternRule(f"path:{kind}:{w}", "block", f"[./-]{w}[./-]", (w,))
+    for w in SEGMENTS.split():
+        yield PatternRule(f"segment:{w}", "block", f"/{w}([/?#.]|$)", (w,))
+    for w in KEYS.split():
+        yield PatternRule(f"key:{w}", "block", f"[?&;]{w}=", (w,))
+    for a in ("account", "member", "user", "users"):
+        for b in ("edit", "login", "preferences", "profile", "settings"):
+            yield PatternRule(f"account:{a}:{b}", "block", f"/{a}/{b}([/?#]|$)", (a, b))
+
+
 PATTERN_RULES = (
     PatternRule("link-farm", "block", r"://([^/?#]*\.)?spam-farm\.", ("spam", "farm")),
-    PatternRule("pill-shop", "block", r"://([^/?#]*\.)?[a-z]*-?pills\.", ()),  # also in glued hosts (cheappills), where it is no token
-    PatternRule("casino", "block", r"[./-]casino[./-]", ("casino",)),
-    PatternRule("adult", "block", r"://([^/?#]*\.)?(xxx|porn)[a-z0-9-]*\.", ()),
-    PatternRule("session", "block", r"[?&;](phpsessid|jsessionid)=", ()),
-    PatternRule("sign-in", "block", r"/(account|user)/(login|signin|register)([/?#]|$)", ()),
     PatternRule("archive", "allow", r"://web\.archive\.example\.org/", ("web", "archive", "example", "org")),
+    # words that may be glued to others (cheappills, pornsite) are no tokens: tried on every URL
+    PatternRule("pill-shop", "block", r"://([^/?#]*\.)?[a-z]*-?pills\.", ()),
+    PatternRule("adult", "block", r"://([^/?#]*\.)?(xxx|porn)[a-z0-9-]*\.", ()),
+    *word_rules(),
 )
 
 

@@ -77,9 +77,10 @@ MEMORY = (("open_question", "high", "turn"), ("recent_engineering_response", "lo
 def uncertainty(rows: DataFrame) -> DataFrame:
     """Worst level and the reasons of each response (status, ambiguous, retrieved, completeness)."""
     part, c = F.col("status"), F.col("completeness")
+    why = lambda rank, reason: F.struct(F.lit(rank).alias("rank"), F.lit(reason).alias("reason"))
     said = F.array_compact(F.array(
-        F.when(part == "empty", F.struct(F.lit(2).alias("rank"), F.lit("no_content").alias("reason"))), F.when(F.col("ambiguous"), F.struct(F.lit(3), F.lit("ambiguous_query"))), F.when(F.col("retrieved") == 0, F.struct(F.lit(3), F.lit("nothing_retrieved"))).when(c < 0.5, F.struct(F.lit(3), F.lit("low_completeness"))).when(c < 1, F.struct(F.lit(1), F.lit("part_left_out"))),
-        F.when(part == "unsupported", F.struct(F.lit(3), F.lit("no_usable_text"))).when(part == "partial", F.struct(F.lit(1), F.lit("not_in_full"))),
+        F.when(part == "empty", why(2, "no_content")), F.when(F.col("ambiguous"), why(3, "ambiguous_query")), F.when(F.col("retrieved") == 0, why(3, "nothing_retrieved")).when(c < 0.5, why(3, "low_completeness")).when(c < 1, why(1, "part_left_out")),
+        F.when(part == "unsupported", why(3, "no_usable_text")).when(part == "partial", why(1, "not_in_full")),
     ))
     rows = rows.withColumn("said", said)
     worst = F.coalesce(F.array_max(F.transform("said", lambda x: x["rank"])), F.lit(0))

@@ -173,15 +173,24 @@ def _(t: Tables) -> DataFrame:
 
 @query("i07_warnings", _after("""select * from (select request_id, place, item_id, code, row_number() over (partition by request_id order by place, code, item_id) as k from (
   select request_id, 0 as place, '' as item_id, 'budget_exceeded' as code from sel group by request_id having bool_or(not selected) union all
-  select request_id, 1, '', 'none_selected:' || kind from sel group by request_id, kind having not bool_or(selected) union all
-  select request_id, 2, item_id, 'discarded:' || discard_reason from sel where not selected)) where k <= 50"""))
-def _(t: Tables) -> DataFrame:
-    chosen = t.chosen
-    total = chosen.groupBy("request_id").agg(F.bool_or(~F.col("selected")).alias("over")).where("over").select("request_id", F.lit(0).alias("place"), F.lit("").alias("item_id"), F.lit("budget_exceeded").alias("code"))
-    kinds = chosen.groupBy("request_id", "kind").agg(F.bool_or("selected").alias("any")).where("not any").select("request_id", F.lit(1).alias("place"), F.lit("").alias("item_id"), F.concat(F.lit("none_selected:"), "kind").alias("code"))
-    each = chosen.where("not selected").select("request_id", F.lit(2).alias("place"), "item_id", F.concat(F.lit("discarded:"), "discard_reason").alias("code"))
+  select request_id, 1, '', 'ambiguous_retrieval' from sel where kind = 'engineering_asset' group by request_id having count(*) > count(distinct order_key) union all
+  select request_id, 2, '', 'none_selected:' || kind from sel group by request_id, kind having not bool_or(selected) union all
+  select request_id, 3, '', 'partial_coverage' from sel group by request_id having bool_or(not selected and kind <> 'structural_location') union all
+  select request_id, 4, item_id, 'discarded:' || discard_reason from sel where not selected)) where k <= 50"""))
+def _(t: Tables) -> DataFrame:
+    chosen, said = t.chosen, lambda df, place, code: df.select("request_id", F.lit(place).alias("place"), F.lit("").alias("item_id"), code.alias("code"))
+    out = ~F.col("selected")
+    sums = chosen.groupBy("request_id").agg(F.bool_or(out).alias("over"), F.bool_or(out & (F.col("kind") != "structural_location")).alias("partial"))
+    names = chosen.where("kind = 'engineering_asset'").groupBy("request_id", "order_key").agg(F.count("*").alias("n")).where("n > 1").select("request_id").distinct()
+    kinds = chosen.groupBy("request_id", "kind").agg(F.bool_or("selected").alias("any")).where("not any")
+    rows = [said(sums.where("over"), 0, F.lit("budget_exceeded")), said(names, 1, F.lit("ambiguous_retrieval")), said(kinds, 2, F.concat(F.lit("none_selected:"), "kind")), said(sums.where("partial"), 3, F.lit("partial_coverage"))]
+    # of the items, no more than the fifty that a request could still show
+    each = chosen.where(out).select("request_id", F.lit(4).alias("place"), "item_id", F.concat(F.lit("discarded:"), "discard_reason").alias("code"))
+    found = rows[0]
+    for r in (*rows[1:], each):
+        found = found.unionByName(r)
     k = F.row_number().over(Window.partitionBy("request_id").orderBy("place", "code", "item_id"))
-    return total.unionByName(kinds).unionByName(each).withColumn("k", k).where("k <= 50").select("request_id", "place", "item_id", "code", "k")
+    return found.withColumn("k", k).where("k <= 50").select("request_id", "place", "item_id", "code", "k")
 
 
 @query("i08_agreed_versions", sql("select document_id, case when count(distinct rule_version) = 1 then max(rule_version) end as rule_version, case when count(distinct kind) = 1 then max(kind) end as kind from ev group by document_id", "ev"))
@@ -198,10 +207,15 @@ def _(t: Tables) -> DataFrame:
 
 
 # Mentions, claims and candidates
-@query("k01_mention_checks", "select p_partkey as mention_id, concat_ws(',', case when p_size < 3 then 'page' end, case when p_brand = 'Brand#1' then 'kind' end) as codes from part where p_size < 3 or p_brand = 'Brand#1'")
+@query("k01_mention_checks", """select * from (select mention_id, concat_ws(',', case when trim(coalesce(identifier, '')) = '' then 'blank_identifier' end, case when kind is null or kind not in ('ECONOMY', 'LARGE', 'PROMO', 'SMALL', 'STANDARD') then 'unknown_kind' end, case when page is null or page < 1 then 'page' end, case when locator is not null and not regexp_full_match(locator, '[0-9]+') then 'locator' end) as codes
+  from (select p_partkey as mention_id, case p_partkey % 17 when 0 then ' ' when 1 then null else p_brand end as identifier, case when p_partkey % 19 = 0 then 'ODD' else split_part(p_type, ' ', 1) end as kind, p_size - 2 as page, case p_partkey % 13 when 0 then 'p' || p_size when 1 then p_size::varchar end as locator from part)) where codes <> ''""")
 def _(t: Tables) -> DataFrame:
-    broken = codes(page=F.col("p_size") < 3, kind=F.col("p_brand") == "Brand#1")
-    return t.read("part").select(F.col("p_partkey").alias("mention_id"), broken.alias("codes")).where("codes <> ''")
+    p, size = F.col("p_partkey"), F.col("p_size")
+    rows = t.read("part").select(
+        p.alias("mention_id"), F.when(p % 17 == 0, " ").when(p % 17 != 1, F.col("p_brand")).alias("identifier"), F.when(p % 19 == 0, "ODD").otherwise(F.split_part("p_type", F.lit(" "), F.lit(1))).alias("kind"), (size - 2).alias("page"),
+        F.when(p % 13 == 0, F.concat(F.lit("p"), size.cast("string"))).when(p % 13 == 1, size.cast("string")).alias("locator"),
+    )
+    return retrieval.mention_faults(rows, ("ECONOMY", "LARGE", "PROMO", "SMALL", "STANDARD"))
 
 
 @query("k02_indexable_documents", "select o_orderkey as document_id, o_custkey as project_id from orders join customer on c_custkey = o_custkey where c_mktsegment in ('BUILDING', 'MACHINERY')")
@@ -216,11 +230,17 @@ def _(t: Tables) -> DataFrame:
     return t.read("part").where(F.contains(F.lower("p_name"), F.lit("ring"))).select(F.col("p_partkey").alias("mention_id"), F.col("p_name").alias("identifier"), place.alias("place"))
 
 
-@query("l01_claim_checks", "select l_orderkey as claim_id, concat_ws(',', case when count(distinct l_partkey) < count(*) then 'repeated_evidence' end, case when min(l_suppkey) < max(l_suppkey) then 'several_documents' end) as codes from lineitem group by l_orderkey having count(distinct l_partkey) < count(*) or min(l_suppkey) < max(l_suppkey)")
+@query("l01_claim_checks", """with c as (select o_orderkey as claim_id, case o_orderkey % 3 when 0 then 'relationship' when 1 then 'attribute' else 'entity' end as kind, case when o_orderkey % 23 <> 0 then o_orderpriority end as subject, case when o_orderkey % 5 <> 0 then o_orderstatus else ' ' end as predicate, case when o_orderkey % 7 <> 0 then o_orderpriority end as object from orders),
+e as (select l_orderkey as claim_id, max(n) as times, min(d0) as d0, max(d1) as d1, min(p0) as p0, max(p1) as p1 from (select l_orderkey, l_partkey % 40 as x, count(*) as n, min(l_suppkey % 4) as d0, max(l_suppkey % 4) as d1, min(l_suppkey % 2) as p0, max(l_suppkey % 2) as p1 from lineitem group by all) group by l_orderkey)
+select * from (select claim_id, concat_ws(',', case when subject is null then 'subject' end, case when kind <> 'entity' and trim(predicate) = '' then 'predicate' end, case when kind <> 'entity' and object is null then 'object' end, case when times is null then 'no_evidence' end, case when times > 1 then 'repeated_evidence' end, case when p0 < p1 then 'several_projects' end, case when d0 < d1 then 'several_documents' end) as codes
+  from c left join e using (claim_id)) where codes <> ''""")
 def _(t: Tables) -> DataFrame:
-    rows = t.read("lineitem").groupBy("l_orderkey", "l_partkey").agg(F.count("*").alias("n"), F.min("l_suppkey").alias("lo"), F.max("l_suppkey").alias("hi"))
-    broken = codes(repeated_evidence=F.max("n") > 1, several_documents=F.min("lo") < F.max("hi"))
-    return rows.groupBy(F.col("l_orderkey").alias("claim_id")).agg(broken.alias("codes")).where("codes <> ''")
+    k, supplier = F.col("o_orderkey"), F.col("l_suppkey")
+    claims = t.read("orders").select(
+        k.alias("claim_id"), F.when(k % 3 == 0, "relationship").when(k % 3 == 1, "attribute").otherwise("entity").alias("kind"), F.when(k % 23 != 0, F.col("o_orderpriority")).alias("subject"), F.when(k % 5 != 0, F.col("o_orderstatus")).otherwise(" ").alias("predicate"), F.when(k % 7 != 0, F.col("o_orderpriority")).alias("object"),
+    )
+    evidence = t.read("lineitem").select(F.col("l_orderkey").alias("claim_id"), (F.col("l_partkey") % 40).alias("evidence_id"), (supplier % 4).alias("document_id"), (supplier % 2).alias("project_id"))
+    return retrieval.claim_faults(claims, evidence)
 
 
 @query("l03_claims_by_document", "select distinct l_suppkey as document_id, l_orderkey as claim_id from lineitem")

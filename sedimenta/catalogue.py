@@ -639,7 +639,7 @@ def _(t):
     return t.chosen.select("request_id", "item_id", "selected", "discard_reason")
 
 
-@query("i03_budget_consumption", _after("select request_id, kind, count(*) as requested, count(*) filter (selected) as accepted, count(*) filter (not selected) as discarded, count(*) filter (not selected) > 0 as exceeded from sel group by grouping sets ((request_id, kind), (request_id))"))
+@query("i03_budget_consumption", _after("select request_id, kind, count(*) as requested, count(*) filter (selected) as accepted, count(*) filter (not selected) as discarded, count(*) filter (not selected) > 0 as exceeded, " + _caps + " as cap, count(*) filter (selected) / (" + _caps + ") as utilisation from sel group by grouping sets ((request_id, kind), (request_id))"))
 def _(t):
     return retrieval.consumption(t.chosen)
 

@@ -15,7 +15,7 @@ def pairings(expected: DataFrame, found: DataFrame) -> DataFrame:
     """Expected and found observations of one place: equal kinds in order first, then a lone pair of leftovers; more
     leftovers stay apart, each with its own row. Both sides are one table, dealt by place once."""
     fields = list(FIELDS)
-    tagged = lambda d, side: d.select(*PLACE, *fields, F.lit(side).alias("side"))
+    tagged = lambda d, side: d.select(*PLACE, *(F.col(c) if c in d.columns else F.lit(None).cast("string").alias(c) for c in fields), F.lit(side).alias("side"))
     rows = tagged(expected, "e").unionByName(tagged(found, "f")).repartition(*PLACE)
     rows = rows.withColumn("k", F.row_number().over(Window.partitionBy(*PLACE, "kind", "side").orderBy("observed_text", "status")))
     of = lambda side: F.max(F.when(F.col("side") == side, F.struct(*fields))).alias(side)

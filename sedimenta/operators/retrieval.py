@@ -95,15 +95,40 @@ def select_items(items: DataFrame, total: int = 100, caps: dict[str, int] | None
     # the total-th eligible item: what comes after it finds the budget used up
     few = rows.where("eligible").select("request_id", F.struct(*order).alias("last"), F.row_number().over(Window.partitionBy("request_id").orderBy(*order)).alias("k"))
     full = few.where(F.col("k") == total).select("request_id", "last")
-    rows = rows.join(full, "request_id", "left").withColumn("late", F.coalesce(F.struct(*order) > F.col("last"), F.lit(False)))
+    rows = rows.join(full, "request_id", "left").withColumn("late", F.coalesce(F.struct(*order) > F.col("last"), F.lit(total <= 0)))
     rows = rows.withColumn("selected", F.col("eligible") & ~F.col("late"))
     return rows.withColumn("discard_reason", F.when(F.col("selected"), None).when(F.col("late"), "items").otherwise(F.col("kind"))).drop("eligible", "late", "last")
 
 
-def consumption(chosen: DataFrame) -> DataFrame:
-    """Requested, accepted and discarded by kind and in all (kind null)."""
+def consumption(chosen: DataFrame, total: int = 100, caps: dict[str, int] | None = None) -> DataFrame:
+    """Requested, accepted and discarded, the limit and how much of it is used, by kind and in all (kind null)."""
+    caps = KIND_CAPS if caps is None else caps
+    limit = F.lit(total)
+    for kind, n in caps.items():
+        limit = F.when(F.col("kind") == kind, n).otherwise(limit)
     rows = chosen.groupingSets([["request_id", "kind"], ["request_id"]], "request_id", "kind").agg(F.count("*").alias("requested"), F.count_if("selected").alias("accepted"))
-    return rows.withColumn("discarded", F.col("requested") - F.col("accepted")).withColumn("exceeded", F.col("discarded") > 0)
+    rows = rows.withColumn("discarded", F.col("requested") - F.col("accepted")).withColumn("exceeded", F.col("discarded") > 0)
+    return rows.withColumn("cap", limit.cast("long")).withColumn("utilisation", F.when(F.col("cap") > 0, F.col("accepted") / F.col("cap")))
+
+
+def mention_faults(mentions: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """mention_id, codes of the mentions (identifier, kind, page, locator) that may not enter the index."""
+    broken = {"blank_identifier": F.coalesce(F.trim("identifier"), F.lit("")) == "", "unknown_kind": ~F.coalesce(F.col("kind").isin(*kinds), F.lit(False)), "page": F.coalesce(F.col("page") < 1, F.lit(True)), "locator": F.col("locator").isNotNull() & ~F.col("locator").rlike("^[0-9]+$")}
+    codes = F.concat_ws(",", *(F.when(c, name) for name, c in broken.items()))
+    return mentions.select("mention_id", codes.alias("codes")).where("codes <> ''")
+
+
+def claim_faults(claims: DataFrame, evidence: DataFrame, several_documents: bool = False) -> DataFrame:
+    """claim_id, codes of the claims (kind, subject, predicate, object) that break a rule, with their evidence (claim_id, evidence_id, document_id, project_id)."""
+    of = evidence.groupBy("claim_id", "evidence_id").agg(F.count("*").alias("times"), F.min("document_id").alias("d0"), F.max("document_id").alias("d1"), F.min("project_id").alias("p0"), F.max("project_id").alias("p1"))
+    sums = of.groupBy("claim_id").agg(F.max("times").alias("times"), F.min("d0").alias("d0"), F.max("d1").alias("d1"), F.min("p0").alias("p0"), F.max("p1").alias("p1"))
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    whole = F.col("kind").isin("relationship", "attribute")
+    broken = {
+        "subject": blank("subject"), "predicate": whole & blank("predicate"), "object": whole & blank("object"), "no_evidence": F.col("times").isNull(), "repeated_evidence": F.col("times") > 1, "several_projects": F.col("p0") < F.col("p1"),
+        **({} if several_documents else {"several_documents": F.col("d0") < F.col("d1")}),
+    }
+    return claims.join(sums, "claim_id", "left").select("claim_id", F.concat_ws(",", *(F.when(c, name) for name, c in broken.items())).alias("codes")).where("codes <> ''")
 
 
 def coverage(chosen: DataFrame) -> DataFrame:

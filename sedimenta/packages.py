@@ -21,6 +21,16 @@ _BEFORE = set(QUERIES)
 
 
 # Sinks and registers
+@query("a01_content_identities", """select page_id as document_id, case when page_id % 10 not in (0, 1, 2) and strlen(html) > 0 then sha256(html) end as checksum, case when page_id % 10 not in (0, 1, 2) and strlen(html) > 0 then strlen(html) end as size,
+  case when page_id % 10 = 0 then 'content_not_found' when page_id % 10 = 1 or strlen(html) = 0 then 'empty_content' when page_id % 10 = 2 then 'checksum_failure' end as failure from pages""")
+def _(t: Tables) -> DataFrame:
+    # pages stand for stored files; some are lost, empty, or not as long as they should be
+    k, body = F.col("page_id") % 10, F.col("html").cast("binary")
+    pages = t.read("pages").select("page_id", F.concat(F.lit("store/"), F.col("page_id").cast("string")).alias("path"), k.alias("k"), body.alias("body"))
+    files = pages.where("k <> 0").select("path", F.when(F.col("k") == 1, 0).otherwise(F.octet_length("body") + (F.col("k") == 2).cast("int")).cast("long").alias("length"), F.when(F.col("k") == 1, F.lit(b"")).otherwise(F.col("body")).alias("content"))
+    return stages.content_identities(pages.select(F.col("page_id").alias("document_id"), "path"), files).select("document_id", "checksum", "size", "failure")
+
+
 @query("a14_append_ledger", "select event_id, user_id, event_type, event_id % 3 as batch from events")
 def _(t: Tables) -> DataFrame:
     rows = t.read("events").select("event_id", "user_id", "event_type", (F.col("event_id") % 3).alias("batch"))
@@ -432,3 +442,7 @@ def _(t: Tables) -> DataFrame:
 @query("o16_reasoning_report", _pack("select result_id, case when verdict in ('inconsistent', 'unsupported_comparison') then 'conflict' when verdict = 'ambiguous' then 'ambiguity' when verdict in ('no_subject', 'no_required_quantity', 'unparsable_value') then 'insufficient' else 'agreement' end as message_kind, n as n_supports, designation || ' ' || replace(verdict, '_', ' ') as message from pr"))
 def _(t: Tables) -> DataFrame:
     return dialogue.reasoning_report(packages(t).where("n < 2"))
+
+
+#: The queries of this module.
+NAMES = sorted(set(QUERIES) - _BEFORE)

@@ -16,6 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not held.isDefined():
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sedimenta-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get().rstrip("/")
@@ -62,9 +64,9 @@ def latest_set(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("_k", k).where("_k = 1").drop("_k")
 
 
-def overwrite_partitions(rows: DataFrame, path: str, by: str) -> None:
-    """Replaces only the partitions that ``rows`` has."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+def files_of(spark: SparkSession, folder: str) -> DataFrame:
+    """path, length and content of the files below a folder."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", "content")
 
 
 def content_identities(registry: DataFrame, files: DataFrame) -> DataFrame:

@@ -426,7 +426,7 @@ def test_index_finds_what_the_patterns_match(spark):
     urls = list(dict.fromkeys(forms))
     words = [w for r in url_filter.PATTERN_RULES for w in r.tokens]
     urls += [u for w in dict.fromkeys(words) for u in (f"http://{w}.example/", f"http://a-{w}.example", f"http://x{w}.org/", f"http://h.org/{w}", f"http://h.org/a/{w}.html", f"http://h.org/x{w}/", f"http://h.org/?{w}=1", f"http://h.org/?a{w}=1")]
-    urls += [f"http://h.org/{a}/{b}{c}" for a in ("account", "user") for b in ("login", "profile") for c in ("", "/x", "s")]
+    urls += [f"http://h.org/{a}/{b}{c}" for a in ("account", "member", "user", "users") for b in ("edit", "login", "preferences", "profile", "settings") for c in ("", "/x", "s")]
     found = defaultdict(set)
     for rule in url_filter.PATTERN_RULES:
         own = {u for u in urls if re.search(rule.regex, u.lower())}

@@ -4,6 +4,13 @@ benchmark items go, secrets are masked, and what is left is packed into sequence
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns the columns of
 ``documents`` (the last: the pieces). ``run`` writes each stage's rows in the shared folder before the next reads
 them, so that a lost executor costs one stage at most.
+
+Defined results: rows with a null doc_id stay rows of their own: they are scored, meet their near copies by text, are never
+held to contain an item, are masked and packed. Null and empty texts are scored as one empty passage, link with nothing and are
+packed as their end id. Of a group of near copies the smallest doc_id stays (null ids last), then the smallest hash of the text;
+of rows equal in both, the first by the other columns. Rows that repeat are judged one by one but for that. Columns beside those
+of ``documents`` pass through, whatever their names, until the last stage. Empty tables give empty tables; without labels every text
+scores 0.5 and stays.
 """
 
 from __future__ import annotations
@@ -42,7 +49,7 @@ STAGES = [
     ("best_fit_packing", sequences),
 ]
 
-#: The first stage is a trained model, which SQL cannot express; the tests compare with a brute-force version.
+#: The first stage is a trained model, which SQL cannot express; tests/llm/test_pipeline.py compares every stage with a brute-force version.
 ORACLE_SQL = None
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.derivation import mentions
@@ -23,18 +23,20 @@ def evidence_to(path: str):
 
 
 def latest_to(path: str):
-    """For ``foreachBatch``: keeps the latest review of each target, by time and id, whatever the order of arrival."""
+    """For ``foreachBatch``: the latest review of each target in a micro-batch, as a folder of its number; a batch that is replayed writes
+    the same folder again. Nothing older is rewritten: ``latest_from`` reads the state off the batches."""
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = latest_reviews(batch)
-        if number:
-            rows = latest_reviews(rows.unionByName(spark.read.parquet(f"{path}/state={number - 1}")))
-        rows.write.mode("overwrite").parquet(f"{path}/state={number}")
+        latest_reviews(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
 
 
+def latest_from(spark: SparkSession, path: str) -> DataFrame:
+    """The latest review of each target, by time and id, whatever the order of arrival."""
+    return latest_reviews(spark.read.parquet(path).drop("batch"))
+
+
 def sessions(activity: DataFrame, idle: str = "2 hours", late: str = "1 hour") -> DataFrame:
     """Sessions of each user: activity without a gap of ``idle``."""
     rows = activity.withWatermark("ts", late) if activity.isStreaming else activity

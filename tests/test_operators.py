@@ -145,6 +145,16 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == batch.count()
 
 
+def test_latest_reviews_over_a_stream(spark, tmp_path):
+    rows = [(k, k % 7, "s", "approved" if k % 2 else "rejected", (k * 37) % 50) for k in range(60)]
+    schema = "review_id long, document_id long, statement_key string, decision string, recorded_at long"
+    spark.createDataFrame(rows, schema).repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream.writeStream.foreachBatch(incremental.latest_to(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    got = {r.document_id: r.review_id for r in incremental.latest_from(spark, str(tmp_path / "out")).collect()}
+    assert got == {d: max((x for x in rows if x[1] == d), key=lambda x: (x[4], x[0]))[0] for d in range(7)}
+
+
 def test_every_query_outside_the_streams_has_its_sql():
     named = {n for n in QUERIES if n in ORACLE_SQL}
     assert set(ORACLE_SQL) == named

@@ -126,7 +126,11 @@ class ChunkTable:
         rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_chunks(chunk_bytes, note), CHUNK)
         rows.write.format("parquet").option("compression", "none").bucketBy(self.files, "chunk").saveAsTable(self.name)
 
-    def drop(self) -> None:
+    def __enter__(self) -> ChunkTable:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        """Drops the table, after a failure too."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
     def each(self, fn: Callable[[int, Chunk, dict], Iterator[pd.DataFrame]], schema: str, answers: DataFrame | None = None, texts: bool = True) -> DataFrame:

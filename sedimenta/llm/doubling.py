@@ -302,29 +302,27 @@ def remove_repeated_windows(docs: DataFrame, min_words: int = 13, max_words: int
     ``longest`` is the longest of the lengths min_words, 2 * min_words, ... at which some window still repeats;
     ``max_words`` ends the doubling early (None: it ends when no candidate survives).
     """
-    chunks = ChunkTable(documents_of(docs), note=note_words(min_words))
-    length, buckets = min_words, chunks.buckets
-    answers = None
-    for level, decide in enumerate((decide_repeated, decide_repeated, decide_smaller)):
-        sent = chunks.each(ask(level, length, buckets), SENT, answers, texts=False)
-        got = chunks.decide(sent, level, decide)
-        answers = got if answers is None else answers.unionByName(got)
-    doublings, size = 0, length
-    while max_words is None or 2 * size <= max_words:
-        k = doublings + 1
-
-        def deeper(chunk: int, docs: Chunk, told: dict, k: int = k) -> Iterator[pd.DataFrame]:
-            words = ChunkWords(docs)
-            *_, (_, at, hashes) = deepest(words, length, buckets, told, k)
-            yield send_windows(chunk, words.id[at], hashes, buckets)
-
-        got = chunks.decide(chunks.each(deeper, SENT, answers, texts=False), 2 + k, decide_smaller)
-        if got.isEmpty():
-            break
-        answers, doublings, size = answers.unionByName(got), k, 2 * size
-    result = stored(chunks.each(finish(length, buckets, doublings, with_text), RESULT, answers), "substrings")
-    chunks.drop()
-    return result
+    length, answers = min_words, None
+    with ChunkTable(documents_of(docs), note=note_words(min_words)) as chunks:
+        buckets = chunks.buckets
+        for level, decide in enumerate((decide_repeated, decide_repeated, decide_smaller)):
+            sent = chunks.each(ask(level, length, buckets), SENT, answers, texts=False)
+            got = chunks.decide(sent, level, decide)
+            answers = got if answers is None else answers.unionByName(got)
+        doublings, size = 0, length
+        while max_words is None or 2 * size <= max_words:
+            k = doublings + 1
+
+            def deeper(chunk: int, docs: Chunk, told: dict, k: int = k) -> Iterator[pd.DataFrame]:
+                words = ChunkWords(docs)
+                *_, (_, at, hashes) = deepest(words, length, buckets, told, k)
+                yield send_windows(chunk, words.id[at], hashes, buckets)
+
+            got = chunks.decide(chunks.each(deeper, SENT, answers, texts=False), 2 + k, decide_smaller)
+            if got.isEmpty():
+                break
+            answers, doublings, size = answers.unionByName(got), k, 2 * size
+        return stored(chunks.each(finish(length, buckets, doublings, with_text), RESULT, answers), "substrings")
 
 
 def op6_substring_dedup(spark, sf_dir):

@@ -456,15 +456,13 @@ def remove_repeated_strings(docs: DataFrame, length: int = 200, group: int = 100
     """
     if index_bytes + 2 * group * (RUN + length) >= 2**21:
         raise ValueError("group * (512 + length) and index_bytes are more than one index can hold")
-    chunks = ChunkTable(documents_of(docs), note=note_contexts(length))
-    buckets = chunks.buckets
-    answers = chunks.decide(chunks.each(ask_anchors(length, buckets), SENT, texts=False), 0, decide_anchors(group))
-    sent = chunks.each(send_contexts(length, buckets), INDEXED, answers)
-    indexed = stored(sent.groupBy("bucket").applyInPandas(lambda r: settle(length, index_bytes)(r), "chunk long, bucket long, level int, codes binary"), "answers1")
-    single = chunks.decide(chunks.each(send_strings(length, buckets), SENT, answers), 2, decide_strings)
-    result = stored(chunks.each(finish(length, buckets, with_text), RESULT, answers.unionByName(indexed).unionByName(single)), "strings")
-    chunks.drop()
-    return result
+    with ChunkTable(documents_of(docs), note=note_contexts(length)) as chunks:
+        buckets = chunks.buckets
+        answers = chunks.decide(chunks.each(ask_anchors(length, buckets), SENT, texts=False), 0, decide_anchors(group))
+        sent = chunks.each(send_contexts(length, buckets), INDEXED, answers)
+        indexed = stored(sent.groupBy("bucket").applyInPandas(lambda r: settle(length, index_bytes)(r), "chunk long, bucket long, level int, codes binary"), "answers1")
+        single = chunks.decide(chunks.each(send_strings(length, buckets), SENT, answers), 2, decide_strings)
+        return stored(chunks.each(finish(length, buckets, with_text), RESULT, answers.unionByName(indexed).unionByName(single)), "strings")
 
 
 def op1_run_length_index(spark, sf_dir):

@@ -104,14 +104,14 @@ def transformed(rows: DataFrame) -> DataFrame:
 LEVELS = (("lang", "source"), ("lang",), ())
 
 
-def keyed(rows: DataFrame, level: int) -> DataFrame:
-    """Rows with one key for each group of a level: language and source, language, or all."""
-    return rows.withColumn("grp", F.to_json(F.struct(F.lit(level).alias("level"), *(F.col(c) for c in LEVELS[level]))))
+def group_key(level: int) -> Column:
+    """The key of a row's group at a level: language and source, language, or all."""
+    return F.to_json(F.struct(F.lit(level).alias("level"), *(F.col(c) for c in LEVELS[level])))
 
 
 def every_level(rows: DataFrame) -> DataFrame:
     """Each row once for each level, so that all estimates come from the same steps."""
-    return rows.withColumn("grp", F.explode(F.array(*(F.to_json(F.struct(F.lit(k).alias("level"), *(F.col(c) for c in cols))) for k, cols in enumerate(LEVELS)))))
+    return rows.withColumn("grp", F.explode(F.array(*map(group_key, range(len(LEVELS))))))
 
 
 def start(rows: DataFrame) -> DataFrame:
@@ -200,12 +200,9 @@ def reject_outliers(docs: DataFrame, quantile: float = QUANTILE, least: int = 60
     found = covariance_estimates(rows, floors)
     names = [f"m{k}" for k in range(4)] + [f"l{i}{j}" for i in range(4) for j in range(i + 1)]
     # each group takes the finest estimate that enough rows stand behind
-    groups = rows.select("lang", "source").distinct()
-    for k in range(3):
-        own = found.select("grp", F.struct("size", *names).alias(f"e{k}"))
-        groups = keyed(groups, k).join(own, "grp", "left").drop("grp")
-    best = F.coalesce(F.when(F.col("e0.size") >= least, F.col("e0")), F.when(F.col("e1.size") >= least, F.col("e1")), F.col("e2"))
-    chosen = stored(groups.select("lang", "source", best.alias("e")).select("lang", "source", *(F.col(f"e.{n}").alias(n) for n in names)), "estimates")
+    groups = rows.select("lang", "source").distinct().select("lang", "source", F.posexplode(F.array(*map(group_key, range(len(LEVELS))))).alias("level", "grp"))
+    able = groups.join(found, "grp").where((F.col("size") >= least) | (F.col("level") == len(LEVELS) - 1))
+    chosen = stored(able.groupBy("lang", "source").agg(F.min(F.struct("level", *names)).alias("e")).select("lang", "source", *(F.col(f"e.{n}").alias(n) for n in names)), "estimates")
     judged = rows.join(shared(chosen), ["lang", "source"], "left").withColumn("distance", distance())
     near = F.coalesce(F.col("distance") <= chi_square_point(quantile), F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & near).alias("kept"), "distance")

@@ -29,14 +29,6 @@ def _(t: Tables) -> DataFrame:
     return observed.join(F.broadcast(rows), F.lower("attribute_unit") == F.lower("unit")).select("unit", "attribute_unit", "attribute", "n")
 
 
-@query("b02_representation_checks", "select l_orderkey as document_id, l_linenumber as reading_order, concat_ws(',', case when k <> l_linenumber then 'reading_order' end, case when l_quantity < 2 then 'size' end) as codes from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) as k from lineitem) where k <> l_linenumber or l_quantity < 2")
-def _(t: Tables) -> DataFrame:
-    k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
-    rows = t.read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").withColumn("k", k)
-    found = rows.select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("reading_order"), codes(reading_order=F.col("k") != F.col("l_linenumber"), size=F.col("l_quantity") < 2).alias("codes"))
-    return found.where("codes <> ''")
-
-
 # Reviews
 @query("f07_snapshot_integrity", sql("select review_id, review_id % 4 = 0 or review_id % 3 <> 0 as has_integrity from rv", "rv"))
 def _(t: Tables) -> DataFrame:
@@ -125,11 +117,14 @@ def _(t: Tables) -> DataFrame:
     return rows.select("query_id", F.lower(F.trim("designation")).alias("normalised"), "examined", "matched", F.least("matched", F.lit(20)).alias("returned"))
 
 
-@query("h12_query_checks", "select p_partkey as query_id, concat_ws(',', case when p_size > 40 then 'limit' end, case when p_name is null or trim(p_name) = '' or length(p_name) > 120 then 'designation' end, case when p_partkey % 50 = 0 then 'scope' end) as codes from part where p_size > 40 or p_name is null or trim(p_name) = '' or length(p_name) > 120 or p_partkey % 50 = 0")
+@query("h12_query_checks", """select * from (select query_id, concat_ws(',', case when wanted < 1 or wanted > 200 then 'limit' end, case when trim(coalesce(designation, '')) = '' or length(designation) > 120 then 'designation' end, case when project < 1 then 'scope' end, case when subjects <> 1 then 'subject' end) as codes
+  from (select p_partkey as query_id, p_size * 5 - 10 as wanted, case p_partkey % 50 when 0 then ' ' when 1 then repeat(p_name, 30) else p_name end as designation, p_partkey % 60 - 1 as project, 1 + (p_partkey % 40 = 3)::int - (p_partkey % 40 = 4)::int as subjects from part)) where codes <> ''""")
 def _(t: Tables) -> DataFrame:
-    name = F.col("p_name")
-    broken = codes(limit=F.col("p_size") > 40, designation=name.isNull() | (F.trim(name) == "") | (F.length(name) > 120), scope=F.col("p_partkey") % 50 == 0)
-    return t.read("part").select(F.col("p_partkey").alias("query_id"), broken.alias("codes")).where("codes <> ''")
+    p, name = F.col("p_partkey"), F.col("p_name")
+    rows = t.read("part").select(
+        p.alias("query_id"), (F.col("p_size") * 5 - 10).alias("wanted"), F.when(p % 50 == 0, " ").when(p % 50 == 1, F.repeat(name, 30)).otherwise(name).alias("designation"), (p % 60 - 1).alias("project"), F.when(p % 40 == 3, 2).when(p % 40 == 4, 0).otherwise(1).alias("subjects")
+    )
+    return retrieval.query_faults(rows)
 
 
 # Context
@@ -218,10 +213,12 @@ def _(t: Tables) -> DataFrame:
     return retrieval.mention_faults(rows, ("ECONOMY", "LARGE", "PROMO", "SMALL", "STANDARD"))
 
 
-@query("k02_indexable_documents", "select o_orderkey as document_id, o_custkey as project_id from orders join customer on c_custkey = o_custkey where c_mktsegment in ('BUILDING', 'MACHINERY')")
+@query("k02_indexable_documents", "select o_orderkey as document_id, o_custkey as project_id from orders join customer on c_custkey = o_custkey where o_orderstatus <> 'F' and c_custkey % 4 < 2")
 def _(t: Tables) -> DataFrame:
-    live = t.read("customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select("c_custkey")
-    return t.read("orders").select("o_orderkey", "o_custkey").join(live, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select(F.col("o_orderkey").alias("document_id"), F.col("o_custkey").alias("project_id"))
+    # documents of status F stand outside projects; states of projects as in a18
+    live = t.read("customer").where(F.col("c_custkey") % 4 < 2).select(F.col("c_custkey").alias("project_id"))
+    docs = t.read("orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("document_id"), F.col("o_custkey").alias("project_id"))
+    return docs.join(live, "project_id", "left_semi").select("document_id", "project_id")
 
 
 @query("k04_mention_search", "select p_partkey as mention_id, p_name as identifier, row_number() over (partition by p_partkey % 100 order by p_partkey) as place from part where contains(lower(p_name), 'ring')")

@@ -68,6 +68,15 @@ def response_status(blocks: DataFrame) -> DataFrame:
     return sums.select("response_id", status.alias("status"))
 
 
+def prompts(messages: DataFrame, order: dict[str, int]) -> DataFrame:
+    """conv_id, prompt, tokens, sections: the sections of a conversation's prompt in order, each under its name, with an estimate of tokens."""
+    rank = F.create_map(*(F.lit(x) for pair in order.items() for x in pair))[F.col("role")]
+    lines = messages.where("text is not null").groupBy("conv_id", "role").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("body"))
+    tokens = F.when(F.length("body") == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(F.length("body") / 4)))
+    section = F.struct(rank.alias("k"), F.concat(F.lit("## "), "role", F.lit("\n"), "body").alias("s"))
+    return lines.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(section)), lambda x: x["s"]), "\n").alias("prompt"), F.sum(tokens).cast("long").alias("tokens"), F.count("*").alias("sections"))
+
+
 # Ranks of uncertainty, words of a verdict, priority and lifetime of memory entries.
 RANKS = (("low", 0), ("medium", 1), ("unknown", 2), ("high", 3))
 VERDICTS = ("SUPPORTED", "NOT_SUPPORTED", "INSUFFICIENT_EVIDENCE", "CONFLICTING_EVIDENCE")

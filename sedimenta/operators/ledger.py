@@ -96,6 +96,18 @@ def duplicate_ids(rows: DataFrame, of: str) -> DataFrame:
     return repeated(rows, of)
 
 
+def catalogue_faults(entries: DataFrame) -> DataFrame:
+    """entry_id, code, n: faults of catalogue entries (entry_id, name, parent, relations: array of structs kind, target)."""
+    known = entries.select(F.col("entry_id").alias("target")).distinct()
+    code = lambda rows, name: rows.groupBy("entry_id").agg(F.count("*").alias("n")).select("entry_id", F.lit(name).alias("code"), "n")
+    relations = entries.select("entry_id", F.explode("relations").alias("r")).select("entry_id", "r.*")
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    return (
+        code(entries, "duplicate_id").where("n > 1").unionByName(code(entries.where(blank("name")), "blank_name")).unionByName(code(entries.where("parent is not null").join(known, F.col("parent") == F.col("target"), "left_anti"), "unknown_parent"))
+        .unionByName(code(relations.where(F.col("kind").isNull() | F.col("target").isNull()), "incomplete_relation")).unionByName(code(relations.where("target is not null").join(known, "target", "left_anti"), "unknown_target"))
+    )
+
+
 def missing_targets(rows: DataFrame, target: str, dimension: DataFrame, of: str) -> DataFrame:
     """Rows whose reference is not in the dimension."""
     return rows.join(dimension.select(F.col(of).alias(target)).distinct(), target, "left_anti")

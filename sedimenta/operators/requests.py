@@ -106,6 +106,13 @@ def normalised_reference(rows: DataFrame, column: str) -> DataFrame:
     return found.withColumn("reference_id", F.when(F.col("code").isNotNull(), F.concat_ws("-", "code", number))).drop("synonym", "digits", "code")
 
 
+def normalised_claim(rows: DataFrame, synonyms: dict[str, str]) -> DataFrame:
+    """claim_id, predicate (a synonym's canonical word), attribute (without synonyms) and value of claims (claim_id, term, value)."""
+    clean = F.lower(F.regexp_replace(F.trim("term"), "[ -]+", "_"))
+    canonical = F.create_map(*(F.lit(x) for pair in synonyms.items() for x in pair))[clean]
+    return rows.select("claim_id", F.coalesce(canonical, clean).alias("predicate"), clean.alias("attribute"), F.trim("value").alias("value"))
+
+
 def request_designations(requests: DataFrame) -> DataFrame:
     """Words with a letter and a digit, stripped at the edges, each once a request."""
     words = requests.select("request_id", F.posexplode(F.split("text", "[ \\t-\\r]+")).alias("at", "w")).withColumn("designation", F.regexp_replace("w", "^[^A-Za-z0-9+-]+|[^A-Za-z0-9]+$", ""))

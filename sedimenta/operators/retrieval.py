@@ -111,6 +111,21 @@ def consumption(chosen: DataFrame, total: int = 100, caps: dict[str, int] | None
     return rows.withColumn("cap", limit.cast("long")).withColumn("utilisation", F.when(F.col("cap") > 0, F.col("accepted") / F.col("cap")))
 
 
+def package_faults(held: DataFrame, chosen: DataFrame) -> DataFrame:
+    """request_id, errors of the packages whose recorded counts or flag (requested, accepted, exceeded) are not those of their items."""
+    now = consumption(chosen).where("kind is null").select("request_id", *(F.col(c).alias(f"{c}_now") for c in ("requested", "accepted", "exceeded")))
+    unlike = lambda c: ~F.col(c).eqNullSafe(F.col(f"{c}_now"))
+    errors = F.concat_ws(",", F.when(unlike("accepted"), "accepted_count"), F.when(unlike("requested"), "requested_count"), F.when(unlike("exceeded"), "exceeded_flag"))
+    return held.join(now, "request_id", "left").select("request_id", errors.alias("errors")).where("errors <> ''")
+
+
+def query_faults(queries: DataFrame) -> DataFrame:
+    """query_id, codes of the retrieval queries (wanted, designation, project, subjects) that may not run."""
+    name = F.coalesce(F.trim("designation"), F.lit(""))
+    broken = {"limit": (F.col("wanted") < 1) | (F.col("wanted") > 200), "designation": (name == "") | (F.length("designation") > 120), "scope": F.col("project") < 1, "subject": F.col("subjects") != 1}
+    return queries.select("query_id", F.concat_ws(",", *(F.when(c, n) for n, c in broken.items())).alias("codes")).where("codes <> ''")
+
+
 def mention_faults(mentions: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """mention_id, codes of the mentions (identifier, kind, page, locator) that may not enter the index."""
     broken = {"blank_identifier": F.coalesce(F.trim("identifier"), F.lit("")) == "", "unknown_kind": ~F.coalesce(F.col("kind").isin(*kinds), F.lit(False)), "page": F.coalesce(F.col("page") < 1, F.lit(True)), "locator": F.col("locator").isNotNull() & ~F.col("locator").rlike("^[0-9]+$")}

@@ -59,3 +59,34 @@ def upload_outcomes(docs: DataFrame, held: DataFrame, text: str = "text") -> Dat
     rows = docs.join(held.select("document_id").distinct().withColumn("held", F.lit(True)), "document_id", "left")
     size: Column = F.when(outcome == "completed", F.length(text)).otherwise(0).cast("long")
     return rows.select("document_id", stage.alias("stage"), outcome.alias("outcome"), size.alias("characters"), (F.col("held").isNotNull() & F.col(text).isNotNull()).alias("reused"))
+
+
+def stripped(html: Column) -> Column:
+    """Text of a page: scripts and styles go, every tag becomes a line end."""
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), "(?s)<script[^>]*>.*?</script>", ""), "(?s)<style[^>]*>.*?</style>", "")
+    return F.regexp_replace(plain, "<[^>]*>", "\n")
+
+
+def representation_faults(spans: DataFrame) -> DataFrame:
+    """document_id, code, n: what is wrong with the spans (document_id, page, reading_order, x0, x1, width, kind) of a representation."""
+    order = F.row_number().over(Window.partitionBy("document_id", "page").orderBy("reading_order")) - 1
+    codes = F.array_compact(F.array(
+        F.when(F.col("x0") > F.col("x1"), "reversed_box"), F.when(F.least("x0", "x1") < 0, "position"), F.when(F.col("width") < 0, "size"), F.when(F.col("kind") == "image", "image_with_spans"), F.when(F.col("reading_order") != F.col("k"), "reading_order"),
+    ))
+    rows = spans.withColumn("k", order).select("document_id", F.explode(codes).alias("code")).groupBy("document_id", "code").agg(F.count("*").alias("n"))
+    pages = spans.groupBy("document_id").agg(F.min("page").alias("lo"), F.max("page").alias("hi"), F.countDistinct("page").alias("n")).where("lo <> 1 or hi <> n")
+    return rows.unionByName(pages.select("document_id", F.lit("page_numbers").alias("code"), F.lit(1).cast("long").alias("n")))
+
+
+def assembled_pages(tokens: DataFrame) -> DataFrame:
+    """document_id, page, text: tokens joined by a space, lines by a newline, paragraphs (blocks) by a blank line. One page's tokens meet."""
+    ordered = lambda k, c: F.transform(F.array_sort(F.collect_list(F.struct(F.col(k).alias("k"), F.col(c).alias("s")))), lambda x: x["s"])
+    lines = tokens.groupBy(*LINE).agg(F.array_join(ordered("position", "text"), " ").alias("line"))
+    blocks = lines.groupBy("document_id", "page", "block").agg(F.array_join(ordered("line_index", "line"), "\n").alias("paragraph"))
+    return blocks.groupBy("document_id", "page").agg(F.array_join(ordered("block", "paragraph"), "\n\n").alias("text"))
+
+
+def assembled_documents(tokens: DataFrame) -> DataFrame:
+    """document_id, text: pages by a blank line, each under a line with its number."""
+    pages = assembled_pages(tokens).withColumn("marked", F.concat(F.lit("[page "), F.col("page").cast("string"), F.lit("]\n"), F.col("text")))
+    return pages.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "marked"))), lambda x: x["marked"]), "\n\n").alias("text"))

@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .catalogue import QUERIES, Tables, expected, query, registry
-from .functions.keys import UNIT_SEPARATOR, checksum
+from .catalogue import QUERIES, Tables, _after, expected, query, registry
+from .functions.keys import UNIT_SEPARATOR, checksum, identity
 from .functions.rules import NUMBER, RULE_VERSIONS
 from .operators import dialogue, ledger, lineage, quality, requests, retrieval, spans
 from .operators import evidence as ev
+from .operators import text as tx
 from .plans.oracle import TRIM, sql
 from .sources import stages
 
@@ -74,6 +75,18 @@ def _(t: Tables) -> DataFrame:
     return ledger.illegal_moves(log, ledger.PROJECT_MOVES, "project_id", "day", "event").select("project_id", "event", "before", "state")
 
 
+@query("a24b_catalogue_faults", """with e as (select p_partkey % 1900 as entry_id, case p_partkey % 31 when 0 then ' ' when 1 then null else p_name end as name, case when p_partkey % 3 = 0 then p_partkey % 2500 end as parent,
+  [{'kind': case when p_partkey % 29 <> 0 then 'feeds' end, 'target': case when p_partkey % 37 <> 0 then p_partkey % 2100 end}, {'kind': 'part_of', 'target': p_partkey % 1000}] as relations from part), r as (select entry_id, unnest(relations, recursive := true) from e)
+select entry_id, 'duplicate_id' as code, count(*) as n from e group by entry_id having count(*) > 1 union all select entry_id, 'blank_name', count(*) from e where trim(coalesce(name, '')) = '' group by entry_id
+union all select entry_id, 'unknown_parent', count(*) from e where parent is not null and parent not in (select entry_id from e) group by entry_id union all select entry_id, 'incomplete_relation', count(*) from r where kind is null or target is null group by entry_id
+union all select entry_id, 'unknown_target', count(*) from r where target is not null and target not in (select entry_id from e) group by entry_id""")
+def _(t: Tables) -> DataFrame:
+    p = F.col("p_partkey")
+    relation = lambda kind, target: F.struct(kind.alias("kind"), target.alias("target"))
+    relations = F.array(relation(F.when(p % 29 != 0, "feeds"), F.when(p % 37 != 0, p % 2100)), relation(F.lit("part_of"), p % 1000))
+    return ledger.catalogue_faults(t.read("part").select((p % 1900).alias("entry_id"), F.when(p % 31 == 0, " ").when(p % 31 != 1, F.col("p_name")).alias("name"), F.when(p % 3 == 0, p % 2500).alias("parent"), relations.alias("relations")))
+
+
 @query("a25_definition_attributes", """select p_partkey as definition_id, a as attribute_id, a not in (select distinct split_part(p_type, ' ', 1) from part where p_size > 10) as refused, coalesce(r, true) as required, d as default_value
   from (select p_partkey, unnest([split_part(p_type, ' ', 1), p_brand]) as a, unnest([case when p_size > 25 then p_size > 40 end, false]) as r, unnest([cast(p_size as varchar), null]) as d from part)""")
 def _(t: Tables) -> DataFrame:
@@ -129,6 +142,39 @@ def _(t: Tables) -> DataFrame:
     return spans.provenance(spans.span_tokens(span_rows(t)))
 
 
+@query("b01b_page_lines", r"""with p as (select page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<script[^>]*>.*?</script>', '', 'gs'), '<style[^>]*>.*?</style>', '', 'gs'), '<[^>]*>', chr(10), 'g') as text from pages)
+select page_id as document_id, b - 1 as block, l - 1 as line_index, line_text from (select page_id, b, generate_subscripts(string_split(block_text, chr(10)), 1) as l, unnest(string_split(block_text, chr(10))) as line_text from (select page_id, generate_subscripts(string_split_regex(text, '\n[ \t]*\n'), 1) as b, unnest(string_split_regex(text, '\n[ \t]*\n')) as block_text from p)) where line_text <> ''""")
+def _(t: Tables) -> DataFrame:
+    return tx.text_lines(t.read("pages").select("page_id", spans.stripped(F.col("html")).alias("text")), "page_id")
+
+
+@query("b02_representation_checks", f"""with {_SPANS}, bx as (select l_orderkey as document_id, case when l_orderkey % 12 = 0 then (l_linenumber - 1) // 3 + 2 else (l_linenumber - 1) // 3 + 1 end as page, l_linenumber - 1 as reading_order, cast(l_discount * 100 as int) - 1 as x0, cast(l_tax * 100 as int) + 3 as x1, cast(l_quantity as int) - 2 as width, case when l_partkey % 50 = 0 then 'image' else 'text' end as kind from lineitem),
+k as (select *, row_number() over (partition by document_id, page order by reading_order) - 1 as k from bx)
+select document_id, code, count(*) as n from (select document_id, unnest([case when x0 > x1 then 'reversed_box' end, case when least(x0, x1) < 0 then 'position' end, case when width < 0 then 'size' end, case when kind = 'image' then 'image_with_spans' end]) as code from k) where code is not null group by all
+union all select document_id, 'reading_order', count(*) from k where reading_order <> k group by document_id
+union all select document_id, 'page_numbers', 1 from bx group by document_id having min(page) <> 1 or max(page) <> count(distinct page)""")
+def _(t: Tables) -> DataFrame:
+    rows, n = t.read("lineitem"), lambda c, k: (F.col(c) * 100).cast("int") + k
+    page = F.expr("(l_linenumber - 1) div 3 + 1") + (F.col("l_orderkey") % 12 == 0).cast("int")
+    boxes = rows.select(F.col("l_orderkey").alias("document_id"), page.alias("page"), (F.col("l_linenumber") - 1).alias("reading_order"), n("l_discount", -1).alias("x0"), n("l_tax", 3).alias("x1"), (F.col("l_quantity").cast("int") - 2).alias("width"), F.when(F.col("l_partkey") % 50 == 0, "image").otherwise("text").alias("kind"))
+    return spans.representation_faults(boxes)
+
+
+_PAGES = """li as (select document_id, page, block, line_index, string_agg(text, ' ' order by position) as line from tk group by all), bl as (select document_id, page, block, string_agg(line, chr(10) order by line_index) as paragraph from li group by all),
+pg as (select document_id, page, string_agg(paragraph, chr(10) || chr(10) order by block) as text from bl group by all)"""
+
+
+@query("b08b_assembled_pages", f"with {_SPANS}, {_PAGES} select document_id, string_agg('[page ' || page || ']' || chr(10) || text, chr(10) || chr(10) order by page) as text from pg group by document_id")
+def _(t: Tables) -> DataFrame:
+    return spans.assembled_documents(spans.span_tokens(span_rows(t)))
+
+
+@query("b10b_page_lookup", f"with {_SPANS}, {_PAGES} select document_id, text, length(text) > 0 as has_text from pg where page = 2")
+def _(t: Tables) -> DataFrame:
+    asked = span_rows(t).where("page = 2")
+    return spans.assembled_pages(spans.span_tokens(asked)).select("document_id", "text", (F.length("text") > 0).alias("has_text"))
+
+
 # Checks that find something: the same rows with planted defects
 _EV = """bad_ev as (select * replace (case when document_id % 13 = 0 then 'unknown' else rule_id end as rule_id, case when document_id % 17 = 0 then line_index + 1000 else line_index end as line_index, case when document_id % 10 = 0 then token_end + 100 else token_end end as token_end,
   case when document_id % 7 = 0 then null else value end as value, case when document_id % 19 = 0 then null else designation end as designation) from ev),
@@ -168,6 +214,19 @@ def _(t: Tables) -> DataFrame:
     return t.facts.join(asked, ["document_id", "subject_key"], "left_semi").select("subject_key", "fact_key", "predicate", "object_key")
 
 
+@query("d07b_planted_entity_faults", sql("""select document_id, code, count(*) as n from (select document_id, entity_key, 'unknown_evidence' as code from ms where document_id % 9 = 0 union all select document_id, entity_key, 'undeclared_type' from ent where document_id % 8 = 1
+  union all select document_id, entity_key, 'repeated_key' from ent where document_id % 7 = 2 union all select document_id, entity_key, 'no_value' from ent where document_id % 10 = 3 and entity_type = 'engineering_quantity') group by all""", "ent"))
+def _(t: Tables) -> DataFrame:
+    d = F.col("document_id")
+    lost = t.strict.join(t.evidence.where("document_id % 9 <> 0").select("document_id", "evidence_key"), ["document_id", "evidence_key"], "left_anti").select("document_id", F.lit("unknown_evidence").alias("code"))
+    rows = t.entities.withColumns({"entity_type": F.when(d % 8 == 1, "invented").otherwise(F.col("entity_type")), "quantity": F.col("entity_type") == "engineering_quantity"})
+    types = ("equipment_designation", "structural_location", "engineering_quantity")
+    odd = rows.where(~F.col("entity_type").isin(*types)).select("document_id", F.lit("undeclared_type").alias("code"))
+    twice = ledger.repeated(t.entities.unionByName(t.entities.where("document_id % 7 = 2")), "document_id", "entity_key").select("document_id", F.lit("repeated_key").alias("code"))
+    empty = rows.withColumn("value", F.when(d % 10 != 3, F.col("value"))).where(F.col("quantity") & F.col("value").isNull()).select("document_id", F.lit("no_value").alias("code"))
+    return lineage.union_all([lost, odd, twice, empty]).groupBy("document_id", "code").agg(F.count("*").alias("n"))
+
+
 @query("d21b_planted_statement_faults", sql("select statement_key, case when document_id % 6 = 0 then 'fact_missing' else 'type_unknown' end as code from st where document_id % 6 = 0 or document_id % 10 = 1", "st"))
 def _(t: Tables) -> DataFrame:
     rows = t.statements.withColumn("statement_type", F.when(F.col("document_id") % 10 == 1, "invented").otherwise(F.col("statement_type")))
@@ -195,6 +254,15 @@ def _(t: Tables) -> DataFrame:
     return lineage.traced(lineage.artifact_sets(docs, {"entities": "document_id % 10 = 0", "segmentation": "document_id % 15 = 3"}))
 
 
+@query("e02b_reuse_of_other_versions", sql("select document_id, document_id % 4 <> 0 and document_id % 5 <> 0 as reused from (select distinct document_id from lines)", "lines"))
+def _(t: Tables) -> DataFrame:
+    # what is held of every fifth document was made under an older policy, so its identity is another
+    docs = t.lines.select("document_id").distinct()
+    expected_now = docs.withColumn("identity", identity("evidence", checksum(), policy="2.0"))
+    held = docs.where("document_id % 4 <> 0").select("document_id", F.when(F.col("document_id") % 5 == 0, identity("evidence", checksum(), policy="1.0")).otherwise(identity("evidence", checksum(), policy="2.0")).alias("identity"))
+    return expected_now.join(held.withColumn("held", F.lit(True)), ["document_id", "identity"], "left").select("document_id", F.col("held").isNotNull().alias("reused"))
+
+
 @query("e03_refused_upstream", sql("select document_id, case when document_id % 9 = 0 then 'unsupported_version' else 'missing_identity' end as reason from (select distinct document_id from lines) where document_id % 9 = 0 or document_id % 14 = 0", "lines"))
 def _(t: Tables) -> DataFrame:
     d = F.col("document_id")
@@ -242,6 +310,29 @@ def _(t: Tables) -> DataFrame:
     return ledger.page_of(rows, F.col("edge_kind") == "is_located_in", [F.asc("edge_id")], 100, 100).withColumn("pages", F.ceil(F.col("total") / 100))
 
 
+@query("g06b_planted_provenance_faults", sql("select edge_id, concat_ws(',', case when document_id % 11 = 0 then 'document' end, case when document_id % 7 = 0 then 'review' end, case when document_id % 13 = 0 then 'time' end) as codes from edges where document_id % 11 = 0 or document_id % 7 = 0 or document_id % 13 = 0", "edges"))
+def _(t: Tables) -> DataFrame:
+    d = F.col("document_id")
+    bent = t.edges.select("edge_id", F.when(d % 11 == 0, -d).otherwise(d).alias("document_id"), F.when(d % 7 != 0, F.col("review_id")).alias("review_id"), F.when(d % 13 != 0, F.col("created_at")).alias("created_at"))
+    broken = {"document": F.coalesce(F.col("document_id") <= 0, F.lit(True)), "review": F.coalesce(F.col("review_id") <= 0, F.lit(True)), "time": F.col("created_at").isNull()}
+    return bent.select("edge_id", F.concat_ws(",", *(F.when(c, n) for n, c in broken.items())).alias("codes")).where("codes <> ''")
+
+
+@query("h05b_document_knowledge_in_scope", sql(f"select document_id, 'node' as what, node_id as id from (select *, {_STATES.replace(' as state', ' as now')} from nodes) where document_id % 49 = 0 and now = 'active' union all select document_id, 'edge', edge_id from (select *, {_STATES.replace(' as state', ' as now')} from edges) where document_id % 49 = 0 and now = 'active'", "nodes"))
+def _(t: Tables) -> DataFrame:
+    asked = t.nodes.where("document_id % 49 = 0").select("document_id").distinct()
+    rows = [retrieval.in_scope(with_states(df), "current").join(asked, "document_id", "left_semi").select("document_id", F.lit(w).alias("what"), F.col(k).alias("id")) for df, w, k in ((t.nodes, "node", "node_id"), (t.edges, "edge", "edge_id"))]
+    return lineage.union_all(rows)
+
+
+@query("h06b_nodes_and_edges_by_identity", sql(f"select id, what, state from (select id, coalesce(n.what, 'unknown') as what, n.state from (select node_id as id from nodes where document_id % 20 = 0 union select edge_id from edges where document_id % 20 = 1 union select sha256(edge_id) from edges where document_id % 20 = 2) a left join (select node_id as k, 'node' as what, {_STATES.replace(' as state', '')} as state from nodes union all select edge_id, 'edge', {_STATES.replace(' as state', '')} from edges) n on k = id and n.state <> 'retired')", "nodes"))
+def _(t: Tables) -> DataFrame:
+    ids = lambda df, k, n: df.where(f"document_id % 20 = {n}").select(F.col(k).alias("id"))
+    asked = ids(t.nodes, "node_id", 0).unionByName(ids(t.edges, "edge_id", 1)).unionByName(ids(t.edges, "edge_id", 2).select(F.sha2("id", 256).alias("id"))).distinct()
+    held = lineage.union_all([with_states(df).select(F.col(k).alias("id"), F.lit(w).alias("what"), "state") for df, k, w in ((t.nodes, "node_id", "node"), (t.edges, "edge_id", "edge"))])
+    return asked.join(retrieval.in_scope(held, "current_and_historical"), "id", "left").select("id", F.coalesce("what", F.lit("unknown")).alias("what"), "state")
+
+
 @query("h02_match_strategies", sql("select query_id, node_id, case precedence when 1 then 'exact_designation' when 2 then 'normalized_designation' when 3 then 'normalized_value' else 'canonical_designation' end as strategy from am", "am"))
 def _(t: Tables) -> DataFrame:
     names = F.create_map(*(F.lit(x) for pair in retrieval.STRATEGIES for x in pair))
@@ -320,6 +411,13 @@ def _(t: Tables) -> DataFrame:
     return mine.unionByName(rows.where((F.col("project_id") == 2) & F.startswith("identifier", F.lit("Brand#1"))).select(F.lit("project").alias("list"), "entry_id", "recorded_at")).orderBy("list", "recorded_at")
 
 
+@query("k07b_page_references", sql("select document_id, string_agg(distinct designation, ',' order by designation) as mentions, string_agg(distinct page::varchar, ',' order by page::varchar) as pages from (select document_id, designation, line_index // 2 + 1 as page from ev where kind = 'designation') group by document_id", "ev"))
+def _(t: Tables) -> DataFrame:
+    rows = t.evidence.where("kind = 'designation'").select("document_id", "designation", F.expr("cast(line_index div 2 + 1 as string)").alias("page"))
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")  # noqa: E731  of one document
+    return rows.groupBy("document_id").agg(listed("designation").alias("mentions"), listed("page").alias("pages"))
+
+
 @query("k08_index_warnings", f"""with {_EN}, terms as (select c_custkey as request_id, c_custkey % 7 as project_id, 'Brand#' || (c_custkey % 60) as term from customer), hit as (select distinct request_id, document_id from terms join en on en.project_id = terms.project_id and identifier = term),
 s as (select request_id, count(*) as matched, least(count(*), 20) as returned, count(*) filter (k <= 20 and document_id % 9 = 0) as missing from (select *, row_number() over (partition by request_id order by document_id) as k from hit) group by request_id)
 select request_id, coalesce(matched, 0) as matched, coalesce(returned, 0) as returned, coalesce(missing, 0) as missing, concat_ws(',', case when coalesce(matched, 0) = 0 then 'no_match' end, case when matched > returned then 'truncated' end, case when missing > 0 then 'missing_metadata' end) as warnings from terms left join s using (request_id)""")
@@ -337,6 +435,15 @@ def _(t: Tables) -> DataFrame:
     return retrieval.first_entries(entries(t), ["project_id", "document_id", "identifier"]).select("entry_id", "project_id", "document_id", "identifier", "recorded_at")
 
 
+_SYNONYMS = (("economy", "low_cost"), ("standard", "regular"), ("promo", "offer"))
+
+
+@query("l09b_value_normalisation", f"with s(word, canonical) as (values {', '.join(f'({a!r}, {b!r})' for a, b in _SYNONYMS)}) select p_partkey as claim_id, coalesce(canonical, n) as predicate, n as attribute, trim(v) as value from (select p_partkey, lower(regexp_replace(trim(split_part(p_type, ' ', 1)), '[ -]+', '_', 'g')) as n, '  ' || p_name || ' ' as v from part) left join s on word = n")
+def _(t: Tables) -> DataFrame:
+    rows = t.read("part").select(F.col("p_partkey").alias("claim_id"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("term"), F.concat(F.lit("  "), "p_name", F.lit(" ")).alias("value"))
+    return requests.normalised_claim(rows, dict(_SYNONYMS))
+
+
 # Requests (text rules have no short SQL form; tested on hand-written rows)
 @query("m05_match_evidence")
 def _(t: Tables) -> DataFrame:
@@ -439,6 +546,21 @@ def _(t: Tables) -> DataFrame:
     return dialogue.declared_verdict(rows.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("response_id"), said.alias("text"), ((F.col("conv_id") + F.col("turn")) % 4).alias("evidence")))
 
 
+@query("o12b_prompt_sections", """with s as (select conv_id, role, string_agg(text, chr(10) order by turn, text) as body from conversations where text is not null group by all)
+select conv_id, string_agg('## ' || role || chr(10) || body, chr(10) order by case role when 'system' then 0 when 'user' then 1 else 2 end) as prompt, sum(case when length(body) = 0 then 0 else greatest(1, length(body) // 4) end) as tokens, count(*) as sections from s group by conv_id""")
+def _(t: Tables) -> DataFrame:
+    return dialogue.prompts(t.read("conversations"), {"system": 0, "user": 1, "assistant": 2})
+
+
+@query("o18b_package_integrity", _after("""select * from (select request_id, concat_ws(',', case when r % 9 = 0 then 'accepted_count' end, case when r % 11 = 0 then 'requested_count' end, case when r % 4 = 0 and over then 'exceeded_flag' end) as errors from (select request_id, request_id as r, count(*) filter (not selected) > 0 as over from sel group by request_id)) where errors <> ''"""))
+def _(t: Tables) -> DataFrame:
+    # recorded counts of some packages are off by one, and some flags are not set
+    now = retrieval.consumption(t.chosen).where("kind is null").select("request_id", "requested", "accepted", "exceeded")
+    r = F.col("request_id")
+    held = now.select("request_id", (F.col("requested") + (r % 11 == 0).cast("int")).alias("requested"), (F.col("accepted") + (r % 9 == 0).cast("int")).alias("accepted"), (F.col("exceeded") & (r % 4 != 0)).alias("exceeded"))
+    return retrieval.package_faults(held, t.chosen)
+
+
 @query("o16_reasoning_report", _pack("select result_id, case when verdict in ('inconsistent', 'unsupported_comparison') then 'conflict' when verdict = 'ambiguous' then 'ambiguity' when verdict in ('no_subject', 'no_required_quantity', 'unparsable_value') then 'insufficient' else 'agreement' end as message_kind, n as n_supports, designation || ' ' || replace(verdict, '_', ' ') as message from pr"))
 def _(t: Tables) -> DataFrame:
     return dialogue.reasoning_report(packages(t).where("n < 2"))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, text_bytes
+from .common import small_batches, stored, text_bytes
 
 CHUNK_BYTES = 4_000_000
 NO_ID = np.iinfo(np.int64).max
@@ -124,7 +124,8 @@ class ChunkTable:
         self.files = max(self.chunks // 4, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         self.name = f"chunks_{uuid.uuid4().hex}"
         rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_chunks(chunk_bytes, note), CHUNK)
-        rows.write.format("parquet").option("compression", "none").bucketBy(self.files, "chunk").saveAsTable(self.name)
+        with small_batches(self.spark):
+            rows.write.format("parquet").option("compression", "none").bucketBy(self.files, "chunk").saveAsTable(self.name)
 
     def __enter__(self) -> ChunkTable:
         return self

@@ -191,7 +191,7 @@ def shared_tokens(hot: int):
         _, place, times = np.unique(token, return_inverse=True, return_counts=True)
         times = times[place]
         keep = times > 1
-        return pd.DataFrame({"token": token[keep].view(np.int64), "sid": np.concatenate(sid)[keep], "n": np.concatenate(size)[keep], "pos": np.concatenate(pos)[keep], "is_hot": times[keep] > hot})
+        return pd.DataFrame({"token": token[keep].view(np.int64), "sid": np.concatenate(sid)[keep], "n": np.concatenate(size)[keep].astype(np.int64), "pos": np.concatenate(pos)[keep], "is_hot": times[keep] > hot})
 
     return run
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import checksum, key
 from ..functions.rules import BOUNDARY, NUMBER, NUMBER_WITH_UNIT, RULE_VERSIONS, is_designation, location_of, unit_of
+from .text import settled
 
 LINE = ("document_id", "project_id", "line_index")
 
@@ -35,24 +36,26 @@ def extract(tokens: DataFrame) -> DataFrame:
     A number followed by a unit takes the unit token too: it is not offered to the other rules. Since numbers are
     never units, the token before tells, and no running state is needed.
     """
-    units = unit_of
-    after, before = bare(F.col("text_after")), bare(F.col("text_before"))
-    rows = trimmed(tokens).withColumns({"next_text": after, "next_end": F.col("end_after") - F.when(after == "", 0).otherwise(F.length("text_after") - F.length(bare(F.col("text_after"), "TRAILING")))})
-    number = F.col("trimmed").rlike(NUMBER)
-    rows = rows.withColumn("u", units(F.when(number, after).otherwise(F.regexp_extract("trimmed", NUMBER_WITH_UNIT, 2))))
-    rows = rows.select("*", "u.unit", "u.quantity_type", "u.base_unit", "u.scale").withColumns({"two": number & F.col("unit").isNotNull(), "next_position": F.col("position") + 1})
-    rows = rows.withColumn("taken", F.coalesce(before.rlike(NUMBER) & units(F.col("trimmed")).isNotNull(), F.lit(False)))
-    start, end = F.col("char_start") + F.col("trim_left"), F.col("char_end") - F.col("trim_right")
-    number = F.when(F.col("two"), F.col("trimmed")).otherwise(F.regexp_extract("trimmed", NUMBER_WITH_UNIT, 1))
-    status = number_status(number)
-    value = F.when(status == "observed", F.regexp_replace(number, ",", ".").cast("decimal(28,6)"))
-    location = location_of(F.col("trimmed"))
+    after = F.col("text_after")
+    rows = settled(tokens, trimmed=bare(F.col("text")), next_text=bare(after), before=bare(F.col("text_before")))
+    cut = lambda text, whole, side: F.when(F.col(text) == "", 0).otherwise(F.length(whole) - F.length(bare(F.col(whole), side)))
+    rows = settled(
+        rows, number=F.col("trimmed").rlike(NUMBER), start=F.col("char_start") + cut("trimmed", "text", "LEADING"), end=F.col("char_end") - cut("trimmed", "text", "TRAILING"), next_end=F.col("end_after") - cut("next_text", "text_after", "TRAILING"),
+        written=F.regexp_extract("trimmed", NUMBER_WITH_UNIT, 1), taken=F.coalesce(F.col("before").rlike(NUMBER) & unit_of(F.col("trimmed")).isNotNull(), F.lit(False)),
+        u=unit_of(F.when(F.col("trimmed").rlike(NUMBER), F.col("next_text")).otherwise(F.regexp_extract("trimmed", NUMBER_WITH_UNIT, 2))),
+    )
+    two = F.col("number") & F.col("u").isNotNull()
+    rows = settled(rows, two=two, number_as_written=F.when(two, F.col("trimmed")).otherwise(F.col("written")), location=location_of(F.col("trimmed")), named=is_designation(F.col("trimmed")))
+    rows = settled(rows, status=number_status(F.col("number_as_written")))
+    rows = settled(rows, value=F.when(F.col("u").isNotNull() & (F.col("status") == "observed"), F.regexp_replace("number_as_written", ",", ".").cast("decimal(28,6)")))
+    rows = rows.select("*", "u.unit", "u.quantity_type", "u.base_unit", "u.scale", (F.col("position") + 1).alias("next_position"))
+    start, end, number, status, value, location = (F.col(c) for c in ("start", "end", "number_as_written", "status", "value", "location"))
 
     def shown(when: Column, **values: Column) -> Column:
         names = {"kind": "string", "rule_id": "string", "observed_text": "string", "status": "string", "token_end": "long", "char_start": "long", "char_end": "long", "number_text": "string", "value": "decimal(28,6)", "unit": "string", "base_value": "decimal(38,6)", "base_unit": "string", "designation": "string"}
         return F.when(when, F.struct(*((values[n] if n in values else F.lit(None)).cast(t).alias(n) for n, t in names.items())))
 
-    designation = shown(~F.col("taken") & is_designation(F.col("trimmed")), kind=F.lit("designation"), rule_id=F.lit("designation_generic"), observed_text=F.col("trimmed"), status=F.lit("observed"), token_end=F.col("position"), char_start=start, char_end=end, designation=F.col("trimmed"))
+    designation = shown(~F.col("taken") & F.col("named"), kind=F.lit("designation"), rule_id=F.lit("designation_generic"), observed_text=F.col("trimmed"), status=F.lit("observed"), token_end=F.col("position"), char_start=start, char_end=end, designation=F.col("trimmed"))
     place = shown(~F.col("taken") & location.isNotNull(), kind=F.lit("location"), rule_id=F.lit("location_aspect_iec_81346"), observed_text=location, status=F.lit("observed"), token_end=F.col("position"), char_start=start, char_end=start + F.length(location), designation=location)
     quantity = shown(
         F.col("unit").isNotNull(), kind=F.col("quantity_type"), rule_id=F.col("quantity_type"), observed_text=F.when(F.col("two"), F.concat_ws(" ", "trimmed", "next_text")).otherwise(F.col("trimmed")), status=status, token_end=F.when(F.col("two"), F.col("next_position")).otherwise(F.col("position")),

@@ -42,19 +42,26 @@ def text_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return blocks.select("document_id", "block", F.posexplode(F.split("block_text", "\n")).alias("line_index", "line_text")).where("line_text <> ''")
 
 
+def settled(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with more columns, each worked out once a row: they pass a generator, so that the optimizer does not write their
+    expressions into every place that reads them."""
+    made = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("made")
+    return rows.select("*", made).select("*", "made.*").drop("made")
+
+
 def tokenised(lines: DataFrame, *by: str) -> DataFrame:
     """One row per token: position, text, char_start, char_end in code points of its line, and the texts and offsets of the
     tokens before and after it. All comes from the line's own array, so that no row moves."""
     shape = F.lit(f"([{SPACE}]*)([^{SPACE}]+)")
     gaps, words = F.regexp_extract_all("line_text", shape, F.lit(1)), F.regexp_extract_all("line_text", shape, F.lit(2))
-    rows = lines.select(*by, F.arrays_zip(gaps.alias("gap"), words.alias("token")).alias("w"))
+    rows = settled(lines.select(*by, "line_text"), w=F.arrays_zip(gaps.alias("gap"), words.alias("token")))
     # the end of each token: a running sum within the array
     ends = F.aggregate("w", F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + F.length(x["gap"]) + F.length(x["token"]))))
-    rows = rows.select(*by, "w", ends.alias("e")).select(*by, "w", "e", F.posexplode("w").alias("k", "t"))
-    at = lambda step: F.get(F.col("w.token"), F.col("k") + step)
+    rows = rows.select(*by, F.col("w.token").alias("w"), ends.alias("e")).select(*by, "w", "e", F.posexplode("w").alias("k", "token"))
+    at = lambda step: F.get(F.col("w"), F.col("k") + step)
     end = lambda step: F.get(F.col("e"), F.col("k") + step)
     return rows.select(
-        *by, F.col("k").cast("long").alias("position"), F.col("t.token").alias("text"), (end(0) - F.length("t.token")).alias("char_start"), end(0).alias("char_end"), at(-1).alias("text_before"), at(1).alias("text_after"), end(1).alias("end_after")
+        *by, F.col("k").cast("long").alias("position"), F.col("token").alias("text"), (end(0) - F.length("token")).alias("char_start"), end(0).alias("char_end"), at(-1).alias("text_before"), at(1).alias("text_after"), end(1).alias("end_after")
     )
 
 

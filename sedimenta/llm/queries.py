@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, doubling, jaccard_join, mil_quality, packing, robust_outliers, run_index, secrets, style_tree, url_filter
+from . import decontamination, doubling, jaccard_join, merkle, mil_quality, packing, periodic_runs, robust_outliers, run_index, secrets, style_tree, token_transducer, url_filter
 
 QUERIES = {
     "op1_run_length_index": run_index.op1_run_length_index,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_secret_scans": secrets.op8_secret_scans,
     "op9_url_filters": url_filter.op9_url_filters,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_token_counts": token_transducer.op12_token_counts,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
-ORACLE_SQL = {"op7_minhash_containment": decontamination.OP7_SQL, "op9_url_filters": url_filter.OP9_SQL}
+ORACLE_SQL = {"op7_minhash_containment": decontamination.OP7_SQL, "op9_url_filters": url_filter.OP9_SQL, "op11_merkle_manifest": merkle.manifest_sql()}

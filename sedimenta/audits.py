@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import QUERIES, Tables, _after, query
 from .functions.rules import UNITS
-from .operators import graph, retrieval
+from .operators import graph, ledger, machines, retrieval
 from .plans.oracle import sql
 
 _BEFORE = set(QUERIES)
@@ -273,17 +273,32 @@ def _(t: Tables) -> DataFrame:
 
 
 # Conversations and sessions
-_MOVES = ["created>active", "active>paused", "paused>active", "active>completed", "paused>completed", "paused>archived", "completed>archived"]
 _STATE = {"view": "created", "click": "active", "signup": "paused", "purchase": "completed"}
 _state = "case event_type " + " ".join(f"when '{e}' then '{s}'" for e, s in _STATE.items()) + " else 'archived' end"
+_SESSION_RUN = "with " + machines.recursive_sql(f"select user_id, event_id, ts, {_state} as state from events", ledger.SESSIONS, "user_id", "state", "ts, event_id, state")
 
 
-@query("o04_session_moves", f"select user_id, event_id, before || '>' || state as move from (select *, lag(state) over (partition by user_id order by ts, event_id) as before from (select *, {_state} as state from events)) where before is not null and before || '>' || state not in ({', '.join(map(repr, _MOVES))})")
-def _(t: Tables) -> DataFrame:
+def session_moves(t: Tables) -> DataFrame:
     state = F.coalesce(*(F.when(F.col("event_type") == e, s) for e, s in _STATE.items()), F.lit("archived"))
     rows = t.read("events").select("user_id", "event_id", "ts", state.alias("state"))
-    move = F.concat_ws(">", F.lag("state").over(Window.partitionBy("user_id").orderBy("ts", "event_id")), "state")
-    return rows.select("user_id", "event_id", move.alias("move")).where(F.contains("move", F.lit(">")) & ~F.col("move").isin(_MOVES))
+    return machines.run(rows, ledger.SESSIONS, "user_id", "state", ("ts", "event_id"))
+
+
+@query("o04_session_moves", _SESSION_RUN + " select user_id, event_id, before || '>' || state as move from run where before = after")
+def _(t: Tables) -> DataFrame:
+    return session_moves(t).where("not accepted").select("user_id", "event_id", F.concat_ws(">", "before", "state").alias("move"))
+
+
+# a conversation is begun by its turns, completed by every third answer, archived by every fifth turn
+_asked = "case when role = 'assistant' and turn % 3 = 2 then 'completed' when turn % 5 = 4 then 'archived' else 'active' end"
+_CONVERSATION_RUN = "with " + machines.recursive_sql(f"select conv_id, turn, role, coalesce(text, '') as text, {_asked} as state from conversations", ledger.CONVERSATIONS, "conv_id", "state", "turn, role, text, state")
+
+
+@query("o04b_conversation_states", _CONVERSATION_RUN + " select conv_id, max_by(after, k) as state, count(*) filter (before <> after) as accepted, count(*) filter (before = after) as refused from run group by conv_id")
+def _(t: Tables) -> DataFrame:
+    asked = F.when((F.col("role") == "assistant") & (F.col("turn") % 3 == 2), "completed").when(F.col("turn") % 5 == 4, "archived").otherwise("active")
+    rows = t.read("conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), asked.alias("state"))
+    return machines.now(machines.run(rows, ledger.CONVERSATIONS, "conv_id", "state", ("turn", "role", "text")), "conv_id", "turn", "role", "text")
 
 
 @query("o09_memory_statistics", "select conv_id, count(*) as entries, count(*) filter (role = 'user') as questions, count(*) filter (role = 'assistant') as responses from conversations group by conv_id")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.keys import checksum, identity
 from .operators import derivation as d
-from .operators import dialogue, graph, ledger, quality, requests, retrieval
+from .operators import dialogue, graph, ledger, machines, ordering, quality, requests, retrieval
 from .operators import evidence as ev
 from .operators import text as tx
 from .plans.oracle import sql
@@ -114,6 +114,18 @@ class Tables:
         state = F.when(F.col("event_type") == "view", "uploaded").when(F.col("event_type") == "click", "queued").when(F.col("event_type") == "signup", "processing").when(F.col("event_type") == "purchase", "processed").otherwise("failed")
         return self.read("events").select(F.col("event_id").alias("job_id"), F.col("user_id").alias("document_id"), state.alias("state"), "ts")
 
+    @cached_property
+    def job_moves(self) -> DataFrame:
+        """Every event of a document's jobs as a request of the job machine."""
+        return stages.staged(machines.run(self.jobs, ledger.JOBS, "document_id", "state", ("ts", "job_id")), "job-moves")
+
+    @cached_property
+    def candidate_moves(self) -> DataFrame:
+        """Every event as a decision asked for of the candidate that its user stands for."""
+        state = F.when(F.col("event_type") == "view", "pending").when(F.col("event_type") == "click", "needs_changes").when(F.col("event_type") == "purchase", "approved").otherwise("rejected")
+        log = self.read("events").select("event_id", "user_id", state.alias("state"), "ts")
+        return stages.staged(machines.run(log, ledger.CANDIDATES, "user_id", "state", ("ts", "event_id")), "candidate-moves")
+
     @cached_property
     def texts(self) -> DataFrame:
         """Requests: user turns, with a template by turn so that all rules are met."""
@@ -223,12 +235,22 @@ def _(t):
     return rows.select("document_id", F.when(F.col("content_head").isNull(), "content_failure").when(F.col("format") == "unknown", "unknown_format").when(F.col("format") == "conflicting", "conflicting_format").otherwise("ready_for_extraction").alias("outcome"))
 
 
-_moves = ", ".join(f"('{a}', '{b}')" for a, b in ledger.JOB_MOVES)
+_JOB_RUN = "with " + machines.recursive_sql(f"with {JOBS} select * from jobs", ledger.JOBS, "document_id", "state", "ts, job_id, state")
+
+
+@query("a07_illegal_job_moves", _JOB_RUN + " select document_id, job_id, before, state from run where before = after")
+def _(t):
+    return t.job_moves.where("not accepted").select("document_id", "job_id", "before", "state")
+
+
+@query("a07b_judged_job_moves", _JOB_RUN + " select document_id, job_id, before, state, before <> after as accepted, after from run")
+def _(t):
+    return t.job_moves.select("document_id", "job_id", "before", "state", "accepted", "after")
 
 
-@query("a07_illegal_job_moves", f"with {JOBS} select document_id, job_id, before, state from (select *, lag(state) over (partition by document_id order by ts, job_id) as before from jobs) where before is not null and before <> state and (before, state) not in ({_moves})")
+@query("a07c_job_states", _JOB_RUN + " select document_id, max_by(after, k) as state, count(*) filter (before <> after) as accepted, count(*) filter (before = after) as refused from run group by document_id")
 def _(t):
-    return ledger.illegal_moves(t.jobs, ledger.JOB_MOVES, "document_id", "ts", "job_id").select("document_id", "job_id", "before", "state")
+    return machines.now(t.job_moves, "document_id", "ts", "job_id")
 
 
 @query("a08_active_and_latest_job", f"with {JOBS} select document_id, min(case when state in ('uploaded', 'queued', 'processing') then job_id end) as active_job, max(job_id) as latest_job from jobs group by document_id")
@@ -712,14 +734,22 @@ def _(t):
     return t.read("part").select(F.upper(clean).alias("predicate"), F.lower(clean).alias("attribute")).distinct()
 
 
-_candidate = ", ".join(f"('{a}', '{b}')" for a, b in ledger.CANDIDATE_MOVES)
+_CANDIDATE_RUN = "with " + machines.recursive_sql("select event_id, user_id, ts, case event_type when 'view' then 'pending' when 'click' then 'needs_changes' when 'purchase' then 'approved' else 'rejected' end as state from events", ledger.CANDIDATES, "user_id", "state", "ts, event_id, state")
+
+
+@query("l05_candidate_moves", _CANDIDATE_RUN + " select user_id, event_id, before, state from run where before = after")
+def _(t):
+    return t.candidate_moves.where("not accepted").select("user_id", "event_id", "before", "state")
+
+
+@query("l05b_judged_candidate_moves", _CANDIDATE_RUN + " select user_id, event_id, before, state, before <> after as accepted, after from run")
+def _(t):
+    return t.candidate_moves.select("user_id", "event_id", "before", "state", "accepted", "after")
 
 
-@query("l05_candidate_moves", f"select user_id, event_id, before, state from (select *, lag(state) over (partition by user_id order by ts, event_id) as before from (select *, case event_type when 'view' then 'pending' when 'click' then 'needs_changes' when 'purchase' then 'approved' else 'rejected' end as state from events)) where before is not null and before <> state and (before, state) not in ({_candidate})")
+@query("l07b_candidate_history", _CANDIDATE_RUN + " select user_id as candidate_id, event_id, before as from_state, after as to_state, row_number() over (partition by user_id order by k) as place from run where before <> after")
 def _(t):
-    state = F.when(F.col("event_type") == "view", "pending").when(F.col("event_type") == "click", "needs_changes").when(F.col("event_type") == "purchase", "approved").otherwise("rejected")
-    log = t.read("events").select("event_id", "user_id", state.alias("state"), "ts")
-    return ledger.illegal_moves(log, ledger.CANDIDATE_MOVES, "user_id", "ts", "event_id").select("user_id", "event_id", "before", "state")
+    return ordering.ranked(t.candidate_moves.where("accepted"), "user_id", "ts", "event_id").select(F.col("user_id").alias("candidate_id"), "event_id", F.col("before").alias("from_state"), F.col("after").alias("to_state"), (F.col("rank") + 1).alias("place"))
 
 
 # M: requests (text rules have no short SQL form; tested on hand-written rows)

@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The legal moves.
+from .machines import Machine
+
+# The legal moves, and the state that each life begins in.
 JOB_MOVES = (("uploaded", "queued"), ("queued", "processing"), ("processing", "processed"), ("processing", "failed"), ("failed", "queued"))
 PROJECT_MOVES = (("draft", "active"), ("active", "archived"), ("archived", "active"), ("archived", "deleted"), ("deleted", "archived"))
 CONVERSATION_MOVES = (("active", "completed"), ("completed", "archived"))
+TURN_MOVES = (("started", "completed"),)
 SESSION_MOVES = (("created", "active"), ("active", "paused"), ("paused", "active"), ("active", "completed"), ("paused", "completed"), ("paused", "archived"), ("completed", "archived"))
-CANDIDATE_MOVES = (("pending", "needs_changes"), ("needs_changes", "pending"), ("pending", "approved"), ("pending", "rejected"))
-
-
-def moves(spark: SparkSession, pairs: tuple[tuple[str, str], ...]) -> DataFrame:
-    return spark.createDataFrame(list(pairs), "before string, state string")
-
-
-def illegal_moves(log: DataFrame, pairs: tuple[tuple[str, str], ...], entity: str, *order: str) -> DataFrame:
-    """Rows of a state log whose move from the entity's previous state is not among ``pairs``; staying is no move."""
-    before = F.lag("state").over(Window.partitionBy(entity).orderBy(*order))
-    rows = log.withColumn("before", before).where(F.col("before").isNotNull() & (F.col("before") != F.col("state")))
-    return rows.join(F.broadcast(moves(log.sparkSession, pairs)), ["before", "state"], "left_anti")
+CANDIDATE_MOVES = (("pending", "needs_changes"), ("needs_changes", "pending"), ("pending", "approved"), ("pending", "rejected"), ("needs_changes", "approved"), ("needs_changes", "rejected"))
+JOBS, PROJECTS, CONVERSATIONS, TURNS = Machine("uploaded", JOB_MOVES), Machine("draft", PROJECT_MOVES), Machine("active", CONVERSATION_MOVES), Machine("started", TURN_MOVES)
+SESSIONS, CANDIDATES = Machine("created", SESSION_MOVES), Machine("pending", CANDIDATE_MOVES)
 
 
 def newest(rows: DataFrame, by: list[str], *order: Column) -> DataFrame:
@@ -92,10 +86,6 @@ def definition_attributes(definitions: DataFrame, attributes: DataFrame) -> Data
     return rows.select("definition_id", "attribute_id", F.col("known").isNull().alias("refused"), F.coalesce("required", F.lit(True)).alias("required"), "default_value")
 
 
-def duplicate_ids(rows: DataFrame, of: str) -> DataFrame:
-    return repeated(rows, of)
-
-
 def catalogue_faults(entries: DataFrame) -> DataFrame:
     """entry_id, code, n: faults of catalogue entries (entry_id, name, parent, relations: array of structs kind, target)."""
     known = entries.select(F.col("entry_id").alias("target")).distinct()

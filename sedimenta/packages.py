@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .catalogue import QUERIES, Tables, _after, expected, query, registry
 from .functions.keys import UNIT_SEPARATOR, checksum, identity
 from .functions.rules import NUMBER, RULE_VERSIONS
-from .operators import dialogue, ledger, lineage, quality, requests, retrieval, spans
+from .operators import dialogue, ledger, lineage, machines, quality, requests, retrieval, spans
 from .operators import evidence as ev
 from .operators import text as tx
 from .plans.oracle import TRIM, sql
@@ -66,13 +66,22 @@ def _(t: Tables) -> DataFrame:
     return ledger.visible(rows).select("project_id", "state")
 
 
-_project_moves = ", ".join(f"('{a}', '{b}')" for a, b in ledger.PROJECT_MOVES)
+_PROJECT_RUN = "with " + machines.recursive_sql(f"select o_custkey as project_id, o_orderkey as event, o_orderdate as day, {_STATE.format('o_orderkey')} as state from orders", ledger.PROJECTS, "project_id", "state", "day, event, state")
 
 
-@query("a19_project_lifecycle", f"select project_id, event, before, state from (select *, lag(state) over (partition by project_id order by day, event) as before from (select o_custkey as project_id, o_orderkey as event, o_orderdate as day, {_STATE.format('o_orderkey')} as state from orders)) where before is not null and before <> state and (before, state) not in ({_project_moves})")
-def _(t: Tables) -> DataFrame:
+def project_moves(t: Tables) -> DataFrame:
     log = t.read("orders").select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("event"), F.col("o_orderdate").alias("day"), state_of("o_orderkey").alias("state"))
-    return ledger.illegal_moves(log, ledger.PROJECT_MOVES, "project_id", "day", "event").select("project_id", "event", "before", "state")
+    return machines.run(log, ledger.PROJECTS, "project_id", "state", ("day", "event"))
+
+
+@query("a19_project_lifecycle", _PROJECT_RUN + " select project_id, event, before, state from run where before = after")
+def _(t: Tables) -> DataFrame:
+    return project_moves(t).where("not accepted").select("project_id", "event", "before", "state")
+
+
+@query("a19b_project_states", _PROJECT_RUN + " select project_id, max_by(after, k) as state, count(*) filter (before <> after) as accepted, count(*) filter (before = after) as refused from run group by project_id")
+def _(t: Tables) -> DataFrame:
+    return machines.now(project_moves(t), "project_id", "day", "event")
 
 
 @query("a24b_catalogue_faults", """with e as (select p_partkey % 1900 as entry_id, case p_partkey % 31 when 0 then ' ' when 1 then null else p_name end as name, case when p_partkey % 3 = 0 then p_partkey % 2500 end as parent,

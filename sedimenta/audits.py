@@ -5,13 +5,17 @@ Null keys: a row whose key is null is checked like any other; where a listing jo
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .catalogue import QUERIES, Tables, _after, query
 from .functions.rules import UNITS
 from .operators import graph, ledger, machines, retrieval
+from .operators.generations import StoredGraph
 from .plans.oracle import sql
+from .sources import stages
 
 _BEFORE = set(QUERIES)
 
@@ -21,6 +25,17 @@ def codes(**checks: Column) -> Column:
     return F.concat_ws(",", *(F.when(c, name) for name, c in checks.items()))
 
 
+def once(make):
+    """Made once for the tables of a run."""
+
+    def held(t: Tables):
+        if make.__name__ not in t.__dict__:
+            t.__dict__[make.__name__] = make(t)
+        return t.__dict__[make.__name__]
+
+    return held
+
+
 # Registers and representation
 @query("a23_attribute_resolution", sql("select e.unit, a.unit as attribute_unit, a.quantity_type as attribute, count(*) as n from ev e join (select distinct unit, quantity_type from units) a on lower(a.unit) = lower(e.unit) group by all", "ev"))
 def _(t: Tables) -> DataFrame:
@@ -53,18 +68,62 @@ def _(t: Tables) -> DataFrame:
     return t.edges.select("edge_id", broken.alias("codes")).where("codes <> ''")
 
 
-@query("g07_rebuild", sql("""select (select max(document_id) from lines) + 1 as generation, (select count(*) from nodes where node_id in (select unnest([subject_id, object_id]) from edges where document_id % 3 <> 0)) as active_nodes, count(*) filter (document_id % 3 <> 0) as active_edges,
-  count(*) filter (document_id % 3 = 0) as left_out, count(*) filter (document_id % 3 = 0) = 0 as unchanged from edges""", "nodes"))
+# the first generation is built from two thirds of the documents, the second and third from all
+_GEN1 = "gen1 as (select * from edges where document_id % 3 <> 0), n as (select count(*) as a, count(*) filter (document_id % 3 <> 0) as e from edges), v as (select count(*) as a, (select count(*) from nodes where node_id in (select unnest([subject_id, object_id]) from gen1)) as e from nodes)"
+
+
+@once
+def generations_of(t: Tables) -> StoredGraph:
+    stored = StoredGraph.of(f"{stages.shared_dir(t.spark)}/graph-{uuid.uuid4().hex}", t.decisions, t.entities, buckets=16)
+    stored.rebuild(t.decisions.where("document_id % 3 <> 0"), t.entities)
+    stored.rebuild(t.decisions, t.entities)
+    stored.rebuild(t.decisions, t.entities)
+    return stored
+
+
+@query("g07_rebuild", sql("@", "nodes").replace("\n@", f""",\n{_GEN1} select 1 as generation, v.e as active_nodes, n.e as active_edges, 0 as left_out, n.e as added, n.e = 0 as unchanged from n, v
+  union all select 2, v.a, n.a, 0, n.a - n.e, n.a = n.e from n, v union all select 3, v.a, n.a, 0, 0, true from n, v"""))
+def _(t: Tables) -> DataFrame:
+    return generations_of(t).log().drop("version")
+
+
+@query("g18_latest_generation", sql("select 3 as generation, 'edge' as what, edge_kind as kind, count(*) as n from edges group by edge_kind union all select 3, 'node', node_kind, count(*) from nodes group by node_kind", "nodes"))
+def _(t: Tables) -> DataFrame:
+    held, number = generations_of(t), F.lit(generations_of(t).generation()).cast("long").alias("generation")
+    count = lambda rows, what: rows.where("state = 'active'").groupBy(F.col(f"{what}_kind").alias("kind")).agg(F.count("*").alias("n")).select(number, F.lit(what).alias("what"), "kind", "n")
+    return count(held.edges(), "edge").unionByName(count(held.nodes(), "node"))
+
+
+@query("g07b_earlier_generation", sql("@", "nodes").replace("\n@", f",\n{_GEN1} select edge_id as id, 'active' as state from gen1 union all select node_id, 'active' from nodes where node_id in (select unnest([subject_id, object_id]) from gen1)"))
+def _(t: Tables) -> DataFrame:
+    held, first = generations_of(t), generations_of(t).log().where("generation = 1").first().version
+    return held.edges(first).select(F.col("edge_id").alias("id"), "state").unionByName(held.nodes(first).select(F.col("node_id").alias("id"), "state"))
+
+
+# reviews of every fifth document are reversed, statements of every seventh vanish (they come before the fifths), every second was not there at first
+_RECONCILED = """was as (select * from edges where document_id % 2 = 0), now as (select edge_id, subject_id, object_id, case when document_id % 7 = 0 then 'requires_revalidation' when document_id % 5 = 0 then 'review_reversed' end as reason, document_id % 2 = 0 as held from edges),
+fin as (select edge_id, subject_id, object_id, case when reason is null then 'active' else 'historical' end as state, reason from now where held or reason is null),
+alive as (select node_id, bool_or(state = 'active') as alive from (select unnest([subject_id, object_id]) as node_id, state from fin) group by node_id)"""
+
+
+@once
+def reconciled_of(t: Tables) -> StoredGraph:
+    stored = StoredGraph.of(f"{stages.shared_dir(t.spark)}/graph-{uuid.uuid4().hex}", t.decisions, t.entities, buckets=16)
+    stored.rebuild(t.decisions.where("document_id % 2 = 0"), t.entities)
+    back = F.col("promoted") & (F.col("document_id") % 5 == 0)
+    now = t.decisions.where("document_id % 7 <> 0").withColumns({"refusal": F.when(back, "review_rejected").otherwise(F.col("refusal")), "promoted": F.col("promoted") & ~back})
+    stored.reconcile(now, t.entities, t.statements.select("document_id"))
+    return stored
+
+
+@query("g09b_reconciled_edges", sql("@", "edges").replace("\n@", f",\n{_RECONCILED} select edge_id, state, reason as retirement_reason from fin"))
+def _(t: Tables) -> DataFrame:
+    return reconciled_of(t).edges().select("edge_id", "state", "retirement_reason")
+
+
+@query("g12b_reconciled_nodes", sql("@", "edges").replace("\n@", f",\n{_RECONCILED} select node_id, case when alive then 'active' else 'historical' end as state, case when not alive then 'no_remaining_relationships' end as retirement_reason from alive"))
 def _(t: Tables) -> DataFrame:
-    # documents stand for the generations so far; the rebuild replays two thirds of them
-    kept = t.edges.where("document_id % 3 <> 0")
-    ends = kept.select(F.explode(F.array("subject_id", "object_id")).alias("node_id"))
-    nodes = t.nodes.join(ends, "node_id", "left_semi").agg(F.count("*").alias("active_nodes"))
-    edges = t.edges.agg(F.count_if(F.col("document_id") % 3 != 0).alias("active_edges"), F.count_if(F.col("document_id") % 3 == 0).alias("left_out"))
-    number = t.lines.agg((F.max("document_id") + 1).alias("generation"))
-    one = F.lit(1).alias("one")  # three tables of one row
-    rows = number.select(one, "*").join(nodes.select(one, "*"), "one").join(edges.select(one, "*"), "one")
-    return rows.select("generation", "active_nodes", "active_edges", "left_out", (F.col("left_out") == 0).alias("unchanged"))
+    return reconciled_of(t).nodes().select("node_id", "state", "retirement_reason")
 
 
 @query("g10_retired_statements", sql("select edge_id, 'historical' as state, 'requires_revalidation' as reason from edges where substr(statement_key, 1, 1) >= '8'", "edges"))
@@ -82,11 +141,6 @@ def _(t: Tables) -> DataFrame:
     return rows.select("review_id", reason.alias("reason"))
 
 
-@query("g18_latest_generation", "select o_custkey as project_id, max(o_orderkey) as generation, max_by(o_orderstatus, o_orderkey) as outcome from orders group by o_custkey")
-def _(t: Tables) -> DataFrame:
-    return t.read("orders").groupBy(F.col("o_custkey").alias("project_id")).agg(F.max("o_orderkey").alias("generation"), F.max_by("o_orderstatus", "o_orderkey").alias("outcome"))
-
-
 @query("g19_promotion_preview", sql("select document_id, statement_key, promoted as would_promote, coalesce(refusal, 'none') as why_not from dec", "dec"))
 def _(t: Tables) -> DataFrame:
     return t.decisions.select("document_id", "statement_key", F.col("promoted").alias("would_promote"), F.coalesce("refusal", F.lit("none")).alias("why_not"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -15,6 +16,7 @@ from .operators import evidence as ev
 from .operators import text as tx
 from .plans.oracle import sql
 from .sources import stages
+from .sources.versions import ArtifactStore, BucketTable
 from .streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,6 +185,11 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def bucket_table(rows: DataFrame, key: str, buckets: int = 16) -> BucketTable:
+    """An empty copy-on-write table for rows like these, in the shared folder."""
+    return BucketTable(rows.sparkSession, f"{stages.shared_dir(rows.sparkSession)}/table-{uuid.uuid4().hex}", key, rows.schema, buckets)
+
+
 def dbl(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in columns})
 
@@ -271,8 +278,12 @@ def _(t):
 
 @query("a11_idempotent_append", sql("select evidence_key, document_id from ev where status <> 'rejected' and document_id % 2 = 0", "ev"))
 def _(t):
-    held = t.evidence.where("document_id % 2 = 1").select("evidence_key")
-    return stages.append_new(t.evidence, held, "evidence_key").select("evidence_key", "document_id")
+    rows = t.evidence.select("evidence_key", "document_id", "status")
+    table = bucket_table(rows, "evidence_key")
+    table.overwrite(rows.where("document_id % 2 = 1"))
+    version = table.append_new(rows.where("status <> 'rejected'"), batch=("append", 1))
+    table.append_new(rows, batch=("append", 1))  # a replay, which adds nothing
+    return table.read(version).join(table.read(1).select("evidence_key"), "evidence_key", "left_anti").select("evidence_key", "document_id")
 
 
 @query("a12_latest_set", "select o_custkey as document_id, max(o_orderkey) as set_id from orders group by o_custkey")
@@ -283,7 +294,10 @@ def _(t):
 @query("a13_replace_by_document", f"with {PROJECTS} select document_id, project_id, case when project_id % 3 = 0 then 'new' else priority end as priority from docs")
 def _(t):
     held = registry(t).select("document_id", "project_id", "priority")
-    return stages.replaced(held, held.where("project_id % 3 = 0").withColumn("priority", F.lit("new")), "project_id")
+    table = bucket_table(held, "project_id")
+    table.overwrite(held)
+    table.replace(held.where("project_id % 3 = 0").withColumn("priority", F.lit("new")))
+    return table.read()
 
 
 @query("a16_registry_page", f"with {PROJECTS} select document_id, priority, count(*) over () as total from docs where contains(lower(priority), 'high') order by document_id desc limit 25 offset 50")
@@ -511,11 +525,35 @@ def _(t):
     return t.lines.select("document_id").distinct().select("document_id", identity("evidence", source, policy="2.0").alias("identity"))
 
 
+def artifact_store(rows: DataFrame) -> ArtifactStore:
+    return ArtifactStore(rows.sparkSession, f"{stages.shared_dir(rows.sparkSession)}/artifacts-{uuid.uuid4().hex}", rows.schema, buckets=16)
+
+
+def line_identities(lines: DataFrame) -> DataFrame:
+    """Each document's evidence identity: over the checksum of its lines and the policy's version."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_index", "line_text"))), lambda x: F.concat_ws(":", x["line_index"], x["line_text"])), "\n")
+    whole = lines.groupBy("document_id").agg(F.sha2(text, 256).alias("checksum"))  # the lines of one document
+    return whole.select("document_id", identity("evidence", identity("source", F.col("checksum")), policy="2.0").alias("identity"))
+
+
 @query("e02_reuse_split", sql("select document_id, document_id % 4 <> 0 as reused from (select distinct document_id from lines)", "lines"))
 def _(t):
-    docs = t.lines.select("document_id").distinct().withColumn("identity", identity("source", checksum()))
-    held = docs.where("document_id % 4 <> 0")
-    return docs.join(held, ["document_id", "identity"], "left_semi").select("document_id", F.lit(True).alias("reused")).unionByName(docs.join(held, ["document_id", "identity"], "left_anti").select("document_id", F.lit(False).alias("reused")))
+    docs = line_identities(t.lines)
+    store = artifact_store(docs.select("document_id"))
+    store.ensure(docs.where("document_id % 4 <> 0"), lambda lacking: lacking.select("document_id"))
+    lacking = store.missing(docs).select("document_id", F.lit(False).alias("reused"))
+    return docs.select("document_id").join(lacking, "document_id", "left").select("document_id", F.coalesce("reused", F.lit(True)).alias("reused"))
+
+
+@query("e05_incremental_extraction", sql("select evidence_key, document_id, line_index, status, case when document_id % 10 = 0 then 2 else 1 end as made_in from ev where document_id % 10 <> 0 or line_index > 0", "ev"))
+def _(t):
+    # every tenth document loses its first line between two runs: the second one extracts these alone
+    fields = ("evidence_key", "document_id", "line_index", "status")
+    after = t.lines.where("document_id % 10 <> 0 or line_index > 0")
+    extract = lambda lines: lambda lacking: ev.extract(tx.tokenised(lines.join(lacking.select("document_id"), "document_id", "left_semi"), *ev.LINE)).select(*fields)
+    store = artifact_store(t.evidence.select(*fields))
+    store.ensure(line_identities(t.lines), extract(t.lines))
+    return store.ensure(line_identities(after), extract(after)).select(*fields, "made_in")
 
 
 # F: reviews

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .catalogue import QUERIES, Tables, _after, expected, query, registry
+from .catalogue import QUERIES, Tables, _after, bucket_table, expected, query, registry
 from .functions.keys import UNIT_SEPARATOR, checksum, identity
 from .functions.rules import NUMBER, RULE_VERSIONS
 from .operators import dialogue, ledger, lineage, machines, quality, requests, retrieval, spans
@@ -42,7 +42,11 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     rows = t.nodes.select("document_id", "node_id", "node_kind", "label")
     new = rows.where("document_id % 2 = 0").select("node_id", "node_kind", F.upper("label").alias("label"))
-    return stages.upserted(rows.where("document_id % 3 <> 0").drop("document_id"), new.unionByName(new), "node_id")
+    held = rows.where("document_id % 3 <> 0").drop("document_id")
+    table = bucket_table(held, "node_id")
+    table.overwrite(held)
+    table.upsert(new.unionByName(new))
+    return table.read()
 
 
 @query("a17_project_search", "select *, ceil(total / 25) as pages from (select c_custkey as project_id, c_name as name, c_acctbal as budget, count(*) over () as total from customer where c_nationkey <> 3 and (contains(lower(c_name), 'b') or contains(lower(c_mktsegment), 'b') or contains(c_custkey::varchar, 'b') or contains(c_nationkey::varchar, 'b')) order by c_acctbal desc, c_custkey limit 25 offset 50)")

@@ -30,19 +30,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def append_new(rows: DataFrame, held: DataFrame, key: str) -> DataFrame:
-    """Rows to append so that each key is written once; rejected rows never are."""
-    return rows.where("status <> 'rejected'").dropDuplicates([key]).join(held.select(key), key, "left_anti")
-
-
-def replaced(held: DataFrame, rows: DataFrame, key: str, cleared: DataFrame | None = None) -> DataFrame:
-    """``held`` with all rows of the new rows' (and the cleared) keys replaced."""
-    gone = rows.select(key).distinct()
-    if cleared is not None:
-        gone = gone.unionByName(cleared.select(key)).distinct()
-    return held.join(gone, key, "left_anti").unionByName(rows)
-
-
 def appended(batches: list[DataFrame], name: str) -> DataFrame:
     """An append-only ledger: each batch adds files, none is ever rewritten; all rows are read back."""
     spark = batches[0].sparkSession
@@ -52,13 +39,6 @@ def appended(batches: list[DataFrame], name: str) -> DataFrame:
     return spark.read.schema(batches[0].schema).parquet(path)
 
 
-def upserted(held: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """``held`` with each new row replacing the row of its key, or added; of several new rows of a key, the one with the least fields stays."""
-    fields = F.struct(*(F.col(c) for c in rows.columns if c != key))
-    one = rows.groupBy(key).agg(F.min(fields).alias("r")).select(key, "r.*")
-    return held.join(one.select(key), key, "left_anti").unionByName(one.select(held.columns))
-
-
 def latest_set(rows: DataFrame, key: str, order: str) -> DataFrame:
     k = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
     return rows.withColumn("_k", k).where("_k = 1").drop("_k")

@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .catalogue import QUERIES, Tables, _after, query
+from .functions.keys import UNIT_SEPARATOR, key
 from .functions.rules import UNITS
 from .operators import graph, ledger, machines, retrieval
 from .operators.generations import StoredGraph
 from .plans.oracle import sql
 from .sources import stages
+from .streaming import promotion
 
 _BEFORE = set(QUERIES)
 
@@ -126,6 +128,40 @@ def _(t: Tables) -> DataFrame:
     return reconciled_of(t).nodes().select("node_id", "state", "retirement_reason")
 
 
+# promotion as a stream: statements and reviews arrive by decision, late and in part twice; statements of every seventh document go in the end
+_STREAMED = """sm as (select statement_key, bool_or(decision = 'approved') as approved, max_by(decision, (recorded_at, review_id)) as last from rv group by statement_key),
+es as (select sha256(concat_ws(chr(31), 'edge', statement_type, statement_key)) as edge_id, sha256(concat_ws(chr(31), 'node', 'engineering_asset', subject_key)) as subject_id, sha256(concat_ws(chr(31), 'node', case statement_type when 'has_rated_power' then 'engineering_quantity' else 'structural_location' end, object_key)) as object_id,
+  case when document_id % 7 = 0 then 'requires_revalidation' when last <> 'approved' then 'review_reversed' end as retirement_reason from st join sm using (statement_key) where approved),
+ns as (select node_id, bool_or(retirement_reason is null) as alive from (select unnest([subject_id, object_id]) as node_id, retirement_reason from es) group by node_id)"""
+
+
+@once
+def streamed(t: Tables) -> str:
+    """Where the stream's changes are."""
+    node = lambda side: key(F.lit("node"), f"{side}_kind", f"{side}_key", sep=UNIT_SEPARATOR).alias(f"{side}_id")
+    ends = t.decisions.select("document_id", "statement_key", key(F.lit("edge"), "statement_type", "statement_key", sep=UNIT_SEPARATOR).alias("edge_id"), node("subject"), node("object"))
+    columns = [c.split()[0] for c in promotion.EVENTS.split(", ")]
+    no_text, no_flag = F.lit(None).cast("string").alias("decision"), F.lit(None).cast("boolean").alias("present")
+    there = lambda when, present: ends.select("*", F.lit("statement").alias("what"), no_text, F.lit(present).alias("present"), F.lit(when).cast("timestamp").alias("at"), F.lit(0).cast("long").alias("number"))
+    reviews = t.reviews.join(ends, ["document_id", "statement_key"]).select(*ends.columns, F.lit("review").alias("what"), "decision", no_flag, F.col("recorded_at").cast("timestamp").alias("at"), F.col("review_id").alias("number"))
+    rows = there("2000-01-01", True).unionByName(there("2100-01-01", False).where("document_id % 7 = 0")).unionByName(reviews)
+    folder = f"{stages.shared_dir(t.spark)}/promotion-{uuid.uuid4().hex}"
+    for part in (rows.where("decision is null or decision <> 'approved'"), rows.where("decision = 'approved' or document_id % 3 = 0")):
+        part.select(*columns).write.mode("append").parquet(f"{folder}/events")
+        promotion.follow(t.spark, f"{folder}/events", f"{folder}/out")
+    return f"{folder}/out"
+
+
+@query("g20_streamed_edges", sql("@", "rv").replace("\n@", f",\n{_STREAMED} select edge_id, case when retirement_reason is null then 'active' else 'historical' end as state, retirement_reason from es"))
+def _(t: Tables) -> DataFrame:
+    return promotion.latest(t.spark, streamed(t), "edges").select("edge_id", "state", "retirement_reason")
+
+
+@query("g20b_streamed_nodes", sql("@", "rv").replace("\n@", f",\n{_STREAMED} select node_id, case when alive then 'active' else 'historical' end as state, case when not alive then 'no_remaining_relationships' end as retirement_reason from ns"))
+def _(t: Tables) -> DataFrame:
+    return promotion.latest(t.spark, streamed(t), "nodes").select("node_id", "state", "retirement_reason")
+
+
 @query("g10_retired_statements", sql("select edge_id, 'historical' as state, 'requires_revalidation' as reason from edges where substr(statement_key, 1, 1) >= '8'", "edges"))
 def _(t: Tables) -> DataFrame:
     now = t.statements.where("substr(statement_key, 1, 1) < '8'").select("statement_key")
@@ -155,8 +191,6 @@ def _(t: Tables) -> DataFrame:
 
 @query("h06_by_identity", sql("select s.statement_key, e.edge_id is not null as found, edge_kind from st s left join edges e on e.edge_id = sha256(concat_ws(chr(31), 'edge', s.statement_type, s.statement_key))", "edges"))
 def _(t: Tables) -> DataFrame:
-    from .functions.keys import UNIT_SEPARATOR, key
-
     asked = t.statements.select("statement_key", key(F.lit("edge"), "statement_type", "statement_key", sep=UNIT_SEPARATOR).alias("edge_id"))
     rows = asked.join(t.edges.select("edge_id", "edge_kind", F.lit(True).alias("held")), "edge_id", "left")
     return rows.select("statement_key", F.col("held").isNotNull().alias("found"), "edge_kind")

@@ -135,6 +135,10 @@ class Tables:
         lead = F.when(t == 0, "Compare T1 versus T2 ").when(t == 1, "Where is the document of cable 7? ").when(t == 2, "Verify and draw TR2 ").when(t == 3, "What is the value at CB-12 ").when(t == 4, "Explain the voltage of relay 3 ").otherwise("")
         return self.read("conversations").where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("request_id"), F.concat(lead, F.coalesce("text", F.lit(""))).alias("text"))
 
+    @cached_property
+    def rule_matches(self) -> DataFrame:
+        return stages.staged(requests.rule_matches(self.texts), "matches")
+
     @cached_property
     def items(self) -> DataFrame:
         """What requests may bring into context: one request for every hundred documents, with all that is known of them."""
@@ -790,29 +794,59 @@ def _(t):
     return ordering.ranked(t.candidate_moves.where("accepted"), "user_id", "ts", "event_id").select(F.col("user_id").alias("candidate_id"), "event_id", F.col("before").alias("from_state"), F.col("after").alias("to_state"), (F.col("rank") + 1).alias("place"))
 
 
-# M: requests (text rules have no short SQL form; tested on hand-written rows)
-@query("m02_rule_matches")
+# M: requests. Where a text is not its own NFKC form the SQL (NFC alone) would differ; tests cover such texts by hand.
+_text = lambda s: "'" + s.replace("'", "''") + "'"
+_PHRASES = ", ".join(f"({_text(r)}, {_text(i)}, {_text(s)}, {_text(p)})" for r, i, s, ps in requests.RULES for p in ps)
+_RQ = f"""rq as (select conv_id || ':' || turn as request_id, case turn % 6 when 0 then 'Compare T1 versus T2 ' when 1 then 'Where is the document of cable 7? ' when 2 then 'Verify and draw TR2 ' when 3 then 'What is the value "at" CB-12 ' when 4 then 'Explain the voltage of relay 3 ' else '' end || coalesce(text, '') as text from conversations where role = 'user'),
+tkn as (select request_id, list_filter(string_split_regex(translate(lower(nfc_normalize(text)), {_text(requests.PUNCTUATION)}, '{" " * len(requests.PUNCTUATION)}'), '[{tx.SQL_SPACE}]+'), lambda x: x <> '') as t from rq),
+ph(rule_id, intent, strength, phrase) as (values {_PHRASES}), pw as (select *, string_split(phrase, ' ') as w from ph),
+mt as (select * exclude (k) from (select request_id, rule_id, intent, strength, "at", phrase, row_number() over (partition by request_id, rule_id order by (len(w) = 1)::int, "at", phrase) as k from (
+  select *, unnest(range(0, len(t) - len(w) + 1)) as "at" from tkn join pw on list_has_all(t, w)) where t["at" + 1:"at" + len(w)] = w) where k = 1)"""
+_rank = "case intent " + " ".join(f"when '{p}' then {k}" for k, p in enumerate(requests.PRECEDENCE)) + f" else {len(requests.PRECEDENCE)} end"
+_clashing = ", ".join(map(repr, requests.CONFLICTING))
+_INTENTS = f"""ms as (select request_id, count(*) filter (strength <> 'domain') as n_plain, count(distinct case when strength = 'strong' and intent in ({_clashing}) then intent end) as n_conflicting, count(distinct case when strength = 'strong' then intent end) as n_strong, min(case when strength = 'strong' then intent end) as strong,
+  min_by(intent, {_rank}) filter (strength <> 'domain') as best from mt group by request_id),
+nt as (select request_id, case when n_plain is null then 'unsupported' when n_plain = 0 then 'general' when n_conflicting > 1 then 'ambiguous' else best end as intent, n_strong, strong from rq left join ms using (request_id)),
+it as (select request_id, intent, case when intent in ('ambiguous', 'unsupported') then 'unresolved' when intent = 'general' then 'low' when n_strong = 1 and strong = intent then 'high' else 'medium' end as confidence from nt)"""
+_DS = r"""wd as (select request_id, unnest(w) as w, unnest(range(len(w))) as "at" from (select request_id, string_split_regex(text, '[ \t-\r]+') as w from rq)),
+ds as (select request_id, designation, "at" from (select *, row_number() over (partition by request_id, lower(designation) order by "at") as k from (select request_id, "at", regexp_replace(regexp_replace(w, '^[^A-Za-z0-9+-]+', ''), '[^A-Za-z0-9]+$', '') as designation from wd) where regexp_matches(designation, '[A-Za-z]') and regexp_matches(designation, '[0-9]')) where k = 1)"""
+
+
+def _of_requests(select: str, *parts: str) -> str:
+    return "with " + ",\n".join((_RQ, *parts)) + "\n" + select
+
+
+@query("m02_rule_matches", _of_requests('select request_id, rule_id, intent, strength, "at", phrase from mt'))
+def _(t):
+    return t.rule_matches
+
+
+@query("m03_intents", _of_requests("select request_id, intent, confidence from it", _INTENTS))
 def _(t):
-    return requests.rule_matches(t.texts)
+    return requests.classified(t.texts, t.rule_matches)
 
 
-@query("m03_intents")
+@query("m05_match_evidence", _of_requests("""select request_id, row_number() over (partition by request_id order by "at", rule_id) as sequence, rule_id, intent, strength, phrase, count(*) filter (strength = 'strong') over r as n_strong, count(*) filter (strength = 'weak') over r as n_weak, count(*) filter (strength = 'domain') over r as n_domain,
+  len(list_distinct(list(intent) over r)) as n_intents from mt window r as (partition by request_id)"""))
 def _(t):
-    return requests.classified(t.texts, stages.staged(requests.rule_matches(t.texts), "matches"))
+    return requests.match_evidence(t.rule_matches)
 
 
-@query("m06_request_designations")
+@query("m06_request_designations", _of_requests('select request_id, designation, "at" from ds', _DS))
 def _(t):
     return requests.request_designations(t.texts)
 
 
-@query("m07_retrieval_plans")
+@query("m07_retrieval_plans", _of_requests(f"""select request_id, intent, case when coalesce(n_terms, 0) = 0 then 'insufficient' when n_references > 1 then 'conflicting' when n_references = 1 then 'entity_lookup' else 'lexical' end as plan, case when n_terms > 0 and n_references = 1 then reference_id end as reference_id, least(coalesce(n_terms, 0), 8) as n_terms,
+  case when intent = 'explanation' then 1 else 0 end as neighbourhood from it left join rf using (request_id)""", _INTENTS, _DS, f"""syn(synonym, reference_type, code) as (values {_refs}),
+rx as (select request_id, designation, lower(regexp_extract(trim(designation), '^([A-Za-z]+)[\\s-]*([0-9]+)$', 1)) as synonym, regexp_extract(trim(designation), '^([A-Za-z]+)[\\s-]*([0-9]+)$', 2) as digits from ds),
+rf as (select request_id, count(*) as n_terms, count(distinct ref) as n_references, min(ref) as reference_id from (select request_id, case when code is not null then code || '-' || case when length(digits) < 2 then lpad(digits, 2, '0') else digits end end as ref from rx left join syn using (synonym)) group by request_id)"""))
 def _(t):
-    intents = requests.classified(t.texts, stages.staged(requests.rule_matches(t.texts), "matches"))
+    intents = requests.classified(t.texts, t.rule_matches)
     return requests.retrieval_plans(intents, requests.request_designations(t.texts))
 
 
-@query("m08_comparison_plans")
+@query("m08_comparison_plans", _of_requests("""select request_id, case when count(*) = 2 then 'ready' when count(*) < 2 then 'insufficient' else 'conflicting' end as plan, case when count(*) = 2 then min_by(designation, "at") end as left_term, case when count(*) = 2 then max_by(designation, "at") end as right_term from ds group by request_id""", _DS))
 def _(t):
     return requests.comparison_plans(requests.request_designations(t.texts))
 

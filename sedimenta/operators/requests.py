@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .phrases import first_of_each
 from .text import SPACE
 
 # Results depend on them.
@@ -39,6 +40,15 @@ RULES = (
     ("know.question", "knowledge", "weak", ("what", "which", "how many", "how much")),
     ("know.wording", "knowledge", "weak", ("value", "setting", "rating", "installed")),
     ("domain.words", "general", "domain", ("voltage", "current", "transformer", "relay", "cable", "breaker", "busbar", "feeder")),
+    ("draw.request.it", "drawing", "strong", ("schizza", "fammi un disegno", "tracciami lo schema unifilare", "prepara una bozza grafica del quadro")),
+    ("verify.request.it", "verification", "strong", ("ricontrolla", "convalida", "è corretto che", "torna con il progetto")),
+    ("compare.request.it", "comparison", "strong", ("paragona", "metti a fianco", "che differenza passa tra")),
+    ("go.request.it", "navigation", "strong", ("portami a", "salta alla pagina", "fammi vedere il foglio")),
+    ("look.request.it", "document", "strong", ("cercami", "in quale foglio", "recupera il fascicolo")),
+    ("look.wording.it", "document", "weak", ("fascicolo", "foglio", "allegato")),
+    ("explain.request.it", "explanation", "strong", ("raccontami", "come mai", "a che cosa serve")),
+    ("know.question.it", "knowledge", "weak", ("quanti", "quante", "che valore ha")),
+    ("domain.words.it", "general", "domain", ("tensione", "corrente", "trasformatore", "interruttore", "cavo", "sbarra")),
 )
 
 
@@ -59,17 +69,11 @@ def request_tokens(text: Column) -> Column:
 
 
 def rule_matches(requests: DataFrame, rules: tuple[tuple[str, str, str, tuple[str, ...]], ...] = RULES) -> DataFrame:
-    """Each rule at most once a request: its earliest phrase, else its earliest word. Word runs of one to four meet the
-    phrases in one equality join."""
-    spark = requests.sparkSession
-    phrases = spark.createDataFrame([(r, i, s, p, p.count(" ") + 1) for r, i, s, ps in rules for p in ps], "rule_id string, intent string, strength string, phrase string, words int")
-    rows = requests.select("request_id", request_tokens(F.col("text")).alias("t"))
-    runs = rows.select("request_id", "t", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("words"))
-    at = F.when(F.size("t") >= F.col("words"), F.transform(F.sequence(F.lit(0), F.size("t") - F.col("words")), lambda i: F.struct(i.alias("at"), F.array_join(F.slice("t", i + 1, F.col("words")), " ").alias("phrase"))))
-    runs = runs.select("request_id", "words", F.explode(at).alias("r")).select("request_id", "words", "r.*")
-    hits = runs.join(F.broadcast(phrases), ["phrase", "words"])  # about 100 phrases
-    first = F.row_number().over(Window.partitionBy("request_id", "rule_id").orderBy((F.col("words") == 1).cast("int"), "at", "phrase"))
-    return hits.withColumn("k", first).where("k = 1").select("request_id", "rule_id", "intent", "strength", F.col("at").cast("long").alias("at"), "phrase")
+    """Each rule at most once a request: its earliest phrase of several words, else its earliest word; phrases of any length."""
+    found = first_of_each(request_tokens(F.col("text")), [(phrase.split(), k) for k, (_, _, _, phrases) in enumerate(rules) for phrase in phrases], len(rules))
+    named = F.array(*(F.struct(F.lit(r).alias("rule_id"), F.lit(i).alias("intent"), F.lit(s).alias("strength")) for r, i, s, _ in rules))
+    hits = requests.select("request_id", F.explode(found).alias("m")).select("request_id", F.get(named, F.col("m.grp")).alias("r"), "m.at", "m.phrase")
+    return hits.select("request_id", "r.rule_id", "r.intent", "r.strength", "at", "phrase")
 
 
 def match_evidence(matches: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql.types import StringType
 
 #: What counts as white space: the listed characters, and no others.
 SPACE = "\\u0009-\\u000D\\u001C-\\u0020\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
+#: The same for SQL engines whose patterns write code points as \\x{...}.
+SQL_SPACE = re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", SPACE)
 
 
 def register_lines(lineitem: DataFrame) -> DataFrame:

@@ -457,12 +457,6 @@ def _(t: Tables) -> DataFrame:
     return requests.normalised_claim(rows, dict(_SYNONYMS))
 
 
-# Requests (text rules have no short SQL form; tested on hand-written rows)
-@query("m05_match_evidence")
-def _(t: Tables) -> DataFrame:
-    return requests.match_evidence(requests.rule_matches(t.texts))
-
-
 # Evaluation
 @query("n02_disagreements", sql("""select policy, reason, count(*) as n from (select p.policy, case when kind = 'current_value' then 'unexpected' when kind = 'designation' and document_id % 10 = 0 then 'text' when kind = 'power_value' and value is not null and document_id % 10 = 1 then 'quantity' when kind = 'location' and document_id % 10 = 2 and p.policy = 'exact' then 'provenance' else 'none' end as reason
   from ev, (values ('exact'), ('location_only')) p(policy)) group by all""", "ev"))

@@ -64,12 +64,6 @@ def _(t: Tables) -> DataFrame:
 
 
 # Graph
-@query("g06_provenance_checks", sql("select edge_id, concat_ws(',', case when document_id <= 0 then 'document' end, case when review_id is null or review_id <= 0 then 'review' end, case when created_at is null then 'time' end) as codes from edges where document_id <= 0 or review_id is null or review_id <= 0 or created_at is null", "edges"))
-def _(t: Tables) -> DataFrame:
-    broken = codes(document=F.col("document_id") <= 0, review=F.col("review_id").isNull() | (F.col("review_id") <= 0), time=F.col("created_at").isNull())
-    return t.edges.select("edge_id", broken.alias("codes")).where("codes <> ''")
-
-
 # the first generation is built from two thirds of the documents, the second and third from all
 _GEN1 = "gen1 as (select * from edges where document_id % 3 <> 0), n as (select count(*) as a, count(*) filter (document_id % 3 <> 0) as e from edges), v as (select count(*) as a, (select count(*) from nodes where node_id in (select unnest([subject_id, object_id]) from gen1)) as e from nodes)"
 

@@ -8,12 +8,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .audits import once
 from .catalogue import QUERIES, Tables, query
 from .functions.rules import RULE_VERSIONS, UNITS
-from .operators import constraints, dialogue
+from .operators import constraints, intervals
 from .operators import derivation as d
+from .operators.lineage import union_all
+from .operators.machines import recursive_sql
+from .operators.ordering import ranked
 from .packages import _SUPPORT, snapshots
 from .plans.oracle import sql
+from .sources.stages import staged
 
 _BEFORE = set(QUERIES)
 
@@ -151,5 +156,80 @@ def _(t: Tables) -> DataFrame:
     return provenance(t)
 
 
+# Timelines: two messages make a turn; a message comes a minute after the one before, a turn is begun a second before its first message and completed
+# five seconds after its last one, unless nothing answers in it
+_TIMELINE = """mg as (select conv_id, turn // 2 as turn, role, timestamp '2024-01-01' + to_minutes(conv_id * 7 + turn) as t, turn as k, text from conversations),
+t0 as (select conv_id, null::bigint as turn, 'conversation_created' as event_type, min(t) - interval 10 second as at0, 0 as o, 0 as k, '' as x from mg group by conv_id union all select conv_id, turn, 'turn_started', min(t) - interval 1 second, 1, 0, '' from mg group by conv_id, turn
+  union all select conv_id, turn, 'message_added', t, 2, k, coalesce(text, '') from mg union all select conv_id, turn, 'response_attached', t + interval 1 second, 3, k, coalesce(text, '') from mg where role = 'assistant'
+  union all select conv_id, turn, 'turn_completed', max(t) + interval 5 second, 4, 0, '' from mg group by conv_id, turn having bool_or(role = 'assistant')),
+tm as (select conv_id, turn, event_type, at0, row_number() over (partition by conv_id order by at0, o, k, x) - 1 as sequence from t0)"""
+
+
+@once
+def timeline_of(t: Tables) -> DataFrame:
+    seconds = lambda n: F.expr(f"interval {n} second")
+    at = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + (F.col("conv_id") * 7 + F.col("turn")) * 60)
+    rows = t.read("conversations").select("conv_id", F.expr("turn div 2").alias("exchange"), "role", at.alias("t"), F.col("turn").alias("k"), F.coalesce("text", F.lit("")).alias("x"))
+    of_turn = rows.groupBy("conv_id", "exchange").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.bool_or(F.col("role") == "assistant").alias("answered"))
+    nothing = (F.lit(0).cast("long").alias("k"), F.lit("").alias("x"))
+    event = lambda df, turn, kind, at, o, *tie: df.select("conv_id", turn.alias("turn"), F.lit(kind).alias("event_type"), at.alias("at"), F.lit(o).alias("o"), *(tie or nothing))
+    turn = F.col("exchange")
+    parts = [
+        event(of_turn.groupBy("conv_id").agg(F.min("first").alias("first")), F.lit(None).cast("long"), "conversation_created", F.col("first") - seconds(10), 0), event(of_turn, turn, "turn_started", F.col("first") - seconds(1), 1),
+        event(rows, turn, "message_added", F.col("t"), 2, "k", "x"), event(rows.where("role = 'assistant'"), turn, "response_attached", F.col("t") + seconds(1), 3, "k", "x"), event(of_turn.where("answered"), turn, "turn_completed", F.col("last") + seconds(5), 4),
+    ]
+    placed = ranked(union_all(parts), "conv_id", "at", "o", "k", "x")
+    return staged(placed.select("conv_id", "turn", "event_type", "at", F.col("rank").alias("sequence")), "timeline")
+
+
+_TURNS = """ts as (select conv_id, turn, count(*) filter (event_type = 'message_added') as messages, count(*) filter (event_type = 'response_attached') as responses, min(at0) filter (event_type = 'turn_started') as opened_at, max(at0) filter (event_type = 'turn_completed') as closed_at from tm where turn is not null group by all),
+cs as (select conv_id, count(distinct turn) as turns, count(*) filter (event_type = 'message_added') as messages, count(*) filter (event_type = 'response_attached') as responses, count(*) as events, epoch(max(at0))::bigint - epoch(min(at0))::bigint as seconds, max(at0) as last_activity_at from tm group by conv_id)"""
+
+
+@query("o01b_conversation_timelines", f"with {_TIMELINE}, {_TURNS} select * from cs")
+def _(t: Tables) -> DataFrame:
+    return intervals.conversation_statistics(timeline_of(t))
+
+
+@query("o02b_turn_durations", f"with {_TIMELINE}, {_TURNS} select *, epoch(closed_at)::bigint - epoch(opened_at)::bigint as seconds from ts")
+def _(t: Tables) -> DataFrame:
+    return intervals.turn_statistics(timeline_of(t))
+
+
+# events of some conversations are lost, swapped or come before their turn; recorded statistics are off
+_BENT_TM = "bm as (select conv_id, turn, event_type, case when conv_id % 6 = 1 and sequence = 3 then at0 - interval 1 day else at0 end as at0, sequence from tm where not (conv_id % 6 = 0 and sequence = 2) and not (conv_id % 6 = 2 and event_type = 'turn_started' and turn = 1))"
+
+
+@query("o03c_timeline_checks", f"with {_TIMELINE}, {_BENT_TM} " + _codes(
+    "conv_id, sequence", "(select *, row_number() over (partition by conv_id order by sequence) - 1 as place, lag(at0) over (partition by conv_id order by sequence) as before, row_number() over (partition by conv_id, turn order by sequence) as n from bm)",
+    not_contiguous="sequence <> place", back_in_time="at0 < before", turn_not_started="turn is not null and n = 1 and event_type <> 'turn_started'",
+))
+def _(t: Tables) -> DataFrame:
+    k = F.col("conv_id") % 6
+    rows = timeline_of(t).where("not (conv_id % 6 = 0 and sequence = 2) and not (conv_id % 6 = 2 and event_type = 'turn_started' and turn <=> 1)")
+    return intervals.timeline_violations(rows.withColumn("at", F.when((k == 1) & (F.col("sequence") == 3), F.col("at") - F.expr("interval 1 day")).otherwise(F.col("at"))))
+
+
+@query("o03d_recorded_statistics", f"with {_TIMELINE}, {_TURNS}, rc as (select case when conv_id % 8 = 5 then -conv_id else conv_id end as conv_id, turns + (conv_id % 8 = 1)::int as turns, messages - (conv_id % 8 = 2)::int as messages, responses, case when conv_id % 8 = 3 then null else events end as events, seconds + (conv_id % 8 = 4)::int as seconds from cs) " + _codes(
+    "conv_id", "(select rc.*, c.turns as t1, c.messages as m1, c.responses as r1, c.events as e1, c.seconds as s1, c.conv_id is not null as known from rc left join cs c on c.conv_id = rc.conv_id)", unknown="not known", turns_differ="known and turns is distinct from t1", messages_differ="known and messages is distinct from m1", responses_differ="known and responses is distinct from r1",
+    events_differ="known and events is distinct from e1", seconds_differ="known and seconds is distinct from s1",
+))
+def _(t: Tables) -> DataFrame:
+    counted, k = intervals.conversation_statistics(timeline_of(t)), F.col("conv_id") % 8
+    one = lambda r: (k == r).cast("int")
+    recorded = counted.select(F.when(k == 5, -F.col("conv_id")).otherwise(F.col("conv_id")).alias("conv_id"), (F.col("turns") + one(1)).alias("turns"), (F.col("messages") - one(2)).alias("messages"), "responses", F.when(k != 3, F.col("events")).alias("events"), (F.col("seconds") + one(4)).alias("seconds"))
+    return intervals.recorded_violations(recorded, counted, ["conv_id"], ("turns", "messages", "responses", "events", "seconds"))
+
+
+_OPEN_CLOSE = "oc as (select user_id, event_id, ts, case when event_type in ('signup', 'view') then 'open' else 'closed' end as what from events)"
+
+
+@query("o19_activity_intervals", "with " + recursive_sql(f"with {_OPEN_CLOSE} select * from oc", intervals.AGAIN, "user_id", "what", "ts, event_id, what") + """,
+ac as (select user_id, ts, row_number() over (partition by user_id order by k) - 1 as r from run where before <> after) select user_id, r // 2 as number, min(ts) as opened_at, case when count(*) = 2 then max(ts) end as closed_at, case when count(*) = 2 then epoch(date_trunc('second', max(ts)))::bigint - epoch(date_trunc('second', min(ts)))::bigint end as seconds from ac group by user_id, r // 2""")
+def _(t: Tables) -> DataFrame:
+    what = F.when(F.col("event_type").isin("signup", "view"), "open").otherwise("closed")
+    return intervals.intervals(t.read("events").select("user_id", "event_id", "ts", what.alias("what")), "user_id", "what", "ts", "event_id")
+
+
 #: The queries of this module.
 NAMES = sorted(set(QUERIES) - _BEFORE)

@@ -16,7 +16,7 @@ from .operators import dialogue, ledger, lineage, machines, quality, requests, r
 from .operators import evidence as ev
 from .operators import text as tx
 from .plans.oracle import TRIM, sql
-from .sources import stages
+from .sources import files, stages
 
 _BEFORE = set(QUERIES)
 
@@ -32,6 +32,13 @@ def _(t: Tables) -> DataFrame:
     return stages.content_identities(pages.select(F.col("page_id").alias("document_id"), "path"), files).select("document_id", "checksum", "size", "failure")
 
 
+@query("a01b_file_checksums")
+def _(t: Tables) -> DataFrame:
+    """The files of the tables themselves; what SQL reads has no files, so tests compare with hashlib."""
+    found = files.checksums(files.listed(t.spark, t.sf_dir))
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "checksum", "error")
+
+
 @query("a14_append_ledger", "select event_id, user_id, event_type, event_id % 3 as batch from events")
 def _(t: Tables) -> DataFrame:
     rows = t.read("events").select("event_id", "user_id", "event_type", (F.col("event_id") % 3).alias("batch"))

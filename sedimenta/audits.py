@@ -15,6 +15,7 @@ from .functions.keys import UNIT_SEPARATOR, key
 from .functions.rules import UNITS
 from .operators import graph, ledger, machines, retrieval
 from .operators.generations import StoredGraph
+from .operators.postings import PostingIndex
 from .plans.oracle import sql
 from .sources import stages
 from .streaming import promotion
@@ -303,10 +304,54 @@ def _(t: Tables) -> DataFrame:
     return docs.join(live, "project_id", "left_semi").select("document_id", "project_id")
 
 
-@query("k04_mention_search", "select p_partkey as mention_id, p_name as identifier, row_number() over (partition by p_partkey % 100 order by p_partkey) as place from part where contains(lower(p_name), 'ring')")
+# words asked for: the beginnings of what the parts are
+_ASKED = "wq as (select distinct substr(split_part(p_name, ' ', 2), 1, 3) as word from part)"
+
+
+def mention_index(t: Tables) -> PostingIndex:
+    index = PostingIndex(t.spark, f"{stages.shared_dir(t.spark)}/mentions-{uuid.uuid4().hex}", buckets=16)
+    index.build(t.read("part").select(F.col("p_partkey").alias("entry"), (F.col("p_partkey") % 100).alias("document"), F.col("p_name").alias("identifier")))
+    return index
+
+
+def sought(t: Tables, index: PostingIndex) -> DataFrame:
+    asked = t.read("part").select(F.substring(F.split_part("p_name", F.lit(" "), F.lit(2)), 1, 3).alias("word")).distinct()
+    place = F.row_number().over(Window.partitionBy("word", "document").orderBy("mention_id"))
+    return index.containing(asked).withColumn("mention_id", F.col("entry").cast("long")).select("word", "mention_id", "identifier", place.alias("place"))
+
+
+@query("k04_mention_search", f"with {_ASKED} select word, p_partkey as mention_id, p_name as identifier, row_number() over (partition by word, p_partkey % 100 order by p_partkey) as place from part join wq on contains(lower(p_name), lower(word)) where word <> ''")
+def _(t: Tables) -> DataFrame:
+    return sought(t, mention_index(t))
+
+
+@query("k04b_search_after_an_update", f"with {_ASKED}, np as (select p_partkey, case when p_partkey % 100 % 10 = 0 then 'new ' || p_brand || ' ' || p_name else p_name end as p_name from part where p_partkey % 100 <> 7) select word, p_partkey as mention_id, p_name as identifier, row_number() over (partition by word, p_partkey % 100 order by p_partkey) as place from np join wq on contains(lower(p_name), lower(word)) where word <> ''")
+def _(t: Tables) -> DataFrame:
+    # mentions of every tenth document are written anew, those of the seventh go
+    index, page = mention_index(t), F.col("p_partkey") % 100
+    changed = t.read("part").where((page % 10 == 0) | (page == 7))
+    entries = changed.where(page != 7).select(F.col("p_partkey").alias("entry"), page.alias("document"), F.concat(F.lit("new "), "p_brand", F.lit(" "), "p_name").alias("identifier"))
+    index.update(changed.select(page.alias("document")), entries)
+    return sought(t, index)
+
+
+@once
+def designation_index(t: Tables) -> PostingIndex:
+    index = PostingIndex(t.spark, f"{stages.shared_dir(t.spark)}/designations-{uuid.uuid4().hex}", buckets=16)
+    index.build(t.evidence.where("kind = 'designation'").select(F.col("evidence_key").alias("entry"), F.col("document_id").alias("document"), F.col("designation").alias("identifier")))
+    return index
+
+
+@query("c14_designation_lookup", sql("select evidence_key, document_id, designation from ev where designation = 'T1'", "ev"))
+def _(t: Tables) -> DataFrame:
+    return designation_index(t).exact("T1").where("identifier = 'T1'").select(F.col("entry").alias("evidence_key"), F.col("document").alias("document_id"), F.col("identifier").alias("designation"))
+
+
+@query("c14b_designations_asked_for", sql("select q.query_id, count(*) as n, count(distinct document_id) as documents from qs q join ev on lower(ev.designation) = lower(q.designation) and ev.kind = 'designation' and ev.project_id = q.project_id group by q.query_id", "qs"))
 def _(t: Tables) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy(F.col("p_partkey") % 100).orderBy("p_partkey"))
-    return t.read("part").where(F.contains(F.lower("p_name"), F.lit("ring"))).select(F.col("p_partkey").alias("mention_id"), F.col("p_name").alias("identifier"), place.alias("place"))
+    of_project = t.lines.select(F.col("document_id").alias("document"), F.col("project_id").alias("of")).distinct()
+    met = designation_index(t).equal_to(t.asked, "designation").join(of_project, "document").where("of = project_id")
+    return met.groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct("document").alias("documents"))
 
 
 @query("l01_claim_checks", """with c as (select o_orderkey as claim_id, case o_orderkey % 3 when 0 then 'relationship' when 1 then 'attribute' else 'entity' end as kind, case when o_orderkey % 23 <> 0 then o_orderpriority end as subject, case when o_orderkey % 5 <> 0 then o_orderstatus else ' ' end as predicate, case when o_orderkey % 7 <> 0 then o_orderpriority end as object from orders),

@@ -426,11 +426,6 @@ def _(t):
     return t.evidence.groupBy("kind", "status").agg(F.count("*").alias("n"))
 
 
-@query("c14_designation_lookup", sql("select evidence_key, document_id, line_index from ev where designation = 'T1'", "ev"))
-def _(t):
-    return t.evidence.where("designation = 'T1'").select("evidence_key", "document_id", "line_index")
-
-
 # D: entities, facts, statements
 ENTITY = "select document_id, entity_key, entity_type, n_evidence, label, status, cast(value as double) as value from ent"
 

@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .catalogue import QUERIES, Tables, _after, query
+from .catalogue import QUERIES, Tables, _after, once, query
 from .functions.keys import UNIT_SEPARATOR, key
 from .functions.rules import UNITS
 from .operators import graph, ledger, machines, retrieval
@@ -28,17 +28,6 @@ def codes(**checks: Column) -> Column:
     return F.concat_ws(",", *(F.when(c, name) for name, c in checks.items()))
 
 
-def once(make):
-    """Made once for the tables of a run."""
-
-    def held(t: Tables):
-        if make.__name__ not in t.__dict__:
-            t.__dict__[make.__name__] = make(t)
-        return t.__dict__[make.__name__]
-
-    return held
-
-
 # Registers and representation
 @query("a23_attribute_resolution", sql("select e.unit, a.unit as attribute_unit, a.quantity_type as attribute, count(*) as n from ev e join (select distinct unit, quantity_type from units) a on lower(a.unit) = lower(e.unit) group by all", "ev"))
 def _(t: Tables) -> DataFrame:

@@ -189,6 +189,17 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def once(make):
+    """Made once for the tables of a run."""
+
+    def held(t: Tables):
+        if make.__name__ not in t.__dict__:
+            t.__dict__[make.__name__] = make(t)
+        return t.__dict__[make.__name__]
+
+    return held
+
+
 def bucket_table(rows: DataFrame, key: str, buckets: int = 16) -> BucketTable:
     """An empty copy-on-write table for rows like these, in the shared folder."""
     return BucketTable(rows.sparkSession, f"{stages.shared_dir(rows.sparkSession)}/table-{uuid.uuid4().hex}", key, rows.schema, buckets)
@@ -589,9 +600,9 @@ def _(t):
     return t.decisions.select("statement_key", "promoted", "refusal")
 
 
-@query("g04_nodes", sql("select node_id, node_kind, document_id, label, cast(value as double) as value, unit, statement_key from nodes", "nodes"))
+@query("g04_nodes", sql("select node_id, node_kind, document_id, label, normalized_value, cast(value as double) as value, unit, statement_key from nodes", "nodes"))
 def _(t):
-    return dbl(t.nodes, "value").select("node_id", "node_kind", "document_id", "label", "value", "unit", "statement_key")
+    return dbl(t.nodes, "value").select("node_id", "node_kind", "document_id", "label", "normalized_value", "value", "unit", "statement_key")
 
 
 @query("g05_edges", sql("select edge_id, edge_kind, subject_id, object_id, document_id, statement_key, review_id from edges", "edges"))

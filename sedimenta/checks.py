@@ -8,8 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .audits import once
-from .catalogue import QUERIES, Tables, query
+from .catalogue import QUERIES, Tables, once, query
 from .functions.rules import RULE_VERSIONS, UNITS
 from .operators import constraints, intervals
 from .operators import derivation as d

@@ -129,5 +129,5 @@ def reasoning_report(results: DataFrame) -> DataFrame:
     """Message and number of supports of each reasoning result: conflict, ambiguity, insufficiency or agreement."""
     v = F.col("verdict")
     kind = F.when(v.isin("inconsistent", "unsupported_comparison"), "conflict").when(v == "ambiguous", "ambiguity").when(v.isin("no_subject", "no_required_quantity", "unparsable_value"), "insufficient").otherwise("agreement")
-    supports = F.when(F.col("contributors") == "", 0).otherwise(F.size(F.split("contributors", ","))).cast("long")
+    supports = F.size("contributors").cast("long")
     return results.select("result_id", kind.alias("message_kind"), supports.alias("n_supports"), F.concat_ws(" ", "designation", F.regexp_replace(v, "_", " ")).alias("message"))

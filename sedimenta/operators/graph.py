@@ -87,8 +87,9 @@ def node_rows(edges: DataFrame, entities: DataFrame) -> DataFrame:
     ends = edges.select(F.explode(F.array(*(F.struct(F.col(f"{s}_id").alias("node_id"), F.col(f"{s}_key").alias("entity_key"), F.col(f"{s}_kind").alias("node_kind")) for s in ("subject", "object")))).alias("e"), "document_id", "statement_key", "created_at")
     ends = ends.select("e.*", "document_id", "statement_key", "created_at")
     last = ends.groupBy("node_id", "entity_key", "node_kind", "document_id").agg(F.max(F.struct("statement_key", "created_at")).alias("last"))
-    shown = entities.select("document_id", "project_id", "entity_key", "label", "value", "unit")
-    return last.join(shown, ["document_id", "entity_key"]).select("node_id", "node_kind", "document_id", "project_id", "entity_key", "label", "value", "unit", F.col("last.statement_key").alias("statement_key"), F.col("last.created_at").alias("created_at"), F.lit("active").alias("state"))
+    normalized = F.coalesce(F.upper("designation"), F.when(F.col("value").isNotNull(), F.col("number_text")), F.col("label"))
+    shown = entities.select("document_id", "project_id", "entity_key", "label", normalized.alias("normalized_value"), "value", "unit")
+    return last.join(shown, ["document_id", "entity_key"]).select("node_id", "node_kind", "document_id", "project_id", "entity_key", "label", "normalized_value", "value", "unit", F.col("last.statement_key").alias("statement_key"), F.col("last.created_at").alias("created_at"), F.lit("active").alias("state"))
 
 
 def incremental(decisions: DataFrame, held: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def asset_matches(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     Each strategy is an equality of a derived key, so that all are shuffle joins and none a comparison of all pairs.
     """
     keyed = lambda *keys: F.explode(F.array(*(F.struct(F.lit(k).alias("precedence"), c.alias("match_key")) for (k, _), c in zip(STRATEGIES, keys, strict=True)))).alias("k")
-    name, label, value = F.col("designation"), F.col("label"), F.col("value").cast("string")
+    name, label, value = F.col("designation"), F.col("label"), F.col("normalized_value")
     q = queries.select("query_id", "project_id", keyed(name, fold(name), fold(name), alphanumeric(name))).select("query_id", "project_id", "k.*")
     n = nodes.where("node_kind = 'engineering_asset'").select("node_id", "project_id", "label", keyed(label, fold(label), fold(value), alphanumeric(label))).select("node_id", "project_id", "label", "k.*").where("match_key <> ''")
     return q.join(n, ["project_id", "precedence", "match_key"]).groupBy("query_id", "project_id", "node_id", "label").agg(F.min("precedence").alias("precedence"))
@@ -165,22 +165,37 @@ def quantity_consistency(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return sums.withColumn("verdict", verdict)
 
 
+# What an id of a reasoning result is made of, before the question, the project and the sorted contributors.
+REASONING = ("reasoning/result/1", "quantity_consistency", "1.0")
+
+
 def package_consistency(asked: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Verdict of each question (document_id, designation) over the package of its document: whose quantities agree, with the
-    contributors in order and an id that follows from all of it. A document's nodes meet, never more."""
+    """Verdict of each question (document_id, designation) over the package of its document: whether the asset's approved quantities agree.
+
+    ``contributors`` holds the quantities that were read, by label and id, each with its value, unit and the statement that it comes from. The id of a result
+    follows from rule, question, project and the contributors' ids in order of these, and from nothing else: the same knowledge gives the same id.
+    A document's nodes meet, never more."""
     assets = nodes.where("node_kind = 'engineering_asset'").select("document_id", alphanumeric(F.col("label")).alias("name"), F.col("node_id").alias("subject_id"))
     values = nodes.where("node_kind = 'engineering_quantity'").select("document_id", F.col("node_id").alias("object_id"), F.col("label").alias("quantity"), "value", "unit", F.col("statement_key").alias("source"))
-    held = edges.where("edge_kind = 'has_rated_power'").select("document_id", "subject_id", "object_id").join(values, ["document_id", "object_id"])
-    rows = asked.withColumn("name", alphanumeric(F.col("designation"))).join(assets, ["document_id", "name"], "left").join(held, ["document_id", "subject_id"], "left")
-    one = F.struct(F.col("quantity").alias("order_key"), F.col("object_id").alias("id"), F.col("source"))
-    sums = rows.groupBy("document_id", "designation").agg(F.countDistinct("subject_id").alias("subjects"), F.count("object_id").alias("n"), F.count("value").alias("parsed"), F.countDistinct("value").alias("n_values"), F.countDistinct("unit").alias("n_units"), F.array_sort(F.collect_set(F.when(F.col("object_id").isNotNull(), one))).alias("c"))
+    held = edges.where("edge_kind = 'has_rated_power'").select("document_id", "subject_id", "object_id", "edge_id").join(values, ["document_id", "object_id"])
+    project = nodes.groupBy("document_id").agg(F.min("project_id").alias("project_id"))
+    rows = asked.join(project, "document_id", "left").withColumn("name", alphanumeric(F.col("designation"))).join(assets, ["document_id", "name"], "left").join(held, ["document_id", "subject_id"], "left")
+    item = F.concat_ws(":", F.lit("engineering_quantity"), "edge_id", "object_id")
+    one = F.struct(F.col("quantity").alias("order_key"), item.alias("id"), F.col("value").cast("double").alias("value"), "unit", F.col("source"))
+    comparable = F.col("value").isNotNull() & F.col("unit").isNotNull()
+    distinct = lambda c: F.count_distinct(F.when(comparable, F.col(c)))
+    sums = rows.groupBy("document_id", "project_id", "designation").agg(
+        F.count_distinct("subject_id").alias("subjects"), F.count_distinct("edge_id").alias("n"), F.count_distinct(F.when(comparable, F.col("edge_id"))).alias("parsed"), distinct("value").alias("n_values"), distinct("unit").alias("n_units"), F.array_sort(F.collect_set(F.when(F.col("object_id").isNotNull(), one))).alias("c")
+    )
     verdict = (
         F.when(F.col("subjects") > 1, "ambiguous").when(F.col("subjects") == 0, "no_subject").when(F.col("n") == 0, "no_required_quantity").when(F.col("parsed") == 0, "unparsable_value")
-        .when(F.col("n_units") > 1, "unsupported_comparison").when(F.col("n_values") > 1, "inconsistent").when(F.col("n") == 1, "single_value").otherwise("values_equal")
+        .when(F.col("n_units") > 1, "unsupported_comparison").when(F.col("n_values") > 1, "inconsistent").when(F.col("parsed") == 1, "single_value").otherwise("values_equal")
     )
-    sums = sums.withColumn("contributors", F.array_join(F.transform("c", lambda x: x["id"]), ",")).withColumn("verdict", verdict)
-    parts = F.concat_ws(UNIT_SEPARATOR, F.lit("reasoning"), F.lit("quantity_consistency"), F.lit("1.0"), "designation", F.col("document_id").cast("string"), "verdict", "contributors")
-    return sums.select("document_id", "designation", "subjects", "n", "verdict", "contributors", F.sha2(parts, 256).alias("result_id"))
+    read = F.when(F.col("subjects") == 1, F.col("c")).otherwise(F.array().cast(sums.schema["c"].dataType))
+    sums = sums.withColumns({"verdict": verdict, "contributors": read})
+    question = F.concat_ws(":", "document_id", "designation")
+    parts = F.concat_ws(UNIT_SEPARATOR, *map(F.lit, REASONING), question, F.coalesce(F.col("project_id").cast("string"), F.lit("")), F.array_sort(F.transform("contributors", lambda x: x["id"])))
+    return sums.select("document_id", "project_id", "designation", "subjects", F.size("contributors").cast("long").alias("n"), "verdict", "contributors", F.sha2(parts, 256).alias("result_id"))
 
 
 def shared_locations(edges: DataFrame, nodes: DataFrame) -> DataFrame:

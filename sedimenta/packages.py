@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .catalogue import QUERIES, Tables, _after, bucket_table, expected, query, registry
+from .catalogue import QUERIES, Tables, _after, bucket_table, expected, once, query, registry
 from .functions.keys import UNIT_SEPARATOR, checksum, identity
 from .functions.rules import NUMBER, RULE_VERSIONS
 from .operators import dialogue, ledger, lineage, machines, quality, requests, retrieval, spans
@@ -359,6 +359,23 @@ def _(t: Tables) -> DataFrame:
     return t.found.select("query_id", "node_id", names[F.col("precedence")].alias("strategy"))
 
 
+# labels of some documents are as drawn, with more around the designation; requests are also written without separators
+_STRATEGIES = """qa as (select distinct project_id || ':' || d as query_id, project_id, d as designation from (select project_id, unnest([designation, lower(designation), lower(regexp_replace(designation, '[^A-Za-z0-9]', '', 'g'))]) as d from ent where kind = 'designation')),
+na as (select node_id, project_id, case when document_id % 5 = 0 then 'Unit (' || label || ')' else label end as label, normalized_value from nodes where node_kind = 'engineering_asset'),
+fa as (select query_id, node_id, min(k) as precedence from (select q.query_id, n.node_id, k from qa q join na n using (project_id), range(1, 5) r(k) where case k when 1 then q.designation = n.label when 2 then lower(q.designation) = lower(n.label) when 3 then lower(q.designation) = lower(n.normalized_value)
+  else lower(regexp_replace(q.designation, '[^\\p{L}\\p{N}]', '', 'g')) = lower(regexp_replace(n.label, '[^\\p{L}\\p{N}]', '', 'g')) end) group by all)"""
+
+
+@query("h02b_all_strategies", sql("@", "nodes").replace("\n@", f",\n{_STRATEGIES} select query_id, node_id, case precedence when 1 then 'exact_designation' when 2 then 'normalized_designation' when 3 then 'normalized_value' else 'canonical_designation' end as strategy from fa"))
+def _(t: Tables) -> DataFrame:
+    name = F.col("designation")
+    asked = t.entities.where("kind = 'designation'").select("project_id", F.explode(F.array(name, F.lower(name), F.lower(F.regexp_replace(name, "[^A-Za-z0-9]", "")))).alias("designation")).distinct()
+    asked = asked.select(F.concat_ws(":", "project_id", "designation").alias("query_id"), "project_id", "designation")
+    drawn = t.nodes.withColumn("label", F.when(F.col("document_id") % 5 == 0, F.concat(F.lit("Unit ("), "label", F.lit(")"))).otherwise(F.col("label")))
+    names = F.create_map(*(F.lit(x) for pair in retrieval.STRATEGIES for x in pair))
+    return retrieval.asset_matches(asked, drawn).select("query_id", "node_id", names[F.col("precedence")].alias("strategy"))
+
+
 @query("h07_state_scopes", sql(f"select edge_id, scope from (select edge_id, {_STATES} from edges), (values ('current'), ('current_and_historical')) s(scope) where state = 'active' or (state = 'historical' and scope = 'current_and_historical')", "edges"))
 def _(t: Tables) -> DataFrame:
     rows = with_states(t.edges)
@@ -372,19 +389,33 @@ def _(t: Tables) -> DataFrame:
 
 
 # Reasoning, over the package of one document
-_PACK = """asked as (select distinct document_id, designation from ent where kind = 'designation' and document_id in (select document_id from nodes) union select distinct document_id, 'T9' from nodes),
-al as (select *, lower(regexp_replace(designation, '[^\\p{L}\\p{N}]', '', 'g')) as name from asked), an as (select document_id, node_id, lower(regexp_replace(label, '[^\\p{L}\\p{N}]', '', 'g')) as name from nodes where node_kind = 'engineering_asset'),
-held as (select e.document_id, e.subject_id, q.node_id, q.label, q.value, q.unit from edges e join nodes q on q.node_id = e.object_id and q.document_id = e.document_id and q.node_kind = 'engineering_quantity' where e.edge_kind = 'has_rated_power'),
-js as (select a.document_id, a.designation, an.node_id as subject_id, h.node_id as object_id, h.label, h.value, h.unit from al a left join an on an.document_id = a.document_id and an.name = a.name left join held h on h.document_id = a.document_id and h.subject_id = an.node_id),
-pk as (select document_id, designation, count(distinct subject_id) as subjects, count(object_id) as n, count(value) as parsed, count(distinct value) as n_values, count(distinct unit) as n_units, coalesce(string_agg(distinct object_id, ','), '') as contributors from js group by all),
-pv as (select *, case when subjects > 1 then 'ambiguous' when subjects = 0 then 'no_subject' when n = 0 then 'no_required_quantity' when parsed = 0 then 'unparsable_value' when n_units > 1 then 'unsupported_comparison' when n_values > 1 then 'inconsistent' when n = 1 then 'single_value' else 'values_equal' end as verdict from pk),
-pr as (select document_id, designation, subjects, n, verdict, contributors, sha256(concat_ws(chr(31), 'reasoning', 'quantity_consistency', '1.0', designation, document_id, verdict, contributors)) as result_id from pv where n < 2)"""
-
-
+# a second quantity, another unit, no value or a namesake is planted in some documents: without them every asset has one quantity at most
+_PACK = """gn as (select node_id, node_kind, document_id, project_id, label, case when node_kind = 'engineering_quantity' and document_id % 6 = 4 then null else value end as value, unit, statement_key from nodes
+  union all select node_id || '2', node_kind, document_id, project_id, label || ' b', case when document_id % 6 = 1 then value + 1 else value end, case when document_id % 6 = 3 then 'MVA' else unit end, statement_key from nodes where node_kind = 'engineering_quantity' and document_id % 6 in (1, 2, 3)
+  union all select node_id || '3', node_kind, document_id, project_id, '(' || label || ')', value, unit, statement_key from nodes where node_kind = 'engineering_asset' and document_id % 6 = 5),
+ge as (select edge_id, edge_kind, subject_id, object_id, document_id from edges union all select edge_id || '2', edge_kind, subject_id, object_id || '2', document_id from edges where edge_kind = 'has_rated_power' and document_id % 6 in (1, 2, 3)),
+asked as (select distinct document_id, designation from ent where kind = 'designation' and document_id in (select document_id from nodes) union select distinct document_id, 'T9' from nodes),
+al as (select *, lower(regexp_replace(designation, '[^\\p{L}\\p{N}]', '', 'g')) as name from asked join (select document_id, min(project_id) as project_id from gn group by document_id) using (document_id)), an as (select document_id, node_id, lower(regexp_replace(label, '[^\\p{L}\\p{N}]', '', 'g')) as name from gn where node_kind = 'engineering_asset'),
+held as (select e.document_id, e.subject_id, e.edge_id, q.node_id, q.label, q.value, q.unit from ge e join gn q on q.node_id = e.object_id and q.document_id = e.document_id and q.node_kind = 'engineering_quantity' where e.edge_kind = 'has_rated_power'),
+js as (select a.document_id, a.project_id, a.designation, an.node_id as subject_id, h.edge_id, h.label, h.value, h.unit, 'engineering_quantity:' || h.edge_id || ':' || h.node_id as item, h.value is not null and h.unit is not null as ok from al a left join an on an.document_id = a.document_id and an.name = a.name left join held h on h.document_id = a.document_id and h.subject_id = an.node_id),
+pk as (select document_id, project_id, designation, count(distinct subject_id) as subjects, count(distinct edge_id) as n, count(distinct edge_id) filter (ok) as parsed, count(distinct value) filter (ok) as n_values, count(distinct unit) filter (ok) as n_units from js group by all),
+ci as (select document_id, designation, string_agg(item, ',' order by label, item) as contributors, string_agg(item, chr(31) order by item) as ids, count(*) as n_read from (select distinct document_id, designation, label, item from js where item is not null) group by all),
+pv as (select pk.* exclude (n), case when subjects = 1 then coalesce(n_read, 0) else 0 end as n, case when subjects = 1 then coalesce(contributors, '') else '' end as contributors, case when subjects = 1 then coalesce(chr(31) || ids, '') else '' end as ids,
+  case when subjects > 1 then 'ambiguous' when subjects = 0 then 'no_subject' when pk.n = 0 then 'no_required_quantity' when parsed = 0 then 'unparsable_value' when n_units > 1 then 'unsupported_comparison' when n_values > 1 then 'inconsistent' when parsed = 1 then 'single_value' else 'values_equal' end as verdict from pk left join ci using (document_id, designation)),
+pr as (select document_id, project_id, designation, subjects, n, verdict, contributors, sha256(concat_ws(chr(31), 'reasoning/result/1', 'quantity_consistency', '1.0', document_id || ':' || designation, project_id) || ids) as result_id from pv)"""
+
+
+@once
 def packages(t: Tables) -> DataFrame:
+    k, quantity = F.col("document_id") % 6, F.col("node_kind") == "engineering_quantity"
+    nodes = t.nodes.select("node_id", "node_kind", "document_id", "project_id", "label", F.when(~(quantity & (k == 4)), F.col("value")).alias("value"), "unit", "statement_key")
+    second = t.nodes.where(quantity & k.isin(1, 2, 3)).select(F.concat("node_id", F.lit("2")).alias("node_id"), "node_kind", "document_id", "project_id", F.concat("label", F.lit(" b")).alias("label"), (F.col("value") + (k == 1).cast("int")).cast(nodes.schema["value"].dataType).alias("value"), F.when(k == 3, "MVA").otherwise(F.col("unit")).alias("unit"), "statement_key")
+    namesake = t.nodes.where((F.col("node_kind") == "engineering_asset") & (k == 5)).select(F.concat("node_id", F.lit("3")).alias("node_id"), "node_kind", "document_id", "project_id", F.concat(F.lit("("), "label", F.lit(")")).alias("label"), "value", "unit", "statement_key")
+    ends = t.edges.select("edge_id", "edge_kind", "subject_id", "object_id", "document_id")
+    more = ends.where((F.col("edge_kind") == "has_rated_power") & k.isin(1, 2, 3)).withColumns({"edge_id": F.concat("edge_id", F.lit("2")), "object_id": F.concat("object_id", F.lit("2"))})
     docs = t.nodes.select("document_id").distinct()
     asked = t.entities.where("kind = 'designation'").select("document_id", "designation").join(docs, "document_id", "left_semi").unionByName(docs.withColumn("designation", F.lit("T9"))).distinct()
-    return stages.staged(retrieval.package_consistency(asked, t.nodes, t.edges), "packages")
+    return stages.staged(retrieval.package_consistency(asked, lineage.union_all([nodes, second, namesake]), ends.unionByName(more)), "packages")
 
 
 def _pack(select: str) -> str:
@@ -393,7 +424,12 @@ def _pack(select: str) -> str:
 
 @query("j04_package_results", _pack("select * from pr"))
 def _(t: Tables) -> DataFrame:
-    return packages(t).where("n < 2")  # the text of several contributors is ordered by label in the DataFrame only
+    return packages(t).withColumn("contributors", F.array_join(F.transform("contributors", lambda x: x["id"]), ","))
+
+
+@query("j04b_contributors", _pack("select distinct pr.result_id, js.label as order_key, js.item as id, cast(js.value as double) as value, js.unit, gn.statement_key as source from pr join js on js.document_id = pr.document_id and js.designation = pr.designation join gn on js.item = 'engineering_quantity:' || js.edge_id || ':' || gn.node_id where pr.subjects = 1"))
+def _(t: Tables) -> DataFrame:
+    return packages(t).select("result_id", F.explode("contributors").alias("c")).select("result_id", "c.*").distinct()
 
 
 @query("j07_verdict_counts", _pack("select verdict, count(*) as n from pv group by verdict"))
@@ -577,7 +613,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("o16_reasoning_report", _pack("select result_id, case when verdict in ('inconsistent', 'unsupported_comparison') then 'conflict' when verdict = 'ambiguous' then 'ambiguity' when verdict in ('no_subject', 'no_required_quantity', 'unparsable_value') then 'insufficient' else 'agreement' end as message_kind, n as n_supports, designation || ' ' || replace(verdict, '_', ' ') as message from pr"))
 def _(t: Tables) -> DataFrame:
-    return dialogue.reasoning_report(packages(t).where("n < 2"))
+    return dialogue.reasoning_report(packages(t))
 
 
 #: The queries of this module.

@@ -64,7 +64,7 @@ PARTS = {
     "bad": "select distinct document_id from m where entity_type = 'engineering_quantity' and value is null",
     "ms": "select * from m where document_id not in (select document_id from bad)",
     "ent": """
-  select document_id, project_id, entity_key, entity_type, n_evidence, designation, value, unit, base_value, kind,
+  select document_id, project_id, entity_key, entity_type, n_evidence, designation, number_text, value, unit, base_value, kind,
     coalesce(designation, case when value is not null then number_text || ' ' || unit end, substr(entity_key, 1, 12)) as label, case when seen = 'observed' then 'resolved' else 'ambiguous' end as status from (
     select document_id, project_id, entity_key, entity_type, count(*) as n_evidence, min(designation) as designation, min(number_text) as number_text, min(value) as value, min(unit) as unit, min(base_value) as base_value, min(kind) as kind, min(status) as seen
     from ms group by all)""",
@@ -111,7 +111,7 @@ PARTS = {
   select sha256(concat_ws(chr(31), 'edge', statement_type, statement_key)) as edge_id, statement_type as edge_kind, sha256(concat_ws(chr(31), 'node', 'engineering_asset', subject_key)) as subject_id,
     sha256(concat_ws(chr(31), 'node', case statement_type when 'has_rated_power' then 'engineering_quantity' else 'structural_location' end, object_key)) as object_id, subject_key, object_key, document_id, statement_key, review_id, recorded_at as created_at from dec where promoted""",
     "nodes": """
-  select node_id, node_kind, e.document_id, project_id, e.entity_key, label, value, unit, x.statement_key, 'active' as state from (
+  select node_id, node_kind, e.document_id, project_id, e.entity_key, label, coalesce(upper(designation), case when value is not null then number_text end, label) as normalized_value, value, unit, x.statement_key, 'active' as state from (
     select node_id, entity_key, node_kind, document_id, max(statement_key) as statement_key from (
       select subject_id as node_id, subject_key as entity_key, 'engineering_asset' as node_kind, document_id, statement_key from edges
       union all select object_id, object_key, case edge_kind when 'has_rated_power' then 'engineering_quantity' else 'structural_location' end, document_id, statement_key from edges) group by node_id, entity_key, node_kind, document_id) x
@@ -120,7 +120,7 @@ PARTS = {
     "am": """
   select query_id, project_id, node_id, label, min(precedence) as precedence from (
     select q.query_id, q.project_id, n.node_id, n.label, k as precedence from qs q join nodes n on q.project_id = n.project_id and n.node_kind = 'engineering_asset', range(1, 5) r(k)
-    where case k when 1 then q.designation = n.label when 2 then lower(q.designation) = lower(n.label) when 3 then lower(q.designation) = lower(cast(n.value as varchar)) else lower(regexp_replace(q.designation, '[^\\p{L}\\p{N}]', '', 'g')) = lower(regexp_replace(n.label, '[^\\p{L}\\p{N}]', '', 'g')) end) group by all""",
+    where case k when 1 then q.designation = n.label when 2 then lower(q.designation) = lower(n.label) when 3 then lower(q.designation) = lower(n.normalized_value) else lower(regexp_replace(q.designation, '[^\\p{L}\\p{N}]', '', 'g')) = lower(regexp_replace(n.label, '[^\\p{L}\\p{N}]', '', 'g')) end) group by all""",
 }
 
 

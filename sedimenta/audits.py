@@ -356,11 +356,6 @@ def _(t: Tables) -> DataFrame:
     return retrieval.claim_faults(claims, evidence)
 
 
-@query("l03_claims_by_document", "select distinct l_suppkey as document_id, l_orderkey as claim_id from lineitem")
-def _(t: Tables) -> DataFrame:
-    return t.read("lineitem").select(F.col("l_suppkey").alias("document_id"), F.col("l_orderkey").alias("claim_id")).distinct()
-
-
 @query("l04_evidence_replacement", "select l_orderkey as claim_id, l_partkey as evidence_id from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderpriority = '1-URGENT') union all select o_orderkey, o_custkey from orders where o_orderpriority = '1-URGENT'")
 def _(t: Tables) -> DataFrame:
     new = t.read("orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("claim_id"), F.col("o_custkey").alias("evidence_id"))
@@ -417,12 +412,6 @@ def _(t: Tables) -> DataFrame:
     return machines.now(machines.run(rows, ledger.CONVERSATIONS, "conv_id", "state", ("turn", "role", "text")), "conv_id", "turn", "role", "text")
 
 
-@query("o09_memory_statistics", "select conv_id, count(*) as entries, count(*) filter (role = 'user') as questions, count(*) filter (role = 'assistant') as responses from conversations group by conv_id")
-def _(t: Tables) -> DataFrame:
-    role = F.col("role")
-    return t.read("conversations").groupBy("conv_id").agg(F.count("*").alias("entries"), F.count_if(role == "user").alias("questions"), F.count_if(role == "assistant").alias("responses"))
-
-
 @query("o14_response_warnings", _after("select request_id, case when share = 0 then 'insufficient' when share < 0.5 then 'high' when share < 1 then 'moderate' else 'none' end as uncertainty, share < 1 as truncated from (select request_id, count(*) filter (selected) / count(*) as share from sel group by request_id)"))
 def _(t: Tables) -> DataFrame:
     rows = t.chosen.groupBy("request_id").agg((F.count_if("selected") / F.count("*")).alias("share"))
@@ -436,11 +425,6 @@ def _(t: Tables) -> DataFrame:
     return rows.withColumn("verdict", F.when(F.col("token") == "YES", "supported").when(F.col("token") == "NO", "contradicted").otherwise("not_declared"))
 
 
-@query("o17_session_statistics", "select user_id as session_id, count(*) as timeline_events, count(*) filter (event_type = 'purchase') as responses, min(ts) as started from events group by user_id")
-def _(t: Tables) -> DataFrame:
-    return t.read("events").groupBy(F.col("user_id").alias("session_id")).agg(F.count("*").alias("timeline_events"), F.count_if(F.col("event_type") == "purchase").alias("responses"), F.min("ts").alias("started"))
-
-
 @query("o18_conversation_integrity", "select * from (select conv_id, concat_ws(',', case when max(turn) - min(turn) + 1 <> count(distinct turn) then 'turns_not_contiguous' end, case when count(*) filter (role = 'assistant') = 0 then 'no_response' end, case when count(*) > count(distinct turn) then 'repeated_turn' end, case when count(*) filter (text is null or trim(text) = '') > 0 then 'blank_message' end) as errors from conversations group by conv_id) where errors <> ''")
 def _(t: Tables) -> DataFrame:
     blank = F.col("text").isNull() | (F.trim("text") == "")

@@ -359,11 +359,6 @@ def _(t):
     return ledger.repeated(rows, "code")
 
 
-@query("a28_scope_violations", "select o_orderkey as document_id from orders where (o_orderstatus = 'F') <> (o_custkey % 2 = 0)")
-def _(t):
-    return t.read("orders").where((F.col("o_orderstatus") == "F") != (F.col("o_custkey") % 2 == 0)).select(F.col("o_orderkey").alias("document_id"))
-
-
 # B: text
 @query("b01_text_lines", r"select doc_id as document_id, b - 1 as block, l - 1 as line_index, line_text from (select doc_id, b, generate_subscripts(string_split(block_text, chr(10)), 1) as l, unnest(string_split(block_text, chr(10))) as line_text from (select doc_id, generate_subscripts(string_split_regex(coalesce(text, ''), '\n[ \t]*\n'), 1) as b, unnest(string_split_regex(coalesce(text, ''), '\n[ \t]*\n')) as block_text from documents)) where line_text <> ''")
 def _(t):

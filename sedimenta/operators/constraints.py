@@ -166,3 +166,58 @@ def provenance_violations(rows: DataFrame, own: str = "edge_id") -> DataFrame:
     blank = [Rule(f"missing:{c}", F.coalesce(F.trim(F.col(c)), F.lit("")) == "") for c in REQUIRED]
     ids = [Rule(c, F.col(c).isNull() | (F.col(c) <= 0)) for c in ("document_id", "review_id")]
     return violations(rows, [own], *blank, *ids)
+
+
+def memory_violations(entries: DataFrame, recorded: DataFrame) -> DataFrame:
+    """conv_id, code over the entries of working memories and over what was recorded of them (conv_id, entries and a column a type)."""
+    from pyspark.sql import Window
+
+    from .dialogue import MEMORY, memory_statistics
+
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("sequence")) - 1
+    policy = F.create_map(*(x for k, p, life in MEMORY for x in (F.lit(k), F.struct(F.lit(p).alias("priority"), F.lit(life).alias("lifetime")))))[F.col("entry_type")]
+    answers = F.col("entry_type") == "recent_engineering_response"
+    own = violations(
+        entries.withColumn("_place", place), ["conv_id"], Rule("sequence", F.col("sequence") != F.col("_place")), Rule("unknown_type", policy.isNull()), Rule("priority", policy["priority"] != F.col("priority")), Rule("lifetime", policy["lifetime"] != F.col("lifetime")),
+        Rule("response_missing", answers & F.col("response_id").isNull()), Rule("response_not_allowed", ~answers & F.col("response_id").isNotNull()),
+    )
+    names = ("entries", *(k for k, _, _ in MEMORY))
+    counted = memory_statistics(entries)
+    sums = violations(recorded, ["conv_id"], Refers({"conv_id": "conv_id"}, counted, {f"_{n}": F.min(n) for n in names}, {f"{n}_differ": F.col(n) != F.coalesce(f"_{n}", F.lit(0)) for n in names}))
+    return own.unionByName(sums)
+
+
+def intent_violations(intents: DataFrame, matches: DataFrame) -> DataFrame:
+    """request_id, code of the intents (request_id, intent, confidence) that their matches do not bear out."""
+    from .requests import CONFLICTING, PRECEDENCE
+
+    plain, strong = F.col("strength") != "domain", F.col("strength") == "strong"
+    rank = F.create_map(*(F.lit(x) for k, p in enumerate(PRECEDENCE) for x in (p, k)))
+    brings = {
+        "_all": F.count("*"), "_domain": F.count_if(~plain), "_plain": F.count_if(plain), "_candidates": F.collect_set(F.when(plain, F.col("intent"))), "_best": F.min(F.when(plain, rank[F.col("intent")])),
+        "_operations": F.count_distinct(F.when(strong & F.col("intent").isin(*CONFLICTING), F.col("intent"))),
+    }
+    intent, n = F.col("intent"), lambda c: F.coalesce(c, F.lit(0))
+    terminal = intent.isin("unsupported", "general", "ambiguous")
+    held = F.coalesce(F.array_contains("_candidates", intent), F.lit(False))
+    return violations(
+        intents, ["request_id"],
+        Refers({"request_id": "request_id"}, matches, brings, {
+            "unsupported_by_evidence": ~terminal & ~held, "higher_precedence_left": ~terminal & held & (F.col("_best") < rank[intent]), "unsupported_with_evidence": (intent == "unsupported") & (n("_all") > 0), "general_without_domain": (intent == "general") & (n("_domain") == 0),
+            "general_with_workflow": (intent == "general") & (n("_plain") > 0), "ambiguous_without_conflict": (intent == "ambiguous") & (n("_operations") < 2), "conflict_not_ambiguous": ~intent.isin("ambiguous") & (n("_operations") > 1),
+        }),
+        Rule("resolved_without_intent", intent.isin("ambiguous", "unsupported") & (F.col("confidence") != "unresolved")),
+    )
+
+
+def response_violations(responses: DataFrame) -> DataFrame:
+    """response_id, code of responses (origin, provider, model, outcome, stated, evidence, bounded): no model named on an answer that none gave, verdicts
+    bounded by their evidence."""
+    provider, model = F.coalesce(F.trim("provider"), F.lit("")) != "", F.coalesce(F.trim("model"), F.lit("")) != ""
+    by_model, without = F.col("origin") == "llm_invocation", F.col("origin") == "deterministic_retrieval"
+    return violations(
+        responses, ["response_id"],
+        Rule("unknown_origin", F.col("origin").isNull() | ~F.col("origin").isin("llm_invocation", "deterministic_retrieval")), Rule("model_missing", by_model & ~(provider & model)), Rule("model_not_allowed", without & (provider | model)), Rule("negative_evidence", F.col("evidence") < 0),
+        Rule("bounded_with_evidence", F.col("bounded") & (F.col("evidence") != 0)), Rule("bounded_verdict", F.col("bounded") & ~F.col("outcome").eqNullSafe("insufficient_evidence")), Rule("unbounded_without_evidence", ~F.col("bounded") & (F.col("evidence") == 0)),
+        Rule("stated_nothing", F.col("outcome").isNull() & F.col("stated")),
+    )

@@ -131,3 +131,36 @@ def reasoning_report(results: DataFrame) -> DataFrame:
     kind = F.when(v.isin("inconsistent", "unsupported_comparison"), "conflict").when(v == "ambiguous", "ambiguity").when(v.isin("no_subject", "no_required_quantity", "unparsable_value"), "insufficient").otherwise("agreement")
     supports = F.size("contributors").cast("long")
     return results.select("result_id", kind.alias("message_kind"), supports.alias("n_supports"), F.concat_ws(" ", "designation", F.regexp_replace(v, "_", " ")).alias("message"))
+
+
+def working_memory(messages: DataFrame, responses: DataFrame, most: int = 5) -> DataFrame:
+    """What a conversation remembers, in order: its open question, the status of its newest ``most`` responses, the references of these (each once, in the
+    order first seen), and of the newest the reasons of its uncertainties as assumptions and its warnings as constraints.
+
+    ``responses``: response_id, conv_id, at, status and arrays of references, reasons and warnings. Of responses of one time the higher id is newer."""
+    kinds = {k: n for n, (k, _, _) in enumerate(MEMORY)}
+    order = Window.partitionBy("conv_id").orderBy(F.desc("at"), F.desc("response_id"))
+    recent = responses.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    no_response = F.lit(None).cast("long")
+    entry = lambda df, kind, rank, content, response: df.select("conv_id", F.lit(kinds[kind]).alias("kind"), F.lit(kind).alias("entry_type"), rank.cast("long").alias("rank"), content.alias("content"), response.alias("response_id"))
+    question = entry(open_questions(messages), "open_question", F.lit(0), F.col("question"), no_response)
+    answers = entry(recent, "recent_engineering_response", F.col("place"), F.concat(F.lit("status="), "status"), F.col("response_id"))
+    seen = recent.select("conv_id", "place", F.posexplode("references").alias("k", "item")).groupBy("conv_id", "item").agg(F.min(F.col("place") * 1_000_000 + F.col("k")).alias("first"))
+    references = entry(seen, "active_reference", F.col("first"), F.col("item"), no_response)
+    newest = recent.where("place = 1")
+    said = lambda kind, column: entry(newest.select("conv_id", F.posexplode(column).alias("k", "item")), kind, F.col("k"), F.col("item"), no_response)
+    rows = question.unionByName(answers).unionByName(references).unionByName(said("assumption", "reasons")).unionByName(said("constraint", "warnings"))
+    policy = F.broadcast(messages.sparkSession.createDataFrame(list(MEMORY), "entry_type string, priority string, lifetime string"))  # five rows
+    k = F.row_number().over(Window.partitionBy("conv_id").orderBy("kind", "rank", "content")) - 1
+    return rows.withColumn("sequence", k.cast("long")).join(policy, "entry_type").select("conv_id", "sequence", "entry_type", "content", "response_id", "priority", "lifetime")
+
+
+def memory_statistics(entries: DataFrame) -> DataFrame:
+    """conv_id, entries, and how many of each type."""
+    return entries.groupBy("conv_id").agg(F.count("*").alias("entries"), *(F.count_if(F.col("entry_type") == k).alias(k) for k, _, _ in MEMORY))
+
+
+def session_statistics(timeline: DataFrame) -> DataFrame:
+    """session_id, timeline_events, responses, created_at, last_activity_at and seconds of sessions (session_id, ts, response: whether an event attached one)."""
+    span = F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))
+    return timeline.groupBy("session_id").agg(F.count("*").alias("timeline_events"), F.count_if("response").alias("responses"), F.min("ts").alias("created_at"), F.max("ts").alias("last_activity_at"), span.alias("seconds"))

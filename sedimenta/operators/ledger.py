@@ -108,3 +108,39 @@ def first_by_alias(names: DataFrame, catalogue: DataFrame) -> DataFrame:
     known = catalogue.select("entry_id", "rank", F.explode(F.array_union(F.array("entry_id", "entry_name"), "aliases")).alias("alias")).select("entry_id", "rank", F.lower(F.trim("alias")).alias("folded")).distinct()
     found = names.withColumn("folded", F.lower(F.trim("name"))).join(known, "folded")
     return found.groupBy("name").agg(F.min_by("entry_id", "rank").alias("entry_id"))
+
+
+def catalogue_lookups(asked: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """request_id, what, entry_id, place of what the catalogue answers to requests (request_id, what, text, more), in catalogue order from 0.
+
+    ``catalogue``: entry_id, rank, parent, category, relations (array of kinds), attributes (map of values). ``what`` is ``child`` (entries whose parent is
+    the text), ``category`` (entries in it), ``relation`` (the entry, if it supports the kind ``more``) or ``attribute`` (the entry, if it has ``more``). Ids
+    and categories are compared in lower case without outer spaces; blank texts find nothing."""
+    fold = lambda c: F.lower(F.trim(F.col(c).cast("string")))
+    by = lambda what, column, more=None: catalogue.select(F.lit(what).alias("what"), fold(column).alias("text"), (F.lit(None).cast("string") if more is None else more).alias("more"), "entry_id", "rank")
+    keys = by("child", "parent").unionByName(by("category", "category")).unionByName(by("relation", "entry_id", F.explode("relations"))).unionByName(by("attribute", "entry_id", F.explode(F.map_keys("attributes"))))
+    rows = asked.select("request_id", "what", fold("text").alias("text"), "more").where("text <> ''")
+    found = rows.join(keys.withColumnRenamed("more", "_more"), ["what", "text"]).where(F.col("_more").isNull() | (F.col("_more") == F.col("more")))
+    first = found.groupBy("request_id", "what", "entry_id").agg(F.min("rank").alias("rank"))
+    place = F.row_number().over(Window.partitionBy("request_id", "what").orderBy("rank", "entry_id")) - 1
+    return first.select("request_id", "what", "entry_id", place.cast("long").alias("place"))
+
+
+def attribute_lookups(asked: DataFrame, attributes: DataFrame) -> DataFrame:
+    """asked text, by, attribute_id: attributes (attribute_id, units, domain) by id, by a unit, or by the domain of their metadata, whatever the case."""
+    keys = [attributes.select(F.lit(by).alias("by"), c.alias("text"), "attribute_id") for by, c in (("id", F.col("attribute_id")), ("unit", F.explode("units")), ("domain", F.col("domain")))]
+    known = keys[0].unionByName(keys[1]).unionByName(keys[2]).withColumn("text", F.lower("text")).distinct()
+    return asked.withColumn("_text", F.lower(F.trim("text"))).join(known.withColumnRenamed("text", "_text"), ["by", "_text"]).select("text", "by", "attribute_id")
+
+
+def scope_violations(documents: DataFrame) -> DataFrame:
+    """document_id, code: a document of a project that names none, one of the library that names one, or one whose scope is neither; a scope is never
+    inferred from a missing project."""
+    scope, named = F.col("scope"), F.col("project_id").isNotNull()
+    code = F.when(scope.isNull() | ~scope.isin("project", "library"), "unknown_scope").when((scope == "project") & ~named, "project_missing").when((scope == "library") & named, "project_not_allowed")
+    return documents.withColumn("code", code).where("code is not null").select("document_id", "code")
+
+
+def claims_of_documents(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """document_id, claim_id of the claims (claim_id) that have evidence (claim_id, document_id) in a document, each once."""
+    return evidence.select("document_id", "claim_id").distinct().join(claims.select("claim_id"), "claim_id", "left_semi").select("document_id", "claim_id")

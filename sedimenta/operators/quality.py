@@ -95,3 +95,10 @@ def regressions(before: DataFrame, after: DataFrame) -> DataFrame:
     new = errors(after).join(errors(before), cols, "left_anti").withColumn("change", F.lit("new"))
     gone = errors(before).join(errors(after), cols, "left_anti").withColumn("change", F.lit("resolved"))
     return new.unionByName(gone).groupBy("change", "outcome", "kind").agg(F.count("*").alias("n"))
+
+
+def evaluation_run(lines: DataFrame, expected: DataFrame, extract) -> DataFrame:
+    """Extracts evidence from ``lines`` and scores it against ``expected``; each row of metrics names the rules that ran, with their versions."""
+    found = extract(lines)
+    ran = found.agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws("@", "rule_id", "rule_version"))), ",").alias("rule_versions"))  # one row: there are a few rules
+    return metrics(classified(pairings(expected, found))).join(F.broadcast(ran), how="cross")

@@ -253,3 +253,31 @@ def ranked_documents(terms: DataFrame, entries: DataFrame, limit: int = 20) -> D
     score = score.withColumn("score", F.col("points") + REPEAT * (F.col("mentions") - 1) + SEVERAL * (F.col("n_terms") - 1))
     order = Window.partitionBy("request_id").orderBy(F.desc("score"), F.desc("mentions"), "document_id")
     return score.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= limit).select("request_id", "document_id", "mentions", "n_terms", "score", "place")
+
+
+def package_metadata(results: DataFrame, by: str, versions: tuple[str, ...], most: int = 20) -> DataFrame:
+    """Of each package the versions that all of its results agree in (null where they differ), and how many entries fit."""
+    agreed = [F.when(F.count_distinct(v) == 1, F.max(v)).alias(v) for v in versions]
+    rows = results.groupBy(by).agg(*agreed, F.count("*").alias("requested")).withColumn("accepted", F.least("requested", F.lit(most)))
+    return rows.withColumn("discarded", F.col("requested") - F.col("accepted")).withColumn("utilisation", F.col("accepted") / most)
+
+
+def two_packages(items: DataFrame) -> DataFrame:
+    """question, evidence selected and found on the left and on the right, and whether both sides have any: each side (question, side, item_id, kind,
+    order_key) is a package of its own, with a budget of its own."""
+    chosen = select_items(items.withColumn("request_id", F.struct("question", "side")))
+    count = lambda side, which: F.count_if((F.col("side") == side) & which)
+    rows = chosen.groupBy("question").agg(*(count(s, F.col("selected")).alias(f"{s}_evidence") for s in ("left", "right")), *(count(s, F.lit(True)).alias(f"{s}_found") for s in ("left", "right")))
+    return rows.withColumn("both_sides", (F.col("left_evidence") > 0) & (F.col("right_evidence") > 0))
+
+
+def diagnostics(queries: DataFrame, nodes: DataFrame, matches: DataFrame, generation: int, limit: int = 20) -> DataFrame:
+    """Of each query: what was asked, the strategies tried and the one that decided, how many assets were examined, matched and returned, and of which
+    generation the graph was."""
+    of_project = nodes.where("node_kind = 'engineering_asset' and state = 'active'").groupBy("project_id").agg(F.count("*").alias("examined"))
+    matched = matches.groupBy("query_id").agg(F.count("*").alias("matched"), F.min("precedence").alias("first"))
+    names = F.create_map(*(F.lit(x) for pair in STRATEGIES for x in pair))
+    rows = queries.join(of_project, "project_id", "left").join(matched, "query_id", "left").fillna(0, ["examined", "matched"])
+    return rows.select(
+        "query_id", fold(F.col("designation")).alias("normalised"), F.lit(",".join(n for _, n in STRATEGIES)).alias("strategies"), names[F.col("first")].alias("decided_by"), "examined", "matched", F.least("matched", F.lit(limit)).alias("returned"), F.lit(generation).cast("long").alias("generation")
+    )

@@ -228,9 +228,9 @@ def fact_faults(facts: DataFrame, again: DataFrame, entities: DataFrame, looped:
     return lineage.union_all([*lost, twice, looped.where("subject_key = object_key").select("fact_key", F.lit("same_ends").alias("code"))])
 
 
-@query("d15_fact_lookups", sql("select subject_key, fact_key, predicate, object_key from facts where subject_key in (select entity_key from ent where document_id % 40 = 0)", "facts"))
+@query("d15_fact_lookups", sql("select subject_key, fact_key, predicate, object_key from facts where subject_key in (select entity_key from ent)", "facts"))
 def _(t: Tables) -> DataFrame:
-    asked = t.entities.where("document_id % 40 = 0").select("document_id", F.col("entity_key").alias("subject_key"))
+    asked = t.entities.select("document_id", F.col("entity_key").alias("subject_key"))
     return t.facts.join(asked, ["document_id", "subject_key"], "left_semi").select("subject_key", "fact_key", "predicate", "object_key")
 
 
@@ -310,7 +310,7 @@ def _(t: Tables) -> DataFrame:
     # every third review was made when the first fact was not yet there
     support = t.facts.groupBy("document_id", "subject_key").agg(F.array_sort(F.collect_list("fact_key")).alias("keys"))
     rows = t.reviews.join(t.statements.select("document_id", "statement_key", "subject_key"), ["document_id", "statement_key"]).join(support, ["document_id", "subject_key"])
-    then = F.when((F.col("review_id") % 3 == 0) & (F.size("keys") > 1), F.slice("keys", 2, 1_000_000)).otherwise(F.col("keys"))
+    then = F.when((F.col("review_id") % 3 == 0) & (F.size("keys") > 1), F.slice("keys", F.lit(2), F.size("keys"))).otherwise(F.col("keys"))
     print_of = lambda c: F.sha2(F.array_join(c, UNIT_SEPARATOR), 256)
     return rows.select("review_id", (print_of(then) != print_of(F.col("keys"))).alias("changed"))
 
@@ -338,17 +338,17 @@ def _(t: Tables) -> DataFrame:
     return bent.select("edge_id", F.concat_ws(",", *(F.when(c, n) for n, c in broken.items())).alias("codes")).where("codes <> ''")
 
 
-@query("h05b_document_knowledge_in_scope", sql(f"select document_id, 'node' as what, node_id as id from (select *, {_STATES.replace(' as state', ' as now')} from nodes) where document_id % 49 = 0 and now = 'active' union all select document_id, 'edge', edge_id from (select *, {_STATES.replace(' as state', ' as now')} from edges) where document_id % 49 = 0 and now = 'active'", "nodes"))
+@query("h05b_document_knowledge_in_scope", sql(f"select document_id, 'node' as what, node_id as id from (select *, {_STATES.replace(' as state', ' as now')} from nodes) where now = 'active' union all select document_id, 'edge', edge_id from (select *, {_STATES.replace(' as state', ' as now')} from edges) where now = 'active'", "nodes"))
 def _(t: Tables) -> DataFrame:
-    asked = t.nodes.where("document_id % 49 = 0").select("document_id").distinct()
+    asked = t.nodes.select("document_id").distinct()
     rows = [retrieval.in_scope(with_states(df), "current").join(asked, "document_id", "left_semi").select("document_id", F.lit(w).alias("what"), F.col(k).alias("id")) for df, w, k in ((t.nodes, "node", "node_id"), (t.edges, "edge", "edge_id"))]
     return lineage.union_all(rows)
 
 
-@query("h06b_nodes_and_edges_by_identity", sql(f"select id, what, state from (select id, coalesce(n.what, 'unknown') as what, n.state from (select node_id as id from nodes where document_id % 20 = 0 union select edge_id from edges where document_id % 20 = 1 union select sha256(edge_id) from edges where document_id % 20 = 2) a left join (select node_id as k, 'node' as what, {_STATES.replace(' as state', '')} as state from nodes union all select edge_id, 'edge', {_STATES.replace(' as state', '')} from edges) n on k = id and n.state <> 'retired')", "nodes"))
+@query("h06b_nodes_and_edges_by_identity", sql(f"select id, what, state from (select id, coalesce(n.what, 'unknown') as what, n.state from (select node_id as id from nodes union select edge_id from edges union select sha256(edge_id) from edges) a left join (select node_id as k, 'node' as what, {_STATES.replace(' as state', '')} as state from nodes union all select edge_id, 'edge', {_STATES.replace(' as state', '')} from edges) n on k = id and n.state <> 'retired')", "nodes"))
 def _(t: Tables) -> DataFrame:
-    ids = lambda df, k, n: df.where(f"document_id % 20 = {n}").select(F.col(k).alias("id"))
-    asked = ids(t.nodes, "node_id", 0).unionByName(ids(t.edges, "edge_id", 1)).unionByName(ids(t.edges, "edge_id", 2).select(F.sha2("id", 256).alias("id"))).distinct()
+    ids = lambda df, k: df.select(F.col(k).alias("id"))
+    asked = ids(t.nodes, "node_id").unionByName(ids(t.edges, "edge_id")).unionByName(ids(t.edges, "edge_id").select(F.sha2("id", 256).alias("id"))).distinct()
     held = lineage.union_all([with_states(df).select(F.col(k).alias("id"), F.lit(w).alias("what"), "state") for df, k, w in ((t.nodes, "node_id", "node"), (t.edges, "edge_id", "edge"))])
     return asked.join(retrieval.in_scope(held, "current_and_historical"), "id", "left").select("id", F.coalesce("what", F.lit("unknown")).alias("what"), "state")
 

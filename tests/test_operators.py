@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import sedimenta.audits
 import sedimenta.checks
+import sedimenta.memory
 import sedimenta.packages
 from sedimenta.catalogue import ORACLE_SQL, QUERIES
 from sedimenta.operators import evidence, graph, quality, requests, retrieval, spans, text

@@ -8,7 +8,7 @@ Pages of a host with the same blocks (copies) count as one. Every branch of low
 
 What an element is called is a prior of its branch: the importance of a branch whose tag or names say navigation, footer,
 advert, form, comments and the like is multiplied by ``prior``, or by ``weak`` if other words stand in the name too
-('notice-board'). A branch so called that holds most of its pages' text gets the factor back in part; ``prior`` = ``weak`` = 1
+('notice-board'). A branch so called that holds most of its pages' text (a form around a whole page) gets the factor back in part; ``prior`` = ``weak`` = 1
 leaves names out, ``threshold`` = 0 cuts nothing. On pages whose menus and adverts say something else each time the prior is
 all there is; where they repeat, the entropies need no names.
 
@@ -52,8 +52,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that an opening tag of the same kind ends.
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-#: Tags and names that stand for what is not main text, and words that say nothing beside them.
-PRIOR_TAGS = frozenset("head nav footer header aside form menu dialog button".split())
+#: Tags and names that stand for what is not main text, and words that say nothing beside them. Some tags may also stand around all of a page.
+PRIOR_TAGS = frozenset("head nav footer menu dialog button".split())
+AROUND_TAGS = frozenset("header aside form".split())
 PRIOR_NAMES = frozenset(
     "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu nav navbar navigation newsletter notice notices pagination popup promo promotion related search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
@@ -70,11 +71,11 @@ def hashed(text: str) -> int:
 
 def called(tag: str, names: list[str], inside_article: bool) -> int:
     """What an element's tag and names say of it: 0 nothing, 1 weakly, 2 by its names, 3 for sure that it is not main text."""
-    if tag in PRIOR_TAGS and not (tag == "header" and inside_article):
+    if tag in PRIOR_TAGS:
         return 3
     if tag in BODY_TAGS:
         return 0
-    found = 0
+    found = 2 if tag in AROUND_TAGS and not (tag == "header" and inside_article) else 0
     for name in (x for n in names for x in n.split()):
         parts = [x for x in re.split(r"[^a-z]+", name) if x]
         if any(x in PRIOR_NAMES for x in parts):

@@ -401,6 +401,19 @@ def test_names_are_a_prior_only(spark):
     assert got[0].text == "Energy is E here posted"
 
 
+def test_a_form_around_each_page_keeps_its_article(spark):
+    page = "<body><form id='aspnetForm'><nav><a href='/'>Home</a></nav><header>Top of site {0}</header><article><h1>Title {0}</h1><p>{1} of page {0} here</p></article><div><form class='search'><label>Find</label></form></div></form></body>"
+    rows = [(k, f"http://a.example/{k}", page.format(k, " ".join(f"w{k}x{j}" for j in range(60)))) for k in range(12)]
+    got = {r.page_id: r.text for r in style_tree.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Title {k} " + " ".join(f"w{k}x{j}" for j in range(60)) + f" of page {k} here" for k in range(12)}
+
+
+def test_words_are_told_apart_to_their_end():
+    one, other = "x" * 40 + "a", "x" * 40 + "b"
+    assert not np.array_equal(mil_quality.encode([one.encode()])[0], mil_quality.encode([other.encode()])[0])
+    assert secrets.covered("internationalisation", frozenset(["internationalisation"])) == 1.0
+
+
 def test_long_and_deep_pages_take_linear_time():
     import time
 

@@ -15,6 +15,7 @@ are scored and count as held out of training; without any label every score is 0
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import documents_of, table
 
 PASSAGE, HASHED = 64, 32
+#: Bytes of a word that are hashed for all words at once; what is left of longer ones is hashed one by one.
+SHORT = 24
 LOWER, UPPER, DIGIT, SPACE, LINE, STOP, COMMA, BANG, PIPE, MARK, OTHER, HIGH = range(12)
 KINDS = np.full(256, OTHER, np.uint8)
 for _k, _chars in ((LOWER, b"abcdefghijklmnopqrstuvwxyz"), (UPPER, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (DIGIT, b"0123456789"), (SPACE, b" \t\r\x0b\x0c"), (LINE, b"\n"), (STOP, b".?"), (COMMA, b",;:"), (BANG, b"!"), (PIPE, b"|"), (MARK, b"#*$%&<>@^~_={}[]\\/+")):
@@ -70,9 +73,11 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     x[:, 15] = np.bincount(of, ending >= STOP, total) / np.maximum(1, n)
     lowered = np.where(kind == UPPER, data | 32, data).astype(np.uint64) + np.uint64(1)
     h = np.zeros(len(first), np.uint64)
-    for j in range(12):  # the first 12 bytes and the length tell words apart well enough for shares
+    for j in range(SHORT):
         live = length > j
         h[live] = (h[live] ^ lowered[first[live] + j]) * np.uint64(0x100000001B3)
+    for k in np.flatnonzero(length > SHORT):  # the rest of the few long words, whole
+        h[k] ^= np.uint64(zlib.crc32(lowered[first[k] + SHORT : last[k]].astype(np.uint8).tobytes()) << 32)
     h = (h ^ length.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     pairs = np.sort((of.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24)))

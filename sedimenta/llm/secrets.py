@@ -21,6 +21,7 @@ import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,11 +53,16 @@ def kind_of(c: str) -> int:
     return 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3
 
 
+@lru_cache(8)
+def longest(words: frozenset[str]) -> int:
+    return max(map(len, words), default=0)
+
+
 def covered(value: str, words: frozenset[str]) -> float:
     """Share of the value that dictionary words of three letters or more cover, the longest first at each place."""
-    low, at, held = value.lower(), 0, 0
+    low, at, held, most = value.lower(), 0, 0, longest(words)
     while at < len(low):
-        for n in range(min(10, len(low) - at), 2, -1):
+        for n in range(min(most, len(low) - at), 2, -1):
             if low[at : at + n] in words:
                 held += n
                 at += n

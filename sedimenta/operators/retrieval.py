@@ -241,15 +241,19 @@ def containing(terms: DataFrame, identifiers: DataFrame) -> DataFrame:
 
 
 def ranked_documents(terms: DataFrame, entries: DataFrame, limit: int = 20) -> DataFrame:
-    """Documents by relevance for each request: distinct terms meet distinct identifiers first, requests and entries come after."""
-    t = terms.select("request_id", "project_id", F.upper("term").alias("term"))
+    """Documents by relevance for each request: distinct terms meet distinct identifiers first, requests and entries come after. An entry has one
+    identifier, so that the mentions of a document are summed over the different identifiers that a request's terms meet; no list is gathered."""
+    t = terms.select("request_id", "project_id", F.upper("term").alias("term")).distinct()
     e = entries.select("entry_id", "project_id", "document_id", F.upper("identifier").alias("identifier"))
     met = containing(t.select("project_id", "term").distinct(), e.select("project_id", "identifier").distinct())
+    held = e.groupBy("project_id", "identifier", "document_id").agg(F.count_distinct("entry_id").alias("n"))
     points = F.when(F.col("term") == F.col("identifier"), EXACT).otherwise(PARTIAL)
-    hits = met.withColumn("points", points).join(e, ["project_id", "identifier"])
     # what a term brings a document does not depend on who asks
-    brought = hits.groupBy("project_id", "term", "document_id").agg(F.max("points").alias("points"), F.collect_set("entry_id").alias("entries"))  # entries of one document
-    score = t.distinct().join(brought, ["project_id", "term"]).groupBy("request_id", "document_id").agg(F.sum("points").alias("points"), F.count("*").alias("n_terms"), F.size(F.array_distinct(F.flatten(F.collect_list("entries")))).cast("long").alias("mentions"))
+    brought = met.withColumn("points", points).join(held, ["project_id", "identifier"]).groupBy("project_id", "term", "document_id").agg(F.max("points").alias("points"))
+    score = t.join(brought, ["project_id", "term"]).groupBy("request_id", "document_id").agg(F.sum("points").alias("points"), F.count("*").alias("n_terms"))
+    asked = t.join(met, ["project_id", "term"]).select("request_id", "project_id", "identifier").distinct()
+    mentions = asked.join(held, ["project_id", "identifier"]).groupBy("request_id", "document_id").agg(F.sum("n").alias("mentions"))
+    score = score.join(mentions, ["request_id", "document_id"])
     score = score.withColumn("score", F.col("points") + REPEAT * (F.col("mentions") - 1) + SEVERAL * (F.col("n_terms") - 1))
     order = Window.partitionBy("request_id").orderBy(F.desc("score"), F.desc("mentions"), "document_id")
     return score.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= limit).select("request_id", "document_id", "mentions", "n_terms", "score", "place")

@@ -99,3 +99,34 @@ def test_documents_with_known_identities_are_not_made_again(spark, tmp_path):
     assert run({1: "a b", 2: "c", 3: ""}) == [(1, "a", 1), (1, "b", 1), (2, "c", 1)]
     assert run({1: "a b", 2: "d", 3: "", 4: "e"}) == [(1, "a", 1), (1, "b", 1), (2, "d", 2), (4, "e", 2)]
     assert seen == [[1, 2, 3], [2, 4]]  # the document without words is known too
+
+
+def test_reconciling_brings_an_edge_and_its_nodes_back(spark, tmp_path):
+    from sedimenta.operators.generations import StoredGraph
+
+    decision = "document_id long, statement_key string, statement_type string, subject_key string, object_key string, subject_kind string, object_kind string, review_id long, recorded_at timestamp, promoted boolean, refusal string"
+    entity = "document_id long, project_id long, entity_key string, label string, designation string, number_text string, value decimal(28,6), unit string"
+
+    def decided(*refusals):
+        return spark.createDataFrame([(1, f"s{k}", "is_located_in", "a", f"p{k}", "engineering_asset", "structural_location", k, None, r is None, r) for k, r in enumerate(refusals) if r != "gone"], decision)
+
+    entities = spark.createDataFrame([(1, 1, k, k.upper(), k.upper(), None, None, None) for k in ("a", "p0", "p1")], entity)
+    held = StoredGraph.of(f"file://{tmp_path}/g", decided(None, None), entities, buckets=4)
+    documents = spark.createDataFrame([(1,), (2,)], "document_id long")
+
+    def states():
+        name = {r.node_id: r.entity_key for r in held.nodes().collect()}
+        return sorted((r.object_key, r.state, r.retirement_reason) for r in held.edges().collect()), sorted((name[r.node_id], r.state) for r in held.nodes().collect())
+
+    assert held.generation() == 0 and held.edges().collect() == [] and held.nodes().collect() == []
+    assert held.rebuild(decided(None, None), entities) == 1
+    held.reconcile(decided(None, "review_rejected"), entities, documents)
+    assert states() == ([("p0", "active", None), ("p1", "historical", "review_reversed")], [("a", "active"), ("p0", "active"), ("p1", "historical")])
+    held.reconcile(decided("gone", "review_rejected"), entities, documents)
+    assert states()[0] == [("p0", "historical", "requires_revalidation"), ("p1", "historical", "review_reversed")] and {s for _, s in states()[1]} == {"historical"}
+    events = held.reconcile(decided("gone", None), entities, documents)
+    assert {r.event for r in events.collect()} == {"revalidated", "history"}
+    assert states() == ([("p0", "historical", "requires_revalidation"), ("p1", "active", None)], [("a", "active"), ("p0", "historical"), ("p1", "active")])
+    assert held.generation() == 1 and [tuple(r)[0] for r in held.log().collect()] == [1]
+    assert held.rebuild(decided(None, None), entities) == 2 and held.rebuild(decided(None, None), entities) == 3
+    assert [(r.generation, r.unchanged) for r in held.log().orderBy("generation").collect()] == [(1, False), (2, False), (3, True)]

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .audits import generations_of
+from .audits import _state, generations_of, session_moves
 from .catalogue import _INTENTS, QUERIES, Tables, _caps, _of_requests, expected, once, query
 from .catalogue import _after as _of_items
 from .checks import _codes
 from .functions.rules import UNITS
-from .operators import constraints, dialogue, ledger, quality, requests, retrieval
+from .operators import constraints, dialogue, ledger, machines, quality, requests, retrieval
 from .operators import evidence as ev
 from .operators import text as tx
 from .operators.lineage import union_all
+from .operators.machines import recursive_sql
 from .plans.oracle import sql
 from .sources.stages import staged
 
@@ -200,5 +201,49 @@ def _(t: Tables) -> DataFrame:
     return dialogue.session_statistics(t.read("events").select(F.col("user_id").alias("session_id"), (F.col("event_type") == "purchase").alias("response"), "ts"))
 
 
+# Prompts: one for each conversation, of three sections; those without a line are disabled
+_SECTIONS = ("system", "user", "assistant")
+_PROMPTS = """ps as (select c.conv_id as prompt_id, case when c.conv_id % 8 = 1 then 2 - place else place end as place, section, case when c.conv_id % 8 = 2 and section = 'system' then 'x' when c.conv_id % 8 = 3 then ' ' else body end as content, body is not null as enabled from (select distinct conv_id from conversations) c, (values (0, 'system'), (1, 'user'), (2, 'assistant')) s(place, section)
+  left join (select conv_id, role, string_agg(coalesce(text, ''), chr(10) order by turn, text) as body from conversations group by all) b on b.conv_id = c.conv_id and role = section where not (c.conv_id % 8 = 4 and section = 'user') and c.conv_id % 8 <> 5),
+pc as (select prompt_id, list(section order by place) as o, count(*) as n, count(*) filter (enabled) as e, count(*) filter (enabled and trim(coalesce(content, '')) = '') as empty, count(*) filter (not enabled and trim(coalesce(content, '')) <> '') as filled from ps group by prompt_id),
+pr as (select conv_id as prompt_id, 3 + (conv_id % 8 = 6)::int as sections, count(distinct role) + (conv_id % 8 = 7)::int as enabled, 3 - count(distinct role) as disabled from conversations group by conv_id)"""
+
+
+@query("o18f_prompt_checks", f"with {_PROMPTS} " + _codes(
+    "prompt_id", "(select * from pr left join pc using (prompt_id))", no_sections="n is null", sections_out_of_order="o <> ['system', 'user', 'assistant']", section_count="sections <> n", enabled_count="enabled <> e or disabled <> n - e", enabled_without_content="empty > 0", disabled_with_content="filled > 0",
+))
+def _(t: Tables) -> DataFrame:
+    rows, k = t.read("conversations"), F.col("prompt_id") % 8
+    lines = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))
+    bodies = rows.groupBy(F.col("conv_id").alias("prompt_id"), F.col("role").alias("section")).agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("body"))
+    every = rows.select(F.col("conv_id").alias("prompt_id")).distinct().select("prompt_id", F.posexplode(F.array(*map(F.lit, _SECTIONS))).alias("place", "section"))
+    whole = every.join(bodies, ["prompt_id", "section"], "left")
+    content = F.when((k == 2) & (F.col("section") == "system"), "x").when(k == 3, " ").otherwise(F.col("body"))
+    sections = whole.where("not (prompt_id % 8 = 4 and section = 'user') and prompt_id % 8 <> 5").select("prompt_id", F.when(k == 1, 2 - F.col("place")).otherwise(F.col("place")).alias("place"), "section", content.alias("content"), F.col("body").isNotNull().alias("enabled"))
+    held = whole.groupBy("prompt_id").agg(F.count("body").alias("on"))
+    recorded = held.select("prompt_id", (F.lit(3) + (k == 6).cast("int")).alias("sections"), (F.col("on") + (k == 7).cast("int")).alias("enabled"), (F.lit(3) - F.col("on")).alias("disabled"))
+    return constraints.prompt_violations(sections, recorded, _SECTIONS)
+
+
+# Sessions: a user's events; what was recorded is off in some
+_SESSIONS = "with " + recursive_sql(f"select user_id, event_id, ts, {_state} as state from events", ledger.SESSIONS, "user_id", "state", "ts, event_id, state") + """,
+ss as (select user_id as session_id, count(*) as events, count(*) filter (event_type = 'purchase') as responses, epoch(date_trunc('second', max(ts)))::bigint - epoch(date_trunc('second', min(ts)))::bigint as seconds from events group by user_id), sn as (select user_id as session_id, max_by(after, k) as held from run group by user_id),
+sr as (select session_id, case when session_id % 9 = 1 then 0 when session_id % 9 = 2 then null else 1 end as project_id, case when session_id % 9 = 3 then 'created' else held end as state, responses - (session_id % 9 = 4)::int as responses, events + (session_id % 9 = 5)::int as events, seconds + (session_id % 9 = 6)::int as seconds from ss join sn using (session_id)),
+tl as (select * from ss where session_id % 9 <> 7) """
+
+
+@query("o18g_session_checks", _SESSIONS + _codes(
+    "session_id", "(select sr.*, tl.events as e, tl.responses as r, tl.seconds as s, held from sr left join tl using (session_id) join sn using (session_id))", blank_id="session_id is null", project="project_id is null or project_id <= 0", no_events="e is null", event_count="events <> e", response_count="responses <> r", duration="seconds <> s", state="state <> held",
+))
+def _(t: Tables) -> DataFrame:
+    timeline = t.read("events").select(F.col("user_id").alias("session_id"), (F.col("event_type") == "purchase").alias("response"), "ts")
+    held = machines.now(session_moves(t), "user_id", "ts", "event_id").select(F.col("user_id").alias("session_id"), "state")
+    k = F.col("session_id") % 9
+    off = lambda c, n, by: (F.col(c) + by * (k == n).cast("int")).alias(c)
+    counted = dialogue.session_statistics(timeline).withColumnRenamed("timeline_events", "events").join(held, "session_id")
+    recorded = counted.select("session_id", F.when(k == 1, 0).when(k != 2, 1).alias("project_id"), F.when(k == 3, "created").otherwise(F.col("state")).alias("state"), off("responses", 4, -1), off("events", 5, 1), off("seconds", 6, 1))
+    return constraints.session_violations(recorded, timeline.where("session_id % 9 <> 7"), held)
+
+
 #: The queries of this module.
 NAMES = sorted(set(QUERIES) - _BEFORE)

@@ -221,3 +221,33 @@ def response_violations(responses: DataFrame) -> DataFrame:
         Rule("bounded_with_evidence", F.col("bounded") & (F.col("evidence") != 0)), Rule("bounded_verdict", F.col("bounded") & ~F.col("outcome").eqNullSafe("insufficient_evidence")), Rule("unbounded_without_evidence", ~F.col("bounded") & (F.col("evidence") == 0)),
         Rule("stated_nothing", F.col("outcome").isNull() & F.col("stated")),
     )
+
+
+def prompt_violations(sections: DataFrame, recorded: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """prompt_id, code of prompts: their sections (prompt_id, place, section, content, enabled) against the ``order`` that all have, and the recorded counts
+    (prompt_id, sections, enabled, disabled). Every section is there, a disabled one without content."""
+    placed = F.transform(F.array_sort(F.collect_list(F.struct("place", "section"))), lambda x: x["section"])  # a prompt has a few sections
+    blank = F.coalesce(F.trim("content"), F.lit("")) == ""
+    counted = {"_order": placed, "_all": F.count("*"), "_on": F.count_if("enabled"), "_empty": F.count_if(F.col("enabled") & blank), "_filled": F.count_if(~F.col("enabled") & ~blank)}
+    canonical = F.array(*map(F.lit, order))
+    return violations(
+        recorded, ["prompt_id"],
+        Refers({"prompt_id": "prompt_id"}, sections, counted, {
+            "no_sections": F.col("_all").isNull(), "sections_out_of_order": F.col("_order") != canonical, "section_count": F.col("sections") != F.col("_all"), "enabled_count": (F.col("enabled") != F.col("_on")) | (F.col("disabled") != F.col("_all") - F.col("_on")),
+            "enabled_without_content": F.col("_empty") > 0, "disabled_with_content": F.col("_filled") > 0,
+        }),
+    )
+
+
+def session_violations(sessions: DataFrame, timeline: DataFrame, moves: DataFrame) -> DataFrame:
+    """session_id, code of sessions (session_id, project_id, state, responses, events, seconds) against their timelines (session_id, ts, response) and the states
+    that their moves (session_id, state: the one that holds) lead to."""
+    span = F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))
+    return violations(
+        sessions, ["session_id"],
+        Rule("blank_id", F.col("session_id").isNull()), Rule("project", F.coalesce(F.col("project_id") <= 0, F.lit(True))),
+        Refers({"session_id": "session_id"}, timeline, {"_events": F.count("*"), "_responses": F.count_if("response"), "_seconds": span}, {
+            "no_events": F.col("_events").isNull(), "event_count": F.col("events") != F.col("_events"), "response_count": F.col("responses") != F.col("_responses"), "duration": F.col("seconds") != F.col("_seconds"),
+        }),
+        Refers({"session_id": "session_id"}, moves, {"_state": F.min("state")}, {"state": F.col("state") != F.col("_state")}),
+    )

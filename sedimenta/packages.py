@@ -504,10 +504,15 @@ def _(t: Tables) -> DataFrame:
 @query("n02_disagreements", sql("""select policy, reason, count(*) as n from (select p.policy, case when kind = 'current_value' then 'unexpected' when kind = 'designation' and document_id % 10 = 0 then 'text' when kind = 'power_value' and value is not null and document_id % 10 = 1 then 'quantity' when kind = 'location' and document_id % 10 = 2 and p.policy = 'exact' then 'provenance' else 'none' end as reason
   from ev, (values ('exact'), ('location_only')) p(policy)) group by all""", "ev"))
 def _(t: Tables) -> DataFrame:
+    pairs = bent_pairs(t)
+    return lineage.union_all([pairs.select(F.lit(p).alias("policy"), F.coalesce(quality.differing(p), F.lit("none")).alias("reason")).groupBy("policy", "reason").agg(F.count("*").alias("n")) for p in quality.POLICIES])
+
+
+@once
+def bent_pairs(t: Tables) -> DataFrame:
     d, kind = F.col("document_id"), F.col("kind")
     bent = expected(t).withColumns({"value": F.when((kind == "power_value") & (d % 10 == 1), F.col("value") + 1).otherwise(F.col("value")), "char_start": F.when((kind == "location") & (d % 10 == 2), F.col("char_start") + 1).otherwise(F.col("char_start"))})
-    pairs = stages.staged(quality.pairings(bent, t.evidence), "pairs")
-    return lineage.union_all([pairs.select(F.lit(p).alias("policy"), F.coalesce(quality.differing(p), F.lit("none")).alias("reason")).groupBy("policy", "reason").agg(F.count("*").alias("n")) for p in quality.POLICIES])
+    return stages.staged(quality.pairings(bent, t.evidence), "pairs")
 
 
 _TPN, _FPN, _FNN = "count(*) filter (kind <> 'current_value' and not (kind = 'designation' and document_id % 10 = 0))", "count(*) filter (kind = 'current_value' or (kind = 'designation' and document_id % 10 = 0))", "count(*) filter (kind = 'designation' and document_id % 10 = 0)"

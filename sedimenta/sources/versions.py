@@ -5,7 +5,9 @@ never replaces (atomic on HDFS and local disks), so of two writers that start fr
 that dies before leaves files that no manifest names. Only buckets that a write touches are written anew, the files of the others are taken
 over. A batch that its writer has committed before adds nothing (``batch``: a writer's name and a growing number).
 
-Manifests hold folder names, one or a few for each bucket; rows never pass through the driver.
+Manifests hold folder names, one or a few for each bucket; rows never pass through the driver. What is given to a write is read more than once (for the
+buckets that it touches, then for its rows): stage it first if it is costly or may come out differently. Null keys are in a bucket of
+their own, but equal nothing: they are added and never replaced.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .stages import staged
+
 
 class Conflict(RuntimeError):
     """Another writer committed in between: read again and repeat."""
@@ -175,7 +179,7 @@ class ArtifactStore:
     def ensure(self, asked: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """The rows of what is asked for. ``make`` gets the missing (key, identity) rows and returns the stage's rows of these documents. What was
         made of a document's other identities stays in earlier versions only."""
-        lacking = self.missing(asked.select(self.key, "identity"))
+        lacking = staged(self.missing(asked.select(self.key, "identity")), "lacking")
         if not lacking.isEmpty():
             number = F.lit(self.rows.version() + 1).cast("long")
             made = make(lacking).join(lacking, self.key).withColumn("made_in", number)

@@ -5,6 +5,9 @@ Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept a
 ``documents`` (the last: the pieces). ``run`` writes each stage's rows in the shared folder before the next reads
 them, so that a lost executor costs one stage at most.
 
+Texts go to Python ``BATCH_ROWS`` at a time at most: the stages that only describe their rows, and are written later, set this on the session that
+they are given.
+
 Defined results: rows with a null doc_id stay rows of their own: they are scored, meet their near copies by text, are never
 held to contain an item, are masked and packed. Null and empty texts are scored as one empty passage, link with nothing and are
 packed as their end id. Of a group of near copies the smallest doc_id stays (null ids last), then the smallest hash of the text;
@@ -18,10 +21,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sedimenta.llm import decontamination, jaccard_join, mil_quality, packing, secrets
-from sedimenta.llm.common import stored, table
+from sedimenta.llm.common import BATCH_KEY, BATCH_ROWS, stored, table
+
+
+def few_at_a_time(spark: SparkSession) -> None:
+    held = int(spark.conf.get(BATCH_KEY))
+    if not 0 < held <= BATCH_ROWS:
+        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    few_at_a_time(spark)
     return mil_quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -34,6 +44,7 @@ def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    few_at_a_time(spark)
     return secrets.mask_secrets(docs)
 
 

@@ -58,9 +58,14 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if not len(first):
         return x, passages
     head = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-    bounds = np.r_[first[head], len(data)]
-    byte_of = np.repeat(of[head], np.diff(bounds))
-    kinds = np.bincount(byte_of * 12 + kind[first[0] :], minlength=total * 12).reshape(total, 12)
+    # a passage goes up to the next one or to the end of its text: what stands beside a text in a batch is not counted
+    begin, after = first[head], np.r_[first[head][1:], len(data)]
+    gap = np.zeros(len(data) - first[0] + 1, np.int32)
+    np.add.at(gap, np.minimum(after, ends[doc[head]]) - first[0], 1)
+    np.add.at(gap, after - first[0], -1)
+    own = np.cumsum(gap[:-1]) == 0
+    byte_of = np.repeat(of[head], after - begin)[own]
+    kinds = np.bincount(byte_of * 12 + kind[first[0] :][own], minlength=total * 12).reshape(total, 12)
     n = np.bincount(of, minlength=total)
     chars = np.maximum(1, kinds.sum(1))
     x[:, :12] = kinds / chars[:, None]
@@ -156,9 +161,8 @@ def held_out(doc_id: Column) -> Column:
 
 def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        x, counts = encode(list(batch["text"]))
-        parts = np.split(x, np.cumsum(counts)[:-1])
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "passages": [q.astype("<f4").tobytes() for q in parts]})
+        passages = [encode([text])[0].astype("<f4").tobytes() for text in batch["text"]]
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "passages": passages})
 
 
 def train(docs: DataFrame, labels: DataFrame, train_limit: int = 6000, train_bytes: int = 64_000_000) -> GatedAttention | None:
@@ -179,6 +183,17 @@ def train(docs: DataFrame, labels: DataFrame, train_limit: int = 6000, train_byt
     return fit([np.frombuffer(r.passages, "<f4").reshape(-1, FEATURES).astype(float) for r in got], np.array([r.label for r in got]))
 
 
+def small_parts(batch: pa.RecordBatch, rows: int = 500, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``rows`` rows and ``size`` bytes of text, or one row: encoding takes tens of bytes for each byte of text."""
+    ends = np.cumsum([len(t) if t else 0 for t in batch.column("text").to_pylist()])
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 SCORED = "doc_id long, held_out boolean, score double, predicted int, n_passages long, top_passage long, top_weight double"
 
 
@@ -189,8 +204,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_limit: int = 6000) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in small_parts(batch):
                 x, counts = encode(part.column("text").to_pylist())
                 starts = np.r_[0, np.cumsum(counts)[:-1]]
                 if shared.value is None:
@@ -212,8 +226,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, train_limit: int = 6000, thres
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in small_parts(batch):
                 if shared.value is not None:
                     x, counts = encode([(t or "").encode() for t in part.column("text").to_pylist()])
                     part = part.filter(pa.array(shared.value.forward(x, counts)["score"] >= threshold))

@@ -40,7 +40,7 @@ class PatternRule:
 HOST_RULES = (
     HostRule("com", "/en/", "block"),
     HostRule("example.com", "/en/7", "allow"),
-    HostRule("net", "/de/", "block"),
+    HostRule("net", "/de/", "allow"),
     HostRule("example.net", "/de/8", "block"),
     HostRule("org", "/es/", "block"),
 )

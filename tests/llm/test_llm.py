@@ -431,6 +431,23 @@ def test_urls(spark):
     assert [(got[k].host, got[k].rule, got[k].verdict) for k in range(8)] == [("", None, "allow"), ("", None, "allow"), ("a.example.com", "example.com/en/7", "allow"), ("b.example.net", "example.net/de/8", "block"), ("spam-farm.example.org", None, "block"), ("x.org", "org/es/", "block"), ("notnet", None, "allow"), ("h", None, "allow")]
 
 
+def test_host_rules_are_those_of_the_contract(spark):
+    """The contract's list, written out: each rule's own word holds, in the query and in its SQL."""
+    import duckdb
+
+    listed = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+    assert [(r.host, r.path, r.verdict) for r in url_filter.HOST_RULES] == listed
+    urls = [f"http://{sub}{host}{path}x" for host, path, _ in listed for sub in ("", "www.")] + ["http://casino.net/de/", "http://a.example.net/de/9", "http://example.com/en/8", "http://x.net/fr/", None]
+    rows = list(enumerate(urls))
+    wanted = [v for _, _, v in listed for _ in range(2)] + ["allow", "allow", "block", "allow", "allow"]
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).orderBy("page_id").collect()
+    assert [r.verdict for r in got] == wanted
+    base = duckdb.connect()
+    base.execute("create table pages (page_id bigint, url varchar)")
+    base.executemany("insert into pages values (?, ?)", rows)
+    assert [r[0] for r in base.execute(f"select verdict from ({url_filter.OP9_SQL}) order by page_id").fetchall()] == wanted
+
+
 def test_index_finds_what_the_patterns_match(spark):
     """Each rule on hosts and paths where its words stand alone, and where they are glued to others."""
     forms = [f"http://{a}{w}{b}/{c}" for w in ("pills", "spam-farm", "casino", "xxx", "porn") for a in ("", "cheap", "cheap-", "www.", "a1", "1-") for b in (".com", "s.com", "-x.com", "") for c in ("", "en/x")]

@@ -56,3 +56,14 @@ def test_support_and_diagnostics_of_both_rules(spark):
     assert {(r.line_index, r.reason) for r in derivation.fact_diagnostics(rows).collect()} == {(1, "multiple_subjects"), (3, "multiple_objects")}
     support = derivation.fact_support(rows, derivation.facts(rows)).groupBy("role").agg(F.count("*").alias("n"), F.sum("line_index").alias("at")).collect()
     assert {(r.role, r.n, r["at"]) for r in support} == {("subject", 2, 2), ("object", 2, 2)}
+
+
+def test_normalisation_queues_no_arrays(spark):
+    """A line of many words: what goes by Python holds its token, not the tokens of the whole line."""
+    lines = spark.createDataFrame([(1, "wörd " * 50)], "document_id long, line_text string")
+    made = text.normalised(text.tokenised(lines, "document_id"))
+    plan = made._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "ArrowEvalPython":
+        plan = plan.children().head()
+    types = [plan.children().head().output().apply(k).dataType().typeName() for k in range(plan.children().head().output().size())]
+    assert "array" not in types and made.count() == 50

@@ -41,3 +41,9 @@ def refused(sets: DataFrame, supported: tuple[str, ...]) -> DataFrame:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def copied(rows: DataFrame, condition: str, copy: str | None = None) -> DataFrame:
+    """``rows``, those of the condition twice. A union would lose where they are; these stay there. ``copy``: a column that is 1 in the second ones, else 0."""
+    made = rows.withColumn(copy or "_copy", F.explode(F.when(F.expr(condition), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return made if copy else made.drop("_copy")

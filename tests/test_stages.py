@@ -78,3 +78,36 @@ def test_one_answer_for_requests_that_ask_the_same(spark, monkeypatch):
     monkeypatch.setattr(packages.retrieval, "with_metadata", lambda ranked, metadata, total: seen.append(total) or own(ranked, metadata, total))
     assert QUERIES["k08_index_warnings"](spark, "/root/testdata/sf0.01").count() == 1500
     assert seen[0].count() == 420
+
+
+@pytest.mark.parametrize("name", ["d12_fact_diagnostics", "d13_fact_support", "d15_fact_lookups", "d16b_planted_fact_faults", "d21_statement_checks", "d22_provenance"])
+def test_facts_and_their_checks_move_no_rows(spark, name):
+    from sedimenta import audits, checks, packages  # noqa: F401
+    from sedimenta.catalogue import QUERIES
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert exchanges(QUERIES[name](spark, "/root/testdata/sf0.001")) == []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_facts_and_decisions_are_stored_without_keys(tables):
+    assert not {c for c in (*tables.short_facts.columns, *tables.short_statements.columns) if c.endswith("_key") or c == "checksum"}
+
+
+def test_lines_tell_what_joins_tell(spark):
+    """Facts, support, diagnostics and entities from the arrays of lines, against the joins over all observations."""
+    said = ["Unit T1 rated 25 kVA", "T1 T2 20 kV", "+E01-QA1", "T1 +CELLA +CELLB", "+E01-QA1 +E01-QA1 +E02-QA1 5 A", "T1 +CELLA 7 kVA 8 V", "T1 T1 1.250 kV", "note", "+E01-QA1 +E01 T1"]
+    lines = spark.createDataFrame([(doc, doc % 7, k, t) for doc in range(3) for k, t in enumerate(said[doc:])], "document_id long, project_id long, line_index long, line_text string")
+    shown = evidence.shown_in(lines, lines)
+    rows = derivation.mentions(evidence.extract(text.tokenised(lines, *evidence.LINE)))
+    facts = derivation.facts(rows)
+    pairs = [
+        (derivation.keyed_facts(derivation.short_facts(shown)), facts), (derivation.keyed_support(derivation.short_support(shown)), derivation.fact_support(rows, facts)),
+        (derivation.line_diagnostics(shown), derivation.fact_diagnostics(rows)), (derivation.entities_of(shown), derivation.entities(rows)),
+    ]
+    for one, two in pairs:
+        own = sorted(map(str, one.select(*two.columns).collect()))
+        assert own and own == sorted(map(str, two.collect()))

@@ -1,7 +1,7 @@
 """Constraints declared over a table and checked together.
 
 A set of checks is compiled into one read of the table: conditions on a row's own fields cost nothing more, each table that rows refer to is brought down to
-one row a key and joined once, whatever number of checks reads what it brings, and each uniqueness is one count by its key. Every broken check of
+one row a key and joined once, whatever number of checks reads what it brings, and each uniqueness is one count over its key. Every broken check of
 every row is reported, in the order in which they are declared.
 
 Defined results: a condition that is null is not broken; a reference with a null key finds nothing; rows that are equal are reported each; an empty table
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import RULE_VERSIONS, UNITS
@@ -53,9 +53,7 @@ def violations(rows: DataFrame, own: list[str], *checks: Rule | Unique | Refers,
             codes.append((check.code, check.broken))
         elif isinstance(check, Unique):
             name = f"_times{k}"
-            counts = rows.groupBy(*(F.col(c).alias(f"_{k}{c}") for c in check.by)).agg(F.count("*").alias(name)).where(F.col(name) > 1)
-            same = [F.col(c).eqNullSafe(F.col(f"_{k}{c}")) for c in check.by]
-            found = found.join(counts, same, "left")
+            found = found.withColumn(name, F.count("*").over(Window.partitionBy(*check.by)))  # nulls are alike; rows that lie by a part of the key stay
             codes.append((check.code, F.col(name) > 1))
         else:
             side = check.other.groupBy(*(F.col(theirs).alias(f"_{k}{mine}") for mine, theirs in check.on.items())).agg(*(c.alias(n) for n, c in check.brings.items()))
@@ -170,8 +168,6 @@ def provenance_violations(rows: DataFrame, own: str = "edge_id") -> DataFrame:
 
 def memory_violations(entries: DataFrame, recorded: DataFrame) -> DataFrame:
     """conv_id, code over the entries of working memories and over what was recorded of them (conv_id, entries and a column a type)."""
-    from pyspark.sql import Window
-
     from .dialogue import MEMORY, memory_statistics
 
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("sequence")) - 1

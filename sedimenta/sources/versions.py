@@ -133,7 +133,7 @@ class BucketTable:
     def replace(self, rows: DataFrame, cleared: DataFrame | None = None, batch: tuple[str, int] | None = None) -> int:
         """All rows of the keys of ``rows`` (and of ``cleared``) give way to ``rows``."""
         gone = rows.select(self.key) if cleared is None else rows.select(self.key).unionByName(cleared.select(self.key))
-        return self.change([gone], lambda held: held.join(gone.distinct(), self.key, "left_anti").unionByName(rows.select(held.columns)), batch)
+        return self.change([gone], lambda held: held.join(gone.distinct().hint("merge"), self.key, "left_anti").unionByName(rows.select(held.columns)), batch)
 
     def upsert(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> int:
         """Each key's row gives way to the new one; of several new rows of a key, the one with the least fields stays."""
@@ -174,7 +174,7 @@ class ArtifactStore:
 
     def missing(self, asked: DataFrame) -> DataFrame:
         """Of ``asked`` (key, identity) what has to be made."""
-        return asked.join(self.known.read().select(self.key, "identity"), [self.key, "identity"], "left_anti")
+        return asked.join(self.known.read().select(self.key, "identity").hint("merge"), [self.key, "identity"], "left_anti")
 
     def ensure(self, asked: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """The rows of what is asked for. ``make`` gets the missing (key, identity) rows and returns the stage's rows of these documents. What was
@@ -182,7 +182,8 @@ class ArtifactStore:
         lacking = staged(self.missing(asked.select(self.key, "identity")), "lacking")
         if not lacking.isEmpty():
             number = F.lit(self.rows.version() + 1).cast("long")
-            made = make(lacking).join(lacking, self.key).withColumn("made_in", number)
+            # made once, then read by both steps of the write; identities are as many as documents, so no join sends them to the driver
+            made = staged(make(lacking).join(lacking.hint("merge"), self.key).withColumn("made_in", number), "made")
             self.rows.replace(made, cleared=lacking)
             self.known.replace(lacking.withColumn("made_in", number))
-        return self.rows.read().join(asked.select(self.key, "identity"), [self.key, "identity"], "left_semi")
+        return self.rows.read().join(asked.select(self.key, "identity").hint("merge"), [self.key, "identity"], "left_semi")

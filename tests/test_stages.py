@@ -80,7 +80,7 @@ def test_one_answer_for_requests_that_ask_the_same(spark, monkeypatch):
     assert seen[0].count() == 420
 
 
-@pytest.mark.parametrize("name", ["d12_fact_diagnostics", "d13_fact_support", "d15_fact_lookups", "d16b_planted_fact_faults", "d21_statement_checks", "d22_provenance"])
+@pytest.mark.parametrize("name", ["d12_fact_diagnostics", "d13_fact_support", "d15_fact_lookups", "d16_fact_checks", "d16b_planted_fact_faults", "d21_statement_checks", "d22_provenance"])
 def test_facts_and_their_checks_move_no_rows(spark, name):
     from sedimenta import audits, checks, packages  # noqa: F401
     from sedimenta.catalogue import QUERIES

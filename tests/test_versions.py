@@ -130,3 +130,19 @@ def test_reconciling_brings_an_edge_and_its_nodes_back(spark, tmp_path):
     assert held.generation() == 1 and [tuple(r)[0] for r in held.log().collect()] == [1]
     assert held.rebuild(decided(None, None), entities) == 2 and held.rebuild(decided(None, None), entities) == 3
     assert [(r.generation, r.unchanged) for r in held.log().orderBy("generation").collect()] == [(1, False), (2, False), (3, True)]
+
+
+def test_a_stage_is_made_once(spark, tmp_path):
+    """Rows are written once before the store reads them, and no identities are sent to all tasks by way of the driver."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for rows in batches:
+            made.add(len(rows))
+            yield rows
+
+    asked = spark.range(40).select(F.col("id").alias("document_id"), F.col("id").cast("string").alias("identity"))
+    store = ArtifactStore(spark, f"file://{tmp_path}/s", StructType([StructField("document_id", LongType())]), buckets=4)
+    rows = store.ensure(asked, lambda lacking: lacking.select("document_id").mapInPandas(counted, "document_id long"))
+    assert rows.count() == 40 and made.value == 40
+    assert "BroadcastExchange" not in rows._jdf.queryExecution().executedPlan().toString()

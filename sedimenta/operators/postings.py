@@ -28,19 +28,21 @@ def _runs(word: Column) -> Column:
 
 
 class PostingIndex:
-    """Entries are rows (entry, document, identifier): ``entry`` tells them apart."""
+    """Entries are rows (entry, document, identifier): ``entry`` tells those of a document apart. Without ``runs`` whole identifiers alone are filed: all lookups
+    of texts are served, searches within identifiers are not."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, runs: bool = True) -> None:
         text, number = lambda n: StructField(n, StringType()), lambda n: StructField(n, LongType())
         self.postings = BucketTable(spark, f"{path}/postings", "term", StructType([text("term"), text("entry"), number("document"), text("identifier")]), buckets)
         self.sizes = BucketTable(spark, f"{path}/sizes", "term", StructType([text("term"), number("n")]), buckets)
         self.entries = BucketTable(spark, f"{path}/entries", "document", StructType([number("document"), text("entry"), text("identifier")]), buckets)
-        self.spark = spark
+        self.spark, self.runs = spark, runs
 
     def _filed(self, entries: DataFrame) -> DataFrame:
         folded = F.lower("identifier")
         rows = entries.where("identifier <> ''").select(F.col("entry").cast("string").alias("entry"), "document", "identifier").distinct()
-        return rows.select(F.explode(F.array_append(grams(folded), F.concat(F.lit(WHOLE), folded))).alias("term"), "entry", "document", "identifier")
+        whole = F.concat(F.lit(WHOLE), folded)
+        return rows.select((F.explode(F.array_append(grams(folded), whole)) if self.runs else whole).alias("term"), "entry", "document", "identifier")
 
     def build(self, entries: DataFrame) -> None:
         filed = self._filed(entries)
@@ -75,6 +77,8 @@ class PostingIndex:
 
     def containing(self, asked: DataFrame, column: str = "word") -> DataFrame:
         """``asked`` with entry, document and identifier of each identifier that contains its word."""
+        if not self.runs:
+            raise ValueError("this index files whole identifiers alone")
         words = asked.select(F.lower(column).alias("_word")).where("_word <> ''").distinct()
         sought = words.select("_word", F.explode(_runs(F.col("_word"))).alias("term"))
         n = F.coalesce("n", F.lit(0))

@@ -58,3 +58,12 @@ def test_an_empty_index(spark, tmp_path, words):
     index.build(spark.createDataFrame([], ENTRY))
     asked = spark.createDataFrame([(w,) for w in words], "word string")
     assert index.containing(asked).collect() == []
+
+
+def test_an_index_of_whole_identifiers_files_each_once(spark, tmp_path):
+    index = PostingIndex(spark, f"file://{tmp_path}/w", buckets=4, runs=False)
+    index.build(spark.createDataFrame([("a", 1, "T1"), ("a", 2, "t1"), ("b", 2, "CB-12"), ("c", 3, "")], "entry string, document long, identifier string"))
+    assert index.postings.read().count() == 3
+    assert sorted((r.entry, r.document) for r in index.exact("T1").collect()) == [("a", 1), ("a", 2)]
+    with pytest.raises(ValueError):
+        index.containing(spark.createDataFrame([("b",)], "word string"))

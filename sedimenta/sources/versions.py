@@ -65,10 +65,12 @@ class Manifests:
 
 
 class BucketTable:
-    """Rows by key in ``buckets`` buckets; see the module."""
+    """Rows by key in ``buckets`` buckets; see the module. Where keys mean something only beside another column (``within``: a place in a document), rows are
+    dealt by that column and told apart by both: what lies by document then meets the table without moving."""
 
-    def __init__(self, spark: SparkSession, path: str, key: str, schema: StructType, buckets: int = 64) -> None:
+    def __init__(self, spark: SparkSession, path: str, key: str, schema: StructType, buckets: int = 64, within: str | None = None) -> None:
         self.spark, self.path, self.key, self.schema, self.buckets = spark, path, key, schema, buckets
+        self.by, self.on = within or key, [within, key] if within else [key]
         self.manifests = Manifests(spark, f"{path}/versions")
 
     def bucket(self, key: Column) -> Column:
@@ -90,16 +92,23 @@ class BucketTable:
         return self.rows_of([f for own in self.manifest(version)["folders"].values() for f in own])
 
     def lookup(self, *keys) -> DataFrame:
-        """The rows of some keys, from the buckets that may hold them alone."""
-        asked = self.spark.createDataFrame([(k,) for k in keys], StructType([self.schema[self.key]]))
-        wanted = {str(r[0]) for r in asked.select(self.bucket(F.col(self.key))).distinct().collect()}  # as many as keys or buckets
+        """The rows of some values of the column that deals them (the key, if no other does), from the buckets that may hold them alone."""
+        asked = self.spark.createDataFrame([(k,) for k in keys], StructType([self.schema[self.by]]))
+        wanted = {str(r[0]) for r in asked.select(self.bucket(F.col(self.by))).distinct().collect()}  # as many as keys or buckets
         folders = self.manifest()["folders"]
-        return self.rows_of([f for b in sorted(wanted) for f in folders.get(b, [])]).where(F.col(self.key).isin(*keys))
+        return self.rows_of([f for b in sorted(wanted) for f in folders.get(b, [])]).where(F.col(self.by).isin(*keys))
+
+    def added(self, since: int, version: int | None = None) -> DataFrame:
+        """The rows of files that were added after version ``since``. Where one of its files has been rewritten, files do not tell: that is refused."""
+        before, after = self.manifest(since)["folders"], self.manifest(version)["folders"]
+        if any(not set(own) <= set(after.get(b, [])) for b, own in before.items()):
+            raise ValueError(f"files of version {since} were rewritten")
+        return self.rows_of([f for b, own in after.items() for f in own if f not in before.get(b, [])])
 
     def _write(self, rows: DataFrame) -> dict[str, list[str]]:
         """Writes rows by bucket (several files for a large one) and says in which folders they are."""
         folder, split = f"data/{uuid.uuid4().hex}", F.pmod(F.xxhash64(*rows.columns), F.lit(8))
-        rows.select(*(F.col(f.name).cast(f.dataType) for f in self.schema)).withColumn("_bucket", self.bucket(F.col(self.key))).repartition("_bucket", split).write.option("compression", "zstd").partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        rows.select(*(F.col(f.name).cast(f.dataType) for f in self.schema)).withColumn("_bucket", self.bucket(F.col(self.by))).repartition("_bucket", split).write.option("compression", "zstd").partitionBy("_bucket").parquet(f"{self.path}/{folder}")
         found = self.manifests.files.listStatus(self.manifests.path_of(f"{self.path}/{folder}"))
         names = [f.getPath().getName() for f in found]
         return {n.partition("=")[2]: [f"{folder}/{n}"] for n in names if n.startswith("_bucket=")}
@@ -108,7 +117,7 @@ class BucketTable:
         """Buckets of the keys: as many as there are buckets at most."""
         found = set()
         for rows in keys:
-            found |= {str(r[0]) for r in rows.select(self.bucket(F.col(self.key)).alias("b")).distinct().collect()}
+            found |= {str(r[0]) for r in rows.select(self.bucket(F.col(self.by)).alias("b")).distinct().collect()}
         return sorted(found)
 
     def _done(self, base: dict, batch: tuple[str, int] | None) -> bool:
@@ -132,23 +141,23 @@ class BucketTable:
 
     def replace(self, rows: DataFrame, cleared: DataFrame | None = None, batch: tuple[str, int] | None = None) -> int:
         """All rows of the keys of ``rows`` (and of ``cleared``) give way to ``rows``."""
-        gone = rows.select(self.key) if cleared is None else rows.select(self.key).unionByName(cleared.select(self.key))
-        return self.change([gone], lambda held: held.join(gone.distinct().hint("merge"), self.key, "left_anti").unionByName(rows.select(held.columns)), batch)
+        gone = rows.select(*self.on) if cleared is None else rows.select(*self.on).unionByName(cleared.select(*self.on))
+        return self.change([gone], lambda held: held.join(gone.distinct().hint("merge"), self.on, "left_anti").unionByName(rows.select(held.columns)), batch)
 
     def upsert(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> int:
         """Each key's row gives way to the new one; of several new rows of a key, the one with the least fields stays."""
-        fields = F.struct(*(F.col(c) for c in self.schema.names if c != self.key))
-        one = rows.groupBy(self.key).agg(F.min(fields).alias("r")).select(self.key, "r.*").select(*self.schema.names)
-        return self.change([rows.select(self.key)], lambda held: held.join(one.select(self.key), self.key, "left_anti").unionByName(one), batch)
+        fields = F.struct(*(F.col(c) for c in self.schema.names if c not in self.on))
+        one = rows.groupBy(*self.on).agg(F.min(fields).alias("r")).select(*self.on, "r.*").select(*self.schema.names)
+        return self.change([rows.select(*self.on)], lambda held: held.join(one.select(*self.on), self.on, "left_anti").unionByName(one), batch)
 
     def append_new(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> int:
         """Adds the rows whose keys are not held, one for each key. Files are added, none is rewritten."""
         base = self.manifest()
         if self._done(base, batch):
             return base["version"]
-        touched = self._touched(rows.select(self.key))
+        touched = self._touched(rows.select(*self.on))
         held = self.rows_of([f for b in touched for f in base["folders"].get(b, [])])
-        new = self._write(rows.dropDuplicates([self.key]).join(held.select(self.key), self.key, "left_anti"))
+        new = self._write(rows.dropDuplicates(self.on).join(held.select(*self.on), self.on, "left_anti"))
         folders = {b: base["folders"].get(b, []) + new.get(b, []) for b in {*base["folders"], *new}}
         return self._commit(base, folders, batch, None)
 

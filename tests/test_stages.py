@@ -170,3 +170,18 @@ def test_sizes_of_lines_are_those_of_their_tokens(spark):
     lines = spark.createDataFrame([(1, 1, k, t) for k, t in enumerate(["a  b", " ", "", None, " x y z ", "w"])], "document_id long, project_id long, line_index long, line_text string")
     own = text.tokenised(lines, *evidence.LINE).groupBy("document_id", "line_index").agg(F.count("*").alias("tokens"))
     assert sorted(map(str, text.line_sizes(lines).collect())) == sorted(map(str, own.collect()))
+
+
+def test_evidence_is_appended_without_keys(spark, monkeypatch):
+    from sedimenta import catalogue
+
+    made, plain = [], catalogue.bucket_table
+    monkeypatch.setattr(catalogue, "bucket_table", lambda *a, **k: made.append(plain(*a, **k)) or made[-1])
+    t = Tables(spark, DATA)
+    t.__dict__["buckets"] = 400
+    monkeypatch.setattr(catalogue, "tables", lambda *a: t)
+    rows = QUERIES["a11_idempotent_append"](spark, DATA)
+    wanted = t.evidence.where("document_id % 2 = 0 and status <> 'rejected'").select("evidence_key", "document_id")
+    assert rows.exceptAll(wanted).isEmpty() and wanted.exceptAll(rows).isEmpty() and not rows.isEmpty()
+    assert "evidence_key" not in made[0].schema.names and made[0].buckets == 50  # they grow with the lines
+    assert exchanges(rows) == []

@@ -146,3 +146,18 @@ def test_a_stage_is_made_once(spark, tmp_path):
     rows = store.ensure(asked, lambda lacking: lacking.select("document_id").mapInPandas(counted, "document_id long"))
     assert rows.count() == 40 and made.value == 40
     assert "BroadcastExchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_are_dealt_by_what_keys_lie_within(spark, tmp_path):
+    schema = StructType([StructField("d", LongType()), StructField("k", LongType())])
+    table = BucketTable(spark, f"file://{tmp_path}/w", "k", schema, 8, within="d")
+    made = lambda *pairs: spark.createDataFrame(list(pairs), schema)
+    table.overwrite(made(*((1, k) for k in range(20))))
+    assert len(table.manifest()["folders"]) == 1  # one document, one bucket
+    version = table.append_new(made((1, 3), (1, 50), (2, 3), (2, 3)))  # the same key in another document is another row
+    assert sorted(map(tuple, table.added(1, version).collect())) == [(1, 50), (2, 3)]
+    assert sorted(map(tuple, table.lookup(2).collect())) == [(2, 3)]
+    table.replace(made((2, 3)))
+    assert table.read().count() == 22 and table.added(1).count() == 2  # files of version 1 are all there still
+    with pytest.raises(ValueError):
+        table.added(2)  # but not those of version 2

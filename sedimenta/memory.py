@@ -50,7 +50,7 @@ def _(t: Tables) -> DataFrame:
     known = t.spark.createDataFrame([(k, [u[0] for u in UNITS if u[1] == k], domain(k)) for k in kinds], "attribute_id string, units array<string>, domain string")
     kind = F.col("kind")
     seen = lambda rows, column, by: rows.select(column.alias("text"), F.lit(by).alias("by")).where("text is not null").distinct()
-    asked = union_all([seen(t.evidence, kind, "id"), seen(t.evidence, F.col("unit"), "unit"), seen(t.evidence.where(kind.endswith("_value")), F.when(kind.startswith("cable"), "cabling").otherwise("electrical"), "domain")])
+    asked = union_all([seen(t.kinds, kind, "id"), seen(t.kinds, F.col("unit"), "unit"), seen(t.kinds.where(kind.endswith("_value")), F.when(kind.startswith("cable"), "cabling").otherwise("electrical"), "domain")])
     return ledger.attribute_lookups(asked, known)
 
 

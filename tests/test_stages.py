@@ -185,3 +185,15 @@ def test_evidence_is_appended_without_keys(spark, monkeypatch):
     assert rows.exceptAll(wanted).isEmpty() and wanted.exceptAll(rows).isEmpty() and not rows.isEmpty()
     assert "evidence_key" not in made[0].schema.names and made[0].buckets == 50  # they grow with the lines
     assert exchanges(rows) == []
+
+
+def test_units_and_kinds_are_counted_by_text(spark, monkeypatch):
+    from sedimenta import catalogue
+
+    t = Tables(spark, DATA)
+    monkeypatch.setattr(catalogue, "tables", lambda *a: t)
+    rows = QUERIES["a23_attribute_resolution"](spark, DATA)
+    QUERIES["a23b_attributes_by_id_unit_domain"](spark, DATA).collect()
+    assert "shown" not in t.__dict__ and not any("document_id" in x or "orderkey" in x for x in exchanges(evidence.counted_in(t.lines)))
+    wanted = t.evidence.groupBy("kind", "unit").agg(F.count("*").alias("n"))
+    assert t.kinds.exceptAll(wanted).isEmpty() and wanted.exceptAll(t.kinds).isEmpty() and not rows.isEmpty()

@@ -197,3 +197,15 @@ def test_units_and_kinds_are_counted_by_text(spark, monkeypatch):
     assert "shown" not in t.__dict__ and not any("document_id" in x or "orderkey" in x for x in exchanges(evidence.counted_in(t.lines)))
     wanted = t.evidence.groupBy("kind", "unit").agg(F.count("*").alias("n"))
     assert t.kinds.exceptAll(wanted).isEmpty() and wanted.exceptAll(t.kinds).isEmpty() and not rows.isEmpty()
+
+
+@pytest.mark.parametrize("name", ["i08_agreed_versions", "i09_two_sided_context"])
+def test_counts_by_document_make_no_stage(spark, monkeypatch, name):
+    from sedimenta import catalogue
+
+    t = Tables(spark, DATA)
+    monkeypatch.setattr(catalogue, "tables", lambda *a: t)
+    rows = QUERIES[name](spark, DATA)
+    assert "shown" not in t.__dict__ and not any("partkey" in x for x in exchanges(rows))
+    own = rows.collect()
+    assert own and t.shown and sorted(map(str, QUERIES[name](spark, DATA).collect())) == sorted(map(str, own))  # the same from the stage

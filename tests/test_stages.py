@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sedimenta import audits, checks, memory, packages  # noqa: F401 (they add their queries)
 from sedimenta.catalogue import QUERIES, Tables
 from sedimenta.operators import derivation, evidence, quality, text
+from sedimenta.sources import stages
 
 DATA = "/root/testdata/sf0.001"
 
@@ -209,3 +210,12 @@ def test_counts_by_document_make_no_stage(spark, monkeypatch, name):
     assert "shown" not in t.__dict__ and not any("partkey" in x for x in exchanges(rows))
     own = rows.collect()
     assert own and t.shown and sorted(map(str, QUERIES[name](spark, DATA).collect())) == sorted(map(str, own))  # the same from the stage
+
+
+def test_joins_of_stages_are_planned_by_their_rows_not_by_their_files(spark):
+    Tables(spark, DATA)  # the session's settings
+    # a million observations in well packed files: small on disk, a hundred bytes a row once they have keys
+    packed = spark.range(2_000_000).select((F.col("id") % 1000).alias("document_id"), F.lit("designation_generic|1.0|T1").alias("place"))
+    one, two = (stages.staged_by(packed, name, "document_id", 8).select("document_id", F.sha2("place", 256).alias("k")) for name in ("one", "two"))
+    plan = one.join(two, ["document_id", "k"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan

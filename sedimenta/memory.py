@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .audits import _state, generations_of, session_moves
-from .catalogue import _INTENTS, QUERIES, Tables, _caps, _of_requests, expected, once, query
+from .catalogue import _INTENTS, QUERIES, Tables, _caps, _of_requests, expected_of, once, query
 from .catalogue import _after as _of_items
 from .checks import _codes
 from .functions.rules import UNITS
 from .operators import constraints, dialogue, ledger, machines, quality, requests, retrieval
 from .operators import evidence as ev
-from .operators import text as tx
 from .operators.lineage import union_all
 from .operators.machines import recursive_sql
 from .plans.oracle import sql
@@ -104,7 +103,7 @@ def _(t: Tables) -> DataFrame:
 @query("n06_evaluation_run", sql("""select kind, tp, fp, fn, case when tp + fp > 0 then round_even(tp / (tp + fp), 6) end as precision, case when tp + fn > 0 then round_even(tp / (tp + fn), 6) end as recall, case when tp > 0 then round_even(2 * tp / (2 * tp + fp + fn), 6) end as f1, fp = 0 and fn = 0 as perfect, (select string_agg(distinct rule_id || '@' || rule_version, ',' order by rule_id || '@' || rule_version) from ev) as rule_versions from (
   select kind, count(*) filter (kind <> 'current_value' and not (kind = 'designation' and document_id % 10 = 0)) as tp, count(*) filter (kind = 'current_value' or (kind = 'designation' and document_id % 10 = 0)) as fp, count(*) filter (kind = 'designation' and document_id % 10 = 0) as fn from ev group by grouping sets ((kind), ()))""", "ev"))
 def _(t: Tables) -> DataFrame:
-    return quality.evaluation_run(t.lines, expected(t), lambda lines: ev.extract(tx.tokenised(lines, *ev.LINE)))
+    return quality.evaluation_run(t.register, expected_of, lambda lines: t.by_document(ev.shown_in(lines, t.lines), "run"))
 
 
 # Working memory: every answer is a response; its status, references, doubts and warnings follow from its place and length

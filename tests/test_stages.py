@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sedimenta import audits, checks, memory, packages  # noqa: F401 (they add their queries)
-from sedimenta.catalogue import QUERIES, Tables
+from sedimenta.catalogue import QUERIES, Tables, expected, expected_of
 from sedimenta.operators import derivation, evidence, quality, text
 from sedimenta.sources import stages
 
@@ -219,3 +219,19 @@ def test_joins_of_stages_are_planned_by_their_rows_not_by_their_files(spark):
     one, two = (stages.staged_by(packed, name, "document_id", 8).select("document_id", F.sha2("place", 256).alias("k")) for name in ("one", "two"))
     plan = one.join(two, ["document_id", "k"], "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_an_evaluation_run_extracts_once_and_moves_no_observation(tables):
+    asked = []
+
+    def extract(lines):
+        asked.append(lines)
+        return tables.by_document(evidence.shown_in(lines, tables.lines), "run")
+
+    got = quality.evaluation_run(tables.register, expected_of, extract)
+    assert len(asked) == 1 and not [x for x in exchanges(got) if "token_start" in x]
+    wanted = quality.metrics(quality.classified(quality.pairings(expected(tables), tables.evidence)))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(got.drop("rule_versions")) == rows(wanted) and got.where("kind is null").count() == 1
+    versions = ",".join(sorted(r[0] for r in tables.evidence.select(F.concat_ws("@", "rule_id", "rule_version")).distinct().collect()))
+    assert {r.rule_versions for r in got.collect()} == {versions}

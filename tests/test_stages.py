@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from sedimenta import audits, checks, memory, packages  # noqa: F401 (they add their queries)
 from sedimenta.catalogue import QUERIES, Tables, expected, expected_of
-from sedimenta.operators import derivation, evidence, quality, text
+from sedimenta.functions.keys import identity
+from sedimenta.operators import derivation, evidence, lineage, quality, text
 from sedimenta.sources import stages
 
 DATA = "/root/testdata/sf0.001"
@@ -235,3 +236,20 @@ def test_an_evaluation_run_extracts_once_and_moves_no_observation(tables):
     assert rows(got.drop("rule_versions")) == rows(wanted) and got.where("kind is null").count() == 1
     versions = ",".join(sorted(r[0] for r in tables.evidence.select(F.concat_ws("@", "rule_id", "rule_version")).distinct().collect()))
     assert {r.rule_versions for r in got.collect()} == {versions}
+
+
+def test_each_identity_is_worked_out_once_and_documents_stay_where_they_are(spark):
+    docs = spark.range(20).select(F.col("id").alias("document_id"), F.sha2(F.col("id").cast("string"), 256).alias("checksum")).repartition(4, "document_id")
+    sets = lineage.artifact_sets(docs, {"facts": "document_id = 3"})
+    plan = sets["statements"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("sha2(") <= 2 * len(lineage.KINDS)  # written into each other there would be over a hundred
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    got = lineage.traced(sets)
+    assert not [x for x in exchanges(got) if "REPARTITION_BY_NUM" not in x]
+    up, by_hand = "checksum", docs.select("document_id", "checksum")
+    for kind in lineage.KINDS:
+        by_hand = by_hand.withColumn(kind, identity(kind, F.col(up)))
+        up = kind
+    ends = {r.document_id: r for r in by_hand.collect()}
+    for r in got.collect():
+        assert (r.steps, r.furthest, r.complete) == ((0, ends[3].statements, False) if r.document_id == 3 else (6, ends[r.document_id].source, True))

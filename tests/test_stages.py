@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sedimenta import audits, checks, memory, packages  # noqa: F401 (they add their queries)
+from sedimenta import audits, catalogue, checks, memory, packages  # noqa: F401 (they add their queries)
 from sedimenta.catalogue import QUERIES, Tables, expected, expected_of
 from sedimenta.functions.keys import identity
 from sedimenta.operators import derivation, evidence, lineage, quality, text
@@ -253,3 +253,13 @@ def test_each_identity_is_worked_out_once_and_documents_stay_where_they_are(spar
     ends = {r.document_id: r for r in by_hand.collect()}
     for r in got.collect():
         assert (r.steps, r.furthest, r.complete) == ((0, ends[3].statements, False) if r.document_id == 3 else (6, ends[r.document_id].source, True))
+
+
+def test_an_incremental_extraction_holds_a_row_a_document_without_keys(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(catalogue, "artifact_store", lambda rows, make=catalogue.artifact_store: held.append(make(rows)) or held[-1])
+    rows = QUERIES["e05_incremental_extraction"](spark, DATA)
+    (store,) = held
+    kept = store.rows.read()
+    assert "evidence_key" not in kept.columns and kept.groupBy("document_id").count().where("count > 1").isEmpty()
+    assert 0 < rows.count() <= kept.select(F.explode("seen")).count() and not rows.where("made_in = 2").isEmpty()

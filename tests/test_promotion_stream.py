@@ -3,6 +3,8 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
+
 from sedimenta.streaming import promotion
 
 DAY = datetime(2024, 1, 1)
@@ -53,3 +55,21 @@ def test_the_last_edge_takes_its_nodes_along_and_a_new_one_brings_them_back(spar
     assert step(("e1", "a", "b", "review", "rejected", None, at[2], 2)) == {"a": "active", "b": "historical", "c": "active"}
     assert step(("e2", "a", "c", "statement", None, False, at[3], 3)) == {"a": "historical", "b": "historical", "c": "historical"}
     assert step(yes("e1", "b", 4)) == {"a": "active", "b": "active", "c": "historical"}
+
+
+def test_one_call_serves_all_edges_of_a_group():
+    class Held(dict):
+        getValue, updateValue = dict.get, dict.__setitem__
+
+    class Handle:
+        def getMapState(self, *_):
+            return Held()
+
+    processor = promotion.EdgeProcessor()
+    processor.init(Handle())
+    names = ["edge_id", "subject_id", "object_id", "what", "decision", "present", "at", "number"]
+    rows = [(f"e{k}", "a", "b", *said, DAY, k) for said in (("statement", None, True), ("review", "approved", None)) for k in range(3)]
+    parts = [pd.DataFrame(x, columns=names) for x in (rows[:4], rows[4:])]  # an edge's rows may come in several parts
+    (changes,) = processor.handleInputRows((0,), iter(parts), None)
+    assert list(changes["edge_id"]) == ["e0", "e1", "e2"] and set(changes["state"]) == {"active"}
+    assert not list(processor.handleInputRows((0,), iter(parts), None))
